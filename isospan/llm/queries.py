@@ -5,6 +5,19 @@ from __future__ import annotations
 from .common import read_table
 
 
+def op1_fingerprints(spark, sf_dir):
+    from .common import shuffle_partitions
+    from .fingerprints import fingerprint_edits
+
+    return fingerprint_edits(read_table(spark, sf_dir, "documents"), buckets=4 * shuffle_partitions(spark))
+
+
+def op3_mixing(spark, sf_dir):
+    from .mixing import mix
+
+    return mix(read_table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark, sf_dir):
     from .simhash import near_duplicates
 
