@@ -18,6 +18,12 @@ def op3_mixing(spark, sf_dir):
     return mix(read_table(spark, sf_dir, "documents"))
 
 
+def op4_pii(spark, sf_dir):
+    from .pii import find_personal_data
+
+    return find_personal_data(read_table(spark, sf_dir, "documents")).drop("entities")
+
+
 def op9_simhash(spark, sf_dir):
     from .simhash import near_duplicates
 
