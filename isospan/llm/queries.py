@@ -24,6 +24,18 @@ def op4_pii(spark, sf_dir):
     return find_personal_data(read_table(spark, sf_dir, "documents")).drop("entities")
 
 
+def op5_packing(spark, sf_dir):
+    from .packing import pack
+
+    return pack(read_table(spark, sf_dir, "documents"))
+
+
+def op6_langid(spark, sf_dir):
+    from .langid import identify
+
+    return identify(read_table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark, sf_dir):
     from .simhash import near_duplicates
 
