@@ -25,6 +25,8 @@ FILTERS = 16
 EMBED = 12
 PER_LANGUAGE = 1500
 EPOCHS = 6
+LEAST_STEPS = 500
+PLACES = 4
 UNKNOWN = "und"
 LEAST_SCORE = 0.3
 _LETTER = re.compile(r"[^\W\d_]")
@@ -101,13 +103,13 @@ class ByteConvNet:
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, batch: int = 64, seed: int = 2) -> ByteConvNet:
         rng = np.random.default_rng(seed)
         state = [(np.zeros_like(p), np.zeros_like(p)) for p in self._parameters()]
-        count = 0
+        count, epochs = 0, max(epochs, -(-LEAST_STEPS * batch // len(x)))
         for epoch in range(epochs):
             order = rng.permutation(len(x))
             for at in range(0, len(x), batch):
                 count += 1
                 part = order[at : at + batch]
-                self.step(x[part], y[part], state, 0.004 / (1 + epoch), count)
+                self.step(x[part], y[part], state, 0.006 * (1 - epoch / epochs), count)
         return self
 
     def tables(self) -> dict[int, np.ndarray]:
@@ -149,12 +151,13 @@ def held_out(doc_id: Column) -> Column:
 def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", size: int = WINDOW) -> list:
     """At most per_language labelled windows of each language, by hash order.
 
-    A row gives one window, at a hash-chosen place of its text. Group limits are
+    A row gives PLACES windows, at hash-chosen places of its text. Group limits are
     applied before the shuffle, so a language with most of the rows is no load.
     """
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (F.trim(text_col) != "") & ~held_out(F.col(id_col)))
-    place = F.pmod(F.xxhash64(F.lit(11), F.col(text_col)), F.greatest(F.char_length(text_col) - size, F.lit(1))).cast("int")
-    rows = rows.select(F.col(lang_col).alias("lang"), F.substring(F.col(text_col), place + 1, F.lit(size)).alias("text"), F.xxhash64(F.lit(5), F.col(text_col)).alias("h"))
+    place = F.pmod(F.xxhash64(F.col("i"), F.col("h")), F.greatest(F.char_length("t") - size, F.lit(1))).cast("int")
+    rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("t"), F.xxhash64(F.lit(5), F.col(text_col)).alias("h"), F.explode(F.sequence(F.lit(1), F.lit(PLACES))).alias("i"))
+    rows = rows.select("lang", F.substring(F.col("t"), place + 1, F.lit(size)).alias("text"), F.xxhash64("h", "i").alias("h"))
     order = Window.partitionBy("lang").orderBy("h", "text")
     return rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("lang", "text").collect()
 
