@@ -12,6 +12,12 @@ def op1_fingerprints(spark, sf_dir):
     return fingerprint_edits(read_table(spark, sf_dir, "documents"), buckets=4 * shuffle_partitions(spark))
 
 
+def op2_suffix_dedup(spark, sf_dir):
+    from .suffix_dedup import remove_repeats
+
+    return remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark, sf_dir):
     from .mixing import mix
 
