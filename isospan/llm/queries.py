@@ -42,6 +42,12 @@ def op6_langid(spark, sf_dir):
     return identify(read_table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark, sf_dir):
+    from .linedup import remove_repeated_lines
+
+    return remove_repeated_lines(read_table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark, sf_dir):
     from .simhash import near_duplicates
 
