@@ -42,6 +42,13 @@ def op6_langid(spark, sf_dir):
     return identify(read_table(spark, sf_dir, "documents"))
 
 
+def op7_top_k(spark, sf_dir):
+    from .covertree import top_k
+
+    rows = read_table(spark, sf_dir, "embeddings")
+    return top_k(rows, rows.where("vec_id % 50 = 0"))
+
+
 def op8_line_dedup(spark, sf_dir):
     from .linedup import remove_repeated_lines
 
@@ -54,5 +61,11 @@ def op9_simhash(spark, sf_dir):
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op10_warc(spark, sf_dir):
+    from .warc import archive_pages
+
+    return archive_pages(read_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
