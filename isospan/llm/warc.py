@@ -289,7 +289,7 @@ class Archive:
                         rows.append((key, file, int(start), int(size)))
                         at += 1
             cols = list(zip(*rows)) if rows else [[], [], [], []]
-            return pd.DataFrame({"key": list(cols[0]), "file": list(cols[1]), "at": pd.array(cols[2], "int64"), "size": pd.array(cols[3], "int64")})
+            return pd.DataFrame({"key": pd.Series(cols[0], dtype=object), "file": pd.Series(cols[1], dtype=object), "at": pd.array(cols[2], "int64"), "size": pd.array(cols[3], "int64")})
 
         spread = keys.mapInArrow(placed, "key string, first_key string")
         return spread.groupBy("first_key").cogroup(blocks.select("first_key", "data").groupBy("first_key")).applyInPandas(matched, "key string, file string, at long, size long")
