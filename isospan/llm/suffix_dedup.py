@@ -33,9 +33,10 @@ from .rounds import NOTE, ask, grouped, ids_of, mix64, shared_tags, tag_codes, t
 
 LENGTH = 50
 GRAM = 24
-BUCKET_BYTES = 30_000_000  # of input text for each bucket
-HOT_GROUPS = 2000
-SHARD_BYTES = 1_000_000
+BUCKET_BYTES = 12_000_000  # of input text for each bucket
+HOT_GROUPS = 500
+SHARD_BYTES = 500_000
+MERGE_BYTES = 1_500_000  # of strings in one merge, or those of one anchor
 
 
 # -- Burrows-Wheeler transforms of shards -------------------------------------
@@ -147,7 +148,7 @@ class Runs:
         if n <= 0:
             return
         grams = gram_hashes(self.flat)
-        key = (mix64(grams) & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
+        key = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
         span, width = 1, length - GRAM + 1
         while 2 * span <= width:
             key = np.minimum(key[:-span], key[span:])
@@ -223,6 +224,17 @@ def run_packets(runs: Runs, codes: np.ndarray, ids: np.ndarray, length: int, buc
     return packets, slot[where], first, count, doc, least[where]
 
 
+def _merges(some: np.ndarray, group: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """Strings in merges of bounded size; those of one anchor stay together."""
+    if not len(some):
+        return []
+    some = some[np.argsort(group[some], kind="stable")]
+    opens = np.flatnonzero(np.diff(group[some], prepend=-1))
+    upto = np.add.reduceat(sizes[some], opens).cumsum()
+    cuts = np.flatnonzero(np.diff(upto // MERGE_BYTES, prepend=0)) + 1
+    return np.split(some, opens[cuts[cuts < len(opens)]])
+
+
 def removed_windows(packets: list[tuple[int, bytes]], length: int) -> list[tuple[int, bytes]]:
     """Per string sent, a bit for each window that starts in a document with a
     smaller id than the string's own smallest."""
@@ -249,12 +261,12 @@ def removed_windows(packets: list[tuple[int, bytes]], length: int) -> list[tuple
     tags[of] = head["tag"]
     _, group, sizes = np.unique(tags, return_inverse=True, return_counts=True)
     some = np.flatnonzero(sizes[group] > 1)  # an anchor with one string has nothing to merge
-    if len(some):
-        own, offset, interval = repeated_intervals([distinct[i] for i in some], length)
-        ids = least[some[own]]
+    for part in _merges(some, group, windows + length):
+        own, offset, interval = repeated_intervals([distinct[i] for i in part], length)
+        ids = least[part[own]]
         by = np.full(int(interval.max()) + 1, np.iinfo(np.int64).max)
         np.minimum.at(by, interval, ids)
-        smallest[begin[some[own]] + offset] = by[interval]
+        smallest[begin[part[own]] + offset] = by[interval]
     # windows of a sent string in bits, against the sender's own smallest id
     count = windows[of]
     place = np.repeat(begin[of], count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
