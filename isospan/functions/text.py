@@ -1,9 +1,8 @@
 """String distances and name helpers."""
 
-from __future__ import annotations
-
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,7 +32,6 @@ def jaro(a: str, b: str) -> float:
 
 def jaro_distance(a: Column, b: Column) -> Column:
     """1 - Jaro similarity, by Arrow batches; null if either is null."""
-    import pandas as pd
 
     @F.pandas_udf("double")
     def distance(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -52,7 +50,7 @@ def valid_name(code: str) -> str:
     return re.sub(r"[^A-Za-z0-9._]", ".", code)
 
 
-def si_label(x: float | None) -> str | None:
+def si_label(x):
     """1500 -> 1.5K, 4e6 -> 4M, 2e9 -> 2B; small numbers as they are."""
     if x is None:
         return None
