@@ -186,7 +186,8 @@ def clip_box(frame: DataFrame, west: float, south: float, east: float, north: fl
                     out.append((p[0] + t * (q[0] - p[0]), p[1] + t * (q[1] - p[1])))
             pts = out
         first = pdf.iloc[0]
-        return pd.DataFrame({c: [first[c]] * len(pts) if c in keys else None for c in pdf.columns} | {"long": [p[0] for p in pts], "lat": [p[1] for p in pts], "order": range(1, len(pts) + 1)})
+        made = {"long": [p[0] for p in pts], "lat": [p[1] for p in pts], "order": list(range(1, len(pts) + 1))}
+        return pd.DataFrame({c: pd.Series([first[c]] * len(pts), dtype=object) if c in keys else pd.Series(made[c], dtype=pdf[c].dtype) for c in pdf.columns})
 
     return frame.groupBy("group").applyInPandas(clip, frame.schema)
 

@@ -75,6 +75,7 @@ class IndicatorSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(IndicatorSource)
 
 
