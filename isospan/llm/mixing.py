@@ -119,7 +119,8 @@ def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST)
     source's documents are not shuffled, they only meet its row of the plan.
     """
     names = docs.columns
-    keyed = _keyed(docs, "doc_id", "text", "source")
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), "doc_id", "text", "source")
+    keyed = _keyed(row, "doc_id", "text", "source")
     plan = _plan(cut(keyed.select("_src", "_size", "_key")), weights, most)
     taken = _with_plan(keyed, plan, plan.count()).withColumn("_taken", _taken())
     times = F.when(F.col("_size") == 0, F.lit(1).cast("long")).otherwise(F.expr("_taken div _size"))
@@ -128,5 +129,7 @@ def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST)
     rows = taken.withColumn("_cut", F.explode(copies))
     lead = F.array_join(F.slice(F.regexp_extract_all("text", F.lit("[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*"), F.lit(0)), F.lit(1), F.greatest(F.col("_cut"), F.lit(0)).cast("int")), "")
     out = rows.withColumn("_text", F.when(F.col("_cut") > 0, lead).otherwise(F.col("text")))
-    shown = {"text": F.col("_text").alias("text"), "n_chars": F.when(F.col("_cut") > 0, F.char_length("_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars") if "n_chars" in names else None}
-    return out.select(*[shown.get(c, F.col(c)) for c in names])
+    shown = {"text": F.col("_text").alias("text")}
+    if "n_chars" in names:
+        shown["n_chars"] = F.when(F.col("_cut") > 0, F.char_length("_text").cast("long")).otherwise(F.col("_row.n_chars")).alias("n_chars")
+    return out.select(*[shown.get(c, F.col("_row")[c].alias(c)) for c in names])

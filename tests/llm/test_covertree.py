@@ -36,7 +36,7 @@ def test_search_prunes_and_stays_exact():
     x = np.floor(centers[rng.integers(0, 12, 3000)] + rng.normal(size=(3000, 16)) * 5)
     q, ids = x[::60], np.arange(3000)
     best = Best(ids[::60].copy(), 5)
-    data = CoverTree(x)
+    data = CoverTree(x, leaf=32)
     met = search(CoverTree(q, leaf=4), data, ids, best)
     assert met < 0.3 * len(data.center) * len(CoverTree(q, leaf=4).center)
     s = q @ x.T

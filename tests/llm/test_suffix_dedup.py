@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from isospan.llm.suffix_dedup import Runs, merge_transforms, remove_repeats, repeated_intervals, transform
+from isospan.llm.suffix_dedup import Runs, byte_codes, merge_transforms, remove_repeats, repeated_intervals, transform
 
 
 def brute(rows, length=50):
@@ -59,9 +59,9 @@ def test_transforms_merge_to_the_order_of_all_suffixes():
         assert all(len(w) == 1 for w in windows.values())
         assert len(windows) == len({w for s in windows.values() for w in s})
         assert len(owner) == sum(len(s) - 49 for s in strings)
-    bwt, order = transform([b"banana"], 8)
-    shard, start = merge_transforms([bwt], 8)
-    assert len(order) == 7 and start.all() and not shard.any()
+    bwt, order = transform([b"banana"], 8, byte_codes([b"banana"]))
+    entry, start = merge_transforms([bwt], 8)
+    assert len(order) == 7 and start.all() and entry.tolist() == list(range(7))
 
 
 def test_every_window_has_one_run():
