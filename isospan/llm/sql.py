@@ -8,7 +8,8 @@ brute-force versions instead.
 from __future__ import annotations
 
 SUFFIX_DEDUP = """WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(doc_id, 9223372036854775807) AS k, hex(encode(coalesce(text, ''))) AS h FROM documents),
-w AS (SELECT rid, k, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT rid, k, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM d)),
+e AS (SELECT rid, k, b, length(h) // 2 - 49 - b AS n, substr(h, 2 * b + 1, 698) AS part FROM (SELECT rid, k, h, unnest(range(0, length(h) // 2 - 49, 300)) AS b FROM d)),
+w AS (SELECT rid, k, b + i AS i, substr(part, 2 * i + 1, 100) AS s FROM (SELECT rid, k, b, part, unnest(range(0, least(n, 300))) AS i FROM e)),
 m AS (SELECT s, min(k) AS least FROM w GROUP BY s),
 c AS (SELECT rid, i FROM w JOIN m USING (s) WHERE least < k),
 n AS (SELECT rid, i, CASE WHEN i - lag(i) OVER (PARTITION BY rid ORDER BY i) <= 50 THEN 0 ELSE 1 END AS opens FROM c),
