@@ -26,6 +26,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import zstandard
 from pyspark.sql import DataFrame
 
 from .common import pieces_of, text_bytes
@@ -44,51 +45,64 @@ MERGE_BYTES = 1_500_000  # of strings in one merge, or those of one anchor
 
 def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes of a ring of symbols ordered by their first `depth` symbols, then place."""
-    n = len(symbols)
-    rank, known = symbols.astype(np.int64), 1
-    order = np.argsort(symbols, kind="stable")
-    while known < depth:
-        key = rank * (int(rank.max()) + 1) + np.roll(rank, -known)
-        order = np.argsort(key, kind="stable")
+    key, known = symbols.astype(np.int64), 1
+    while known < 7:  # seven symbols of nine bits fit one key
+        key = (key << 9) | np.roll(symbols, -known).astype(np.int64)
+        known += 1
+    order = np.argsort(key, kind="stable")
+    while True:
         sorted_key = key[order]
-        new = np.concatenate(([0], np.cumsum(sorted_key[1:] != sorted_key[:-1])))
-        rank = np.empty(n, np.int64)
+        new = np.cumsum(np.concatenate(([False], sorted_key[1:] != sorted_key[:-1])))
+        if known >= depth or new[-1] == len(symbols) - 1:
+            return order
+        rank = np.empty(len(symbols), np.int64)
         rank[order] = new
+        key = rank * (int(new[-1]) + 1) + np.roll(rank, -known)
+        order = np.argsort(key, kind="stable")
         known *= 2
-        if new[-1] == n - 1:
-            break
-    return order
 
 
-def transform(strings: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bwt, order) of a shard: symbols are byte + 1, each string ends in 0."""
+def transform(strings: list[bytes], depth: int, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bwt, order) of a shard: symbols are codes of bytes, each string ends in 0."""
     flat = np.frombuffer(b"".join(strings), np.uint8)
-    ends = np.cumsum([len(s) for s in strings])
-    symbols = np.zeros(len(flat) + len(strings), np.uint16)
-    place = np.arange(len(flat)) + np.repeat(np.arange(len(strings)), np.diff(ends, prepend=0))
-    symbols[place] = flat.astype(np.uint16) + 1
+    sizes = np.fromiter(map(len, strings), np.int64, len(strings))
+    symbols = np.zeros(len(flat) + len(strings), codes.dtype)
+    symbols[np.arange(len(flat)) + np.repeat(np.arange(len(strings)), sizes)] = codes[flat]
     order = suffix_order(symbols, depth)
     return symbols[order - 1], order  # the string is read as a ring
 
 
+def byte_codes(strings: list[bytes]) -> np.ndarray:
+    """Dense codes from 1 of the bytes that occur, one byte wide where they fit."""
+    used = np.zeros(256, bool)
+    used[np.frombuffer(b"".join(strings), np.uint8)] = True
+    return np.cumsum(used).astype(np.uint8 if used.sum() < 256 else np.uint16)
+
+
 def merge_transforms(bwts: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(shard of each merged suffix, whether a block of equal depth-prefix starts there).
+    """(entry of each merged suffix, whether a block of equal depth-prefix starts there).
 
-    Iterative interleave refinement over any number of shards.
+    Iterative interleave refinement over any number of shards. An entry is a
+    place in the shards' transforms laid one after another. A pass deals the
+    interleave by the symbols that its entries precede; within a shard, the
+    suffix that begins with such a symbol is found by the shard's own last-first
+    mapping.
     """
-    total = sum(map(len, bwts))
-    shard = np.repeat(np.arange(len(bwts), dtype=np.uint16), [len(b) for b in bwts])
-    block = np.zeros(total, np.int32)
-    every, start = np.concatenate(bwts), np.ones(total, bool)
-    symbol = np.empty(total, every.dtype)
+    every = np.concatenate(bwts)
+    total = len(every)
+    first = np.empty(total, np.int32)
+    at = 0
+    for bwt in bwts:
+        first[at + np.argsort(bwt, kind="stable")] = np.arange(at, at + len(bwt), dtype=np.int32)
+        at += len(bwt)
+    entry, block, start = np.arange(total, dtype=np.int32), np.zeros(total, np.int32), np.ones(total, bool)
     for _ in range(depth):
-        # each place reads the next symbol of the shard that stands there
-        symbol[np.argsort(shard, kind="stable")] = every
+        symbol = every[entry]
         dealt = np.argsort(symbol, kind="stable")
-        shard, read, block = shard[dealt], symbol[dealt], block[dealt]
-        start[1:] = (read[1:] != read[:-1]) | (block[1:] != block[:-1])
+        symbol, block, entry = symbol[dealt], block[dealt], first[entry[dealt]]
+        start[1:] = (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])
         block = np.cumsum(start, dtype=np.int32)
-    return shard, start
+    return entry, start
 
 
 def repeated_intervals(strings: list[bytes], length: int, shard_bytes: int = SHARD_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -96,24 +110,18 @@ def repeated_intervals(strings: list[bytes], length: int, shard_bytes: int = SHA
 
     Windows are equal exactly if their interval is; found by merging shards.
     """
-    sizes = np.array([len(s) + 1 for s in strings])
+    sizes = np.fromiter(map(len, strings), np.int64, len(strings)) + 1
     of = (np.cumsum(sizes) - sizes) // shard_bytes
-    bwts, owners, offsets = [], [], []
+    bwts, owners, offsets, codes = [], [], [], byte_codes(strings)
     for k in np.unique(of):
         own = np.flatnonzero(of == k)
-        part = [strings[i] for i in own]
-        bwt, order = transform(part, length)
+        bwt, order = transform([strings[i] for i in own], length, codes)
         bwts.append(bwt)
-        starts = np.cumsum(sizes[own]) - sizes[own]
-        at = np.searchsorted(starts, order, side="right") - 1
-        owners.append(own[at])
-        offsets.append(order - starts[at])
-    shard, start = merge_transforms(bwts, length)
-    owner, offset = np.empty(len(shard), np.int64), np.empty(len(shard), np.int64)
-    for k in range(len(bwts)):
-        own = shard == k
-        owner[own], offset[own] = owners[k], offsets[k]
-    interval = np.cumsum(start)
+        inside = np.arange(sizes[own].sum()) - np.repeat(np.cumsum(sizes[own]) - sizes[own], sizes[own])
+        owners.append(np.repeat(own, sizes[own])[order])
+        offsets.append(inside[order])
+    entry, start = merge_transforms(bwts, length)
+    owner, offset, interval = np.concatenate(owners)[entry], np.concatenate(offsets)[entry], np.cumsum(start)
     whole = offset + length <= sizes[owner] - 1
     return owner[whole], offset[whole], interval[whole]
 
@@ -122,16 +130,21 @@ def repeated_intervals(strings: list[bytes], length: int, shard_bytes: int = SHA
 
 
 def gram_hashes(flat: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the GRAM bytes that start at each place."""
-    odd = np.uint64(0x9E3779B97F4A7C15)
-    h1 = (flat.astype(np.uint64) + np.uint64(1)) * odd
-    h = {1: h1 ^ (h1 >> np.uint64(29))}
+    """A 64-bit hash of the GRAM bytes that start at each place.
+
+    Halves are doubled in 32 bits; the two of a gram, of 16 and of 8 bytes, make
+    one hash. Equal hashes of other grams would only mean a comparison more.
+    """
+    h = (flat.astype(np.uint32) + np.uint32(1)) * np.uint32(0x9E3779B1)
+    h ^= h >> np.uint32(15)
     for w in (1, 2, 4, 8):
-        a = h[w]
-        x = a[:-w] * np.uint64(0xD6E8FEB86659FD93) + a[w:]
-        h[2 * w] = x ^ (x >> np.uint64(32))
-    a = h[16][: len(flat) - 23] * np.uint64(0xA0761D6478BD642F) + h[8][16 : len(flat) - 7]
-    return a ^ (a >> np.uint64(31))
+        eight = h
+        h = h[:-w] * np.uint32(0x85EBCA6B) + h[w:]
+        h ^= h >> np.uint32(16)
+    n = len(flat) - GRAM + 1
+    out = (h[:n].astype(np.uint64) << np.uint64(32)) ^ (eight[16 : 16 + n].astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+    out *= np.uint64(0xD6E8FEB86659FD93)
+    return out ^ (out >> np.uint64(32))
 
 
 class Runs:
@@ -219,7 +232,7 @@ def run_packets(runs: Runs, codes: np.ndarray, ids: np.ndarray, length: int, buc
         head = np.empty(len(own), _HEAD)
         part = [every[i] for i in own]
         head["tag"], head["least"], head["size"] = tags[own], least[own], [len(s) for s in part]
-        packets.append((int(bucket[own[0]]), np.uint32(len(own)).tobytes() + head.tobytes() + b"".join(part)))
+        packets.append((int(bucket[own[0]]), zstandard.compress(np.uint32(len(own)).tobytes() + head.tobytes() + b"".join(part), 1)))
     slot[order] = np.arange(len(order))
     return packets, slot[where], first, count, doc, least[where]
 
@@ -239,7 +252,8 @@ def removed_windows(packets: list[tuple[int, bytes]], length: int) -> list[tuple
     """Per string sent, a bit for each window that starts in a document with a
     smaller id than the string's own smallest."""
     heads, strings = [], []
-    for _, blob in packets:
+    for _, packed in packets:
+        blob = zstandard.decompress(packed)
         n = int(np.frombuffer(blob[:4], "<u4")[0])
         head = np.frombuffer(blob[4 : 4 + n * _HEAD.itemsize], _HEAD)
         heads.append(head)
