@@ -1,6 +1,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from isospan.llm import queries, sql
@@ -17,7 +18,7 @@ def duck(sf):
 def plain(rows):
     def one(v):
         v = v.item() if hasattr(v, "item") else v
-        return "-" if v is None or v != v else str(int(v)) if isinstance(v, float) and v == int(v) else str(v)
+        return "-" if pd.isna(v) else str(int(v)) if isinstance(v, float) and v == int(v) else str(v)
 
     return sorted(tuple(map(one, r)) for r in rows)
 
