@@ -598,3 +598,67 @@ def facet_frames(spark, sf):
     years = viz_prep.frame_values(fx.panel(spark, sf))
     df = joins.spine_join(fx.ring(spark), fx.panel(spark, sf), "inner").where(F.col("year").isin(years))
     return df.groupBy(F.concat("iso3c", F.col("year").cast("string")).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT long, lat, \"group\", \"order\", iso3c FROM ring WHERE long BETWEEN -15 AND 5 AND lat BETWEEN -20 AND 0")
+def region_box(spark, sf):
+    frame = fx.ring(spark)
+    return frame.where(resolve.region_predicate(spark, [-15, -20, 5, 0]))
+
+
+@query('SELECT iso3c, round(sum(area), 3) AS area_km2 FROM (SELECT iso3c, abs(sum(radians(nlon - long) * (2 + sin(radians(lat)) + sin(radians(nlat))))) * 6371.0088 * 6371.0088 / 2 AS area FROM (SELECT iso3c, "group", long, lat, coalesce(lead(long) OVER w, first_value(long) OVER w) AS nlon, coalesce(lead(lat) OVER w, first_value(lat) OVER w) AS nlat FROM ring WINDOW w AS (PARTITION BY "group" ORDER BY "order" ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) GROUP BY iso3c, "group") GROUP BY 1')
+def country_areas(spark, sf):
+    return spatial.country_areas(fx.ring(spark)).withColumn("area_km2", r6("area_km2", 3))
+
+
+@query(_LATEST + "SELECT c.iso3c, gdp, lon, lat FROM c LEFT JOIN (SELECT * FROM geo WHERE iso3c < 'M') g USING (iso3c)")
+def bubble_points(spark, sf):
+    c = fx.panel(spark, sf).where("year = 2000").select("iso3c", "gdp")
+    return viz_prep.bubble_points(c, "gdp", fx.geo(spark).where("iso3c < 'M'"))
+
+
+@query("""SELECT iso3c, round(cos(radians(lat)) * sin(radians(lon - 10)), 8) AS x, round(cos(radians(20)) * sin(radians(lat)) - sin(radians(20)) * cos(radians(lat)) * cos(radians(lon - 10)), 8) AS y,
+ sin(radians(20)) * sin(radians(lat)) + cos(radians(20)) * cos(radians(lat)) * cos(radians(lon - 10)) >= 0 AS visible FROM geo""")
+def globe_view(spark, sf):
+    out = viz_prep.globe_view(fx.geo(spark).withColumnRenamed("lon", "long"), 10.0, 20.0)
+    return out.select("iso3c", r6("x", 8).alias("x"), r6("y", 8).alias("y"), "visible")
+
+
+@query("SELECT iso3c, round(radians(lon), 8) AS x, round(sin(radians(lat)), 8) AS y FROM geo")
+def project_cylindrical(spark, sf):
+    return fx.geo(spark).select("iso3c", project(F.col("lon"), F.col("lat"), "lambert_cylindrical").alias("p")).select("iso3c", r6("p.x", 8).alias("x"), r6("p.y", 8).alias("y"))
+
+
+@query("""SELECT iso3c, round(k * cos(p) * sin(l), 8) AS x, round(k * sin(p), 8) AS y FROM (SELECT iso3c, radians(lon) AS l, radians(lat) AS p, sqrt(2 / (1 + cos(radians(lat)) * cos(radians(lon)))) AS k FROM geo)""")
+def project_azimuthal(spark, sf):
+    return fx.geo(spark).select("iso3c", project(F.col("lon"), F.col("lat"), "laea").alias("p")).select("iso3c", r6("p.x", 8).alias("x"), r6("p.y", 8).alias("y"))
+
+
+@query(_LATEST + ", b AS (SELECT min(gdp) AS lo, max(gdp) AS hi FROM c) SELECT iso3c, CAST(greatest(1, ceil(round((gdp - lo) / (hi - lo) * 4, 9))) AS INTEGER) AS bin FROM c, b")
+def equal_bins(spark, sf):
+    c = fx.panel(spark, sf).where("year = 2000").select("iso3c", "gdp")
+    return viz_prep.world_map(c, "gdp", "equal", 4).select("iso3c", "bin")
+
+
+@query("SELECT v AS line, CAST(i AS INTEGER) AS ord, round(CASE WHEN k = 'm' THEN a ELSE i * 5.0 - 180 END, 6) AS long, round(CASE WHEN k = 'm' THEN i * 2.5 - 90 ELSE a END, 6) AS lat FROM (SELECT 'm' AS k, 'm' || (x * 30 - 180) AS v, CAST(x * 30 - 180 AS DOUBLE) AS a FROM range(13) t(x) UNION ALL SELECT 'p', 'p' || (x * 30 - 90), CAST(x * 30 - 90 AS DOUBLE) FROM range(1, 6) t(x)), range(73) r(i)")
+def graticule(spark, sf):
+    return spatial.graticule(spark, 30).withColumns({"long": r6("long"), "lat": r6("lat")})
+
+
+@query(_LATEST + ", p AS (SELECT iso3c, gdp, region FROM c) SELECT region, count(*) AS n, round(sum(gdp) / (SELECT sum(gdp) FROM c), 8) AS share FROM p GROUP BY 1")
+def regional_share(spark, sf):
+    c = panel.share_of_world(fx.panel(spark, sf).where("year = 2000").drop("year"), "gdp")
+    return c.groupBy("region").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("gdp_share"), 8).alias("share"))
+
+
+@query(_GRID + "SELECT iso3c, year, region, gdp FROM f WHERE year BETWEEN 1997 AND 1999 UNION ALL SELECT iso3c, year, region, gdp FROM holes WHERE year NOT BETWEEN 1997 AND 1999")
+def complete_given_years(spark, sf):
+    return panel.complete_years(fx.holes(spark, sf), [1997, 1998, 1999]).select("iso3c", "year", "region", "gdp")
+
+
+@query("""SELECT iso3c, "group", "order", round(cx + (long - cx) * s, 6) AS long, round(cy + (lat - cy) * s, 6) AS lat FROM ring
+JOIN (SELECT iso3c, cx, cy, sqrt(n / a / max(n / a) OVER ()) AS s FROM (SELECT iso3c, (min(long) + max(long)) / 2 AS cx, (min(lat) + max(lat)) / 2 AS cy, 6371.0088 * 6371.0088 / 2 * abs(radians(10) * (2 + 2 * sin(radians(min(lat)))) - radians(10) * (2 + 2 * sin(radians(max(lat))))) AS a FROM ring GROUP BY 1)
+JOIN (SELECT iso3c, count(*) AS n FROM people GROUP BY 1) USING (iso3c)) USING (iso3c)""")
+def cartogram(spark, sf):
+    df = resolve.resolved(fx.people(spark, sf), "country").groupBy("iso3c").agg(F.count(F.lit(1)).alias("n"))
+    return viz_prep.cartogram_scale(df, "n", fx.ring(spark)).select("iso3c", "group", "order", r6("long").alias("long"), r6("lat").alias("lat"))
