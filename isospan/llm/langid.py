@@ -27,6 +27,8 @@ PER_LANGUAGE = 1500
 EPOCHS = 6
 LEAST_STEPS = 500
 PLACES = 4
+SPARE = 2
+MOST_LANGUAGES = 1000
 UNKNOWN = "und"
 LEAST_SCORE = 0.3
 _LETTER = re.compile(r"[^\W\d_]")
@@ -151,12 +153,19 @@ def held_out(doc_id: Column) -> Column:
 def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", size: int = WINDOW) -> list:
     """At most per_language labelled windows of each language, by hash order.
 
-    A row gives PLACES windows, at hash-chosen places of its text. Group limits are
-    applied before the shuffle, so a language with most of the rows is no load.
+    A row gives PLACES windows, at hash-chosen places of its text. A hash
+    threshold by each language's row count leaves some SPARE times the limit
+    before anything is shuffled, so a language with most of the rows is no load.
+    The MOST_LANGUAGES languages with the most rows are learned.
     """
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (F.trim(text_col) != "") & ~held_out(F.col(id_col)))
     place = F.pmod(F.xxhash64(F.col("i"), F.col("h")), F.greatest(F.char_length("t") - size, F.lit(1))).cast("int")
-    rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("t"), F.xxhash64(F.lit(5), F.col(text_col)).alias("h"), F.explode(F.sequence(F.lit(1), F.lit(PLACES))).alias("i"))
+    counts = rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n"))
+    share = counts.select("lang", F.least(F.lit(1.0), F.lit(float(SPARE * per_language)) / F.col("n")).alias("share"), "n")
+    share = share.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).drop("n")
+    rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("t"), F.xxhash64(F.lit(5), F.col(text_col)).alias("h"))
+    rows = rows.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64(F.lit(7), "h"), F.lit(1 << 24)) < F.col("share") * (1 << 24))
+    rows = rows.select("lang", "t", "h", F.explode(F.sequence(F.lit(1), F.lit(PLACES))).alias("i"))
     rows = rows.select("lang", F.substring(F.col("t"), place + 1, F.lit(size)).alias("text"), F.xxhash64("h", "i").alias("h"))
     order = Window.partitionBy("lang").orderBy("h", "text")
     return rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("lang", "text").collect()
