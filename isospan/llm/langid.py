@@ -3,7 +3,8 @@
 A window of WINDOW bytes is embedded, passed through filters of several widths
 over an embedding of byte values, max-pooled by filter and classified by
 softmax. A text is all of its windows, whatever its length; their
-log-probabilities, weighted by the bytes they hold, give its language.
+log-probabilities, weighted by the share of a window that they fill, give its
+language. A text shorter than a window counts as a whole one.
 
 The first filter layer over one-hot bytes is a table look-up: filter responses
 are sums of one table row per byte in the filter, so each width costs a few
@@ -30,7 +31,7 @@ PLACES = 4
 SPARE = 2
 MOST_LANGUAGES = 1000
 UNKNOWN = "und"
-LEAST_SCORE = 0.3
+LEAST_SCORE = 0.0
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -200,9 +201,10 @@ def predict_texts(net: ByteConvNet | None, texts: list, tables=None, batch: int
             continue
         windows, owner, fill = windows_of([texts[j].encode() for j in group])
         sums = np.zeros((len(group), len(net.languages)))
+        share = fill / np.minimum(WINDOW, np.bincount(owner, fill, len(group)))[owner]  # a short text is a whole window
         for at in range(0, len(windows), batch):
             logp = net.predict(windows[at : at + batch], tables)
-            np.add.at(sums, owner[at : at + batch], logp * (fill[at : at + batch, None] / WINDOW))
+            np.add.at(sums, owner[at : at + batch], logp * share[at : at + batch, None])
         sums -= sums.max(axis=1, keepdims=True)
         prob = np.exp(sums)
         prob /= prob.sum(axis=1, keepdims=True)
@@ -242,7 +244,11 @@ def identify(docs: DataFrame, net: ByteConvNet | None = None, keep: tuple = (),
 
 
 def recognised(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """docs whose language is recognised: not `und`, and scored least or more."""
+    """docs whose language is recognised: not `und`, and scored least or more.
+
+    By default only `und` is rejected: a low score marks short or mixed texts,
+    not bad ones. Where no row is labelled, every document is `und`.
+    """
     names = docs.columns
     net = train(docs)
     whole = docs.select("doc_id", "text", F.struct(*names).alias("_row"))
