@@ -24,13 +24,14 @@ from urllib.parse import urlsplit
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, pieces_of, shared_dir
+from .common import cut, pieces_of, shared_dir, text_bytes
 
 DATE = "2024-01-01T00:00:00Z"
 BLOCK_LINES = 1024
 FILE_BYTES = 256_000_000
 DIRECTORY_BYTES = 32_000_000
 INDEX_TASK_ROWS = 200_000
+WRITER_BYTES = 8_000_000  # of payload for each writing task, at least
 READ_SPAN = 8_000_000
 _SPACE = 0x6F2D8C51A3E94B07  # high half of a record id; the low half is the page
 
@@ -219,10 +220,11 @@ class Archive:
         root = root or f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
         store, folder = open_store(root)
         store.create_dir(folder, recursive=True)
-        captures = cut(with_targets(pages, least_bytes).mapInArrow(_written(root, date), _CAPTURE))
+        writers = pieces_of(text_bytes(pages, "html")[1], WRITER_BYTES)
+        captures = cut(with_targets(pages, least_bytes).coalesce(writers).mapInArrow(_written(root, date), _CAPTURE))
         tasks = pieces_of(captures.count(), INDEX_TASK_ROWS)
         ordered = captures.select("key", "file", "at", "size").repartitionByRange(tasks, "key", "file", "at").sortWithinPartitions("key", "file", "at")
-        ordered.mapInArrow(_blocks(block_lines), "first_key string, data binary, n int").write.parquet(f"{root}/index")
+        ordered.coalesce(tasks).mapInArrow(_blocks(block_lines), "first_key string, data binary, n int").write.parquet(f"{root}/index")
         archive = cls(spark, root)
         archive.captures = captures
         return archive
