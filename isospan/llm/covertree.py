@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 K = 5
 SCALE = 1.3  # ratio of the radii of two levels
 FAN = 16
-LEAF = 32
+LEAF = 256
 BLOCK_ROWS = 4096
 QUERY_BYTES = 32_000_000
 
