@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, pieces_of
 
 SHINGLE = 4
 SEED = 42
@@ -30,6 +30,7 @@ MAX_DIFF = 4
 GROUP_ROWS = 1000
 SPLIT_ROWS = 20_000
 FAN = 8
+STAR_PART_ROWS = 50_000
 
 
 # -- fingerprints -----------------------------------------------------------
@@ -208,16 +209,20 @@ def fingerprint_links(prints: DataFrame, n: int, max_diff: int = MAX_DIFF, group
 # -- connected components ---------------------------------------------------
 
 
-def star_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def star_components(links: DataFrame, parts: int | None = None, max_rounds: int = 60) -> DataFrame:
     """(u, v): v is the smallest node of u's component, for every u above it.
 
     Alternating large-star and small-star rounds; each round is an aggregate and
-    an equi-join, cut at a checkpoint, and stops when the links stand still.
+    an equi-join, cut at a checkpoint (in at most `parts` files), and stops when
+    the links stand still.
     """
+    def hold(df):
+        return cut(df.coalesce(parts) if parts else df)
+
     def state(df):
         return tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
 
-    now = cut(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+    now = hold(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     seen = state(now)
     for _ in range(max_rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -225,7 +230,7 @@ def star_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        now = cut(small)
+        now = hold(small)
         then, seen = seen, state(now)
         if then == seen:
             return now
@@ -246,7 +251,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     prints = cut(fingerprints(docs, id_col, text_col))
     nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    stars = star_components(fingerprint_links(nodes.select("fp"), nodes.count(), max_diff))
+    n = nodes.count()
+    stars = star_components(fingerprint_links(nodes.select("fp"), n, max_diff), pieces_of(n, STAR_PART_ROWS))
     rooted = nodes.join(stars.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least", F.coalesce("v", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = cut(rooted.join(least, "root").select("fp", "component_id"))
