@@ -1,4 +1,5 @@
 import duckdb
+import pandas as pd
 import pytest
 
 from isospan import catalog
@@ -16,7 +17,7 @@ def duck(sf):
 def plain(rows):
     def one(v):
         v = v.item() if hasattr(v, "item") else v
-        if v is None or v != v:
+        if pd.isna(v):
             return "-"
         return str(int(v)) if isinstance(v, float) and v == int(v) else str(v)
 
