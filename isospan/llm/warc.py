@@ -296,10 +296,16 @@ class Archive:
         spread = keys.mapInArrow(placed, "key string, first_key string")
         return spread.groupBy("first_key").cogroup(blocks.select("first_key", "data").groupBy("first_key")).applyInPandas(matched, "key string, file string, at long, size long")
 
-    def read(self, places: DataFrame) -> DataFrame:
+    def read(self, places: DataFrame, tasks: int | None = None) -> DataFrame:
         """Records at (file, at, size): page_id, url, payload_bytes, payload_digest,
-        record_type, refers_to and payload (null in a revisit)."""
+        record_type, refers_to and payload (null in a revisit).
+
+        tasks, by default from the bytes to read, is set by hand because the
+        rows are far smaller than the records that they point at.
+        """
         root = self.root
+        if tasks is None:
+            tasks = reading_tasks(places)
 
         def read(batches):
             import pyarrow as pa
@@ -323,10 +329,14 @@ class Archive:
                 source.close()
 
         span = F.expr(f"at div {READ_SPAN}")
-        dealt = places.select("file", "at", "size").repartition("file", span).sortWithinPartitions("file", "at")
+        dealt = places.select("file", "at", "size").repartition(tasks, "file", span).sortWithinPartitions("file", "at")
         return dealt.mapInArrow(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
+def reading_tasks(places: DataFrame) -> int:
+    return pieces_of(places.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0], READ_SPAN)
+
+
 def archive_pages(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Archives every page, then finds and reads each record through the index.
 
@@ -338,4 +348,4 @@ def archive_pages(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     rows; other columns are ignored.
     """
     archive = Archive.write(pages, least_bytes=least_bytes)
-    return archive.read(archive.lookup(archive.captures)).drop("payload", "url")
+    return archive.read(archive.lookup(archive.captures), reading_tasks(archive.captures)).drop("payload", "url")
