@@ -16,7 +16,10 @@ RANGES = 256
 def ranged(df: DataFrame, col: str, ranges: int = RANGES) -> DataFrame:
     """df with _range, growing with col; null col is in range 0."""
     cuts = df.agg(F.percentile_approx(F.col(col), [i / ranges for i in range(1, ranges)], 20 * ranges).alias("_cuts"))
-    own = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(col))), F.lit(0))
+    halves = [1 << i for i in range((ranges - 1).bit_length() - 1, -1, -1)]
+    # binary search for how many cuts lie below the value
+    step = lambda at, h: at + F.when(F.get("_cuts", at + h - 1) < F.col(col), h).otherwise(F.lit(0))
+    own = F.aggregate(F.array(*map(F.lit, halves)), F.lit(0), step)
     return df.crossJoin(F.broadcast(cuts)).withColumn("_range", own).drop("_cuts")
 
 
