@@ -23,6 +23,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, pieces_of
+from .jaccard import LEAST as STAGE_LEAST
+from .jaccard import SHINGLE as STAGE_SHINGLE
+from .jaccard import similar_links, text_nodes, text_sha
 
 SHINGLE = 4
 SEED = 42
@@ -259,14 +262,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, max_diff: int = MAX_DIFF) -> DataFrame:
-    """docs without near-duplicates: the smallest doc_id of each component stays.
+def keep_one(docs: DataFrame, k: int = STAGE_SHINGLE, least: float = STAGE_LEAST) -> DataFrame:
+    """docs without near-duplicates: one row of each component stays.
 
-    Rows repeating a kept doc_id are cut to one (the least text). Documents
-    without a doc_id stay only where their component has no document with one.
+    Texts link where their k-word shingle sets have a Jaccard similarity of
+    least or more (all such pairs: see jaccard.py). The row with the smallest
+    doc_id stays, of its rows the longest text, then the least SHA-256. Rows
+    without a doc_id rank last. Rows of one doc_id in different components are
+    no near-duplicates and all stay.
     """
-    found = near_duplicates(docs, max_diff=max_diff)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    chosen = docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(F.sha2("text", 256))
-    return chosen.withColumn("_n", F.row_number().over(order)).where((F.col("_n") == 1) | F.col("doc_id").isNull()).drop("_n")
+    rows = cut(text_nodes(docs, k))
+    stars = star_components(similar_links(docs, rows, k, least), pieces_of(rows.select("node").distinct().count(), STAR_PART_ROWS))
+    rooted = rows.join(stars.withColumnRenamed("u", "node"), "node", "left")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", (-F.col("size")).alias("size"), "sha"))
+    kept = rooted.groupBy(F.coalesce("v", "node").alias("root")).agg(first.alias("k")).select(F.col("k.none").alias("_none"), F.coalesce("k.doc_id", F.lit(0)).alias("_id"), F.col("k.sha").alias("_sha"))
+    id_ = F.col("doc_id").cast("long")
+    keyed = docs.select("*", id_.isNull().alias("_none"), F.coalesce(id_, F.lit(0)).alias("_id"), text_sha().alias("_sha"))
+    order = Window.partitionBy("_none", "_id", "_sha").orderBy(F.lit(0))  # rows repeated in full
+    chosen = keyed.join(kept, ["_none", "_id", "_sha"], "left_semi").withColumn("_n", F.row_number().over(order))
+    return chosen.where("_n = 1").select(*docs.columns)
