@@ -52,3 +52,10 @@ def test_stage_on_documents(spark):
     rows = [(r.doc_id, r.text) for r in docs.collect() if len(r.text or "") < 4000]
     short = docs.where("length(coalesce(text, '')) < 4000")
     assert sorted(r.doc_id for r in keep_one(short).collect()) == brute_kept(rows)
+
+
+def test_rows_of_one_id(spark):
+    whole = "a whole document with words enough to be held as a text of its own"
+    rows = [(1, whole), (1, "a fragment"), (1, whole), (2, whole), (2, "quite another text that has the id of a copy"), (None, whole), (None, "none has this one")]
+    got = [(r.doc_id, r.text) for r in keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == sorted({rows[0], rows[1], rows[4], rows[6]}, key=str)
