@@ -1,9 +1,9 @@
 """Line deduplication by content-defined chunks of lines.
 
 A text is split at line feeds. A chunk of lines ends where a rolling hash over
-the hashes of the last ROLL lines falls on a given residue, so boundaries depend
-on nearby lines only and move along with inserted or deleted ones. A chunk of
-several lines that occurs more than once in the corpus is kept in its first
+the hashes of the last ROLL lines has a local minimum, so boundaries depend on
+the lines beside them only and move along with inserted or deleted ones; chunks
+have LEAST_LINES lines or more, some three on average. A chunk of several lines that occurs more than once in the corpus is kept in its first
 place (by doc_id, then position) and removed elsewhere.
 
 Rounds (see rounds.py): chunk hashes find the chunks that repeat; only these
@@ -24,8 +24,7 @@ from pyspark.sql import functions as F
 from .common import pieces_of, text_bytes
 from .rounds import NOTE, ask, grouped, ids_of, mix64, shared_tags, tag_codes, tag_packets, tell
 
-ROLL = 2
-DIVISOR = 4
+ROLL = 1
 MOST_LINES = 16
 LEAST_LINES = 2
 BUCKET_BYTES = 60_000_000
@@ -33,27 +32,28 @@ _ROLL_BASE = 0x9E3779B97F4A7C15
 _WORD = 0xFFFFFFFFFFFFFFFF
 
 
-def chunk_ends(lines: list[bytes], roll: int = ROLL, divisor: int = DIVISOR, most: int = MOST_LINES) -> list[int]:
+def chunk_ends(lines: list[bytes], roll: int = ROLL, most: int = MOST_LINES) -> list[int]:
     """Line numbers after which a chunk ends; the last line always ends one.
 
-    The rolling hash after a line is over the last `roll` lines (fewer at the
-    start of a text); a run without a boundary is cut after `most` lines.
+    A chunk ends after a line whose hash, over the last `roll` lines, is below
+    its neighbours' hashes, so no chunk is one line long and a boundary depends
+    on nothing but the lines beside it. Only a text of one line is one such
+    chunk. A run without a boundary is cut after `most` lines.
     """
-    ends, recent, open_ = [], [], 0
-    for i, line in enumerate(lines, 1):
-        recent.append(xxhash.xxh64_intdigest(line))
-        if len(recent) > roll:
-            del recent[0]
+    single = [xxhash.xxh64_intdigest(line) for line in lines]
+    n, rolled = len(lines), []
+    for i in range(n):
         h = 0
-        for x in recent:
+        for x in single[max(0, i - roll + 1) : i + 1]:
             h = (h * _ROLL_BASE + x) & _WORD
-        open_ += 1
-        if (h >> 32) % divisor == 0 or open_ == most:
+        rolled.append(h)
+    ends, last = [], 0
+    for i in range(LEAST_LINES, n - LEAST_LINES + 1):
+        low = rolled[i - 1] < rolled[i - 2] and rolled[i - 1] <= rolled[i]
+        if i - last >= LEAST_LINES and (low or i - last >= most):
             ends.append(i)
-            open_ = 0
-    if open_:
-        ends.append(len(lines))
-    return ends
+            last = i
+    return [*ends, n] if n else []
 
 
 def multi_line_chunks(raw: bytes, least_lines: int = LEAST_LINES) -> list[tuple[int, int, bytes]]:

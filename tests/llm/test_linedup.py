@@ -69,3 +69,27 @@ def test_columns_nulls_and_repeats(spark, documents):
     twice = spark.createDataFrame([(1, block), (1, block), (None, block)], "doc_id long, text string")
     assert sorted(r.n_removed == 0 for r in remove_repeated_lines(twice).collect()) == [False, False, True]
     assert remove_repeated_lines(documents([])).count() == 0
+
+
+def test_passages_are_hit():
+    rng = random.Random(5)
+
+    def lines(n):
+        return [str(rng.random()).encode() for _ in range(n)]
+
+    hit = gone = 0
+    for _ in range(400):
+        passage = lines(8)
+        first, second = (b"\n".join(lines(rng.randint(1, 8)) + passage + lines(rng.randint(1, 8))) for _ in range(2))
+        seen = {part for _, _, part in multi_line_chunks(first)}
+        removed = sum(n for _, n, part in multi_line_chunks(second) if part in seen)
+        hit, gone = hit + (removed > 0), gone + removed
+    assert hit > 0.85 * 400 and gone > 0.45 * 400 * 8
+
+
+def test_no_line_is_left_single():
+    rng = random.Random(6)
+    for n in range(2, 200):
+        lines = [str(rng.randint(0, 9)).encode() for _ in range(n)]
+        ends = chunk_ends(lines)
+        assert ends[-1] == n and all(b - a >= 2 for a, b in zip([0, *ends], ends))
