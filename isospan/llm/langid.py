@@ -31,7 +31,9 @@ PLACES = 4
 SPARE = 2
 MOST_LANGUAGES = 1000
 UNKNOWN = "und"
-LEAST_SCORE = 0.0
+NOISE_SHARE = 0.5
+CLEAN_LOST = 0.001
+LEAST_PIECE = 4
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -43,6 +45,7 @@ class ByteConvNet:
     bias: dict[int, np.ndarray] = field(default_factory=dict)
     dense: np.ndarray = None
     dense_bias: np.ndarray = None
+    reject: float | None = None  # least evidence for a language against noise
 
     @classmethod
     def fresh(cls, languages: list[str], seed: int = 1) -> ByteConvNet:
@@ -172,23 +175,76 @@ def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: s
     return rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("lang", "text").collect()
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE, **columns) -> ByteConvNet | None:
-    """A network fitted to the bounded sample; None where nothing is labelled."""
+def noise_texts(texts: list[str], n: int, rng) -> list[str]:
+    """n texts of no language: shuffled letters, random characters, codes, repeats."""
+    low, printable, coded = "abcdefghijklmnopqrstuvwxyz", [chr(c) for c in range(33, 127)], "0123456789abcdefABCDEFghijklmnopqrstuvwxyzGHIJKLMNOPQRSTUVWXYZ+/="
+
+    def spaced(chars, longest):
+        out, at = [], 0
+        while at < len(chars):
+            step = int(rng.integers(1, longest))
+            out.append("".join(chars[at : at + step]))
+            at += step
+        return " ".join(out)
+
+    def one(kind):
+        if kind == 0:
+            return spaced(rng.permutation(list("".join(texts[int(rng.integers(len(texts)))].split()))).tolist(), 12)
+        if kind == 1:
+            return spaced(rng.choice(list(low), WINDOW).tolist(), 14)
+        if kind == 2:
+            return spaced(rng.choice(printable, WINDOW).tolist(), int(rng.integers(3, 40)))
+        if kind == 3:
+            return spaced(rng.choice(list(coded[: int(rng.choice([16, 64]))]), WINDOW).tolist(), 120)
+        if kind == 4:
+            first = int(rng.integers(0xA0, 0xD000))
+            return spaced([chr(c) for c in rng.integers(first, first + int(rng.integers(40, 2000)), WINDOW)], 14)
+        return "".join(rng.choice(printable, int(rng.integers(1, 4))).tolist()) * WINDOW
+
+    return [one(i % 6) for i in range(n)]
+
+
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE, noise: bool = False, **columns) -> ByteConvNet | None:
+    """A network fitted to the bounded sample; None where nothing is labelled.
+
+    With noise it also learns UNKNOWN from made-up noise, and the evidence that
+    all but CLEAN_LOST of the labelled windows have for a language (see margin).
+    """
     rows = sorted((r["lang"], r["text"]) for r in training_sample(docs, per_language, **columns) if _LETTER.search(r["text"]))
     if not rows:
         return None
+    rng = np.random.default_rng(4)
+    if noise:
+        clean = [text for lang, text in rows if lang != UNKNOWN]
+        if not clean:
+            return None
+        rows += [(UNKNOWN, text) for text in noise_texts(clean, max(60, int(NOISE_SHARE * len(clean))), rng)]
     languages = sorted({lang for lang, _ in rows})
     place = {lang: i for i, lang in enumerate(languages)}
-    rng = np.random.default_rng(4)
     x = np.zeros((len(rows), WINDOW), np.uint8)
     for i, (_, text) in enumerate(rows):  # shorter ones too, as texts end in them
-        raw = text.encode()[: WINDOW if i % 3 else int(rng.integers(24, WINDOW))]
+        raw = text.encode()[: WINDOW if i % 3 else int(rng.integers(LEAST_PIECE if noise else 24, WINDOW))]
         x[i, : len(raw)] = np.frombuffer(raw, np.uint8)
-    return ByteConvNet.fresh(languages).fit(x, np.array([place[lang] for lang, _ in rows]))
+    y = np.array([place[lang] for lang, _ in rows])
+    net = ByteConvNet.fresh(languages).fit(x, y)
+    if noise:
+        clean = x[y != place[UNKNOWN]]
+        logp = np.concatenate([net.predict(clean[at : at + 128], net.tables()) for at in range(0, len(clean), 128)])
+        net.reject = min(0.0, float(np.quantile(margin(logp, place[UNKNOWN]), CLEAN_LOST)))
+    return net
+
+
+def margin(logp: np.ndarray, unknown: int) -> np.ndarray:
+    """Log-probability of the best language less that of noise."""
+    return np.delete(logp, unknown, axis=1).max(axis=1) - logp[:, unknown]
 
 
 def predict_texts(net: ByteConvNet | None, texts: list, tables=None, batch: int = 128) -> list[tuple[str, float]]:
-    """(language, score) of each text: `und`, 0 without a letter or a network."""
+    """(language, score) of each text: `und`, 0 without a letter or a network.
+
+    A network that has learned noise also gives `und`, 0 to a text whose evidence
+    for a language, per window, is less than net.reject.
+    """
     out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
     seen = [i for i, t in enumerate(texts) if net and t and _LETTER.search(t)]
     tables = tables or (net.tables() if net else None)
@@ -205,11 +261,17 @@ def predict_texts(net: ByteConvNet | None, texts: list, tables=None, batch: int
         for at in range(0, len(windows), batch):
             logp = net.predict(windows[at : at + batch], tables)
             np.add.at(sums, owner[at : at + batch], logp * share[at : at + batch, None])
+        known = np.ones(len(group), bool)
+        if net.reject is not None:  # evidence a window, so that long texts are judged like short ones
+            unknown = net.languages.index(UNKNOWN)
+            known = margin(sums, unknown) / np.bincount(owner, share, len(group)) >= net.reject
+            sums[:, unknown] = -np.inf
         sums -= sums.max(axis=1, keepdims=True)
         prob = np.exp(sums)
         prob /= prob.sum(axis=1, keepdims=True)
-        for j, best, p in zip(group, prob.argmax(axis=1), prob):
-            out[j] = (net.languages[best], float(p[best]))
+        for j, best, p, good in zip(group, prob.argmax(axis=1), prob, known):
+            if good:
+                out[j] = (net.languages[best], float(p[best]))
         group, held = [], 0
     return out
 
@@ -243,16 +305,17 @@ def identify(docs: DataFrame, net: ByteConvNet | None = None, keep: tuple = (),
     return rows.mapInArrow(_labelled_batches(net), f"{schema}, lang_pred string, score double")
 
 
-def recognised(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """docs whose language is recognised: not `und`, and scored least or more.
+def recognised(docs: DataFrame) -> DataFrame:
+    """docs whose language is recognised; the others are `und`.
 
-    By default only `und` is rejected: a low score marks short or mixed texts,
-    not bad ones. Where no row is labelled, every document is `und`.
+    The network learns noise beside the table's own languages: `und` are texts
+    without a letter and those that it finds more like noise than all but
+    CLEAN_LOST of the labelled sample. Where no row is labelled, every document
+    is `und`.
     """
     names = docs.columns
-    net = train(docs)
-    whole = docs.select("doc_id", "text", F.struct(*names).alias("_row"))
-    found = identify(whole, net or ByteConvNet.fresh([UNKNOWN]), keep=("_row",))
+    net = train(docs, noise=True)
     if net is None:
         return docs.limit(0)
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("_row.*")
+    whole = docs.select("doc_id", "text", F.struct(*names).alias("_row"))
+    return identify(whole, net, keep=("_row",)).where(F.col("lang_pred") != UNKNOWN).select("_row.*")

@@ -37,3 +37,27 @@ def test_same_text_same_answer_in_any_batch(sample):
 def test_recognised_keeps_columns_and_texts(sample):
     kept = langid.recognised(sample)
     assert kept.columns == sample.columns and kept.count() >= 0.98 * sample.count()
+
+
+def test_planted_noise_goes(spark):
+    import random
+
+    from isospan.llm.langid import recognised
+
+    rng = random.Random(8)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    clean = docs.where("text rlike '[A-Za-z]'").count()
+    size = [60, 300, 3000]
+    noise = []
+    for i in range(120):
+        n = size[i % 3]
+        kind = [
+            lambda: "".join(rng.choice("qwertyuiopasdfghjklzxcvbnm ") for _ in range(n)),
+            lambda: "".join(chr(rng.randint(33, 126)) for _ in range(n)),
+            lambda: " ".join("%032x" % rng.getrandbits(128) for _ in range(n // 33 + 1)),
+            lambda: "".join(chr(rng.randint(0x391, 0x44F)) for _ in range(n)),
+        ][i // 3 % 4]
+        noise.append((10**6 + i, kind(), "en" if i % 40 == 0 else None))
+    got = [r.doc_id for r in recognised(docs.union(spark.createDataFrame(noise, docs.schema))).select("doc_id").collect()]
+    assert sum(i < 10**6 for i in got) >= 0.998 * clean
+    assert sum(i >= 10**6 for i in got) <= 2
