@@ -71,13 +71,18 @@ def page_of(name: str | None) -> int | None:
     return low - 2**64 if low >> 63 else low
 
 
+def escaped(text: str) -> str:
+    """Spaces and control characters as percent codes."""
+    return "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in text)
+
+
 def record(page_id, url, payload: bytes, refers_to, date: str = DATE) -> bytes:
     """A response record, or a revisit of page refers_to, as one gzip member."""
     name = digest(payload)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     revisit = refers_to is not None
     block = http if revisit else http + payload
-    uri = "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in url or "about:blank")
+    uri = escaped(url or "about:blank")
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
@@ -114,16 +119,16 @@ def parse(member: bytes) -> dict:
 
 
 def host_key(url: str | None) -> str:
-    """Reversed host, then path and query: com,example)/a?b. Spaces are escaped."""
+    """Reversed host, then path and query: com,example)/a?b, with spaces and control characters escaped."""
     try:
         parts = urlsplit((url or "").strip())
         host = (parts.hostname or "").lower().removeprefix("www.")
     except ValueError:
         parts, host = None, ""
     if not parts or not host:
-        return "-)" + (url or "").replace(" ", "%20")
+        return "-)" + escaped(url or "")
     path = (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
-    return ",".join(reversed(host.split("."))) + ")" + path.replace(" ", "%20")
+    return escaped(",".join(reversed(host.split("."))) + ")" + path)
 
 
 def capture_key(url, page_id, date: str = DATE) -> str:
@@ -348,4 +353,8 @@ def archive_pages(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     rows; other columns are ignored.
     """
     archive = Archive.write(pages, least_bytes=least_bytes)
-    return archive.read(archive.lookup(archive.captures), reading_tasks(archive.captures)).drop("payload", "url")
+    places = cut(archive.lookup(archive.captures))
+    found, written = places.count(), archive.captures.count()
+    if found != written:
+        raise RuntimeError(f"{found} of {written} records found through the index")
+    return archive.read(places).drop("payload", "url")

@@ -68,3 +68,20 @@ def test_keys_and_ids():
     for page in (0, 7, -7, 2**63 - 1, -(2**63)):
         assert warc.page_of(warc.record_id(page, "x")) == page
     assert warc.page_of(warc.record_id(None, "x")) is None
+
+
+def test_line_feeds_and_control_characters_in_urls(spark):
+    urls = ["foo\nbar", "http://[bad\nx", "\n", "a\x0bb\tc\rd", "http://e.f/\x00\x1f g", "mailto:x\ny", "zz"]
+    rows = [(i, u, f"page {i}") for i, u in enumerate(urls)]
+    assert got(spark, rows) == brute(rows)
+    assert all(c > " " for u in urls for c in warc.host_key(u))
+
+
+def test_missing_records_fail(spark, monkeypatch):
+    lookup = warc.Archive.lookup
+    monkeypatch.setattr(warc.Archive, "lookup", lambda self, keys: lookup(self, keys).limit(1))
+    try:
+        got(spark, ROWS)
+    except RuntimeError:
+        return
+    raise AssertionError("records were lost without an error")
