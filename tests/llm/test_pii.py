@@ -76,3 +76,9 @@ def test_redact(documents):
 
 def test_empty_table(documents):
     assert find_personal_data(documents([])).count() == 0
+
+
+def test_words_after_an_iban(documents):
+    texts = ["GB82WEST12345698765432 BIC", "DE89370400440532013000 EUR 50", "DE89 3704 0044 0532 0130 00 2024", "DE89370400440532013000EUR", "NO93 8601 1117 947 NOK"]
+    got = [r.spans for r in find_personal_data(documents(texts)).orderBy("doc_id").collect()]
+    assert [[s for s in g.split(",") if s.startswith("iban")] for g in got] == [["iban:0:22"], ["iban:0:22"], ["iban:0:27"], [], ["iban:0:18"]]
