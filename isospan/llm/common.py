@@ -17,17 +17,30 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder for cut lineage (spark.checkpoint.dir).
 
-    Only where the session names none (local tests) a temporary folder is set.
+    Only where a local session names none (tests) a temporary folder is set; on
+    a cluster its absence is an error, as a folder of the driver's own is not
+    seen by the executors.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="isospan-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def open_store(uri: str):
+    """(file system, path) of a folder that all executors share."""
+    from pyarrow import fs
+
+    if uri.startswith("file:/") and not uri.startswith("file:///"):
+        uri = "file://" + uri[len("file:") :]
+    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the shared folder and cut its lineage there."""
     shared_dir(df.sparkSession)

@@ -36,10 +36,10 @@ q AS (SELECT source, key, sum(size) AS ks, count(*) AS c, sum(sum(size)) OVER (P
 SELECT d.doc_id, CAST(size AS BIGINT) AS size, s AS source_size, target, CAST(whole * size + CASE WHEN upto + ks <= rest THEN size WHEN upto <= rest THEN (rest - upto) // c ELSE 0 END AS BIGINT) AS taken, d.source
 FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source JOIN q ON d.source IS NOT DISTINCT FROM q.source AND d.key = q.key"""
 
-TOP_K = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 256)) AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, r.vec_id, CAST(list_dot_product(q.v, r.v) AS BIGINT) AS score FROM v q JOIN v r ON q.vec_id <> r.vec_id AND len(q.v) = len(r.v) WHERE q.vec_id % 50 = 0)
-SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5"""
+TOP_K = """WITH v AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 256)) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.rid, q.vec_id AS query_id, r.vec_id, CAST(list_dot_product(q.v, r.v) AS BIGINT) AS score FROM v q JOIN v r ON q.rid <> r.rid AND len(q.v) = len(r.v) WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM s) WHERE rank <= 5"""
 
 WARC = """WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload, sha1(encode(coalesce(html, ''))) || '00' AS h FROM pages),
 f AS (SELECT *, min(page_id) OVER (PARTITION BY payload) AS first FROM p)

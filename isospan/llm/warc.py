@@ -24,7 +24,7 @@ from urllib.parse import urlsplit
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, pieces_of, shared_dir, text_bytes
+from .common import cut, open_store, pieces_of, shared_dir, text_bytes
 
 DATE = "2024-01-01T00:00:00Z"
 BLOCK_LINES = 1024
@@ -36,18 +36,6 @@ READ_SPAN = 8_000_000
 _SPACE = 0x6F2D8C51A3E94B07  # high half of a record id; the low half is the page
 
 
-# -- files in the shared folder ------------------------------------------------
-
-
-def open_store(uri: str):
-    """(file system, path) of a folder that all executors share."""
-    from pyarrow import fs
-
-    if uri.startswith("file:/") and not uri.startswith("file:///"):
-        uri = "file://" + uri[len("file:") :]
-    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
-
-
 # -- records -------------------------------------------------------------------
 
 
