@@ -101,38 +101,81 @@ def confirmed(kind: str, match: Column) -> Column:
 
 
 _SPAN = "array<struct<kind:string,start:int,end:int,match:string,score:double>>"
+BLOCK = 128  # array elements summed one after another
+PIECE = 1024  # characters
 
 
-def _proposed(text: Column, kind: str) -> Column:
-    """Matches of a kind with code-point offsets, before any check."""
-    pattern = F.lit(PATTERNS[kind])
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    between = F.split(text, PATTERNS[kind], -1)
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("out"))
+def let(value: Column, use) -> Column:
+    """use(x) with x the value, which is computed once: a lambda over an array of one."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _appended(numbers: Column, first: Column, op) -> Column:
+    """What op has made of all numbers so far, from first; each step copies what is there."""
+    start = F.struct(first.alias("at"), F.array().cast("array<int>").alias("out"))
+
+    def step(acc, n):
+        at = op(acc["at"], n).cast("int")
+        return F.struct(at.alias("at"), F.concat(acc["out"], F.array(at)).alias("out"))
+
+    return F.aggregate(numbers, start, step, lambda acc: acc["out"])
+
+
+def running(numbers: Column, op=lambda a, n: a + n) -> Column:
+    """Running sums (or another op from 0) of an array of ints.
 
-    def step(acc, pair):
-        start = acc["at"] + F.length(pair["gap"])
-        end = start + F.length(pair["m"])
-        one = F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), pair["m"].alias("match"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+    In blocks, as a long array would be copied for each of its elements.
+    """
+    zero = F.lit(0).cast("int")
+
+    def of_blocks(blocks):
+        totals = F.transform(blocks, lambda b: F.aggregate(b, zero, lambda a, n: op(a, n).cast("int")))
+        starts = F.concat(F.array(zero), _appended(totals, zero, op))
+        return F.flatten(F.transform(F.arrays_zip(blocks.alias("b"), F.slice(starts, 1, F.size(blocks)).alias("s")), lambda z: _appended(z["b"], z["s"], op)))
+
+    def blocked(every):
+        count = F.greatest(F.ceil(F.size(every) / F.lit(BLOCK)).cast("int"), F.lit(1))
+        blocks = F.transform(F.sequence(F.lit(1), count), lambda i: F.slice(every, (i - 1) * BLOCK + 1, F.lit(BLOCK)))
+        return F.when(F.size(every) <= BLOCK, _appended(every, zero, op)).otherwise(let(blocks, of_blocks))
+
+    return let(numbers, blocked)
 
-    pairs = F.arrays_zip(found.alias("m"), F.slice(between, 1, F.greatest(F.size(found), F.lit(0))).alias("gap"))
-    return F.aggregate(pairs, state, step, lambda acc: acc["out"])
+
+def _around(pieces: Column, i: Column) -> Column:
+    """Lower-cased NEAR characters before and after match i of pieces (gap, match, gap, ...)."""
+    side = 2 * (NEAR // 4) + 2  # pieces that hold NEAR characters: a match has four or more, a gap may be empty
+    at = 2 * i + 2  # of the match, from 1
+    first = F.greatest(at - side, F.lit(1))
+    before = F.array_join(F.transform(F.slice(pieces, first, at - first), lambda p: F.right(p, F.lit(NEAR))), "")
+    after = F.array_join(F.transform(F.slice(pieces, at + 1, F.lit(side)), lambda p: F.left(p, F.lit(NEAR))), "")
+    return F.lower(F.concat(F.right(before, F.lit(NEAR)), F.lit(" "), F.left(after, F.lit(NEAR))))
 
 
 def spans_of(text: Column, kind: str) -> Column:
-    """Confirmed spans of one kind, scored by kind and nearby context words."""
-    empty = F.array().cast(_SPAN)
+    """Confirmed spans of one kind, scored by kind and nearby context words.
+
+    Work is linear in the text and its matches: offsets are running sums of the
+    lengths of the pieces between matches and of the matches, and a match's
+    context is read from the pieces beside it.
+    """
+    found = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
+    between = F.split(text, PATTERNS[kind], -1)
+    pieces = F.flatten(F.transform(F.arrays_zip(between.alias("gap"), found.alias("m")), lambda z: F.array(z["gap"], F.coalesce(z["m"], F.lit("")))))
+
+    def spans(pieces):
+        def span(z, i, pieces):
+            near = F.when(_around(pieces, i).rlike(rf"\b(?:{CONTEXT[kind]})"), F.lit(BONUS)).otherwise(F.lit(0.0))
+            return F.struct(F.lit(kind).alias("kind"), (z["end"] - F.length(z["m"])).alias("start"), z["end"].alias("end"), z["m"].alias("match"), F.when(confirmed(kind, z["m"]), F.lit(BASE[kind]) + near).alias("score"))
 
-    def scored(s):
-        lead = F.greatest(s["start"] - NEAR, F.lit(0))
-        around = F.lower(F.concat(F.substring(text, lead + 1, s["start"] - lead), F.lit(" "), F.substring(text, s["end"] + 1, F.lit(NEAR))))
-        score = F.lit(BASE[kind]) + F.when(around.rlike(rf"\b(?:{CONTEXT[kind]})"), F.lit(BONUS)).otherwise(F.lit(0.0))
-        return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("match"), score.alias("score"))
+        def numbered(ends):
+            n = F.floor(F.size(pieces) / 2).cast("int") - 1  # the last gap has no match
+            at = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.get(pieces, 2 * i - 1).alias("m"), F.get(ends, 2 * i - 1).alias("end")))
+            return F.when(n > 0, F.filter(F.transform(at, lambda z, i: span(z, i, pieces)), lambda s: s["score"] >= LEAST)).otherwise(F.array())
+
+        return let(running(F.transform(pieces, F.length)), numbered)
 
-    kept = F.filter(F.transform(F.filter(_proposed(text, kind), lambda s: confirmed(kind, s["match"])), scored), lambda s: s["score"] >= LEAST)
     some = F.contains(text, F.lit(_NEEDS[kind])) & text.rlike(PATTERNS[kind]) if kind in _NEEDS else text.rlike(PATTERNS[kind])
-    return F.when(some, kept.cast(_SPAN)).otherwise(empty)
+    return F.when(some, let(pieces, spans).cast(_SPAN)).otherwise(F.array().cast(_SPAN))
 
 
 def listed(spans: Column) -> Column:
@@ -167,17 +210,40 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with each span replaced by <KIND>; overlapping spans merge into one."""
+    """docs with each span replaced by <KIND>; overlapping spans merge into one.
+
+    A merged span takes the kind of the first. Null texts stay null; columns and
+    their names are docs' own, whatever they are.
+    """
     names = docs.columns
-    rows = docs.withColumn("_t", F.coalesce(F.col(text_col), F.lit("")))
-    rows = rows.withColumn("_spans", F.concat(*[spans_of(F.col("_t"), k) for k in KINDS]))
-    ordered = F.sort_array(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc, s):
-        fresh = F.concat(acc["out"], F.substring(F.col("_t"), acc["at"] + 1, s["start"] - acc["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
-
-    done = F.aggregate(ordered, state, step, lambda a: F.concat(a["out"], F.substring(F.col("_t"), a["at"] + 1, F.length("_t"))))
-    clean = F.when(F.col(text_col).isNull(), F.lit(None).cast("string")).when(F.size("_spans") > 0, done).otherwise(F.col(text_col))
-    return rows.withColumn("_clean", clean).select(*[F.col("_clean").alias(c) if c == text_col else F.col(c) for c in names])
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    spans = F.concat(*[spans_of(F.col("text"), k) for k in KINDS])
+    spans = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    rows = held.withColumn("spans", spans)
+    clean = F.when(F.size("spans") > 0, _replaced(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
+    clean = F.when(F.col("row")[text_col].isNotNull(), clean)
+    return rows.withColumn("clean", clean).select(*[F.col("clean").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in names])
+
+
+def _replaced(text: Column, spans: Column) -> Column:
+    """text with its spans, ordered by start, replaced; linear in both.
+
+    The text is cut into pieces of PIECE characters, as finding a place in a
+    string means counting from its start.
+    """
+
+    def part(pieces, a, b):
+        held = F.array_join(F.slice(pieces, F.floor(a / PIECE).cast("int") + 1, (F.floor(b / PIECE) - F.floor(a / PIECE)).cast("int") + 1), "")
+        return F.substring(held, a % PIECE + 1, b - a)
+
+    def cut(pieces):
+        def put(reach):
+            def one(s, i):
+                before = F.when(i == 0, F.lit(0)).otherwise(F.get(reach, i - 1))
+                return F.when(s["start"] >= before, F.concat(part(pieces, before, s["start"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))).otherwise(F.lit(""))
+
+            return F.concat(F.array_join(F.transform(spans, one), ""), part(pieces, F.element_at(reach, -1), F.length(text)))
+
+        return let(running(F.transform(spans, lambda s: s["end"]), F.greatest), put)
+
+    return let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), cut)

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from isospan.llm.pii import find_personal_data, redact
 
@@ -74,6 +75,44 @@ def test_redact(documents):
     assert [r.text for r in redact(df).orderBy("doc_id").collect()] == ["mail é <EMAIL> now", None, "plain"]
 
 
+def test_redact_keeps_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "é a@b.cd", "t", "s", "c", 5, 6)], "doc_id long, text string, _t string, _spans string, `a.b` string, spans int, row int")
+    assert [tuple(r) for r in redact(df).collect()] == [(1, "é <EMAIL>", "t", "s", "c", 5, 6)] and redact(df).columns == df.columns
+
+
+def test_redact_equals_plain_version(documents):
+    texts = tricky() + [("é" * 900 + " a@b.cd " + "𝄞" * 1500 + "1.2.3.4 ") * 3]
+    df = documents(texts)
+    spans = {r.doc_id: r.spans for r in find_personal_data(df).collect()}
+    for r in redact(df).collect():
+        out, at, text = "", 0, texts[r.doc_id]
+        for start, end, kind in sorted((int(a), int(b), k) for k, a, b in (s.split(":") for s in spans[r.doc_id].split(",") if s)):
+            if start >= at:
+                out += text[at:start] + f"<{kind.upper()}>"
+            at = max(at, end)
+        assert r.text == out + text[at:], (text, spans[r.doc_id])
+
+
+def test_many_matches_in_one_text_take_linear_time(documents):
+    texts = ["".join(f"u{i}@h{i}.org " for i in range(32_000)), "".join(f"{i % 256}.2.3.4 +1 234 567 {i % 9000 + 1000}, " for i in range(16_000))]
+    took = []
+    for n in (8, 1):
+        df = documents([t[: len(t) // n] for t in texts])
+        find_personal_data(df).count()
+        began = time.time()
+        check(df)
+        redact(df).collect()
+        took.append(time.time() - began)
+    assert took[1] < 16 * took[0] and took[1] < 60  # a quadratic fold took 100 s for the first text alone
+
+
+def test_context_reaches_over_neighbouring_matches(documents):
+    texts = ["ssn 123-45-6789 123-45-6780", "ssn " + "x" * 37 + "123-45-6789", "ssn " + "x" * 36 + " 123-45-6789", "123-45-6789 or ssn", "mail " + "a@b.c " * 9]
+    rows = find_personal_data(documents(texts)).orderBy("doc_id").collect()
+    assert [r.spans for r in rows[:4]] == ["ssn:4:15,ssn:16:27", "", "", "ssn:0:11"]
+    assert rows[4].scores.split(",") == ["1.00"] * 6 + ["0.80"] * 3
+
+
 def test_empty_table(documents):
     assert find_personal_data(documents([])).count() == 0
 
