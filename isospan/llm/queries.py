@@ -30,6 +30,10 @@ def op4_pii(spark, sf_dir):
     return find_personal_data(read_table(spark, sf_dir, "documents")).drop("entities")
 
 
+def pii_base_kinds(spark, sf_dir):
+    return op4_pii(spark, sf_dir).drop("spans", "n_spans", "scores")
+
+
 def op5_packing(spark, sf_dir):
     from .packing import pack
 
@@ -68,4 +72,4 @@ def op10_warc(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return {name: f for name, f in globals().items() if name.startswith(("op", "pii_")) and callable(f)}
