@@ -6,10 +6,12 @@ the lines beside them only and move along with inserted or deleted ones; chunks
 have LEAST_LINES lines or more, some three on average. A chunk of several lines that occurs more than once in the corpus is kept in its first
 place (by doc_id, then position) and removed elsewhere.
 
-Rounds (see rounds.py): chunk hashes find the chunks that repeat; only these
-send their bytes to the bucket of their hash, where they are compared byte by
-byte and the first place of each is found. A chunk is one string per group of
-documents, so that one repeated in every document is no load on its bucket.
+A round of hashes (see rounds.py) finds the chunks that repeat. Only these leave
+their group of documents as bytes, once a group, for an aggregate by the bytes
+themselves that keeps the least place of each; a chunk repeated in every
+document is reduced in each map task before anything is shuffled. Only the group
+of a first place is told, so that no answer is as frequent as a chunk: what
+repeats and isn't told of goes.
 """
 
 from __future__ import annotations
@@ -21,13 +23,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces_of, text_bytes
-from .rounds import NOTE, ask, grouped, ids_of, mix64, shared_tags, tag_codes, tag_packets, tell
+from .common import cut, pieces_of, text_bytes
+from .rounds import ask, beside, grouped, ids_of, ordered, shared_tags, tag_codes, tag_packets, tell
 
 ROLL = 1
 MOST_LINES = 16
 LEAST_LINES = 2
 BUCKET_BYTES = 60_000_000
+CODES, FIRST = 0, 1  # what a group is told: its chunks' codes, and those that stand first
 _ROLL_BASE = 0x9E3779B97F4A7C15
 _WORD = 0xFFFFFFFFFFFFFFFF
 
@@ -92,78 +95,51 @@ class Chunks:
         # a chunk repeated within one document repeats too: places, not documents, are told apart
         return tag_packets(self.tag, np.arange(len(self.tag)), buckets)
 
-    def strings(self, codes: np.ndarray, buckets: int):
-        """Distinct repeated chunks with their first place in this group, as packets.
-
-        Also which chunk of the group each stands for and its slot in the answers.
-        """
+    def repeated(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The chunks whose hash repeats, and for each the first of this group with its bytes."""
         chosen = np.flatnonzero(codes)
-        known: dict[bytes, int] = {}
-        where = np.fromiter((known.setdefault(self.bytes[i], len(known)) for i in chosen.tolist()), np.int64, len(chosen))
-        leader = np.full(len(known), -1, np.int64)
-        leader[where[::-1]] = chosen[::-1]  # documents and lines are in order: the first place
-        parts = list(known)
-        bucket = (mix64(self.tag[leader]) % np.uint64(buckets)).astype(np.int64) if len(parts) else np.zeros(0, np.int64)
-        order = np.argsort(bucket, kind="stable")
-        packets, slot = [], np.empty(len(parts), np.int64)
-        for own in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
-            head = np.empty(len(own), _HEAD)
-            head["doc"] = self.ids[[self.doc[leader[i]] for i in own]]
-            head["line"] = [self.first[leader[i]] for i in own]
-            head["size"] = [len(parts[i]) for i in own]
-            packets.append((int(bucket[own[0]]), np.uint32(len(own)).tobytes() + head.tobytes() + b"".join(parts[i] for i in own)))
-        slot[order] = np.arange(len(order))
-        return packets, chosen, slot[where], leader[where]
-
-
-_HEAD = np.dtype([("doc", "<i8"), ("line", "<i8"), ("size", "<i8")])
-
-
-def first_places(packets: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
-    """Per string sent, 1 where another group has it at an earlier place.
-
-    Strings are equal byte by byte; equal places go to the lower group.
-    """
-    best: dict[bytes, tuple] = {}
-    sent = []
-    for group, blob in packets:
-        n = int(np.frombuffer(blob[:4], "<u4")[0])
-        at = 4 + n * _HEAD.itemsize
-        rows = []
-        for doc, line, size in np.frombuffer(blob[4:at], _HEAD).tolist():
-            part, place = blob[at : at + size], (doc, line, group)
-            at += size
-            rows.append((part, place))
-            if part not in best or place < best[part]:
-                best[part] = place
-        sent.append((group, rows))
-    return [(group, bytes(best[part] != place for part, place in rows)) for group, rows in sent]
+        known: dict[bytes, int] = {}  # documents and lines are in order: the first place stays
+        return chosen, np.fromiter((known.setdefault(self.bytes[i], i) for i in chosen.tolist()), np.int64, len(chosen))
+
+
+def _hex_int(n):
+    """A non-negative int as eight hexadecimal digits, low byte first."""
+    return F.concat(*[F.lpad(F.hex(F.shiftright(n, 8 * i).bitwiseAND(255)), 2, "0") for i in range(4)])
 
 
 def _hash_question(buckets):
     return lambda pdf, _: Chunks(pdf).packets(buckets)[0]
 
 
-def _byte_question(buckets):
-    def question(pdf, answers):
-        chunks = Chunks(pdf)
+_SENT = "doc_group int, part binary, doc long, line long, chunk int, codes binary"
+
+
+def _byte_rows(buckets):
+    """A group's repeated chunks, each once with its first place, and a row of their codes."""
+
+    def rows(pdf, answers):
+        import pandas as pd
+
+        pdf = ordered(pdf)
+        chunks, group = Chunks(pdf), pdf["doc_group"].iloc[0]
         packets, _, where = chunks.packets(buckets)
         codes = tag_codes(packets, answers, where)
-        sent, *_ = chunks.strings(codes, buckets)
-        return [*sent, (NOTE, codes.tobytes())] if len(codes) else []
+        firsts = np.unique(chunks.repeated(codes)[1]).tolist()
+        out = [(group, chunks.bytes[i], chunks.ids[chunks.doc[i]], chunks.first[i], i, None) for i in firsts]
+        return pd.DataFrame([*out, (group, None, 0, 0, 0, codes.tobytes())] if out else [], columns=[c.split()[0] for c in _SENT.split(", ")])
 
-    return question
+    return rows
 
 
-def _cut(buckets, with_text, more):
+def _cut(with_text, more):
     def use(pdf, answers):
         import pandas as pd
 
         chunks = Chunks(pdf)
-        codes = np.frombuffer(answers.get(NOTE, b""), np.uint8)
-        packets, chosen, slot, leader = chunks.strings(codes, buckets)
-        later = np.concatenate([np.frombuffer(answers[b], np.uint8) for b, _ in packets])[slot] if packets else np.zeros(0, np.uint8)
-        gone = chosen[(later == 1) | (leader != chosen)]
+        codes = np.frombuffer(answers.get(CODES, b""), np.uint8)
+        chosen, leader = chunks.repeated(codes)
+        stays = np.frombuffer(answers.get(FIRST, b""), "<i4")
+        gone = chosen[(leader != chosen) | ~np.isin(chosen, stays)]
         raws = pdf["text"].tolist()
         drop: dict[int, list[int]] = {}
         for i in gone.tolist():
@@ -200,10 +176,14 @@ def remove_repeated_lines(docs: DataFrame, with_text: bool = False, more: tuple
     groups = grouped(plain, total, "doc_id", "text", more)
     buckets = pieces_of(total, bucket_bytes)
     repeats = ask(groups, _hash_question(buckets), lambda packets: shared_tags(packets, 2**31), buckets)
-    told = ask(groups, _byte_question(buckets), first_places, buckets, told=repeats)
+    sent = cut(beside(groups, repeats, _byte_rows(buckets), _SENT))
+    first = sent.where("part is not null").groupBy("part").agg(F.min(F.struct("doc", "line", "doc_group", "chunk")).alias("p"))
+    place = F.array_join(F.transform(F.sort_array(F.collect_list("p.chunk")), _hex_int), "")
+    first = first.groupBy("p.doc_group").agg(F.unhex(place).alias("blob")).select("doc_group", F.lit(FIRST).alias("bucket"), "blob")
+    told = sent.where("codes is not null").select("doc_group", F.lit(CODES).alias("bucket"), F.col("codes").alias("blob")).union(first)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in groups.schema if f.name in more]
     schema = ", ".join(["doc_id long, n_lines long, n_removed long, n_chunks long, kept_sha256 string", *["kept binary"] * with_text, *fields])
-    return tell(groups, told, _cut(buckets, with_text, more), schema)
+    return tell(groups, told, _cut(with_text, more), schema)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

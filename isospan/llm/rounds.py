@@ -65,7 +65,7 @@ def ask(groups: DataFrame, question: Callable, answer: Callable, buckets: int, t
         return _frame(rows, "bucket", "doc_group")
 
     schema = "bucket int, doc_group int, blob binary"
-    packets = groups.groupBy("doc_group").applyInPandas(lambda pdf: put(pdf), schema) if told is None else _beside(groups, told, put, schema)
+    packets = groups.groupBy("doc_group").applyInPandas(lambda pdf: put(pdf), schema) if told is None else beside(groups, told, put, schema)
 
     def reply(pdf):
         pdf = pdf.sort_values("doc_group")
@@ -85,11 +85,11 @@ def _frame(rows: list[tuple], first: str, second: str):
 
 def tell(groups: DataFrame, told: DataFrame, use: Callable, schema: str) -> DataFrame:
     """use(pdf, answers) for each group with its answers {bucket: blob}."""
-    out = _beside(groups, told, lambda pdf, earlier: use(ordered(pdf), earlier), schema)
+    out = beside(groups, told, lambda pdf, earlier: use(ordered(pdf), earlier), schema)
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
-def _beside(groups: DataFrame, told: DataFrame, use: Callable, schema: str) -> DataFrame:
+def beside(groups: DataFrame, told: DataFrame, use: Callable, schema: str) -> DataFrame:
     def both(left, right):
         import pandas as pd
 

@@ -1,7 +1,25 @@
 import hashlib
 import random
 
-from isospan.llm.linedup import chunk_ends, deduplicated, multi_line_chunks, remove_repeated_lines
+import xxhash
+
+from isospan.llm.linedup import chunk_ends, deduplicated, remove_repeated_lines
+
+
+def plain_chunks(raw):
+    """The chunks of several lines by the stated rule, line by line."""
+    lines, out, held = raw.split(b"\n"), [], []
+    hashes = [xxhash.xxh64_intdigest(line) for line in lines]
+    for i, line in enumerate(lines):
+        held.append(line)
+        left = len(lines) - i - 1
+        minimum = i > 0 and left > 0 and hashes[i] < hashes[i - 1] and hashes[i] <= hashes[i + 1]
+        if left == 0 or len(held) >= 2 and left >= 2 and (minimum or len(held) >= 16):
+            part = b"\n".join(held)
+            if len(held) > 1 and part.strip():
+                out.append((i + 1 - len(held), len(held), part))
+            held = []
+    return out
 
 
 def brute(rows):
@@ -10,7 +28,7 @@ def brute(rows):
     for d, text in sorted(rows, key=lambda r: r[0]):
         raw = (text or "").encode()
         lines, chunks, removed = raw.split(b"\n"), 0, 0
-        for first, n, part in multi_line_chunks(raw):
+        for first, n, part in plain_chunks(raw):
             if part in seen:
                 lines[first : first + n] = [None] * n
                 chunks, removed = chunks + 1, removed + n
@@ -81,8 +99,8 @@ def test_passages_are_hit():
     for _ in range(400):
         passage = lines(8)
         first, second = (b"\n".join(lines(rng.randint(1, 8)) + passage + lines(rng.randint(1, 8))) for _ in range(2))
-        seen = {part for _, _, part in multi_line_chunks(first)}
-        removed = sum(n for _, n, part in multi_line_chunks(second) if part in seen)
+        seen = {part for _, _, part in plain_chunks(first)}
+        removed = sum(n for _, n, part in plain_chunks(second) if part in seen)
         hit, gone = hit + (removed > 0), gone + removed
     assert hit > 0.85 * 400 and gone > 0.45 * 400 * 8
 
@@ -93,3 +111,14 @@ def test_no_line_is_left_single():
         lines = [str(rng.randint(0, 9)).encode() for _ in range(n)]
         ends = chunk_ends(lines)
         assert ends[-1] == n and all(b - a >= 2 for a, b in zip([0, *ends], ends))
+
+
+def test_a_chunk_of_every_document(spark, monkeypatch):
+    from isospan.llm import rounds
+
+    monkeypatch.setattr(rounds, "GROUP_BYTES", 2_000)
+    notice = "\n".join(f"notice {i}" for i in range(40))
+    rows = [(d, f"own {d}\n{notice}\nlast {d}") for d in range(150)]
+    assert check(spark, rows) > 149 * 20
+    df = spark.createDataFrame([*rows, *rows[:20]], "doc_id long, text string")  # repeated rows and ids
+    assert remove_repeated_lines(df).count() == 170
