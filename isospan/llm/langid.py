@@ -19,6 +19,7 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -27,9 +28,10 @@ EMBED = 12
 PER_LANGUAGE = 1500
 EPOCHS = 6
 LEAST_STEPS = 500
+SAMPLE_WINDOWS = 100_000
+FEWEST = 20
 PLACES = 4
 SPARE = 2
-MOST_LANGUAGES = 1000
 UNKNOWN = "und"
 NOISE_SHARE = 0.5
 CLEAN_LOST = 0.001
@@ -160,13 +162,14 @@ def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: s
     A row gives PLACES windows, at hash-chosen places of its text. A hash
     threshold by each language's row count leaves some SPARE times the limit
     before anything is shuffled, so a language with most of the rows is no load.
-    The MOST_LANGUAGES languages with the most rows are learned.
+    Where there are more than SAMPLE_WINDOWS / per_language languages, each
+    gives fewer, FEWEST at least; all are learned.
     """
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (F.trim(text_col) != "") & ~held_out(F.col(id_col)))
     place = F.pmod(F.xxhash64(F.col("i"), F.col("h")), F.greatest(F.char_length("t") - size, F.lit(1))).cast("int")
     counts = rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n"))
-    share = counts.select("lang", F.least(F.lit(1.0), F.lit(float(SPARE * per_language)) / F.col("n")).alias("share"), "n")
-    share = share.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).drop("n")
+    per_language = min(per_language, max(FEWEST, SAMPLE_WINDOWS // max(1, counts.count())))
+    share = counts.select("lang", F.least(F.lit(1.0), F.lit(float(SPARE * per_language)) / F.col("n")).alias("share"))
     rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("t"), F.xxhash64(F.lit(5), F.col(text_col)).alias("h"))
     rows = rows.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64(F.lit(7), "h"), F.lit(1 << 24)) < F.col("share") * (1 << 24))
     rows = rows.select("lang", "t", "h", F.explode(F.sequence(F.lit(1), F.lit(PLACES))).alias("i"))
@@ -301,8 +304,8 @@ def identify(docs: DataFrame, net: ByteConvNet | None = None, keep: tuple = (),
     """
     net = net or train(docs, id_col=id_col, text_col=text_col, lang_col=lang_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), *keep, F.col(text_col).alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text")
-    return rows.mapInArrow(_labelled_batches(net), f"{schema}, lang_pred string, score double")
+    schema = T.StructType([f for f in rows.schema if f.name != "_text"]).add("lang_pred", "string").add("score", "double")
+    return rows.mapInArrow(_labelled_batches(net), schema)
 
 
 def recognised(docs: DataFrame) -> DataFrame:
@@ -310,12 +313,13 @@ def recognised(docs: DataFrame) -> DataFrame:
 
     The network learns noise beside the table's own languages: `und` are texts
     without a letter and those that it finds more like noise than all but
-    CLEAN_LOST of the labelled sample. Where no row is labelled, every document
-    is `und`.
+    CLEAN_LOST of the labelled sample. Where no row is labelled nothing is
+    learned, and only texts without a letter go. Null texts go. Columns are
+    docs' own; repeated rows and null ids stay; an empty table gives no rows.
     """
     names = docs.columns
     net = train(docs, noise=True)
     if net is None:
-        return docs.limit(0)
-    whole = docs.select("doc_id", "text", F.struct(*names).alias("_row"))
+        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    whole = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
     return identify(whole, net, keep=("_row",)).where(F.col("lang_pred") != UNKNOWN).select("_row.*")
