@@ -47,6 +47,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+HOT_ROWS = 200
+HOT_KEYS = 50_000
+
+
+def join_by_key(rows: DataFrame, small: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with small (a row per key), without a task for all rows of one key.
+
+    small has a column _rows: how often rows has the key. total is the count of
+    rows, or more. A key with over total / HOT_KEYS rows (HOT_ROWS at least) is
+    broadcast; there are HOT_KEYS of these at most. The others meet by shuffle.
+    how may be "left".
+    """
+    hot = F.col("_rows") > max(HOT_ROWS, total // HOT_KEYS)
+    often = F.broadcast(small.where(hot).drop("_rows").withColumn("_hot", F.lit(True)))
+    marked = rows.join(often, key, "left")
+    done = marked.where("_hot").drop("_hot")
+    rest = rows.join(F.broadcast(small.where(hot).select(key)), key, "left_anti").join(small.where(~hot).drop("_rows"), key, how)
+    return done.unionByName(rest)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

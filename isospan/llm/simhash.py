@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, pieces_of
+from .common import cut, join_by_key, pieces_of
 from .jaccard import LEAST as STAGE_LEAST
 from .jaccard import SHINGLE as STAGE_SHINGLE
 from .jaccard import similar_links, text_nodes, text_sha
@@ -225,14 +225,17 @@ def star_components(links: DataFrame, parts: int | None = None, max_rounds: int
     def state(df):
         return tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
 
+    def with_least(df, total):
+        # a hub's links are not dealt by the hub
+        least = df.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("_rows"))
+        return join_by_key(df, least, "u", total)
+
     now = hold(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     seen = state(now)
     for _ in range(max_rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
+        large = with_least(both, 2 * seen[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        small = with_least(large, 2 * seen[0]).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         now = hold(small)
         then, seen = seen, state(now)
         if then == seen:
@@ -253,13 +256,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     no other). An empty table gives no rows; other columns are ignored.
     """
     prints = cut(fingerprints(docs, id_col, text_col))
-    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    n = nodes.count()
+    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("_rows")))
+    n, total = nodes.agg(F.count(F.lit(1)), F.coalesce(F.sum("_rows"), F.lit(0))).first()
     stars = star_components(fingerprint_links(nodes.select("fp"), n, max_diff), pieces_of(n, STAR_PART_ROWS))
-    rooted = nodes.join(stars.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least", F.coalesce("v", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = cut(rooted.join(least, "root").select("fp", "component_id"))
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rooted = nodes.join(stars.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least", F.col("_rows").alias("docs"), F.coalesce("v", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("_rows"))
+    named = cut(join_by_key(rooted, least, "root", n).select("fp", "component_id", F.col("docs").alias("_rows")))
+    return join_by_key(prints, named, "fp", total).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, k: int = STAGE_SHINGLE, least: float = STAGE_LEAST) -> DataFrame:
@@ -273,7 +276,9 @@ def keep_one(docs: DataFrame, k: int = STAGE_SHINGLE, least: float = STAGE_LEAST
     """
     rows = cut(text_nodes(docs, k))
     stars = star_components(similar_links(docs, rows, k, least), pieces_of(rows.select("node").distinct().count(), STAR_PART_ROWS))
-    rooted = rows.join(stars.withColumnRenamed("u", "node"), "node", "left")
+    often = rows.groupBy("node").agg(F.count(F.lit(1)).alias("_rows"))
+    total = rows.count()
+    rooted = join_by_key(rows.drop("bands"), stars.withColumnRenamed("u", "node").join(often, "node"), "node", total, "left")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", (-F.col("size")).alias("size"), "sha"))
     kept = rooted.groupBy(F.coalesce("v", "node").alias("root")).agg(first.alias("k")).select(F.col("k.none").alias("_none"), F.coalesce("k.doc_id", F.lit(0)).alias("_id"), F.col("k.sha").alias("_sha"))
     id_ = F.col("doc_id").cast("long")
