@@ -59,3 +59,19 @@ def test_rows_of_one_id(spark):
     rows = [(1, whole), (1, "a fragment"), (1, whole), (2, whole), (2, "quite another text that has the id of a copy"), (None, whole), (None, "none has this one")]
     got = [(r.doc_id, r.text) for r in keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert sorted(got, key=str) == sorted({rows[0], rows[1], rows[4], rows[6]}, key=str)
+
+
+def test_large_groups_are_dealt_and_lose_no_link(spark, documents, monkeypatch):
+    from isospan.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "PART_NODES", 7)
+    rng = random.Random(4)
+    base, texts = [f"w{i}" for i in range(300)], []
+    for n in range(60):  # near one text; near such a one, not the first; a chain
+        texts.append(" ".join(edited(base, 0.02, rng)))
+        texts.append(" ".join(edited(texts[-1].split(), 0.1, rng)))
+    for n in range(8):
+        base = edited(base, 0.1, rng)
+        texts.append(" ".join(base))
+    got = sorted(r.doc_id for r in keep_one(documents(texts)).collect())
+    assert got == brute_kept(list(enumerate(texts)))
