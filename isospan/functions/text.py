@@ -40,6 +40,12 @@ def jaro_distance(a: Column, b: Column) -> Column:
     return distance(a, b)
 
 
+def jaro_bound(a: Column, b: Column) -> Column:
+    """No more than the Jaro distance: by how many letters of each the other has."""
+    both = F.least(F.length(a) - F.length(F.call_function("translate", a, b, F.lit(""))), F.length(b) - F.length(F.call_function("translate", b, a, F.lit(""))))
+    return F.when(both == 0, F.lit(1.0)).otherwise(1 - (both / F.length(a) + both / F.length(b) + 1) / 3)
+
+
 def trimmed(x: Column) -> Column:
     """Without leading and trailing blanks, tabs, CR and LF."""
     return F.regexp_replace(x, r"^[ \t\r\n]+|[ \t\r\n]+$", "")

@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from ..errors import SpineError, need_columns, one_of
 from .panel import numeric_columns
-from .prefix import with_sums_before
+from .prefix import free_names, sums_below
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """One row per key: the first by order (an explicit order makes it certain)."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    (n,) = free_names(df, "n")
+    return df.withColumn(n, F.row_number().over(w)).where(F.col(n) == 1).drop(n)
 
 
 def latest_value(df: DataFrame, values: list[str], key: str = "iso3c", year: str = "year") -> DataFrame:
@@ -53,19 +54,25 @@ def gini(df: DataFrame, value: str, weight: str | None = None) -> DataFrame:
     need_columns(df, value, weight)
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
     rows = df.select(F.col(value).cast("double").alias("x"), w.alias("w")).where("x is not null and w is not null and not isnan(x) and not isnan(w)")
-    rows = rows.withColumn("w", F.when(F.col("w") < 0, F.raise_error(F.lit("weights must not be negative"))).otherwise(F.col("w")))
-    sums = with_sums_before(rows, "x", {"cw": F.col("w"), "cs": F.col("w") * F.col("x")})
-    return sums.agg(F.try_divide(2 * F.sum(F.col("w") * (F.col("x") * F.col("cw") - F.col("cs"))), 2 * F.sum("w") * F.sum(F.col("w") * F.col("x"))).alias("gini"))
+    rows = rows.withColumn("w", _not_negative(F.col("w")))
+    per = rows.groupBy("x").agg(F.sum("w").alias("w")).withColumn("s", F.col("w") * F.col("x"))
+    sums = sums_below(per, [], "x", ["w", "s"])
+    return sums.agg(F.try_divide(F.sum(F.col("w") * (F.col("x") * F.col("below_w") - F.col("below_s"))), F.sum("w") * F.sum("s")).alias("gini"))
+
+
+def _not_negative(w):
+    return F.when(w < 0, F.raise_error(F.lit("weights must not be negative"))).otherwise(w)
 
 
 def theil(df: DataFrame, value: str, weight: str | None = None, groups: str | None = None) -> DataFrame:
     """One row (theil), or with groups the rows total, between and within with shares.
 
-    Values not above 0 are left out. Two aggregates, one shuffle.
+    Values not above 0 are left out; a negative weight is an error. Two
+    aggregates, one shuffle.
     """
     need_columns(df, value, weight, groups)
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
-    rows = df.select(F.col(value).cast("double").alias("x"), w.alias("w"), (F.col(groups) if groups else F.lit(0)).alias("g")).where("x > 0 and w is not null and g is not null")
+    rows = df.select(F.col(value).cast("double").alias("x"), w.alias("w"), (F.col(groups) if groups else F.lit(0)).alias("g")).where("x > 0 and w is not null and g is not null").withColumn("w", _not_negative(F.col("w")))
     per = rows.groupBy("g").agg(F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("x")).alias("sx"), F.sum(F.col("w") * F.col("x") * F.ln("x")).alias("sl"))
     whole = per.agg(F.sum("sw").alias("W"), F.sum("sx").alias("X"), F.sum("sl").alias("L"), F.sum(F.col("sx") * F.ln(F.try_divide(F.col("sx"), F.col("sw")))).alias("B"))
     mean = F.ln(F.try_divide(F.col("X"), F.col("W")))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import need_columns, one_of
-from ..functions.text import jaro_distance
+from ..functions.text import jaro_bound, jaro_distance
 from ..refdata import historical_aliases, historical_codes
 from ..refdata.crosswalk import crosswalk, rows
 from ..refdata.historical import ALIASES, ENTITIES, historical_key
@@ -22,18 +22,25 @@ def known_names(spark) -> DataFrame:
     return spark.createDataFrame([(i, n) for i, n in enumerate(dict.fromkeys(names))], "ord int, name string")
 
 
-def nearest_names(misses: DataFrame, names: DataFrame, method: str = "jaro") -> DataFrame:
+def nearest_names(misses: DataFrame, names: DataFrame, method: str = "jaro", within: float | None = None) -> DataFrame:
     """(input, suggestion, distance, share) of distinct inputs: the nearest known name.
 
     names has some hundreds of rows and is broadcast; ties go to the first.
-    share is the distance on a scale of 0 to 1.
+    share is the distance on a scale of 0 to 1. With within, inputs whose nearest
+    name has a greater share are left out, and pairs that cannot come as near by
+    their lengths and letters are never compared.
     """
     one_of("method", method, ("jaro", "edit"))
     pairs = misses.select("input").where("input is not null and input <> ''").distinct().crossJoin(F.broadcast(names))
+    if within is not None:
+        longest = F.greatest(F.length("input"), F.length("name"), F.lit(1))
+        least = jaro_bound(F.col("input"), F.col("name")) if method == "jaro" else F.abs(F.length("input") - F.length("name")) / longest
+        pairs = pairs.where(least <= within + 1e-12)
     d = jaro_distance(F.col("input"), F.col("name")) if method == "jaro" else F.levenshtein("input", "name").cast("double")
     best = pairs.withColumn("d", d).groupBy("input").agg(F.min(F.struct("d", "ord", "name")).alias("b"))
     share = F.col("b.d") if method == "jaro" else F.col("b.d") / F.greatest(F.length("input"), F.length("b.name"), F.lit(1))
-    return best.select("input", F.col("b.name").alias("suggestion"), F.col("b.d").alias("distance"), share.alias("share"))
+    out = best.select("input", F.col("b.name").alias("suggestion"), F.col("b.d").alias("distance"), share.alias("share"))
+    return out if within is None else out.where(F.col("share") <= within)
 
 
 def check_country_match(df: DataFrame, col: str, origin: str = "country.name", custom_match: dict | None = None, suggest: bool = True, method: str = "jaro") -> DataFrame:
@@ -50,7 +57,7 @@ def check_country_match(df: DataFrame, col: str, origin: str = "country.name", c
     got = got.select("input", "iso3c", F.col("iso3c").isNotNull().alias("matched"), "historical")
     if not suggest:
         return got.withColumn("suggestion", F.lit(None).cast("string"))
-    near = nearest_names(got.where("not matched"), known_names(spark), method)
+    near = nearest_names(got.where("not matched"), known_names(spark), method, SUGGEST_BELOW if method == "jaro" else None)
     near = near.where(F.col("distance") < SUGGEST_BELOW if method == "jaro" else F.col("distance") <= SUGGEST_EDITS).select(F.col("input").alias("_i"), "suggestion")
     return got.join(near, (F.col("input") == F.col("_i")) & ~F.col("matched"), "left").select("input", "iso3c", "matched", "historical", "suggestion")
 
@@ -63,8 +70,8 @@ def repair_country_names(df: DataFrame, col: str, threshold: float = 0.2, origin
     need_columns(df, col)
     out = out or col
     work = resolved(df.withColumn("_in", F.col(f"`{col}`").cast("string")), "_in", "_iso", origin)
-    near = nearest_names(work.where("_iso is null").select(F.col("_in").alias("input")), known_names(df.sparkSession), method)
-    near = near.where((F.col("share") <= threshold) & (F.col("suggestion") != F.col("input"))).select(F.col("input").alias("_i"), F.col("suggestion").alias("_s"))
+    near = nearest_names(work.where("_iso is null").select(F.col("_in").alias("input")), known_names(df.sparkSession), method, threshold)
+    near = near.where((F.col("suggestion") != F.col("input"))).select(F.col("input").alias("_i"), F.col("suggestion").alias("_s"))
     done = work.join(near, (F.col("_in") == F.col("_i")) & F.col("_iso").isNull(), "left")
     repairs = done.where("_s is not null").select(F.col("_in").alias("from"), F.col("_s").alias("to"))
     kept = [F.col(f"`{c}`") for c in df.columns if c != out]

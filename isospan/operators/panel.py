@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import SpineError, need_columns, one_of
-from .prefix import with_sums_before
+from .prefix import free_names, join_values, sums_below
 
 ISO, YEAR = "iso3c", "year"
 
@@ -72,7 +72,9 @@ def share_of_world(df: DataFrame, value: str, suffix: str = "_share") -> DataFra
     need_columns(df, value)
     v = F.col(value).cast("double")
     if YEAR in df.columns:
-        return df.withColumn(f"{value}{suffix}", F.try_divide(v, F.sum(v).over(Window.partitionBy(YEAR))))
+        total, n = free_names(df, "total", "n")
+        per = df.groupBy(YEAR).agg(F.sum(v).alias(total), F.count(F.lit(1)).alias(n))
+        return join_values(df, per, [YEAR], n, [total]).withColumn(f"{value}{suffix}", F.try_divide(v, F.col(total))).drop(total)
     total = df.agg(F.sum(v).alias("_total"))
     return df.crossJoin(F.broadcast(total)).withColumn(f"{value}{suffix}", F.try_divide(v, F.col("_total"))).drop("_total")
 
@@ -80,30 +82,25 @@ def share_of_world(df: DataFrame, value: str, suffix: str = "_share") -> DataFra
 def rank_countries(df: DataFrame, value: str, within: str | list | None = None, desc: bool = True) -> DataFrame:
     """Adds rank (competition rank), percentile (always ascending) and z_score.
 
-    Null values have none of them and aren't counted. Without `within`, ranks
-    come from range sums (see prefix), so that no task sorts everything.
+    Null values have none of them and aren't counted. Ranks come from counts of
+    distinct values (see prefix), so that no task sorts everything, or all rows
+    of one group.
     """
-    need_columns(df, value)
-    v = F.col(value).cast("double")
-    known = v.isNotNull()
-    if within is not None:
-        keys = [within] if isinstance(within, str) else list(within)
-        need_columns(df, *keys)
-        p = Window.partitionBy(*keys)
-        n, mean, sd = F.count(v).over(p), F.avg(v).over(p), F.stddev_samp(v).over(p)
-        low = F.rank().over(p.orderBy(v.asc_nulls_last()))
-        rank = F.rank().over(p.orderBy(v.desc_nulls_last())) if desc else low
-        out = df.withColumns({"rank": F.when(known, rank).cast("int"), "percentile": F.when(known, F.try_divide((low - 1).cast("double"), n - 1)), "z_score": F.try_divide(v - mean, sd)})
-        return out
-    stats = df.agg(F.count(v).alias("_n"), F.avg(v).alias("_mean"), F.stddev_samp(v).alias("_sd"))
-    work = with_sums_before(df.withColumn("_x", v), "_x", {"_below": known.cast("long")})
-    # ties: how many share the value
-    ties = F.count("_x").over(Window.partitionBy("_x"))
-    work = work.withColumn("_ties", ties).crossJoin(F.broadcast(stats))
-    low = F.col("_below") + 1
-    rank = F.col("_n") - F.col("_below") - F.col("_ties") + 1 if desc else low
-    out = work.withColumns({"rank": F.when(known, rank).cast("int"), "percentile": F.when(known, F.try_divide((low - 1).cast("double"), F.col("_n") - 1)), "z_score": F.try_divide(v - F.col("_mean"), F.col("_sd"))})
-    return out.drop("_x", "_below", "_ties", "_n", "_mean", "_sd")
+    keys = [] if within is None else [within] if isinstance(within, str) else list(within)
+    need_columns(df, value, *keys)
+    x, n, every, mean, sd, low = free_names(df, "x", "n", "every", "mean", "sd", "below_n")
+    made = ["rank", "percentile", "z_score"]
+    rows = df.drop(*[c for c in made if c != value and c not in keys]).withColumn(x, F.col(value).cast("double"))
+    known = rows.where(F.col(x).isNotNull())
+    per = sums_below(known.groupBy(*keys, x).agg(F.count(F.lit(1)).alias("n")), keys, x, ["n"]).withColumnsRenamed({"n": n, "below_n": low})
+    whole = known.groupBy(*keys).agg(F.count(x).alias(every), F.avg(x).alias(mean), F.stddev_samp(x).alias(sd))
+    if keys:
+        per = join_values(per, whole, keys, every, [every, mean, sd])
+    else:
+        per = per.crossJoin(F.broadcast(whole))
+    place = F.col(every) - F.col(low) - F.col(n) + 1 if desc else F.col(low) + 1
+    per = per.withColumns({"rank": place.cast("int"), "percentile": F.try_divide(F.col(low).cast("double"), F.col(every) - 1), "z_score": F.try_divide(F.col(x) - F.col(mean), F.col(sd))})
+    return join_values(rows, per, [*keys, x], n, made).drop(x)
 
 
 def top_k(df: DataFrame, k: int, rank: str = "rank") -> DataFrame:

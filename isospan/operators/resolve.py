@@ -84,9 +84,10 @@ def warn_unmatched(df: DataFrame, col: str, most: int = 20) -> None:
 
     if col not in df.columns:
         return
-    missed = [r[0] for r in df.where(F.col("iso3c").isNull() & F.col(f"`{col}`").isNotNull()).select(f"`{col}`").distinct().limit(most).collect()]
-    if missed:
-        warnings.warn(f"no country code for: {', '.join(sorted(map(str, missed)))}", SpineWarning, stacklevel=3)
+    missed = df.where(F.col("iso3c").isNull() & F.col(f"`{col}`").isNotNull()).select(F.col(f"`{col}`").cast("string").alias("v")).distinct()
+    n, some = missed.count(), [r[0] for r in missed.orderBy("v").limit(most).collect()]
+    if n:
+        warnings.warn(f"no country code for: {', '.join(some)}" + (f" and {n - len(some)} more" if n > len(some) else ""), SpineWarning, stacklevel=3)
 
 
 def convert_country(df: DataFrame, col: str, to: str = "iso3c", origin: str = "country.name", out: str | None = None, custom_match: dict | None = None, warn: bool = False) -> DataFrame:

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from ..errors import SpineError, need_columns
 from ..functions.geo import haversine_km, in_ring, ring_area_km2, ring_distance_km
+from .prefix import free_names
 from .resolve import convert_values, with_attributes
 
 KM_A_DEGREE = 111.0
+BROADCAST_VERTICES = 500_000  # some 12 MB of coordinates
 
 
 def rings(frame: DataFrame) -> DataFrame:
@@ -88,8 +90,10 @@ def locate_country(points: DataFrame, frame: DataFrame, lon: str = "lon", lat: s
     """points with the country that contains each, else the nearest within tolerance_km.
 
     Even-odd over a country's rings, so holes count out; the first country (by
-    ring group) wins. Points and polygons meet by grid cell, an equi-join; a
-    polygon's cells come from its bounding box, widened by the tolerance.
+    ring group) wins. Points and countries meet by grid cell, an equi-join on
+    cells, which wrap at 180 degrees; a country's cells come from its bounding
+    box, widened by the tolerance. Its rings then come by broadcast where the
+    frame has at most BROADCAST_VERTICES vertices, else with its cells.
     """
     need_columns(points, lon, lat)
     if tolerance_km < 0:
@@ -100,22 +104,31 @@ def locate_country(points: DataFrame, frame: DataFrame, lon: str = "lon", lat: s
     polys = polys.select("iso3c", "first", "rings", F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), F.array_min(ys).alias("y0"), F.array_max(ys).alias("y1"))
     ry = tolerance_km / KM_A_DEGREE
     rx = F.least(F.lit(180.0), F.lit(ry) / F.greatest(F.cos(F.radians(F.least(F.lit(89.0), F.greatest(F.abs("y0"), F.abs("y1")) + ry))), F.lit(0.01)))
-    wide = polys.withColumn("rx", rx)
+    shape = F.struct("first", "rings", ((F.col("x0") + F.col("x1")) / 2).alias("mid")).alias("shape")
+    wide = polys.select("iso3c", shape, "x0", "x1", "y0", "y1", rx.alias("rx"))
     axis = lambda a, b: F.sequence(F.floor(a / step).cast("int"), F.floor(b / step).cast("int"))
-    placed = wide.withColumn("cx", F.explode(axis(F.col("x0") - F.col("rx"), F.col("x1") + F.col("rx")))).withColumn("cy", F.explode(axis(F.col("y0") - ry, F.col("y1") + ry)))
-    keyed = points.withColumn("_id", F.struct(F.col(lon).cast("double").alias("x"), F.col(lat).cast("double").alias("y")))
-    spots = keyed.select("_id").where("_id.x is not null and _id.y is not null").distinct()
-    spots = spots.withColumn("cx", F.floor(F.col("_id.x") / step).cast("int")).withColumn("cy", F.floor(F.col("_id.y") / step).cast("int"))
-    x, y = F.col("_id.x"), F.col("_id.y")
-    inside = F.aggregate("rings", F.lit(0), lambda a, r: a + in_ring(x, y, r).cast("int")) % 2 == 1
-    met = spots.join(placed.select("cx", "cy", "iso3c", "first", "rings"), ["cx", "cy"]).withColumn("inside", inside)
-    far = F.when(F.col("inside"), F.lit(0.0)).otherwise(F.array_min(F.transform("rings", lambda r: ring_distance_km(x, y, r))))
+    around = int(360 / step) if (360 / step).is_integer() else None
+    column = lambda c: F.pmod(c, F.lit(around)) if around else c
+    placed = wide.withColumn("cx", F.explode(F.array_distinct(F.transform(axis(F.col("x0") - F.col("rx"), F.col("x1") + F.col("rx")), column))))
+    placed = placed.withColumn("cy", F.explode(axis(F.col("y0") - ry, F.col("y1") + ry)))
+    spot, at, found = free_names(points, "spot", "at", "found")
+    keyed = points.withColumn(spot, F.struct(F.col(lon).cast("double").alias("x"), F.col(lat).cast("double").alias("y")))
+    spots = keyed.select(F.col(spot).alias("at")).where("at.x is not null and at.y is not null").distinct()
+    spots = spots.withColumn("cx", column(F.floor(F.col("at.x") / step).cast("int"))).withColumn("cy", F.floor(F.col("at.y") / step).cast("int"))
+    if frame.limit(BROADCAST_VERTICES + 1).count() <= BROADCAST_VERTICES:
+        met = spots.join(placed.select("cx", "cy", "iso3c"), ["cx", "cy"]).join(F.broadcast(wide.select("iso3c", "shape")), "iso3c")
+    else:
+        met = spots.join(placed.select("cx", "cy", "iso3c", "shape"), ["cx", "cy"])
+    # the copy of the point that is nearest to the country's middle
+    x, y, parts = F.col("at.x") - 360 * F.round((F.col("at.x") - F.col("shape.mid")) / 360), F.col("at.y"), F.col("shape.rings")
+    inside = F.aggregate(parts, F.lit(0), lambda a, r: a + in_ring(x, y, r).cast("int")) % 2 == 1
+    met = met.withColumn("inside", inside)
+    far = F.when(F.col("inside"), F.lit(0.0)).otherwise(F.array_min(F.transform(parts, lambda r: ring_distance_km(x, y, r))))
     met = met.withColumn("km", far if tolerance_km > 0 else F.when(F.col("inside"), F.lit(0.0)))
-    best = met.where(F.col("km") <= tolerance_km).groupBy("_id").agg(F.min_by("iso3c", F.struct("km", "first", "iso3c")).alias("_iso"))
-    best = best.withColumnRenamed("_id", "_id2")
-    joined = keyed.join(best, F.col("_id") == F.col("_id2"), "left")
+    best = met.where(F.col("km") <= tolerance_km).groupBy("at").agg(F.min_by("iso3c", F.struct("km", "shape.first", "iso3c")).alias(found))
+    joined = keyed.join(best.select(F.col("at").alias(at), found), F.col(spot) == F.col(at), "left")
     kept = [F.col(f"`{c}`") for c in points.columns if c != out]
-    return with_attributes(joined.select(*kept, F.col("_iso").alias(out)), add, out)
+    return with_attributes(joined.select(*kept, F.col(found).alias(out)), add, out)
 
 
 def simplify_geometry(frame: DataFrame, keep: float = 0.05) -> DataFrame:
@@ -136,11 +149,12 @@ def simplify_geometry(frame: DataFrame, keep: float = 0.05) -> DataFrame:
     px, py = (F.coalesce(F.lag(c).over(w), F.last(c).over(ends)) for c in ("long", "lat"))
     nx, ny = (F.coalesce(F.lead(c).over(w), F.first(c).over(ends)) for c in ("long", "lat"))
     area = F.abs((F.col("long") - px) * (ny - py) - (nx - px) * (F.col("lat") - py)) / 2
-    work = frame.withColumn("_area", area)
-    work = work.withColumn("_area", F.max("_area").over(Window.partitionBy(F.round("long", 6), F.round("lat", 6))))
-    cut = work.agg(F.percentile_approx("_area", 1 - keep, 10000).alias("_cut"))
-    best = F.row_number().over(Window.partitionBy("group").orderBy(F.desc("_area"), "order"))
-    return work.crossJoin(F.broadcast(cut)).withColumn("_n", best).where("_area >= _cut or _n <= 4").select(*frame.columns)
+    size, least, place = free_names(frame, "size", "least", "place")
+    work = frame.withColumn(size, area)
+    work = work.withColumn(size, F.max(size).over(Window.partitionBy(F.round("long", 6), F.round("lat", 6))))
+    cut = work.agg(F.percentile_approx(size, 1 - keep, 10000).alias(least))
+    best = F.row_number().over(Window.partitionBy("group").orderBy(F.desc(size), "order"))
+    return work.crossJoin(F.broadcast(cut)).withColumn(place, best).where((F.col(size) >= F.col(least)) | (F.col(place) <= 4)).select(*frame.columns)
 
 
 def split_antimeridian(frame: DataFrame) -> DataFrame:

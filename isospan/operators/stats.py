@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from ..errors import SpineError, need_columns, one_of
 from ..functions.stats import t_two_sided
+from .aggregate import keep_first
 from .panel import numeric_columns
+from .prefix import join_values, sums_below
 
 STOP = ("year", "long", "lat", "lon", "group", "order", "row", "col")
 
@@ -53,12 +55,13 @@ def correlate_indicators(df: DataFrame, columns: list[str] | None = None, method
     else:
         long = df.select(F.explode(F.array(*[F.when(finite(a) & finite(b), F.struct(F.lit(i).alias("ord"), F.lit(a).alias("var_x"), F.lit(b).alias("var_y"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))) for i, (a, b) in enumerate(pairs)])).alias("p")).where("p is not null").select("p.*")
 
-        def average_rank(c):
-            w = Window.partitionBy("ord").orderBy(c)
-            return F.rank().over(w) + (F.count(F.lit(1)).over(Window.partitionBy("ord", c)) - 1) / 2
-
-        ranked = long.withColumns({"rx": average_rank("x"), "ry": average_rank("y")})
-        got = ranked.groupBy("ord").agg(_coefficient(F.col("rx"), F.col("ry")).alias("r"), F.count(F.lit(1)).alias("n"))
+        tables = []
+        for c in ("x", "y"):
+            per = sums_below(long.groupBy("ord", c).agg(F.count(F.lit(1)).alias("n")), ["ord"], c, ["n"])
+            tables.append((c, per.withColumn(f"r{c}", F.col("below_n") + (F.col("n") + 1) / 2)))
+        for c, per in tables:
+            long = join_values(long, per, ["ord", c], "n", [f"r{c}"])
+        got = long.groupBy("ord").agg(_coefficient(F.col("rx"), F.col("ry")).alias("r"), F.count(F.lit(1)).alias("n"))
         every = df.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "ord int, var_x string, var_y string")
         out = every.join(got, "ord", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
     out = out.withColumn("r", F.when(F.col("n") >= min_n, F.col("r")))
@@ -134,8 +137,8 @@ def morans_i(df: DataFrame, value: str, edges: DataFrame, n_perm: int = 999, see
     the values over countries, all in one plan; p is null for n_perm 0.
     """
     need_columns(df, "iso3c", value)
-    first = Window.partitionBy("iso3c").orderBy(*(order or [F.col(f"`{c}`") for c in df.columns]))
-    known = df.withColumn("_n", F.row_number().over(first)).where("_n = 1 and iso3c is not null").where(finite(value)).select("iso3c", F.col(value).cast("double").alias("v"))
+    one = keep_first(df, ["iso3c"], order or [F.col(f"`{c}`") for c in df.columns])
+    known = one.where("iso3c is not null").where(finite(value)).select("iso3c", F.col(value).cast("double").alias("v"))
     both = edges.select(F.col("iso3c_a").alias("a"), F.col("iso3c_b").alias("b")).where("a <> b")
     both = both.union(both.select("b", "a")).distinct()
     both = both.join(known.select(F.col("iso3c").alias("a")), "a", "left_semi").join(known.select(F.col("iso3c").alias("b")), "b", "left_semi").select("a", "b")

@@ -27,7 +27,8 @@ def compute_breaks(df: DataFrame, value: str, style: str = "quantile", n_bins: i
     """Class limits over one value per country, least and greatest included.
 
     quantile: interpolated quantiles; equal: equal widths; jenks: natural breaks
-    of the distinct values, from quantiles of them where there are very many.
+    of the distinct values, of which there may be JENKS_VALUES: more is an error,
+    never another result.
     """
     one_of("style", style, ("quantile", "equal", "jenks"))
     v = one_per_country(df, value).select(F.col(value).cast("double").alias("v")).where("v is not null and not isnan(v)")
@@ -37,11 +38,9 @@ def compute_breaks(df: DataFrame, value: str, style: str = "quantile", n_bins: i
         lo, hi = v.agg(F.min("v"), F.max("v")).first()
         got = [] if lo is None else [lo + (hi - lo) * i / n_bins for i in range(n_bins + 1)]
     else:
-        held = v.distinct()
-        if held.count() > JENKS_VALUES:
-            points = held.agg(F.percentile_approx("v", [i / JENKS_VALUES for i in range(JENKS_VALUES + 1)], 10 * JENKS_VALUES)).first()[0]
-        else:
-            points = [r[0] for r in held.collect()]
+        points = [r[0] for r in v.distinct().limit(JENKS_VALUES + 1).collect()]
+        if len(points) > JENKS_VALUES:
+            raise SpineError(f"natural breaks of over {JENKS_VALUES} distinct values; aggregate them, or take quantiles")
         got = natural_breaks(points, n_bins)
     return sorted(set(got))
 
