@@ -2,7 +2,7 @@
 
 Lookup tables have some hundreds of rows, whatever the data: they are broadcast
 and the data is never shuffled. Tiers: exact override, normalised spelling,
-pattern, null.
+pattern, spelling without its form of state, null.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from ..errors import SpineError, UnsupportedScheme, need_columns
 from ..functions.text import trimmed
 from ..refdata import country_overrides, dictionary
-from ..refdata.crosswalk import CONTINENTS, PATTERNS, crosswalk, localized_names, normal_column, rows, scheme_column
+from ..refdata.crosswalk import CONTINENTS, PATTERNS, crosswalk, localized_names, normal_column, rows, scheme_column, short_column
 from ..refdata.groups import GROUPS, members
 
 _count = itertools.count()
@@ -46,7 +46,8 @@ def resolved(df: DataFrame, col: str, out: str = "iso3c", origin: str = "country
             low = F.lower(F.col(f"_raw{n}"))
             hits = F.array_distinct(F.array_compact(F.array(*[F.when(low.rlike(p), F.lit(c)) for c, p in PATTERNS.items()])))
             by_pattern = F.when(F.size(hits) == 1, F.get(hits, F.lit(0)))  # more than one code: ambiguous
-            code = F.coalesce(f"_o{n}", f"_d{n}", F.when(F.col(f"_d{n}").isNull() & raw.isNotNull(), by_pattern))
+            work = work.withColumn(f"_s{n}", short_column(F.col(f"_n{n}"))).join(F.broadcast(names.toDF(f"_b{n}", f"_e{n}")), F.col(f"_s{n}") == F.col(f"_b{n}"), "left")
+            code = F.coalesce(f"_o{n}", f"_d{n}", F.when(F.col(f"_d{n}").isNull() & raw.isNotNull(), by_pattern), F.when(F.size(hits) == 0, F.col(f"_e{n}")))
     else:
         key = scheme_column(origin)
         table = crosswalk(spark).select(F.col(key).cast("string").alias(f"_k{n}"), F.col("iso3c").alias(f"_o{n}")).where(f"_k{n} is not null").groupBy(f"_k{n}").agg(F.max(f"_o{n}").alias(f"_o{n}"), F.countDistinct(f"_o{n}").alias(f"_c{n}")).where(f"_c{n} = 1")

@@ -49,6 +49,108 @@ def bbox_centroids(df: DataFrame, lon: str = "long", lat: str = "lat", key: str
     return df.where(F.col(key).isNotNull()).groupBy(key).agg(mid(lon).alias("lon"), mid(lat).alias("lat"))
 
 
+def ring_edges(frame: DataFrame) -> DataFrame:
+    """(iso3c, group, p, q): the edges of each ring, the closing one included."""
+    from pyspark.sql import Window
+
+    need_columns(frame, "iso3c", "group", "order", "long", "lat")
+    w = Window.partitionBy("group").orderBy("order")
+    ends = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    at = F.struct(F.col("long").cast("double").alias("x"), F.col("lat").cast("double").alias("y"))
+    edges = frame.where("iso3c is not null").select("iso3c", "group", at.alias("p"), F.coalesce(F.lead(at).over(w), F.first(at).over(ends)).alias("q"))
+    return edges.where("p <> q")
+
+
+def touching(frame: DataFrame, step: float = 1.0, slack: float = 1e-7) -> DataFrame:
+    """(iso3c_a, iso3c_b), a < b: countries whose outlines have a point in common.
+
+    Neighbours need not share vertices. Edges meet by grid cell, an equi-join;
+    an edge's cells are those of its bounding box, so long edges should be rare.
+    slack is the distance in degrees within which outlines touch.
+    """
+    axis = lambda a, b: F.sequence(F.floor((F.least(a, b) - slack) / step).cast("int"), F.floor((F.greatest(a, b) + slack) / step).cast("int"))
+    placed = ring_edges(frame).drop("group").distinct().withColumn("cx", F.explode(axis(F.col("p.x"), F.col("q.x")))).withColumn("cy", F.explode(axis(F.col("p.y"), F.col("q.y"))))
+    a, b = (placed.select("cx", "cy", *[F.col(c).alias(f"{c}_{s}") for c in ("iso3c", "p", "q")]) for s in "ab")
+
+    def side(p, q, r):  # of which side of pq r lies, as a distance
+        length = F.sqrt(F.pow(q["x"] - p["x"], 2) + F.pow(q["y"] - p["y"], 2))
+        return ((q["x"] - p["x"]) * (r["y"] - p["y"]) - (q["y"] - p["y"]) * (r["x"] - p["x"])) / length
+
+    def apart(s, t):
+        return ((s > slack) & (t > slack)) | ((s < -slack) & (t < -slack))
+
+    p, q, r, s = F.col("p_a"), F.col("q_a"), F.col("p_b"), F.col("q_b")
+    boxes = F.lit(True)
+    for c in ("x", "y"):
+        boxes &= (F.least(p[c], q[c]) <= F.greatest(r[c], s[c]) + slack) & (F.least(r[c], s[c]) <= F.greatest(p[c], q[c]) + slack)
+    meets = boxes & ~apart(side(p, q, r), side(p, q, s)) & ~apart(side(r, s, p), side(r, s, q))
+    return a.join(b, ["cx", "cy"]).where("iso3c_a < iso3c_b").where(meets).select("iso3c_a", "iso3c_b").distinct()
+
+
+def interior_points(frame: DataFrame) -> DataFrame:
+    """(iso3c, lon, lat): a point inside each country, also where its middle is not.
+
+    On the latitude halfway up the largest ring, the middle of the widest stretch
+    that is inside the country, holes left out.
+    """
+    parts = rings(frame).withColumn("area", ring_area_km2(F.col("ring")))
+    best = parts.groupBy("iso3c").agg(F.max_by("ring", F.struct("area", -F.col("group"))).alias("top"), F.collect_list("ring").alias("rings"))
+    ys = F.transform("top", lambda p: p["lat"])
+    best = best.withColumn("y", F.array_min(ys) * 0.4999 + F.array_max(ys) * 0.5001)  # off vertices at the very middle
+
+    def crossings(ring):
+        after = F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
+        at = F.zip_with(ring, after, lambda p, q: F.when((p["lat"] > F.col("y")) != (q["lat"] > F.col("y")), p["lon"] + (F.col("y") - p["lat"]) / (q["lat"] - p["lat"]) * (q["lon"] - p["lon"])))
+        return F.array_compact(at)
+
+    best = best.withColumn("x", F.array_sort(F.flatten(F.transform("rings", crossings))))
+    widths = F.transform(F.sequence(F.lit(0), F.floor(F.size("x") / 2).cast("int") - 1), lambda i: F.struct((F.get("x", 2 * i + 1) - F.get("x", 2 * i)).alias("w"), ((F.get("x", 2 * i + 1) + F.get("x", 2 * i)) / 2).alias("m")))
+    return best.where(F.size("x") > 1).select("iso3c", F.array_max(widths)["m"].alias("lon"), F.col("y").alias("lat"))
+
+
+def dissolve(frame: DataFrame, by: str, digits: int = 6) -> DataFrame:
+    """(by, group, order, long, lat): the union of the rings of each value of by.
+
+    For meshes whose neighbours share edges: an edge of two rings of one value
+    goes, the others are chained into rings. A value's outline is one group.
+    """
+    need_columns(frame, by)
+    coded = frame.select("iso3c", by).distinct() if by != "iso3c" else None
+    edges = ring_edges(frame)
+    if coded is not None:
+        edges = edges.join(coded, "iso3c")
+    at = lambda c: F.struct(F.round(F.col(f"{c}.x"), digits).alias("x"), F.round(F.col(f"{c}.y"), digits).alias("y"))
+    flat = edges.select(by, at("p").alias("p"), at("q").alias("q"))
+    flat = flat.withColumn("a", F.least("p", "q")).withColumn("b", F.greatest("p", "q"))
+    once = flat.groupBy(by, "a", "b").agg(F.count(F.lit(1)).alias("n"), F.first("p").alias("p"), F.first("q").alias("q")).where("n % 2 = 1")
+    once = once.select(by, F.col("p.x").alias("x0"), F.col("p.y").alias("y0"), F.col("q.x").alias("x1"), F.col("q.y").alias("y1"))
+
+    def chain(pdf):
+        import pandas as pd
+
+        after: dict = {}
+        for x0, y0, x1, y1 in sorted(zip(pdf["x0"], pdf["y0"], pdf["x1"], pdf["y1"])):
+            after.setdefault((x0, y0), []).append((x1, y1))
+        rows, ring = [], 0
+        while after:
+            start = here = min(after)
+            ring, place = ring + 1, 0
+            while here in after:
+                place += 1
+                rows.append((pdf[by].iloc[0], ring, place, *here))
+                nexts = after[here]
+                there = nexts.pop(0)
+                if not nexts:
+                    del after[here]
+                here = there
+                if here == start:
+                    break
+        return pd.DataFrame(rows, columns=[by, "group", "order", "long", "lat"])
+
+    kind = frame.schema[by].dataType.simpleString()
+    return once.groupBy(by).applyInPandas(chain, f"`{by}` {kind}, `group` int, `order` int, long double, lat double")
+
+
 def country_borders(frame: DataFrame, digits: int = 6, names: bool = False) -> DataFrame:
     """(iso3c_a, iso3c_b), a < b: countries whose rings share a vertex.
 

@@ -145,7 +145,7 @@ def morans_i(df: DataFrame, value: str, edges: DataFrame, n_perm: int = 999, see
     nodes = known.join(both.select(F.col("a").alias("iso3c")).distinct(), "iso3c", "left_semi")
     nodes = nodes.withColumn("i", F.row_number().over(Window.orderBy("iso3c")))  # a row per country
     draws = df.sparkSession.range(0, n_perm + 1).withColumnRenamed("id", "perm")
-    dealt = nodes.select("iso3c", "i").crossJoin(draws).withColumn("j", F.when(F.col("perm") == 0, F.col("i")).otherwise(F.row_number().over(Window.partitionBy("perm").orderBy(F.xxhash64(F.lit(seed), "perm", "iso3c")))))
+    dealt = nodes.select("iso3c", "i").crossJoin(draws).withColumn("j", F.when(F.col("perm") == 0, F.col("i")).otherwise(F.row_number().over(Window.partitionBy("perm").orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.col("perm"), "iso3c"))))))
     values = dealt.join(nodes.select(F.col("i").alias("j"), "v"), "j").select("perm", "iso3c", "v")
     mean = F.avg("v").over(Window.partitionBy("perm"))
     z = values.select("perm", "iso3c", (F.col("v") - mean).alias("z"))

@@ -1,8 +1,9 @@
 """The country crosswalk.
 
 Codes, English and localized names and currencies come from the Java runtime's
-own ISO 3166, ISO 4217 and CLDR data, so nothing is transcribed; regions and
-numeric blocks that it lacks are listed here by region.
+own ISO 3166, ISO 4217 and CLDR data, numeric codes and the UN's regions from
+the ICU library that Spark ships, so nothing is transcribed; what they lack is
+listed here by region.
 """
 
 from __future__ import annotations
@@ -34,7 +35,8 @@ CONTINENTS = {
     "Americas": "GRL",
     "Oceania": "",
 }
-UN_REGIONS = {"Africa": "Africa", "Americas": "Americas", "Asia": "Asia", "Europe": "Europe", "Oceania": "Oceania"}
+UN_REGIONS = {"002": "Africa", "019": "Americas", "142": "Asia", "150": "Europe", "009": "Oceania"}
+NO_M49 = ("TWN", "XKX")  # the UN lists neither
 LANDLOCKED = "AFG AND ARM AUT AZE BLR BTN BOL BWA BFA BDI CAF TCD CZE SWZ ETH HUN KAZ KGZ LAO LSO LIE LUX MWI MLI MDA MNG NPL NER MKD PRY RWA SMR SRB SVK SSD CHE TJK TKM UGA UZB VAT ZMB ZWE"
 INCOME_LEVELS = ["Not classified", "Low income", "Lower middle income", "Upper middle income", "High income"]
 
@@ -47,7 +49,7 @@ ALIASES = {
     "CZE": "czech republic|czechia",
     "RUS": "russian federation|ussr|soviet union",
     "CIV": "cote d'ivoire|ivory coast|côte d'ivoire",
-    "COD": "congo, dem. rep.|democratic republic of the congo|dr congo|drc|zaire|congo (kinshasa)|congo, the democratic republic of the|congo-kinshasa",
+    "COD": "congo, dem. rep.|democratic republic of the congo|dr congo|drc|zaire|congo (kinshasa)|congo, the democratic republic of the|congo, democratic republic of the|democratic republic congo|congo-kinshasa",
     "COG": "congo, rep.|republic of the congo|congo|congo (brazzaville)|republic of congo",
     "MMR": "myanmar|burma",
     "SWZ": "swaziland",
@@ -74,13 +76,13 @@ ALIASES = {
     "NLD": "holland|the netherlands",
     "PSE": "palestine|west bank and gaza|state of palestine|palestine, state of",
     "FSM": "micronesia (federated states of)",
-    "TWN": "taiwan, china|chinese taipei",
+    "TWN": "taiwan, china|chinese taipei|republic of china|taiwan, province of china|taiwan (republic of china)",
     "DEU": "federal republic of germany|west germany",
     "CHN": "people's republic of china|prc|mainland china",
     "VAT": "holy see|vatican",
     "KNA": "st. kitts and nevis",
     "LCA": "st. lucia",
-    "VCT": "st. vincent and the grenadines",
+    "VCT": "st. vincent and the grenadines|st. vin. and gren.",
     "STP": "sao tome and principe",
     "BIH": "bosnia",
     "ARE": "uae|u.a.e.",
@@ -97,6 +99,20 @@ ALIASES = {
     "SXM": "sint maarten (dutch part)",
     "CUW": "curaçao",
     "BLM": "saint barthélemy",
+    "FRA": "french republic",
+    "PRT": "portuguese republic",
+    "ITA": "italian republic",
+    "GRC": "hellenic republic",
+    "ARG": "argentine republic",
+    "GAB": "gabonese republic",
+    "TGO": "togolese republic",
+    "LBN": "lebanese republic",
+    "CHE": "swiss confederation",
+    "MEX": "united mexican states",
+    "URY": "eastern republic of uruguay|oriental republic of uruguay",
+    "DOM": "dominican republic",
+    "GNQ": "equatorial guinea",
+    "AUT": "republic of austria",
 }
 # Spellings that need a pattern: what is left after the aliases.
 PATTERNS = {
@@ -110,21 +126,49 @@ PATTERNS = {
 _FROM, _TO = "àáâãäåāăąçćčèéêëēėęìíîïīıñńòóôõöøōőùúûüūűýÿšśşžźżłğđðțţř’‘`´", "aaaaaaaaaccceeeeeeeiiiiiinnoooooooouuuuuuyyssszzzlgddttr''''"
 
 
+# Abbreviations in country names, with or without a full stop; those of one letter need one.
+SHORT = {"rep": "republic", "dem": "democratic", "fed": "federated", "isl": "islands", "is": "islands", "eq": "equatorial", "em": "emirates", "herz": "herzegovina", "st": "saint", "sts": "states", "terr": "territory"}
+LETTERS = {"n": "north", "s": "south", "w": "western", "u": "united"}
+# Words of official names: forms of state, and what may stand before these.
+STATES = "republic|kingdom|state|states|sultanate|principality|grand duchy|commonwealth|union|federation|confederation|emirate"
+KINDS = "federal|federative|federated|democratic|socialist|islamic|arab|bolivarian|plurinational|cooperative|co operative|united|independent|peoples|hashemite"
+_OFFICIAL = rf"^(?:(?:(?:{KINDS}) )*(?:{STATES}) of (?:the )?)+(.+)$"
+_INVERTED = rf"^(.+?) (?:(?:{KINDS}) )*(?:{STATES})(?: of(?: the)?)?$"
+
+#: What makes a spelling a key, in order: (pattern, replacement).
+_STEPS = [
+    ("&", " and "),
+    ("-", " "),
+    (r"\s+", " "),
+    *[(rf"\b{a}\. (?=[a-z])", f"{b} ") for a, b in LETTERS.items()],
+    (r"[^a-z0-9 .]", ""),
+    *[(rf"\b{a}\b\.?", b) for a, b in SHORT.items()],
+    (r"\.", ""),
+    (r"^ *the ", ""),
+    (r" the *$", ""),
+    (r" +", " "),
+]
+
+
 def normal(name: str) -> str:
-    """Key of a spelling: no case, accents, punctuation or leading article."""
-    s = name.lower().translate(str.maketrans(_FROM, _TO)).replace("&", " and ").replace("-", " ")
-    s = re.sub(r"\bst\.? ", "saint ", re.sub(r"\s+", " ", s).strip())
-    s = re.sub(r"[^a-z0-9 ]", "", s)
-    return re.sub(r"\s+", " ", re.sub(r"^the ", "", s.strip())).strip()
+    """Key of a spelling: no case, accents, punctuation, abbreviations or article."""
+    s = name.lower().translate(str.maketrans(_FROM, _TO))
+    for pattern, put in _STEPS:
+        s = re.sub(pattern, put, s)
+    return s.strip()
 
 
 def normal_column(x):
     """normal() as a Column."""
     s = F.translate(F.lower(x), _FROM, _TO)
-    s = F.regexp_replace(F.regexp_replace(s, "&", " and "), "-", " ")
-    s = F.trim(F.regexp_replace(s, r"\s+", " "))
-    s = F.regexp_replace(F.regexp_replace(s, r"\bst\.? ", "saint "), r"[^a-z0-9 ]", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(s), r"^the ", ""), r"\s+", " "))
+    for pattern, put in _STEPS:
+        s = F.regexp_replace(s, pattern, put)
+    return F.trim(s)
+
+
+def short_column(key):
+    """A key without its form of state (kingdom of spain, moldova republic of), null if it has none."""
+    return F.coalesce(*[F.when(key.rlike(p), F.regexp_extract(key, p, 1)) for p in (_OFFICIAL, _INVERTED)])
 
 
 def flag(iso2c: str) -> str:
@@ -155,14 +199,30 @@ def _rows(jvm_spark) -> tuple:
             money = held.getCurrencyCode() if held is not None else None
         tld = ".uk" if iso2c == "GB" else None if iso2c == "XK" else f".{iso2c.lower()}"
         name = own.getDisplayCountry(english)
-        rows.append((iso3c, iso2c, name, continent.get(iso3c), region.get(iso3c), continent.get(iso3c), money, tld, flag(iso2c), iso3c in LANDLOCKED.split()))
+        number, un_region, part = _m49(jvm, iso2c)
+        known = iso3c not in NO_M49
+        rows.append((iso3c, iso2c, name, continent.get(iso3c), region.get(iso3c), un_region if known else None, money, tld, flag(iso2c), iso3c in LANDLOCKED.split(), number if iso3c != "XKX" else None, number if known else None, part))
     return tuple(rows)
 
 
-SCHEMA = "iso3c string, iso2c string, country string, continent string, region string, un_region string, currency string, tld string, flag string, landlocked boolean"
+def _m49(jvm, iso2c: str) -> tuple:
+    """(numeric code, region, subregion) of the UN's standard country or area codes."""
+    regions = jvm.com.ibm.icu.util.Region
+    try:
+        own = regions.getInstance(iso2c)
+    except Exception:  # a code that ICU does not list
+        return None, None, None
+    above = [own.getContainingRegion(kind) for kind in (regions.RegionType.CONTINENT, regions.RegionType.SUBCONTINENT)]
+    region, part = (a.toString() if a is not None else None for a in above)
+    english = jvm.java.util.Locale.forLanguageTag("en")
+    name = jvm.java.util.Locale.forLanguageTag(f"und-{part}").getDisplayCountry(english) if part and part.isdigit() else None
+    return own.getNumericCode(), UN_REGIONS.get(region) if name else None, name
+
+
+SCHEMA = "iso3c string, iso2c string, country string, continent string, region string, un_region string, currency string, tld string, flag string, landlocked boolean, iso3n int, un int, region23 string"
 #: Destination names of a scheme.
-SCHEMES = {n: n for n in ("iso3c", "iso2c", "country", "continent", "region", "un_region", "flag", "currency", "tld", "landlocked")}
-SCHEMES |= {"country.name": "country", "name": "country", "country.name.en": "country", "un.region.name": "un_region", "unicode.symbol": "flag", "iso4217c": "currency", "cctld": "tld", "wb": "iso3c"}
+SCHEMES = {n: n for n in ("iso3c", "iso2c", "country", "continent", "region", "un_region", "flag", "currency", "tld", "landlocked", "iso3n", "un", "region23")}
+SCHEMES |= {"country.name": "country", "name": "country", "country.name.en": "country", "un.region.name": "un_region", "unicode.symbol": "flag", "iso4217c": "currency", "cctld": "tld", "wb": "iso3c", "un.regionsub.name": "region23", "iso.name.en": "country"}
 
 
 def scheme_column(name: str) -> str:

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import one_of
+from ..functions.geo import project
 from ..operators.resolve import region_predicate, resolved
-from ..operators.spatial import clip_box, graticule, outline_edges, polygon_centroids
+from ..operators.spatial import clip_box, graticule, interior_points, outline_edges, polygon_centroids
 
 
 def polygon_frame(spark: SparkSession, path: str, name_col: str = "region", region=None, clip: bool = False, custom_match: dict | None = None) -> DataFrame:
@@ -34,11 +35,39 @@ def square_grid(spark: SparkSession, codes: list[str], columns: int = 5, size: f
     return spark.createDataFrame(rows, "long double, lat double, `group` int, `order` int, iso3c string")
 
 
-def world_geometry(frame: DataFrame, what: str = "countries", step: int = 15) -> DataFrame:
-    """countries, centroids, coastline, borders, graticule or ocean (a box)."""
-    one_of("what", what, ("countries", "centroids", "coastline", "borders", "graticule", "ocean"))
+#: Scale denominators in millions by name.
+SCALES = {"small": 110, "medium": 50, "large": 10}
+
+
+def map_scale(scale) -> int:
+    """110, 50 or 10 of a name or number."""
+    if scale in SCALES.values():
+        return int(scale)
+    one_of("scale", scale, tuple(SCALES))
+    return SCALES[scale]
+
+
+def projected(frame: DataFrame, projection: str, recenter: float = 0.0) -> DataFrame:
+    """frame with long and lat on the projection's plane (unit sphere); recenter is
+    the middle longitude. Rings should be split there first (split_antimeridian)."""
+    p = project(F.col("long"), F.col("lat"), projection, recenter)
+    made = {"long": p["x"], "lat": p["y"]}
+    return frame.select(*[made[c].alias(c) if c in made else F.col(f"`{c}`") for c in frame.columns])
+
+
+def world_geometry(frame: DataFrame, what: str = "countries", step: int = 15, region=None, projection: str | None = None, recenter: float = 0.0) -> DataFrame:
+    """countries, centroids, points (inside), coastline, borders, graticule or ocean.
+
+    The ocean is a box with the frame's rings as holes (even-odd, hole true). A
+    region keeps its countries first; a projection moves countries and ocean.
+    """
+    one_of("what", what, ("countries", "centroids", "points", "coastline", "borders", "graticule", "ocean"))
+    if region is not None:
+        frame = frame.where(region_predicate(frame.sparkSession, region))
     if what == "countries":
-        return frame
+        return projected(frame, projection, recenter) if projection else frame
+    if what == "points":
+        return interior_points(frame)
     if what == "centroids":
         return polygon_centroids(frame)
     if what in ("coastline", "borders"):
@@ -46,4 +75,7 @@ def world_geometry(frame: DataFrame, what: str = "countries", step: int = 15) ->
     if what == "graticule":
         return graticule(frame.sparkSession, step)
     corners = [(-180.0, -90.0), (180.0, -90.0), (180.0, 90.0), (-180.0, 90.0)]
-    return frame.sparkSession.createDataFrame([(x, y, 1, i + 1) for i, (x, y) in enumerate(corners)], "long double, lat double, `group` int, `order` int")
+    box = frame.sparkSession.createDataFrame([(x, y, 0, i + 1, False) for i, (x, y) in enumerate(corners)], "long double, lat double, `group` int, `order` int, hole boolean")
+    land = frame.select("long", "lat", F.col("group").cast("int").alias("group"), F.col("order").cast("int").alias("order"), F.lit(True).alias("hole"))
+    out = box.unionByName(land)
+    return projected(out, projection, recenter) if projection else out
