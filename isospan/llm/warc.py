@@ -6,9 +6,11 @@ written again; its record is a revisit. Only the rows a task commits enter the
 index, so what a lost or repeated attempt has written is never read.
 
 Index: capture keys (reversed host, path, time, page) are range-sorted and laid
-in compressed blocks of lines; a sparse directory keeps each block's first key.
-A lookup binary-searches the directory, then the block, then reads just the
-record's bytes from its archive.
+in compressed blocks of lines, a run of blocks for each sorting task; a sparse
+directory keeps each block's first key. A lookup of many keys is one join: keys
+are dealt to runs by the runs' first keys, and a run's task binary-searches its
+part of the directory, then the block. A read fetches just the record's bytes
+from its archive.
 """
 
 from __future__ import annotations
@@ -176,16 +178,19 @@ def _written(root: str, date: str):
 def _blocks(rows_a_block: int):
     def blocks(batches):
         import pyarrow as pa
+        from pyspark import TaskContext
 
         held: list[tuple] = []
 
+        run = TaskContext.get().partitionId()
+
         def block(lines):
             text = "\n".join(" ".join(map(str, x)) for x in lines).encode()
-            return lines[0][0], zlib.compress(text, 6), len(lines)
+            return run, lines[0][0], zlib.compress(text, 6), len(lines)
 
         def frame(got):
-            cols = list(zip(*got)) if got else [[], [], []]
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int32())], names=["first_key", "data", "n"])
+            cols = list(zip(*got)) if got else [[]] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.string(), pa.binary(), pa.int32()))], names=["run", "first_key", "data", "n"])
 
         for batch in batches:
             held += zip(*(c.to_pylist() for c in batch.columns))
@@ -217,7 +222,7 @@ class Archive:
         captures = cut(with_targets(pages, least_bytes).coalesce(writers).mapInArrow(_written(root, date), _CAPTURE))
         tasks = pieces_of(captures.count(), INDEX_TASK_ROWS)
         ordered = captures.select("key", "file", "at", "size").repartitionByRange(tasks, "key", "file", "at").sortWithinPartitions("key", "file", "at")
-        ordered.coalesce(tasks).mapInArrow(_blocks(block_lines), "first_key string, data binary, n int").write.parquet(f"{root}/index")
+        ordered.coalesce(tasks).mapInArrow(_blocks(block_lines), "run int, first_key string, data binary, n int").write.parquet(f"{root}/index")
         archive = cls(spark, root)
         archive.captures = captures
         return archive
@@ -228,66 +233,55 @@ class Archive:
     def lookup(self, keys: DataFrame, directory_bytes: int = DIRECTORY_BYTES) -> DataFrame:
         """(key, file, at, size) of every capture whose key is in keys (column key).
 
-        The directory is met in slices of a fixed size, each a pass over the
-        keys of its range, so that what is broadcast does not grow.
+        Each key is sent to the runs whose range it is in: all of them where a
+        key is so frequent that it fills several. The runs' first keys are
+        broadcast; neighbouring runs count as one where their keys together are
+        longer than directory_bytes.
         """
         wanted = keys.select("key").where("key is not null").distinct()
         blocks = self.blocks()
-        n, width = blocks.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("first_key")), F.lit(0))).first()
-        slices = max(1, -(-(int(width) + 64 * int(n)) // directory_bytes))
-        bounds = []
-        if slices > 1:
-            bounds = sorted({r[0] for r in blocks.select("first_key").sample(min(1.0, 200.0 * slices / n), seed=3).orderBy("first_key").collect()})
-            bounds = bounds[:: max(1, len(bounds) // slices)]
-        found = None
-        for lo, hi in zip([None, *bounds], [*bounds, None]):
-            part, own = wanted, blocks
-            if hi is not None:
-                part, own = part.where(F.col("key") < hi), own.where(F.col("first_key") < hi)
-            if lo is not None:
-                before = blocks.where(F.col("first_key") < lo).agg(F.max("first_key")).first()[0]
-                part = part.where(F.col("key") >= lo)
-                own = own.where(F.col("first_key") >= (before if before is not None else lo))
-            directory = sorted({r[0] for r in own.select("first_key").collect()})
-            got = self._in_blocks(part, own, self.spark.sparkContext.broadcast(directory))
-            found = got if found is None else found.union(got)
-        return found
-
-    @staticmethod
-    def _in_blocks(keys: DataFrame, blocks: DataFrame, directory) -> DataFrame:
-        def placed(batches):
+        runs = blocks.groupBy("run").agg(F.min("first_key").alias("first_key"))
+        n, width = runs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("first_key") + 64), F.lit(0))).first()
+        step = max(1, -(-int(width) // directory_bytes))
+        firsts = runs.groupBy(F.expr(f"run div {step}").cast("int").alias("part")).agg(F.min("first_key").alias("first_key"))
+        firsts = sorted((r["first_key"], r["part"]) for r in firsts.collect())
+        held = self.spark.sparkContext.broadcast(([k for k, _ in firsts], [r for _, r in firsts]))
+
+        def dealt(batches):
             import pyarrow as pa
 
-            firsts = directory.value
+            names, numbers = held.value
             for batch in batches:
                 out = [[], []]
                 for key in batch.column(0).to_pylist():
-                    # equal first keys stand once in the directory; the block before may end in the same key
-                    i = bisect.bisect_right(firsts, key) - 1
-                    for at in (i, i - 1) if i > 0 and firsts[i] == key else (i,):
-                        if at >= 0:
-                            out[0].append(key)
-                            out[1].append(firsts[at])
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in out], names=["key", "first_key"])
-
-        def matched(asked, held):
+                    low, high = max(bisect.bisect_left(names, key) - 1, 0), bisect.bisect_right(names, key)
+                    for number in numbers[low:high]:
+                        out[0].append(key)
+                        out[1].append(number)
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int32())], names=["key", "part"])
+
+        def matched(asked, own):
             import pandas as pd
 
-            rows = []
-            for data in held["data"]:
-                lines = zlib.decompress(data).decode().split("\n")
-                names = [line.rsplit(" ", 3)[0] for line in lines]
-                for key in asked["key"]:
-                    at = bisect.bisect_left(names, key)
-                    while at < len(lines) and names[at] == key:
-                        _, file, start, size = lines[at].rsplit(" ", 3)
+            own = own.sort_values(["run", "first_key"], kind="stable")
+            directory, data, rows = own["first_key"].tolist(), own["data"].tolist(), []
+            last, lines, names = None, [], []
+            for key in sorted(asked["key"]):
+                at = max(bisect.bisect_left(directory, key) - 1, 0)  # the block before may end in the key
+                while at < len(directory) and directory[at] <= key:
+                    if at != last:
+                        last, lines = at, zlib.decompress(data[at]).decode().split("\n")
+                        names = [line.rsplit(" ", 3)[0] for line in lines]
+                    for line in lines[bisect.bisect_left(names, key) : bisect.bisect_right(names, key)]:
+                        _, file, start, size = line.rsplit(" ", 3)
                         rows.append((key, file, int(start), int(size)))
-                        at += 1
+                    at += 1
             cols = list(zip(*rows)) if rows else [[], [], [], []]
             return pd.DataFrame({"key": pd.Series(cols[0], dtype=object), "file": pd.Series(cols[1], dtype=object), "at": pd.array(cols[2], "int64"), "size": pd.array(cols[3], "int64")})
 
-        spread = keys.mapInArrow(placed, "key string, first_key string")
-        return spread.groupBy("first_key").cogroup(blocks.select("first_key", "data").groupBy("first_key")).applyInPandas(matched, "key string, file string, at long, size long")
+        spread = wanted.mapInArrow(dealt, "key string, part int")
+        parts = blocks.select(F.expr(f"run div {step}").cast("int").alias("part"), "run", "first_key", "data")
+        return spread.groupBy("part").cogroup(parts.groupBy("part")).applyInPandas(matched, "key string, file string, at long, size long")
 
     def read(self, places: DataFrame, tasks: int | None = None) -> DataFrame:
         """Records at (file, at, size): page_id, url, payload_bytes, payload_digest,

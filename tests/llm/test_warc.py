@@ -63,6 +63,16 @@ def test_index_lookup_and_bytes(spark, sf):
             assert bytes(r.payload).decode() == html[r.page_id]
 
 
+def test_a_key_that_fills_several_runs(spark, monkeypatch):
+    monkeypatch.setattr(warc, "INDEX_TASK_ROWS", 20)
+    rows = [(None, "http://a.b/", "same")] * 90 + [(i, f"http://h{i % 7}.b/{i}", f"page {i}") for i in range(60)]
+    assert got(spark, rows) == brute(rows)
+    archive = warc.Archive.write(spark.createDataFrame([(*r, "", "") for r in rows], SCHEMA), block_lines=4)
+    assert archive.blocks().select("run").distinct().count() > 3
+    for directory_bytes in (10**6, 200, 1):
+        assert archive.lookup(archive.captures, directory_bytes).count() == 150
+
+
 def test_keys_and_ids():
     assert warc.host_key("http://www.Example.com/a?b=1#c") == "com,example)/a?b=1"
     for page in (0, 7, -7, 2**63 - 1, -(2**63)):
