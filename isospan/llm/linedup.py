@@ -23,14 +23,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pieces_of, text_bytes
+from .common import pieces_of, text_bytes
 from .rounds import ask, beside, grouped, ids_of, ordered, shared_tags, tag_codes, tag_packets, tell
 
 ROLL = 1
 MOST_LINES = 16
 LEAST_LINES = 2
 BUCKET_BYTES = 60_000_000
-CODES, FIRST = 0, 1  # what a group is told: its chunks' codes, and those that stand first
+FIRST = -2  # told beside the answers by bucket: which of a group's chunks stand first
 _ROLL_BASE = 0x9E3779B97F4A7C15
 _WORD = 0xFFFFFFFFFFFFFFFF
 
@@ -111,11 +111,11 @@ def _hash_question(buckets):
     return lambda pdf, _: Chunks(pdf).packets(buckets)[0]
 
 
-_SENT = "doc_group int, part binary, doc long, line long, chunk int, codes binary"
+_SENT = "doc_group int, part binary, doc long, line long, chunk int"
 
 
 def _byte_rows(buckets):
-    """A group's repeated chunks, each once with its first place, and a row of their codes."""
+    """A group's repeated chunks, each once with its first place."""
 
     def rows(pdf, answers):
         import pandas as pd
@@ -125,19 +125,19 @@ def _byte_rows(buckets):
         packets, _, where = chunks.packets(buckets)
         codes = tag_codes(packets, answers, where)
         firsts = np.unique(chunks.repeated(codes)[1]).tolist()
-        out = [(group, chunks.bytes[i], chunks.ids[chunks.doc[i]], chunks.first[i], i, None) for i in firsts]
-        return pd.DataFrame([*out, (group, None, 0, 0, 0, codes.tobytes())] if out else [], columns=[c.split()[0] for c in _SENT.split(", ")])
+        out = [(group, chunks.bytes[i], chunks.ids[chunks.doc[i]], chunks.first[i], i) for i in firsts]
+        return pd.DataFrame(out, columns=[c.split()[0] for c in _SENT.split(", ")])
 
     return rows
 
 
-def _cut(with_text, more):
+def _cut(buckets, with_text, more):
     def use(pdf, answers):
         import pandas as pd
 
         chunks = Chunks(pdf)
-        codes = np.frombuffer(answers.get(CODES, b""), np.uint8)
-        chosen, leader = chunks.repeated(codes)
+        packets, _, where = chunks.packets(buckets)
+        chosen, leader = chunks.repeated(tag_codes(packets, answers, where))
         stays = np.frombuffer(answers.get(FIRST, b""), "<i4")
         gone = chosen[(leader != chosen) | ~np.isin(chosen, stays)]
         raws = pdf["text"].tolist()
@@ -175,15 +175,15 @@ def remove_repeated_lines(docs: DataFrame, with_text: bool = False, more: tuple
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c) for c in more])
     groups = grouped(plain, total, "doc_id", "text", more)
     buckets = pieces_of(total, bucket_bytes)
-    repeats = ask(groups, _hash_question(buckets), lambda packets: shared_tags(packets, 2**31), buckets)
-    sent = cut(beside(groups, repeats, _byte_rows(buckets), _SENT))
-    first = sent.where("part is not null").groupBy("part").agg(F.min(F.struct("doc", "line", "doc_group", "chunk")).alias("p"))
+    repeats = ask(groups, _hash_question(buckets), lambda packets: shared_tags(packets, 2**31), buckets, total)
+    sent = beside(groups, repeats, _byte_rows(buckets), _SENT, total)
+    first = sent.groupBy("part").agg(F.min(F.struct("doc", "line", "doc_group", "chunk")).alias("p"))
     place = F.array_join(F.transform(F.sort_array(F.collect_list("p.chunk")), _hex_int), "")
     first = first.groupBy("p.doc_group").agg(F.unhex(place).alias("blob")).select("doc_group", F.lit(FIRST).alias("bucket"), "blob")
-    told = sent.where("codes is not null").select("doc_group", F.lit(CODES).alias("bucket"), F.col("codes").alias("blob")).union(first)
+    told = repeats.select("doc_group", "bucket", "blob").union(first)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in groups.schema if f.name in more]
     schema = ", ".join(["doc_id long, n_lines long, n_removed long, n_chunks long, kept_sha256 string", *["kept binary"] * with_text, *fields])
-    return tell(groups, told, _cut(with_text, more), schema)
+    return tell(groups, told, _cut(buckets, with_text, more), schema, total)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

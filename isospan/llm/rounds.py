@@ -5,7 +5,9 @@ once, by hash, into groups of some megabytes. A group lists keys or pieces of
 its texts, deduplicated, in a fixed order, and sends them packed by bucket; a
 bucket, which sees all groups, answers each packet in its own order. So an
 answer needs no key, only its place, and the texts are shuffled once: every
-round reads the same exchange again.
+round reads the same exchange again. Tasks are as many as the bytes ask for, so
+that none grows with the table. A group sends as many packets as it has keys at
+most, however many buckets there are.
 
 Deterministic on both sides: a lost executor's packets and answers come out the
 same when they are made again.
@@ -19,9 +21,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces_of
+from .common import pieces_of, shuffle_partitions
 
 GROUP_BYTES = 1_500_000
+TASK_BYTES = 32_000_000  # of text in a task, by whose number all rounds are dealt
 NOTE = -1
 NO_ID = 2**63 - 1  # stands for a null id, which ranks after every other
 
@@ -39,7 +42,12 @@ def grouped(docs: DataFrame, total_bytes: int, id_col: str, text_col: str, more:
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), text.cast("binary").alias("text"), *more)
     key = F.xxhash64("doc_id", "text")
-    return rows.select(F.pmod(key, F.lit(n)).cast("int").alias("doc_group"), "doc_id", "text", *[c for c in rows.columns if c not in ("doc_id", "text")])
+    out = rows.select(F.pmod(key, F.lit(n)).cast("int").alias("doc_group"), "doc_id", "text", *[c for c in rows.columns if c not in ("doc_id", "text")])
+    return out.repartition(_tasks(docs.sparkSession, total_bytes), "doc_group")
+
+
+def _tasks(spark, total_bytes: int) -> int:
+    return pieces_of(total_bytes, TASK_BYTES, shuffle_partitions(spark))
 
 
 def ordered(pdf):
@@ -51,7 +59,7 @@ def ids_of(pdf) -> np.ndarray:
     return pdf["doc_id"].to_numpy(np.int64)
 
 
-def ask(groups: DataFrame, question: Callable, answer: Callable, buckets: int, told: DataFrame | None = None) -> DataFrame:
+def ask(groups: DataFrame, question: Callable, answer: Callable, buckets: int, total_bytes: int, told: DataFrame | None = None) -> DataFrame:
     """One round; returns (doc_group, answers), an array of (bucket, blob) per group.
 
     question(pdf, told) yields (bucket, blob); answer([(doc_group, blob)])
@@ -65,7 +73,8 @@ def ask(groups: DataFrame, question: Callable, answer: Callable, buckets: int, t
         return _frame(rows, "bucket", "doc_group")
 
     schema = "bucket int, doc_group int, blob binary"
-    packets = groups.groupBy("doc_group").applyInPandas(lambda pdf: put(pdf), schema) if told is None else beside(groups, told, put, schema)
+    packets = groups.groupBy("doc_group").applyInPandas(lambda pdf: put(pdf), schema) if told is None else beside(groups, told, put, schema, total_bytes)
+    tasks = _tasks(groups.sparkSession, total_bytes)
 
     def reply(pdf):
         pdf = pdf.sort_values("doc_group")
@@ -74,7 +83,7 @@ def ask(groups: DataFrame, question: Callable, answer: Callable, buckets: int, t
             return _frame([(group, NOTE, blob) for group, blob in sent], "doc_group", "bucket")
         return _frame([(group, bucket, blob) for group, blob in answer(sent)], "doc_group", "bucket")
 
-    return packets.groupBy("bucket").applyInPandas(reply, "doc_group int, bucket int, blob binary")
+    return packets.repartition(tasks, "bucket").groupBy("bucket").applyInPandas(reply, "doc_group int, bucket int, blob binary")
 
 
 def _frame(rows: list[tuple], first: str, second: str):
@@ -83,13 +92,13 @@ def _frame(rows: list[tuple], first: str, second: str):
     return pd.DataFrame({first: np.array([r[0] for r in rows], np.int32), second: np.array([r[1] for r in rows], np.int32), "blob": [r[2] for r in rows]})
 
 
-def tell(groups: DataFrame, told: DataFrame, use: Callable, schema: str) -> DataFrame:
+def tell(groups: DataFrame, told: DataFrame, use: Callable, schema: str, total_bytes: int) -> DataFrame:
     """use(pdf, answers) for each group with its answers {bucket: blob}."""
-    out = beside(groups, told, lambda pdf, earlier: use(ordered(pdf), earlier), schema)
+    out = beside(groups, told, lambda pdf, earlier: use(ordered(pdf), earlier), schema, total_bytes)
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
-def beside(groups: DataFrame, told: DataFrame, use: Callable, schema: str) -> DataFrame:
+def beside(groups: DataFrame, told: DataFrame, use: Callable, schema: str, total_bytes: int) -> DataFrame:
     def both(left, right):
         import pandas as pd
 
@@ -97,6 +106,7 @@ def beside(groups: DataFrame, told: DataFrame, use: Callable, schema: str) -> Da
             return pd.DataFrame({f.split()[0]: [] for f in schema.split(", ")})  # no such group
         return use(left, dict(zip(right["bucket"].tolist(), right["blob"].tolist())))
 
+    told = told.repartition(_tasks(groups.sparkSession, total_bytes), "doc_group")
     return groups.groupBy("doc_group").cogroup(told.groupBy("doc_group")).applyInPandas(both, schema)
 
 

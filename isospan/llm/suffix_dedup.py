@@ -80,13 +80,13 @@ def byte_codes(strings: list[bytes]) -> np.ndarray:
 
 
 def merge_transforms(bwts: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(entry of each merged suffix, whether a block of equal depth-prefix starts there).
+    """(entry of each merged suffix, bytes it shares with the one before, at most depth).
 
     Iterative interleave refinement over any number of shards. An entry is a
     place in the shards' transforms laid one after another. A pass deals the
     interleave by the symbols that its entries precede; within a shard, the
     suffix that begins with such a symbol is found by the shard's own last-first
-    mapping.
+    mapping. Where a block first starts in pass k + 1, k bytes are shared.
     """
     every = np.concatenate(bwts)
     total = len(every)
@@ -96,13 +96,15 @@ def merge_transforms(bwts: list[np.ndarray], depth: int) -> tuple[np.ndarray, np
         first[at + np.argsort(bwt, kind="stable")] = np.arange(at, at + len(bwt), dtype=np.int32)
         at += len(bwt)
     entry, block, start = np.arange(total, dtype=np.int32), np.zeros(total, np.int32), np.ones(total, bool)
-    for _ in range(depth):
+    shared = np.full(total, depth, np.uint8)
+    for done in range(depth):
         symbol = every[entry]
         dealt = np.argsort(symbol, kind="stable")
         symbol, block, entry = symbol[dealt], block[dealt], first[entry[dealt]]
         start[1:] = (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])
+        shared[start] = np.minimum(shared[start], done)
         block = np.cumsum(start, dtype=np.int32)
-    return entry, start
+    return entry, shared
 
 
 def repeated_intervals(strings: list[bytes], length: int, shard_bytes: int = SHARD_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -120,8 +122,8 @@ def repeated_intervals(strings: list[bytes], length: int, shard_bytes: int = SHA
         inside = np.arange(sizes[own].sum()) - np.repeat(np.cumsum(sizes[own]) - sizes[own], sizes[own])
         owners.append(np.repeat(own, sizes[own])[order])
         offsets.append(inside[order])
-    entry, start = merge_transforms(bwts, length)
-    owner, offset, interval = np.concatenate(owners)[entry], np.concatenate(offsets)[entry], np.cumsum(start)
+    entry, shared = merge_transforms(bwts, length)
+    owner, offset, interval = np.concatenate(owners)[entry], np.concatenate(offsets)[entry], np.cumsum(shared < length)
     whole = offset + length <= sizes[owner] - 1
     return owner[whole], offset[whole], interval[whole]
 
@@ -373,8 +375,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
     _, total = text_bytes(docs, text_col)
     groups = grouped(docs, total, id_col, text_col)
     buckets = pieces_of(total, bucket_bytes)
-    anchors = ask(groups, _anchor_question(length, buckets), lambda packets: shared_tags(packets, hot_groups), buckets)
-    told = ask(groups, _run_question(length, buckets), lambda packets: removed_windows(packets, length), buckets, told=anchors)
+    anchors = ask(groups, _anchor_question(length, buckets), lambda packets: shared_tags(packets, hot_groups), buckets, total)
+    told = ask(groups, _run_question(length, buckets), lambda packets: removed_windows(packets, length), buckets, total, told=anchors)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return tell(groups, told, _cut(length, buckets, with_text), schema)
+    return tell(groups, told, _cut(length, buckets, with_text), schema, total)
 

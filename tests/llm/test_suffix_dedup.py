@@ -60,8 +60,8 @@ def test_transforms_merge_to_the_order_of_all_suffixes():
         assert len(windows) == len({w for s in windows.values() for w in s})
         assert len(owner) == sum(len(s) - 49 for s in strings)
     bwt, order = transform([b"banana"], 8, byte_codes([b"banana"]))
-    entry, start = merge_transforms([bwt], 8)
-    assert len(order) == 7 and start.all() and entry.tolist() == list(range(7))
+    entry, shared = merge_transforms([bwt], 8)
+    assert len(order) == 7 and shared.tolist() == [0, 0, 1, 3, 0, 0, 2] and entry.tolist() == list(range(7))
 
 
 def test_every_window_has_one_run():
