@@ -298,7 +298,7 @@ def antimeridian(spark, sf):
 def simplified_rings(spark, sf):
     dented = [(0, 0), (5, 0.0625), (10, 0), (10.0625, 5), (10, 10), (5, 9.9375), (0, 10), (0.0625, 5)]
     frame = _shapes(spark, [("AAA", 1, dented), ("BBB", 2, [(x + 16, y) for x, y in dented])])
-    return spatial.simplify_geometry(frame, 0.5).groupBy("iso3c").agg(F.count(F.lit(1)).alias("n"))
+    return spatial.simplify_geometry(frame, 0.4).groupBy("iso3c").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT 4 + count(*) AS vertices, count(*) AS holes FROM ring")
