@@ -186,11 +186,11 @@ def _blocks(rows_a_block: int):
 
         def block(lines):
             text = "\n".join(" ".join(map(str, x)) for x in lines).encode()
-            return run, lines[0][0], zlib.compress(text, 6), len(lines)
+            return run, lines[0][0], lines[-1][0], zlib.compress(text, 6), len(lines)
 
         def frame(got):
-            cols = list(zip(*got)) if got else [[]] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.string(), pa.binary(), pa.int32()))], names=["run", "first_key", "data", "n"])
+            cols = list(zip(*got)) if got else [[]] * 5
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.string(), pa.string(), pa.binary(), pa.int32()))], names=["run", "first_key", "last_key", "data", "n"])
 
         for batch in batches:
             held += zip(*(c.to_pylist() for c in batch.columns))
@@ -222,7 +222,7 @@ class Archive:
         captures = cut(with_targets(pages, least_bytes).coalesce(writers).mapInArrow(_written(root, date), _CAPTURE))
         tasks = pieces_of(captures.count(), INDEX_TASK_ROWS)
         ordered = captures.select("key", "file", "at", "size").repartitionByRange(tasks, "key", "file", "at").sortWithinPartitions("key", "file", "at")
-        ordered.coalesce(tasks).mapInArrow(_blocks(block_lines), "run int, first_key string, data binary, n int").write.parquet(f"{root}/index")
+        ordered.coalesce(tasks).mapInArrow(_blocks(block_lines), "run int, first_key string, last_key string, data binary, n int").write.parquet(f"{root}/index")
         archive = cls(spark, root)
         archive.captures = captures
         return archive
@@ -240,11 +240,13 @@ class Archive:
         """
         wanted = keys.select("key").where("key is not null").distinct()
         blocks = self.blocks()
-        runs = blocks.groupBy("run").agg(F.min("first_key").alias("first_key"))
-        n, width = runs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("first_key") + 64), F.lit(0))).first()
+        runs = cut(blocks.groupBy("run").agg(F.min("first_key").alias("first_key"), F.max("last_key").alias("last_key")))
+        width = runs.agg(F.coalesce(F.sum(F.octet_length("first_key") + 64), F.lit(0))).first()[0]
         step = max(1, -(-int(width) // directory_bytes))
-        firsts = runs.groupBy(F.expr(f"run div {step}").cast("int").alias("part")).agg(F.min("first_key").alias("first_key"))
-        firsts = sorted((r["first_key"], r["part"]) for r in firsts.collect())
+        # in one task, as there is but a row for each INDEX_TASK_ROWS captures
+        runs = runs.withColumn("part", F.expr(f"(row_number() over (order by first_key, last_key, run) - 1) div {step}").cast("int"))
+        firsts = runs.groupBy("part").agg(F.min("first_key").alias("first_key")).orderBy("part").collect()
+        firsts = [(r["first_key"], r["part"]) for r in firsts]
         held = self.spark.sparkContext.broadcast(([k for k, _ in firsts], [r for _, r in firsts]))
 
         def dealt(batches):
@@ -263,7 +265,7 @@ class Archive:
         def matched(asked, own):
             import pandas as pd
 
-            own = own.sort_values(["run", "first_key"], kind="stable")
+            own = own.sort_values(["first_key", "last_key"], kind="stable")
             directory, data, rows = own["first_key"].tolist(), own["data"].tolist(), []
             last, lines, names = None, [], []
             for key in sorted(asked["key"]):
@@ -280,7 +282,7 @@ class Archive:
             return pd.DataFrame({"key": pd.Series(cols[0], dtype=object), "file": pd.Series(cols[1], dtype=object), "at": pd.array(cols[2], "int64"), "size": pd.array(cols[3], "int64")})
 
         spread = wanted.mapInArrow(dealt, "key string, part int")
-        parts = blocks.select(F.expr(f"run div {step}").cast("int").alias("part"), "run", "first_key", "data")
+        parts = blocks.join(runs.select("run", "part"), "run").select("part", "first_key", "last_key", "data")
         return spread.groupBy("part").cogroup(parts.groupBy("part")).applyInPandas(matched, "key string, file string, at long, size long")
 
     def read(self, places: DataFrame, tasks: int | None = None) -> DataFrame:
