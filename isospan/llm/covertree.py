@@ -403,7 +403,7 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_id
     cells, total = _cells(rows)
     parts, n_parts = _dealt(_in_cells(rows, cells), PART_BYTES, "part")
     parts = cut(parts.select("part", "cell", "vec_id", "v").repartitionByRange(max(1, n_parts), "part").sortWithinPartitions("part", "cell"))
-    placed, n_blocks = _dealt(_in_cells(asked, cells), BLOCK_BYTES, "block")
+    placed, _ = _dealt(_in_cells(asked, cells), BLOCK_BYTES, "block")
     placed = cut(placed.withColumn("key", F.monotonically_increasing_id()))
 
     def blocks(with_floor: DataFrame, name: str) -> str:
@@ -412,10 +412,12 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_id
         return f"{root}/{name}"
 
     first = blocks(placed.withColumn("floor", F.lit(NONE)), "first")
-    near = cut(parts.mapInArrow(_searched(first, each, True), _FOUND))
-    kth = near.withColumn("_n", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score")))).where(F.col("_n") == each).select("key", F.col("score").alias("floor"))
-    then = blocks(placed.join(kth, "key", "left").withColumn("floor", F.coalesce("floor", F.lit(NONE))), "then")
-    found = near.union(parts.mapInArrow(_searched(then, each, False), _FOUND))
+    found = parts.mapInArrow(_searched(first, each, True), _FOUND)
+    if max(map(len, cells.values()), default=0) > 1:  # else no query has another cell
+        near = cut(found)
+        kth = near.withColumn("_n", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score")))).where(F.col("_n") == each).select("key", F.col("score").alias("floor"))
+        then = blocks(placed.join(kth, "key", "left").withColumn("floor", F.coalesce("floor", F.lit(NONE))), "then")
+        found = near.union(parts.mapInArrow(_searched(then, each, False), _FOUND))
     mine = Window.partitionBy("key", "own").orderBy("score")
     order = Window.partitionBy("key").orderBy(F.desc("score"), "vec_id")
     others = found.withColumn("_own", F.row_number().over(mine)).where(~(F.col("own") & (F.col("_own") == 1)))
