@@ -11,8 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import pieces_of, shuffle_partitions, text_bytes
+
 SHINGLE = 5
 K = 256
+BUCKET_BYTES = 128_000_000  # of text in a range of ids
+MOST_BUCKETS = 16_384  # more bytes than these hold make longer ranges
 _SPAN = float(2**64)
 
 
@@ -82,7 +86,7 @@ def _range_bounds(docs: DataFrame, id_col: str, buckets: int):
     to the driver is bounded by the bucket count whatever the input size.
     """
     row = docs.agg(
-        F.percentile_approx(id_col, [i / buckets for i in range(1, buckets)] or [0.5], 100 * buckets).alias("b"),
+        F.percentile_approx(id_col, [i / buckets for i in range(1, buckets)] or [0.5], 10 * buckets).alias("b"),
         F.min(id_col).alias("least"),
         F.max(F.col(id_col).isNull()).alias("nulls"),
     ).first()
@@ -100,16 +104,19 @@ def with_next(docs: DataFrame, buckets: int, id_col: str = "doc_id", text_col: s
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     bounds, least, nulls = _range_bounds(rows, "doc_id", buckets)
     last = len(bounds)
+    rows = rows.crossJoin(F.broadcast(docs.sparkSession.createDataFrame([(bounds,)], "bounds array<bigint>")))
     sought = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
-    held = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array().cast("array<bigint>")
-    own = F.size(F.filter(held, lambda b: b <= sought)) if bounds else F.lit(0)
+    halves = [1 << i for i in range(last.bit_length() - 1, -1, -1)]
+    # binary search for how many bounds are not above the id
+    step = lambda at, h: at + F.when(F.get("bounds", at + h - 1) <= sought, h).otherwise(F.lit(0))
+    own = F.aggregate(F.array(*map(F.lit, halves)), F.lit(0), step) if halves else F.lit(0)
+    rows = rows.select("doc_id", "text", own.alias("own"), F.coalesce(F.get("bounds", own - 1) == sought, F.lit(False)).alias("opens")) if halves else rows.select("doc_id", "text", own.alias("own"), F.lit(False).alias("opens"))
     first = F.col("doc_id").isNull() if nulls else F.col("doc_id") == F.lit(least)
-    opens = F.array_contains(held, sought) if bounds else F.lit(False)
     at = lambda b, guest: F.struct(b.cast("int").alias("bucket"), F.lit(guest).alias("guest"))
-    places = F.when(first, F.array(at(own, 0), at(F.lit(last), 1))).when(opens, F.array(at(own, 0), at(own - 1, 1))).otherwise(F.array(at(own, 0)))
-    dealt = rows.withColumn("_own", own).select("doc_id", "text", F.explode(places).alias("p")).select("p.bucket", "p.guest", "doc_id", "text")
-    order = _order()
-    return dealt.withColumn("next_text", F.lead("text").over(order))
+    mine = F.col("own")
+    places = F.when(first, F.array(at(mine, 0), at(F.lit(last), 1))).when(F.col("opens"), F.array(at(mine, 0), at(mine - 1, 1))).otherwise(F.array(at(mine, 0)))
+    dealt = rows.select("doc_id", "text", F.explode(places).alias("p")).select("p.bucket", "p.guest", "doc_id", "text")
+    return dealt.withColumn("next_text", F.lead("text").over(_order()))
 
 
 def _order():
@@ -123,7 +130,7 @@ def edited(text: Column, follower: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), n - half), F.substring(follower, F.lit(1), half))
 
 
-def fingerprint_edits(docs: DataFrame, buckets: int, shingle: int = SHINGLE, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprint_edits(docs: DataFrame, buckets: int | None = None, shingle: int = SHINGLE, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of each text and of its edit with the next document's start.
 
     Columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
@@ -136,6 +143,8 @@ def fingerprint_edits(docs: DataFrame, buckets: int, shingle: int = SHINGLE, k:
     lone document follows itself. An empty table gives no rows; other columns
     of the table are ignored.
     """
+    if buckets is None:
+        buckets = min(MOST_BUCKETS, pieces_of(text_bytes(docs, text_col)[1], BUCKET_BYTES, 4 * shuffle_partitions(docs.sparkSession)))
     rows = with_next(docs, buckets, id_col, text_col)
     rows = sketch_text(rows, "text", "sketch", shingle, k)
     rows = rows.withColumn("next_sketch", F.lead("sketch").over(_order())).where("guest = 0")

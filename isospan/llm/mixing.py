@@ -42,7 +42,8 @@ def share_out(sizes: list[int], weights: list[float], most: int = MOST) -> list[
         for i in over:
             out[i] = float(most * sizes[i])
         left -= math.fsum(out[i] for i in over)
-        open_ = [i for i in open_ if i not in set(over)]
+        capped = set(over)
+        open_ = [i for i in open_ if i not in capped]
     return out
 
 

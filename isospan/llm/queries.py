@@ -6,10 +6,9 @@ from .common import read_table
 
 
 def op1_fingerprints(spark, sf_dir):
-    from .common import shuffle_partitions
     from .fingerprints import fingerprint_edits
 
-    return fingerprint_edits(read_table(spark, sf_dir, "documents"), buckets=4 * shuffle_partitions(spark))
+    return fingerprint_edits(read_table(spark, sf_dir, "documents"))
 
 
 def op2_suffix_dedup(spark, sf_dir):
