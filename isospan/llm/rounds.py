@@ -21,10 +21,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces_of, shuffle_partitions
+from .common import pieces_of
 
 GROUP_BYTES = 1_500_000
-TASK_BYTES = 32_000_000  # of text in a task, by whose number all rounds are dealt
+TASK_BYTES = 16_000_000  # of text in a task, by whose number all rounds are dealt
+MOST_TASKS = 100_000  # beyond these tasks take more, a group at a time all the same
 NOTE = -1
 NO_ID = 2**63 - 1  # stands for a null id, which ranks after every other
 
@@ -47,7 +48,7 @@ def grouped(docs: DataFrame, total_bytes: int, id_col: str, text_col: str, more:
 
 
 def _tasks(spark, total_bytes: int) -> int:
-    return pieces_of(total_bytes, TASK_BYTES, shuffle_partitions(spark))
+    return min(MOST_TASKS, pieces_of(total_bytes, TASK_BYTES, spark.sparkContext.defaultParallelism))
 
 
 def ordered(pdf):
