@@ -116,8 +116,10 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, id_col: str
 def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> DataFrame:
     """docs as the mix takes them: a document repeats for each whole time it is
     taken, and once more with only its first words where a source's budget ends
-    inside it. Documents without words are kept once. Columns are docs' own; a
-    source's documents are not shuffled, they only meet its row of the plan.
+    inside it. Documents without words, null texts among them, are kept once; a
+    null source is a source of its own, null ids and repeated rows are documents
+    like others, an empty table stays empty. Columns are docs' own; a source's
+    documents are not shuffled, they only meet its row of the plan.
     """
     names = docs.columns
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), "doc_id", "text", "source")

@@ -44,13 +44,18 @@ def grouped(docs: DataFrame, total_bytes: int, id_col: str, text_col: str, more:
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), text.cast("binary").alias("text"), *more)
     key = F.xxhash64("doc_id", "text")
     out = rows.select(F.pmod(key, F.lit(n)).cast("int").alias("doc_group"), "doc_id", "text", *[c for c in rows.columns if c not in ("doc_id", "text")])
-    return out.repartition(_tasks(docs.sparkSession, total_bytes), "doc_group")
+    return _dealt(out, "doc_group", _tasks(docs.sparkSession, total_bytes))
 
 
 def _tasks(spark, total_bytes: int) -> int:
     return min(MOST_TASKS, pieces_of(total_bytes, TASK_BYTES, spark.sparkContext.defaultParallelism))
 
 
+def _dealt(df: DataFrame, number: str, tasks: int) -> DataFrame:
+    """df dealt over tasks in turn by a number; by its hash some would get several times their share."""
+    return df.withColumn("_slot", F.pmod(number, F.lit(tasks))).repartitionById(tasks, F.col("_slot"))
+
+
 def ordered(pdf):
     """A group's rows in an order that does not depend on how they arrived."""
     return pdf.sort_values(["doc_id", "text"], kind="stable").reset_index(drop=True)
@@ -74,8 +79,8 @@ def ask(groups: DataFrame, question: Callable, answer: Callable, buckets: int, t
         return _frame(rows, "bucket", "doc_group")
 
     schema = "bucket int, doc_group int, blob binary"
-    packets = groups.groupBy("doc_group").applyInPandas(lambda pdf: put(pdf), schema) if told is None else beside(groups, told, put, schema, total_bytes)
-    tasks = _tasks(groups.sparkSession, total_bytes)
+    packets = groups.groupBy("_slot", "doc_group").applyInPandas(lambda pdf: put(pdf), schema) if told is None else beside(groups, told, put, schema, total_bytes)
+    tasks = min(buckets, MOST_TASKS)
 
     def reply(pdf):
         pdf = pdf.sort_values("doc_group")
@@ -84,7 +89,7 @@ def ask(groups: DataFrame, question: Callable, answer: Callable, buckets: int, t
             return _frame([(group, NOTE, blob) for group, blob in sent], "doc_group", "bucket")
         return _frame([(group, bucket, blob) for group, blob in answer(sent)], "doc_group", "bucket")
 
-    return packets.repartition(tasks, "bucket").groupBy("bucket").applyInPandas(reply, "doc_group int, bucket int, blob binary")
+    return _dealt(packets, "bucket", tasks).groupBy("_slot", "bucket").applyInPandas(reply, "doc_group int, bucket int, blob binary")
 
 
 def _frame(rows: list[tuple], first: str, second: str):
@@ -107,8 +112,8 @@ def beside(groups: DataFrame, told: DataFrame, use: Callable, schema: str, total
             return pd.DataFrame({f.split()[0]: [] for f in schema.split(", ")})  # no such group
         return use(left, dict(zip(right["bucket"].tolist(), right["blob"].tolist())))
 
-    told = told.repartition(_tasks(groups.sparkSession, total_bytes), "doc_group")
-    return groups.groupBy("doc_group").cogroup(told.groupBy("doc_group")).applyInPandas(both, schema)
+    told = _dealt(told, "doc_group", _tasks(groups.sparkSession, total_bytes))
+    return groups.groupBy("_slot", "doc_group").cogroup(told.groupBy("_slot", "doc_group")).applyInPandas(both, schema)
 
 
 def shared_tags(packets: list[tuple[int, bytes]], hot: int) -> list[tuple[int, bytes]]:
