@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import warnings
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..errors import SpineError, need_columns, one_of
+from ..errors import SpineError, SpineWarning, need_columns, one_of
 from .panel import numeric_columns
 from .prefix import free_names, sums_below
 
@@ -64,15 +65,19 @@ def _not_negative(w):
     return F.when(w < 0, F.raise_error(F.lit("weights must not be negative"))).otherwise(w)
 
 
-def theil(df: DataFrame, value: str, weight: str | None = None, groups: str | None = None) -> DataFrame:
+def theil(df: DataFrame, value: str, weight: str | None = None, groups: str | None = None, warn: bool = False) -> DataFrame:
     """One row (theil), or with groups the rows total, between and within with shares.
 
-    Values not above 0 are left out; a negative weight is an error. Two
-    aggregates, one shuffle.
+    Values not above 0 are left out (warn runs a job that says how many); a
+    negative weight is an error. Two aggregates, one shuffle.
     """
     need_columns(df, value, weight, groups)
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
     rows = df.select(F.col(value).cast("double").alias("x"), w.alias("w"), (F.col(groups) if groups else F.lit(0)).alias("g")).where("x > 0 and w is not null and g is not null").withColumn("w", _not_negative(F.col("w")))
+    if warn:
+        left_out = df.where(F.col(value).cast("double") <= 0).count()
+        if left_out:
+            warnings.warn(f"{left_out} values that are not above 0 are left out", SpineWarning, stacklevel=2)
     per = rows.groupBy("g").agg(F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("x")).alias("sx"), F.sum(F.col("w") * F.col("x") * F.ln("x")).alias("sl"))
     whole = per.agg(F.sum("sw").alias("W"), F.sum("sx").alias("X"), F.sum("sl").alias("L"), F.sum(F.col("sx") * F.ln(F.try_divide(F.col("sx"), F.col("sw")))).alias("B"))
     mean = F.ln(F.try_divide(F.col("X"), F.col("W")))

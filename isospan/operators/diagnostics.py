@@ -10,7 +10,7 @@ from ..functions.text import jaro_bound, jaro_distance
 from ..refdata import historical_aliases, historical_codes
 from ..refdata.crosswalk import crosswalk, rows
 from ..refdata.historical import ALIASES, ENTITIES, historical_key
-from .resolve import resolved
+from .resolve import resolved, warn_unmatched
 
 SUGGEST_BELOW = 0.35
 SUGGEST_EDITS = 3
@@ -80,9 +80,10 @@ def repair_country_names(df: DataFrame, col: str, threshold: float = 0.2, origin
     return done.select(*kept), repairs
 
 
-def dissolve_country(df: DataFrame, col: str) -> DataFrame:
+def dissolve_country(df: DataFrame, col: str, warn: bool = False) -> DataFrame:
     """(input, historical, dissolved, iso3c, country): a row per successor of a
-    dissolved entity, one for any other input; input rows keep their number."""
+    dissolved entity, one for any other input; input rows keep their number.
+    warn runs one job that says how many names are neither."""
     need_columns(df, col)
     spark = df.sparkSession
     names = df.select(F.col(f"`{col}`").cast("string").alias("input"))
@@ -92,7 +93,10 @@ def dissolve_country(df: DataFrame, col: str) -> DataFrame:
     modern = F.array(F.struct(F.lit(None).cast("string").alias("historical"), F.lit(None).cast("int").alias("dissolved"), F.col("_iso").alias("iso3c"), F.lit(None).cast("string").alias("country")))
     long = work.select("input", F.explode(F.coalesce("after", modern)).alias("s")).select("input", "s.historical", "s.dissolved", "s.iso3c", "s.country")
     name = crosswalk(spark).select(F.col("iso3c").alias("_c"), F.col("country").alias("_name"))
-    return long.join(F.broadcast(name), F.col("iso3c") == F.col("_c"), "left").select("input", "historical", "dissolved", "iso3c", F.coalesce("country", "_name").alias("country"))
+    out = long.join(F.broadcast(name), F.col("iso3c") == F.col("_c"), "left").select("input", "historical", "dissolved", "iso3c", F.coalesce("country", "_name").alias("country"))
+    if warn:
+        warn_unmatched(out.where("historical is null"), "input")
+    return out
 
 
 def ordinal(df: DataFrame, order: list, out: str = "ord") -> DataFrame:

@@ -159,9 +159,10 @@ def per_capita(df: DataFrame, value: str, pop: str | None = None, population: Da
         if population is None:
             raise SpineError("name the population column or give a population table")
         keys = [ISO, YEAR] if YEAR in df.columns and YEAR in population.columns else [ISO]
-        table = population.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.first("population", ignorenulls=True).alias("_pop"))
-        cond = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-        work, name = df.join(table, cond[0] if len(cond) == 1 else cond[0] & cond[1], "left"), "_pop"
+        *held, name = free_names(df, *[f"key_{k}" for k in keys], "people")
+        table = population.groupBy(*[F.col(k).alias(h) for k, h in zip(keys, held)]).agg(F.first("population", ignorenulls=True).alias(name))
+        cond = [F.col(k).eqNullSafe(F.col(h)) for k, h in zip(keys, held)]
+        work = df.join(table, cond[0] if len(cond) == 1 else cond[0] & cond[1], "left")
     need_columns(work, name)
     out = work.withColumn(f"{value}{suffix}", F.try_divide(F.col(value).cast("double"), F.col(name).cast("double")))
     return out.select(*dict.fromkeys([*df.columns, f"{value}{suffix}"]))

@@ -12,6 +12,7 @@ from ..functions.geo import great_circle, haversine_km, project
 from ..functions.stats import natural_breaks
 from .aggregate import keep_first
 from .joins import spine_join
+from .prefix import free_names
 from .resolve import resolved
 
 JENKS_VALUES = 4000
@@ -69,10 +70,11 @@ def world_map(df: DataFrame, fill: str, style: str = "continuous", n_bins: int =
 
 def bivariate_classes(df: DataFrame, x: str, y: str, dim: int = 3, out: str = "class") -> DataFrame:
     """df with "i-j", the quantile classes of two variables."""
-    work = classified(df, x, compute_breaks(df, x, "quantile", dim), "_x")
-    work = classified(work, y, compute_breaks(df, y, "quantile", dim), "_y")
-    code = F.when(F.col("_x").isNotNull() & F.col("_y").isNotNull(), F.concat_ws("-", "_x", "_y"))
-    return work.withColumn(out, code).select(*df.columns, out)
+    a, b = free_names(df, "class_x", "class_y")
+    work = classified(df, x, compute_breaks(df, x, "quantile", dim), a)
+    work = classified(work, y, compute_breaks(df, y, "quantile", dim), b)
+    code = F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.concat_ws("-", a, b))
+    return work.withColumn(out, code).select(*dict.fromkeys([*df.columns, out]))
 
 
 def bubble_points(df: DataFrame, size: str, centroids: DataFrame) -> DataFrame:
@@ -145,7 +147,15 @@ def label_points(df: DataFrame, flags: bool = False) -> DataFrame:
 def globe_view(df: DataFrame, lon: float = 0.0, lat: float = 0.0) -> DataFrame:
     """df (long, lat) with orthographic x, y and visible."""
     p = project(F.col("long"), F.col("lat"), "orthographic", lon, lat)
-    return df.withColumn("_p", p).select("*", "_p.x", "_p.y", "_p.visible").drop("_p")
+    return df.withColumns({n: p[n] for n in ("x", "y", "visible")})
+
+
+def globe_map(data: DataFrame, frame: DataFrame, fill: str, lon: float = 0.0, lat: float = 0.0, style: str = "continuous", n_bins: int = 5) -> DataFrame:
+    """frame with data's columns, classes of fill where a style asks for them, and
+    its place on the globe seen from (lon, lat)."""
+    from .joins import attach_geometry
+
+    return globe_view(attach_geometry(world_map(data, fill, style, n_bins), frame), lon, lat)
 
 
 def globe_frames(n_frames: int = 60) -> list[float]:

@@ -7,10 +7,10 @@ that is missing or broken gives no rows and a warning, as a remote API would.
 
 from __future__ import annotations
 
-import os
 import warnings
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThanOrEqual, InputPartition, LessThanOrEqual
@@ -48,16 +48,25 @@ class _Reader(DataSourceReader):
         return [_Code(c) for c in self.codes] or [_Code("")]
 
     def read(self, partition):
+        import pyarrow as pa
         import pyarrow.compute as pc
         import pyarrow.dataset as ds
+        from pyarrow import fs
 
-        folder = os.path.join(self.root, partition.code)
-        if not partition.code or not os.path.exists(folder):
+        if not partition.code:
+            return
+        uri = f"{self.root.rstrip('/')}/{partition.code}"
+        if uri.startswith("file:/") and not uri.startswith("file:///"):
+            uri = "file://" + uri[len("file:") :]
+        store, folder = fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
+        if store.get_file_info(folder).type == fs.FileType.NotFound:
             return
         year = pc.field("year")
-        table = ds.dataset(folder, format="parquet").to_table(columns=["iso3c", "iso2c", "country", "year", "value"], filter=(year >= self.first) & (year <= self.last))
-        for r in table.to_pylist():
-            yield (partition.code, r["iso3c"], r["iso2c"], r["country"], r["year"], r["value"])
+        found = ds.dataset(folder, filesystem=store, format="parquet").scanner(columns=["iso3c", "iso2c", "country", "year", "value"], filter=(year >= self.first) & (year <= self.last))
+        schema = pa.schema([("code", pa.string()), ("iso3c", pa.string()), ("iso2c", pa.string()), ("country", pa.string()), ("year", pa.int32()), ("value", pa.float64())])
+        for batch in found.to_batches():
+            columns = [batch.column(f.name).cast(f.type) for f in list(schema)[1:]]
+            yield pa.RecordBatch.from_arrays([pa.array([partition.code] * batch.num_rows, pa.string()), *columns], schema=schema)
 
 
 class IndicatorSource(DataSource):
@@ -118,8 +127,9 @@ def fetch_indicators(spark: SparkSession, root: str, indicator, start: int, end:
     if key:
         try:
             return spark.read.parquet(key)
-        except Exception:  # noqa: S110  not cached yet
-            pass
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":  # anything but a table not cached yet
+                raise
     out = merge_indicators(read_long(spark, root, list(names.values())).where(F.col("year").between(start, end)), names)
     if key:
         out.write.mode("overwrite").parquet(key)

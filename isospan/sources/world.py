@@ -77,9 +77,27 @@ def country_data(spark: SparkSession, root: str | None, year, indicator=None, la
     return out.select(*lead, *[c for c in out.columns if c not in lead])
 
 
-def world_data(spark: SparkSession, root: str | None, year, indicator=None, geometry: DataFrame | None = None, mode: str = "polygon", **options) -> DataFrame:
-    """country_data, and with a frame its geometry LEFT JOIN the data."""
-    one_of("geometry", mode, ("polygon", "none"))
+def world_data(spark: SparkSession, root: str | None, year, indicator=None, geometry: DataFrame | None = None, mode: str = "polygon", projection: str | None = None, recenter: float = 0.0, region=None, **options) -> DataFrame:
+    """country_data, and with a frame its geometry LEFT JOIN the data.
+
+    mode polygon gives a row per vertex, sf one per country with its shape as
+    well-known binary, none the data alone. A region keeps its countries; a
+    projection moves the shapes, recenter is its middle longitude.
+    """
+    from ..operators.spatial import split_antimeridian
+    from ..sinks.export import wkb_frame
+    from .geometry import projected, world_geometry
+
+    one_of("geometry", mode, ("polygon", "sf", "none"))
     years = validate_years(year)
     data = country_data(spark, root, years, indicator, panel=len(years) > 1, **options)
-    return data if geometry is None or mode == "none" else attach_geometry(data, geometry)
+    if geometry is None or mode == "none":
+        return data
+    frame = world_geometry(geometry, region=region)
+    if projection:
+        shifted = F.pmod(F.col("long") - recenter + 180, F.lit(360.0)) - 180 + recenter if recenter else F.col("long")
+        frame = split_antimeridian(frame.withColumn("long", shifted)) if recenter else frame
+        frame = projected(frame, projection, recenter)
+    if mode == "sf":
+        return attach_geometry(data, wkb_frame(frame.select("iso3c", "group", "order", "long", "lat")))
+    return attach_geometry(data, frame)
