@@ -233,27 +233,91 @@ def locate_country(points: DataFrame, frame: DataFrame, lon: str = "lon", lat: s
     return with_attributes(joined.select(*kept, F.col(found).alias(out)), add, out)
 
 
+def effective_areas(points: list[tuple], fixed: list[bool]) -> list[float]:
+    """For each vertex of a ring, the area of the triangle it made with its
+    neighbours when it was the least one left to drop, never less than of those
+    dropped before it; infinite for fixed vertices.
+
+    The ring is read from its least fixed (or least) vertex in the direction of
+    the lesser neighbour, stretch by stretch between fixed ones, so that rings
+    that share a stretch get the same areas for it.
+    """
+    import heapq
+
+    n = len(points)
+    if n < 4:
+        return [float("inf")] * n
+    pinned = [i for i in range(n) if fixed[i]] or [min(range(n), key=lambda i: points[i])]
+    out = [float("inf")] * n
+
+    def stretch(path):
+        if points[path[-1]] < points[path[0]] or (points[path[0]] == points[path[-1]] and points[path[-2]] < points[path[1]]):
+            path = path[::-1]
+        before, after = {b: a for a, b in zip(path, path[1:])}, {a: b for a, b in zip(path, path[1:])}
+        first, last = path[0], path[-1]
+
+        def area(i):
+            (x0, y0), (x1, y1), (x2, y2) = points[before[i]], points[i], points[after[i]]
+            return abs((x1 - x0) * (y2 - y0) - (x2 - x0) * (y1 - y0)) / 2
+
+        now = {i: area(i) for i in path[1:-1]}
+        heap, done = [(a, points[i], i) for i, a in now.items()], 0.0
+        heapq.heapify(heap)
+        while heap:
+            a, _, i = heapq.heappop(heap)
+            if now.get(i) != a:
+                continue
+            out[i] = done = max(done, a)
+            del now[i]
+            p, q = before[i], after[i]
+            after[p], before[q] = q, p
+            for j in (p, q):
+                if j in now:
+                    now[j] = area(j)
+                    heapq.heappush(heap, (now[j], points[j], j))
+        return first, last
+
+    for a, b in zip(pinned, [*pinned[1:], pinned[0] + n]):
+        path = [i % n for i in range(a, b + 1)]
+        if len(path) > 2 and path[0] != path[-1]:
+            stretch(path)
+        elif len(path) > 2:  # one pinned vertex: cut the ring at it and at the farthest one
+            far = max(path[1:-1], key=lambda i: ((points[i][0] - points[a][0]) ** 2 + (points[i][1] - points[a][1]) ** 2, points[i]))
+            at = path.index(far)
+            for part in (path[: at + 1], path[at:]):
+                if len(part) > 2:
+                    stretch(part)
+    return out
+
+
 def simplify_geometry(frame: DataFrame, keep: float = 0.05) -> DataFrame:
     """A polygon frame with about `keep` of its vertices.
 
-    Vertices are ranked by the area of the triangle they make with their
-    neighbours (least first to go). Shared vertices stay shared: a vertex of
-    several countries is kept or dropped everywhere by its largest area.
-    Rings keep four vertices or more.
+    The vertex whose triangle with its neighbours is least goes first, areas
+    being worked out again as neighbours go; one limit holds for the whole
+    frame. Vertices where outlines meet or part stay, and a stretch that two
+    rings share keeps the same vertices in both. Rings keep four vertices or more.
     """
     need_columns(frame, "iso3c", "group", "order", "long", "lat")
     if not 0 < keep <= 1:
         raise SpineError("keep must be above 0 and at most 1")
     from pyspark.sql import Window
-
-    w = Window.partitionBy("group").orderBy("order")
-    ends = Window.partitionBy("group").orderBy("order").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    px, py = (F.coalesce(F.lag(c).over(w), F.last(c).over(ends)) for c in ("long", "lat"))
-    nx, ny = (F.coalesce(F.lead(c).over(w), F.first(c).over(ends)) for c in ("long", "lat"))
-    area = F.abs((F.col("long") - px) * (ny - py) - (nx - px) * (F.col("lat") - py)) / 2
-    size, least, place = free_names(frame, "size", "least", "place")
-    work = frame.withColumn(size, area)
-    work = work.withColumn(size, F.max(size).over(Window.partitionBy(F.round("long", 6), F.round("lat", 6))))
+    from pyspark.sql import types as T
+
+    edges = ring_edges(frame.withColumns({"long": F.round("long", 6), "lat": F.round("lat", 6)})).select("p", "q")
+    joints = edges.union(edges.select("q", "p")).distinct().groupBy("p").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
+    x, y, joint, size, least, place = free_names(frame, "x", "y", "joint", "size", "least", "place")
+    joints = joints.select(F.col("p.x").alias(x), F.col("p.y").alias(y), F.lit(True).alias(joint))
+    flagged = frame.join(joints, (F.round("long", 6) == F.col(x)) & (F.round("lat", 6) == F.col(y)), "left").select(*frame.columns, F.coalesce(joint, F.lit(False)).alias(joint))
+
+    def sized(pdf):
+        pdf = pdf.sort_values("order")
+        points = list(zip(pdf["long"].round(6).tolist(), pdf["lat"].round(6).tolist()))
+        closed = len(points) > 1 and points[0] == points[-1]
+        got = effective_areas(points[:-1] if closed else points, pdf[joint].tolist()[: len(points) - closed])
+        return pdf.drop(columns=joint).assign(**{size: got + got[:1] * closed})
+
+    work = flagged.groupBy("group").applyInPandas(sized, T.StructType([*frame.schema.fields, T.StructField(size, T.DoubleType())]))
     cut = work.agg(F.percentile_approx(size, 1 - keep, 10000).alias(least))
     best = F.row_number().over(Window.partitionBy("group").orderBy(F.desc(size), "order"))
     return work.crossJoin(F.broadcast(cut)).withColumn(place, best).where((F.col(size) >= F.col(least)) | (F.col(place) <= 4)).select(*frame.columns)

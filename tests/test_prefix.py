@@ -104,3 +104,20 @@ def test_points_across_the_antimeridian(spark, monkeypatch):
         monkeypatch.setattr(spatial, "BROADCAST_VERTICES", most)
         got = {r["k"]: r["iso3c"] for r in locate_country(points, frame, tolerance_km=25).collect()}
         assert got == {1: "FJI", 2: "FJI", 3: None, 4: None}
+
+
+def test_simplified_neighbours_still_share_their_border(spark):
+    from isospan.operators.spatial import simplify_geometry
+
+    rng = random.Random(2)
+    border = [(10 + rng.uniform(-0.2, 0.2), y / 4) for y in range(1, 40)]
+    left = [(0.0, 0.0), (10.0, 0.0), *border, (10.0, 10.0), (0.0, 10.0)]
+    right = [(20.0, 0.0), (20.0, 10.0), (10.0, 10.0), *border[::-1], (10.0, 0.0)]
+    island = [(30 + (5 if k % 2 else 4.9) * x, 5 + (5 if k % 2 else 4.9) * y) for k, (x, y) in enumerate([(1, 0), (0.7, 0.7), (0, 1), (-0.7, 0.7), (-1, 0), (-0.7, -0.7), (0, -1), (0.7, -0.7)])]
+    rows = [(c, g, i, x, y) for c, g, ring in (("AAA", 1, left), ("BBB", 2, right), ("CCC", 3, island)) for i, (x, y) in enumerate(ring)]
+    frame = spark.createDataFrame(rows, "iso3c string, `group` int, `order` int, long double, lat double")
+    kept = simplify_geometry(frame, 0.3).collect()
+    on = lambda g: {(r["long"], r["lat"]) for r in kept if r["group"] == g and 9 < r["long"] < 11}
+    assert on(1) == on(2) and {(10.0, 0.0), (10.0, 10.0)} <= on(1) and 2 < len(on(1)) < 30
+    assert len([r for r in kept if r["group"] == 3]) >= 4 and len(kept) < 0.5 * len(rows)
+    assert simplify_geometry(frame, 1.0).count() == len(rows)
