@@ -8,9 +8,6 @@ from .functions.geo import haversine_km, project
 from .operators import aggregate, diagnostics, joins, panel, resolve, spatial, stats, viz_prep
 from .plans import fixtures as fx
 from .refdata import GROUPS, common_indicators, historical_codes, indicator_search
-from .refdata.historical import ALIASES, ENTITIES
-from .refdata.indicators import INDICATORS
-from .refdata.overrides import OVERRIDES
 from .sinks import world_query
 from .sources import indicators as ind
 from .sources.geometry import world_geometry
@@ -63,10 +60,15 @@ def standardize_alias(spark, sf):
     return resolve.standardize_country(fx.people(spark, sf), "country", add=("iso2c", "continent")).select("c_custkey", "iso3c", "iso2c", "continent")
 
 
-_NAMES = [*OVERRIDES, "Wakanda"]
+# Expected codes, written out beside the table that the resolver reads.
+_NAMED = """Ascension Island=SHN|Azores=PRT|Barbuda=ATG|Bonaire=BES|Canary Islands=ESP|Chagos Archipelago=IOT|Grenadines=VCT|Heard Island=HMD|Kosovo=XKX|Madeira Islands=PRT|Micronesia=FSM|Saba=BES|Saint Martin=MAF|
+Siachen Glacier=IND|Sint Eustatius=BES|Virgin Islands=VIR|Saint Barthelemy=BLM|Curacao=CUW|Madeira=PRT|Federated States of Micronesia=FSM|Micronesia, Fed. Sts.=FSM|Virgin Islands, U.S.=VIR|British Virgin Islands=VGB|
+Channel Islands=GBR|Kosovo, Republic of=XKX|Wakanda=""".replace("\n", "")
+_NAMES = [pair.split("=")[0] for pair in _NAMED.split("|")]
 
 
-@query(f"""SELECT c_custkey, name, iso3c FROM customer JOIN (VALUES {fx.values([(i, n, OVERRIDES.get(n)) for i, n in enumerate(_NAMES)])}) o(i, name, iso3c) ON c_custkey % {len(_NAMES)} = i""")
+@query(f"""SELECT c_custkey, string_split(pair, '=')[1] AS name, nullif(string_split(pair, '=')[2], '') AS iso3c FROM (
+  SELECT c_custkey, string_split('{_NAMED}', '|')[c_custkey % {len(_NAMES)} + 1] AS pair FROM customer)""")
 def standardize_override(spark, sf):
     names = F.array(*map(F.lit, _NAMES))
     df = fx.table(spark, sf, "customer").select("c_custkey", F.element_at(names, (F.col("c_custkey") % len(_NAMES) + 1).cast("int")).alias("name"))
@@ -109,7 +111,7 @@ def country_groups(spark, sf):
     return groups(spark).select("group", "iso3c")
 
 
-@query(f"""SELECT c_custkey, coalesce(iso3c IN ({", ".join(f"'{c}'" for c in GROUPS["G20"].split())}), false) AS in_group FROM people""")
+@query("""SELECT c_custkey, iso3c IN ('ARG', 'AUS', 'BRA', 'CAN', 'CHN', 'DEU', 'FRA', 'GBR', 'IDN', 'IND', 'ITA', 'JPN', 'KOR', 'MEX', 'RUS', 'SAU', 'TUR', 'USA', 'ZAF') AS in_group FROM people""")
 def in_group(spark, sf):
     return resolve.in_group(fx.people(spark, sf), "country", "G20").select("c_custkey", "in_group")
 
@@ -225,11 +227,14 @@ def repair_names(spark, sf):
 
 
 _OLD = ["ussr", "Yugoslavia", " Czecho-Slovakia", "France", "Wakanda", "GDR", "Zanzibar", "Former Sudan"]
-_AFTER = [(e, year, c) for e, _, year, cs in ENTITIES for c in cs.split()]
+# Expected successors, written out beside the table that the operator reads.
+_SUCCESSORS = """Soviet Union=1991=ARM AZE BLR EST GEO KAZ KGZ LTU LVA MDA RUS TJK TKM UKR UZB|Yugoslavia=1992=BIH HRV MKD MNE SRB SVN XKX|Serbia and Montenegro=2006=MNE SRB XKX|Czechoslovakia=1993=CZE SVK|East Germany=1990=DEU|
+Netherlands Antilles=2010=BES CUW SXM|North Yemen=1990=YEM|South Yemen=1990=YEM|Sudan (former)=2011=SDN SSD|United Arab Republic=1961=EGY SYR|Tanganyika=1964=TZA|Zanzibar=1964=TZA|North Vietnam=1976=VNM|South Vietnam=1976=VNM""".replace("\n", "")
+_AFTER = f"SELECT string_split(t, '=')[1] AS e, CAST(string_split(t, '=')[2] AS INTEGER) AS dissolved, unnest(string_split(string_split(t, '=')[3], ' ')) AS code FROM (SELECT unnest(string_split('{_SUCCESSORS}', '|')) AS t)"
 
 
-@query(f""", old(i, input) AS (VALUES {fx.values(enumerate(_OLD))}), alias(a, e) AS (VALUES {fx.values([(a, e) for e, names in ALIASES.items() for a in names])}),
-after(e, dissolved, code) AS (VALUES {fx.values(_AFTER)}), d AS (SELECT i, input, e FROM old LEFT JOIN alias ON lower(regexp_replace(trim(input), '\\s+', ' ', 'g')) = a)
+@query(f""", old(i, input) AS (VALUES {fx.values(enumerate(_OLD))}), alias(input, e) AS (VALUES ('ussr', 'Soviet Union'), ('Yugoslavia', 'Yugoslavia'), (' Czecho-Slovakia', 'Czechoslovakia'), ('GDR', 'East Germany'), ('Zanzibar', 'Zanzibar'), ('Former Sudan', 'Sudan (former)')),
+after AS ({_AFTER}), d AS (SELECT i, input, e FROM old LEFT JOIN alias USING (input))
 SELECT c_custkey, input, e AS historical, dissolved, CASE WHEN e IS NOT NULL THEN code WHEN input = 'France' THEN 'FRA' END AS iso3c
 FROM customer JOIN d ON c_custkey % {len(_OLD)} = i LEFT JOIN after USING (e)""")
 def dissolve_country(spark, sf):
@@ -238,7 +243,7 @@ def dissolve_country(spark, sf):
     return df.join(diagnostics.dissolve_country(df.select("name").distinct(), "name"), F.col("name") == F.col("input")).select("c_custkey", "input", "historical", "dissolved", "iso3c")
 
 
-@query(f"SELECT e AS historical, dissolved, code AS iso3c FROM (VALUES {fx.values(_AFTER)}) t(e, dissolved, code)")
+@query(f"SELECT e AS historical, dissolved, code AS iso3c FROM ({_AFTER})")
 def historical_table(spark, sf):
     return historical_codes(spark).select("historical", "dissolved", "iso3c")
 
@@ -574,7 +579,8 @@ def tile_join(spark, sf):
 # -- sources and sinks --------------------------------------------------------------------
 
 
-@query(f"SELECT code AS indicator, name FROM (VALUES {fx.values([(c, d) for _, c, d in INDICATORS])}) t(code, name) WHERE regexp_matches(name, 'gdp', 'i')")
+@query("""SELECT * FROM (VALUES ('NY.GDP.MKTP.CD', 'GDP (current US$)'), ('NY.GDP.MKTP.KD', 'GDP (constant 2015 US$)'), ('NY.GDP.PCAP.KD', 'GDP per capita (constant 2015 US$)'),
+  ('NY.GDP.PCAP.CD', 'GDP per capita (current US$)'), ('SH.XPD.CHEX.GD.ZS', 'Current health expenditure (% of GDP)')) t(indicator, name)""")
 def indicator_catalogue(spark, sf):
     return indicator_search(common_indicators(spark).select(F.col("code").alias("indicator"), F.col("description").alias("name")), "gdp")
 
