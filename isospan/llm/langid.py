@@ -35,6 +35,7 @@ SPARE = 2
 UNKNOWN = "und"
 NOISE_SHARE = 0.5
 CLEAN_LOST = 0.001
+NOISE_ODDS = 5.0  # log odds a window for noise, at least, to reject a text
 LEAST_PIECE = 4
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -233,7 +234,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, noise: bool = False
     if noise:
         clean = x[y != place[UNKNOWN]]
         logp = np.concatenate([net.predict(clean[at : at + 128], net.tables()) for at in range(0, len(clean), 128)])
-        net.reject = min(0.0, float(np.quantile(margin(logp, place[UNKNOWN]), CLEAN_LOST)))
+        net.reject = min(-NOISE_ODDS, float(np.quantile(margin(logp, place[UNKNOWN]), CLEAN_LOST)))
     return net
 
 
@@ -313,7 +314,7 @@ def recognised(docs: DataFrame) -> DataFrame:
 
     The network learns noise beside the table's own languages: `und` are texts
     without a letter and those that it finds more like noise than all but
-    CLEAN_LOST of the labelled sample. Where no row is labelled nothing is
+    CLEAN_LOST of the labelled sample, and by NOISE_ODDS a window at least. Where no row is labelled nothing is
     learned, and only texts without a letter go. Null texts go. Columns are
     docs' own; repeated rows and null ids stay; an empty table gives no rows.
     """
