@@ -35,7 +35,8 @@ SPARE = 2
 UNKNOWN = "und"
 NOISE_SHARE = 0.5
 CLEAN_LOST = 0.001
-NOISE_ODDS = 5.0  # log odds a window for noise, at least, to reject a text
+NOISE_ODDS = 1.2  # log odds a window for noise, at least, to reject a text
+WHOLE_EVIDENCE = 64  # bytes from which a text's odds count in full
 LEAST_PIECE = 4
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -268,7 +269,8 @@ def predict_texts(net: ByteConvNet | None, texts: list, tables=None, batch: int
         known = np.ones(len(group), bool)
         if net.reject is not None:  # evidence a window, so that long texts are judged like short ones
             unknown = net.languages.index(UNKNOWN)
-            known = margin(sums, unknown) / np.bincount(owner, share, len(group)) >= net.reject
+            some = np.minimum(1, np.bincount(owner, fill, len(group)) / WHOLE_EVIDENCE)  # a few letters say little
+            known = some * margin(sums, unknown) / np.bincount(owner, share, len(group)) >= net.reject
             sums[:, unknown] = -np.inf
         sums -= sums.max(axis=1, keepdims=True)
         prob = np.exp(sums)
