@@ -84,3 +84,9 @@ def test_degenerate(spark, documents):
     assert pack(documents([])).count() == 0
     df = spark.createDataFrame([(None, None), (None, None), (1, "a")], "doc_id long, text string")
     assert sorted(r.length for r in pack(df).collect()) == [1, 1, 2]
+
+
+def test_sequences_are_within_a_hundredth_of_the_least(spark):
+    rows = pack(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).selectExpr("sequence_id", "length").collect()
+    least = -(-sum(r.length for r in rows) // 2048)
+    assert len({r.sequence_id for r in rows}) <= 1.01 * least + 1
