@@ -278,7 +278,7 @@ def keep_one(docs: DataFrame, k: int = STAGE_SHINGLE, least: float = STAGE_LEAST
     stars = star_components(similar_links(docs, rows, k, least), pieces_of(rows.select("node").distinct().count(), STAR_PART_ROWS))
     often = rows.groupBy("node").agg(F.count(F.lit(1)).alias("_rows"))
     total = rows.count()
-    rooted = join_by_key(rows.drop("bands"), stars.withColumnRenamed("u", "node").join(often, "node"), "node", total, "left")
+    rooted = join_by_key(rows.drop("bands"), often.join(stars.withColumnRenamed("u", "node"), "node", "left"), "node", total)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", (-F.col("size")).alias("size"), "sha"))
     kept = rooted.groupBy(F.coalesce("v", "node").alias("root")).agg(first.alias("k")).select(F.col("k.none").alias("_none"), F.coalesce("k.doc_id", F.lit(0)).alias("_id"), F.col("k.sha").alias("_sha"))
     id_ = F.col("doc_id").cast("long")
