@@ -70,5 +70,23 @@ def op10_warc(spark, sf_dir):
     return archive_pages(read_table(spark, sf_dir, "pages"))
 
 
+def op11_whitening(spark, sf_dir):
+    from .whitening import whiten
+
+    return whiten(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_token_files(spark, sf_dir):
+    from .huffman import token_digests
+
+    return token_digests(read_table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark, sf_dir):
+    from .conversations import audit_conversations
+
+    return audit_conversations(read_table(spark, sf_dir, "conversations"), damage=True)
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith(("op", "pii_")) and callable(f)}

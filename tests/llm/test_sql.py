@@ -34,4 +34,4 @@ def test_query_equals_its_sql(spark, sf, duck, name):
 
 def test_a_query_for_each_operator():
     names = list(queries.queries())
-    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10
+    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)] == [1] * 13
