@@ -16,8 +16,11 @@ from __future__ import annotations
 import posixpath
 import re
 import struct
+import sys
 import uuid
 import zlib
+from array import array
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -30,7 +33,7 @@ MAGIC = b"IDHUF1\r\n"
 BLOCK = 512
 SEGMENT = 1024 * BLOCK
 FILE_BYTES = 64_000_000
-WRITER_IDS = 30_000_000  # ids of a writing task
+WRITER_IDS = 10_000_000  # ids of a writing task
 COUNT_TASK_BYTES, COUNT_TASKS = 32_000_000, 4096
 END_ID = 1
 LEAST_LIMIT = 16
@@ -44,15 +47,15 @@ class WordIds:
     """Ids of a vocabulary whose words never cross white space, as little-endian bytes.
 
     Words are met again and again, so that each is encoded once and kept (KEPT of
-    them at most). Words of plain letters, digits and punctuation go straight to
-    the library's merges in the pieces its pattern would cut; others go through
-    the whole of it. Texts with the control characters that only Python takes for
-    white space are encoded as they are.
+    them at most). Texts of plain letters, digits and punctuation are cut as the
+    library's pattern cuts them, and the pieces go straight to its merges; words
+    with other characters go through the whole of it. Texts with the control
+    characters that only Python takes for white space are encoded as they are.
     """
 
-    KEPT = 200_000
-    _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
-    _PIECES = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+    KEPT = 400_000
+    _PLAIN = re.compile("[ \t-\r!-~À-ÖØ-öø-ÿ]*")
+    _PIECES = re.compile("[a-zß-öø-ÿ]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+")
     _ODD = re.compile("[\x1c-\x1f]")
 
     def __init__(self, name: str = "word_bpe_49k", path: str | None = None):
@@ -64,29 +67,39 @@ class WordIds:
         self.width = id_type(self.size)
         byte_level = ByteLevel(add_prefix_space=False, use_regex=False)
         self._letters = str.maketrans({chr(c): byte_level.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)})
-        self._words, self._pieces = _Kept(self._word, self.KEPT), _Kept(self._piece, self.KEPT)
+        self._words = _Kept(self._word, self.KEPT)
+        self._pieces = _Pieces(self.tokenizer.model.tokenize, self._letters, self.width, self.KEPT)
 
-    def _bytes(self, ids) -> bytes:
+    def bytes_of(self, ids) -> bytes:
         return np.asarray(ids, self.width).tobytes()
 
     def _whole(self, text: str) -> bytes:
-        return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return self.bytes_of(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def _piece(self, piece: str) -> bytes:
-        return self._bytes([t.id for t in self.tokenizer.model.tokenize(piece.translate(self._letters))])
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self._pieces.__getitem__, self._PIECES.findall(text.lower())))
+
+    def _is_plain(self, text: str) -> bool:
+        return self._PLAIN.fullmatch(text) is not None and "<|" not in text
 
     def _word(self, word: str) -> bytes:
-        if len(word) > 64 or "<|" in word or not self._PLAIN.fullmatch(word):
-            return self._whole(word)
-        return b"".join([self._pieces[p] for p in self._PIECES.findall(word.lower())])
+        return self._plain(word) if self._is_plain(word) else self._whole(word)
 
     def encode(self, text: str) -> bytes:
         """The ids of a text, this vocabulary's width each."""
+        if self._is_plain(text):
+            return self._plain(text)
         if self._ODD.search(text):
             return self._whole(text)
         return b"".join(map(self._words.__getitem__, text.split()))
 
 
+@lru_cache(2)
+def word_ids(vocabulary: str) -> WordIds:
+    """One for a Python worker, whose tasks share the words kept."""
+    return WordIds(vocabulary)
+
+
 class _Kept(dict):
     def __init__(self, make, most):
         super().__init__()
@@ -101,6 +114,26 @@ class _Kept(dict):
         return got
 
 
+class _Pieces(dict):
+    """Ids of lower-case pieces, by the merges alone."""
+
+    def __init__(self, merge, letters, width, most):
+        super().__init__()
+        self.merge, self.letters, self.kind, self.most = merge, letters, "HI"[width == "<u4"], most
+        self.swap = sys.byteorder == "big"
+
+    def __missing__(self, piece):
+        ids = array(self.kind, [t.id for t in self.merge(piece if piece.isascii() else piece.translate(self.letters))])
+        if self.swap:
+            ids.byteswap()
+        got = ids.tobytes()
+        if len(piece) <= 64:
+            if len(self) >= self.most:
+                self.clear()
+            self[piece] = got
+        return got
+
+
 def id_type(size: int) -> str:
     return "<u2" if size <= 1 << 16 else "<u4"
 
@@ -312,8 +345,8 @@ def _token_batches(vocabulary: str, end_id: int):
     def tokens(batches):
         import pyarrow as pa
 
-        words = WordIds(vocabulary)
-        end = words._bytes([end_id])
+        words = word_ids(vocabulary)
+        end = words.bytes_of([end_id])
         for batch in batches:
             rows, held = [], 0
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
