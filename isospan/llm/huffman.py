@@ -343,8 +343,17 @@ _TOKENS = "doc_id long, n long, crc long, ids binary"
 
 def _token_batches(vocabulary: str, end_id: int):
     def tokens(batches):
+        import gc
+
         import pyarrow as pa
 
+        gc.disable()  # no cycles are made here, and a pass over all words kept is long
+        try:
+            yield from frames(batches, pa)
+        finally:
+            gc.enable()
+
+    def frames(batches, pa):
         words = word_ids(vocabulary)
         end = words.bytes_of([end_id])
         for batch in batches:
