@@ -389,6 +389,35 @@ def per_capita_joined(spark, sf):
     return panel.per_capita(fx.holes(spark, sf), "gdp", population=population).select("iso3c", "year", r6("gdp_per_capita").alias("gdp_per_capita"))
 
 
+def _not_numbers(spark, sf):
+    """holes with NaN in place of null."""
+    return fx.holes(spark, sf).withColumn("gdp", F.coalesce("gdp", F.lit(float("nan"))))
+
+
+@query("""SELECT iso3c, year, CASE WHEN gdp IS NOT NULL THEN CAST(rank() OVER (PARTITION BY year ORDER BY gdp DESC NULLS LAST) AS INTEGER) END AS rank,
+  round((gdp - avg(gdp) OVER (PARTITION BY year)) / stddev_samp(gdp) OVER (PARTITION BY year), 6) AS z_score, round(gdp / sum(gdp) OVER (PARTITION BY year), 8) AS gdp_share,
+  round(gdp / lag(gdp) OVER (PARTITION BY iso3c ORDER BY year) - 1, 8) AS gdp_growth, round(gdp / max(CASE WHEN year = 1998 THEN gdp END) OVER (PARTITION BY iso3c) * 100, 6) AS gdp_index FROM holes""")
+def nan_panel(spark, sf):
+    out = panel.index_to(panel.growth_rate(panel.share_of_world(panel.rank_countries(_not_numbers(spark, sf), "gdp", "year"), "gdp"), "gdp"), "gdp", 1998)
+    return out.select("iso3c", "year", "rank", r6("z_score").alias("z_score"), r6("gdp_share", 8).alias("gdp_share"), r6("gdp_growth", 8).alias("gdp_growth"), r6("gdp_index").alias("gdp_index"))
+
+
+@query(_GRID + "SELECT iso3c, year, region, last_value(gdp IGNORE NULLS) OVER (PARTITION BY iso3c ORDER BY year) AS gdp FROM f")
+def nan_complete(spark, sf):
+    return panel.complete_years(_not_numbers(spark, sf), method="locf").select("iso3c", "year", "region", "gdp")
+
+
+@query("""SELECT 'mean' AS what, round(avg(gdp), 4) AS v FROM holes UNION ALL SELECT 'median', round(median(gdp), 4) FROM holes UNION ALL SELECT 'max', max(gdp) FROM holes UNION ALL SELECT 'sum', round(sum(gdp), 2) FROM holes UNION ALL
+SELECT 'theil', round(sum(gdp / m * ln(gdp / m)) / count(gdp), 8) FROM holes, (SELECT avg(gdp) AS m FROM holes) UNION ALL SELECT 'sigma ' || year, round(stddev_samp(ln(gdp)), 8) FROM holes WHERE gdp IS NOT NULL GROUP BY year""")
+def nan_aggregates(spark, sf):
+    df = _not_numbers(spark, sf).withColumn("world", F.lit(1))
+    digits = {"mean": 4, "median": 4, "max": 4, "sum": 2}
+    out = aggregate.theil(df, "gdp").select(F.lit("theil").alias("what"), r6("theil", 8).alias("v"))
+    for fun, n in digits.items():
+        out = out.unionByName(aggregate.aggregate_regions(df, "gdp", "world", fun).select(F.lit(fun).alias("what"), r6("gdp", n).alias("v")))
+    return out.unionByName(stats.sigma_convergence(df, "gdp").select(F.concat(F.lit("sigma "), "year").alias("what"), r6("sigma", 8).alias("v")))
+
+
 # -- inequality, convergence, correlation -----------------------------------------------
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..errors import SpineError, SpineWarning, need_columns, one_of
 from .panel import numeric_columns
-from .prefix import free_names, sums_below
+from .prefix import free_names, number, sums_below
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -22,24 +22,24 @@ def keep_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
 
 def latest_value(df: DataFrame, values: list[str], key: str = "iso3c", year: str = "year") -> DataFrame:
     """Per key, each column's last known value."""
-    return df.groupBy(key).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(year))).alias(c) for c in values])
+    return df.groupBy(key).agg(*[F.max_by(c, F.when(~missing(c), F.col(year))).alias(c) for c in values])
 
 
 def aggregate_regions(df: DataFrame, value: str, by: str | list = "region", fun: str = "sum", weight: str | None = None) -> DataFrame:
     """by and the aggregate, under the value's name, sorted by `by`.
 
-    Nulls are left out of every aggregate; a sum of none is 0, others null. A
+    Nulls and NaN are left out of every aggregate; a sum of none is 0, others null. A
     null weight of a known value makes a weighted mean null. A null group stays.
     """
     one_of("fun", fun, ("sum", "mean", "median", "min", "max", "weighted_mean"))
     keys = [by] if isinstance(by, str) else list(by)
     need_columns(df, value, *keys)
-    v = F.col(value).cast("double")
+    v = number(value)
     if fun == "weighted_mean":
         if weight is None:
             raise SpineError("weighted_mean needs a weight")
         need_columns(df, weight)
-        w = F.col(weight).cast("double")
+        w = number(weight)
         spoiled = F.max(v.isNotNull() & w.isNull())
         out = F.when(~F.coalesce(spoiled, F.lit(False)), F.try_divide(F.sum(v * w), F.sum(F.when(v.isNotNull(), w))))
     else:
@@ -73,7 +73,7 @@ def theil(df: DataFrame, value: str, weight: str | None = None, groups: str | No
     """
     need_columns(df, value, weight, groups)
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
-    rows = df.select(F.col(value).cast("double").alias("x"), w.alias("w"), (F.col(groups) if groups else F.lit(0)).alias("g")).where("x > 0 and w is not null and g is not null").withColumn("w", _not_negative(F.col("w")))
+    rows = df.select(F.col(value).cast("double").alias("x"), w.alias("w"), (F.col(groups) if groups else F.lit(0)).alias("g")).where("x > 0 and not isnan(x) and w is not null and not isnan(w) and g is not null").withColumn("w", _not_negative(F.col("w")))
     if warn:
         left_out = df.where(F.col(value).cast("double") <= 0).count()
         if left_out:
@@ -97,7 +97,7 @@ class Coverage(NamedTuple):
 
 
 def missing(c):
-    return F.col(c).isNull() | F.isnan(F.col(c).cast("double"))
+    return F.col(c).isNull() | F.isnan(F.col(c).try_cast("double"))
 
 
 def na_rates(df: DataFrame, indicators: list[str]) -> DataFrame:

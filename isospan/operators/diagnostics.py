@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import need_columns, one_of
@@ -99,9 +99,4 @@ def dissolve_country(df: DataFrame, col: str, warn: bool = False) -> DataFrame:
     return out
 
 
-def ordinal(df: DataFrame, order: list, out: str = "ord") -> DataFrame:
-    """df with a row number by an explicit order, where input order matters."""
-    return df.withColumn(out, F.row_number().over(Window.orderBy(*order)))
-
-
-__all__ = ["ALIASES", "check_country_match", "dissolve_country", "known_names", "nearest_names", "ordinal", "repair_country_names"]
+__all__ = ["ALIASES", "check_country_match", "dissolve_country", "known_names", "nearest_names", "repair_country_names"]

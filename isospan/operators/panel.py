@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import SpineError, need_columns, one_of
-from .prefix import free_names, join_values, sums_below
+from .prefix import free_names, join_values, number, sums_below, window_fits
 
 ISO, YEAR = "iso3c", "year"
 
@@ -49,10 +49,10 @@ def growth_rate(df: DataFrame, value: str, kind: str = "yoy", suffix: str = "_gr
     """Adds growth since the previous row (yoy), or per year since the first known value (cagr)."""
     _need_panel(df, value)
     one_of("type", kind, ("yoy", "cagr"))
-    v = F.col(value).cast("double")
+    v = number(value)
     if kind == "yoy":
         return df.withColumn(f"{value}{suffix}", F.try_divide(v, F.lag(v).over(_by_year())) - 1)
-    known = F.when(F.col(value).isNotNull(), F.struct(F.col(YEAR).alias("y"), v.alias("v")))
+    known = F.when(v.isNotNull(), F.struct(F.col(YEAR).alias("y"), v.alias("v")))
     first = F.first(known, ignorenulls=True).over(_whole())
     span, base = F.col(YEAR) - first["y"], first["v"]
     ratio = F.try_divide(v, base)
@@ -63,15 +63,21 @@ def growth_rate(df: DataFrame, value: str, kind: str = "yoy", suffix: str = "_gr
 def index_to(df: DataFrame, value: str, base_year: int, to: float = 100.0, suffix: str = "_index") -> DataFrame:
     """Adds the value as a share of its base year's, times `to`; null without a base or with 0."""
     _need_panel(df, value)
-    base = F.max(F.when(F.col(YEAR) == base_year, F.col(value).cast("double"))).over(Window.partitionBy(ISO))
-    return df.withColumn(f"{value}{suffix}", F.try_divide(F.col(value).cast("double"), F.nullif(base, F.lit(0.0))) * F.lit(float(to)))
+    base = F.max(F.when(F.col(YEAR) == base_year, number(value))).over(Window.partitionBy(ISO))
+    return df.withColumn(f"{value}{suffix}", F.try_divide(number(value), F.nullif(base, F.lit(0.0))) * F.lit(float(to)))
 
 
 def share_of_world(df: DataFrame, value: str, suffix: str = "_share") -> DataFrame:
-    """Adds the value's share of the sum over its year, or over all rows without a year."""
+    """Adds the value's share of the sum over its year, or over all rows without a year.
+
+    Years are window partitions where the rows of each fit in one (a count, run
+    here); else totals are joined, those of frequent years by broadcast.
+    """
     need_columns(df, value)
-    v = F.col(value).cast("double")
+    v = number(value)
     if YEAR in df.columns:
+        if window_fits(df, [YEAR]):
+            return df.withColumn(f"{value}{suffix}", F.try_divide(v, F.sum(v).over(Window.partitionBy(YEAR))))
         total, n = free_names(df, "total", "n")
         per = df.groupBy(YEAR).agg(F.sum(v).alias(total), F.count(F.lit(1)).alias(n))
         return join_values(df, per, [YEAR], n, [total]).withColumn(f"{value}{suffix}", F.try_divide(v, F.col(total))).drop(total)
@@ -82,15 +88,23 @@ def share_of_world(df: DataFrame, value: str, suffix: str = "_share") -> DataFra
 def rank_countries(df: DataFrame, value: str, within: str | list | None = None, desc: bool = True) -> DataFrame:
     """Adds rank (competition rank), percentile (always ascending) and z_score.
 
-    Null values have none of them and aren't counted. Ranks come from counts of
-    distinct values (see prefix), so that no task sorts everything, or all rows
-    of one group.
+    Null and NaN values have none of them and aren't counted. Groups are window
+    partitions where the rows of each fit in one (a count, run here); else ranks
+    come from counts of distinct values (see prefix), so that no task sorts all
+    rows of a group.
     """
     keys = [] if within is None else [within] if isinstance(within, str) else list(within)
     need_columns(df, value, *keys)
     x, n, every, mean, sd, low = free_names(df, "x", "n", "every", "mean", "sd", "below_n")
     made = ["rank", "percentile", "z_score"]
-    rows = df.drop(*[c for c in made if c != value and c not in keys]).withColumn(x, F.col(value).cast("double"))
+    rows = df.drop(*[c for c in made if c != value and c not in keys]).withColumn(x, number(value))
+    if window_fits(rows, keys):
+        part = Window.partitionBy(*(keys or [F.lit(0)]))
+        ordered = lambda c: F.when(F.col(x).isNotNull(), F.rank().over(part.orderBy(c)))
+        up, others = ordered(F.col(x).asc_nulls_last()), F.count(x).over(part) - 1
+        place = ordered(F.col(x).desc_nulls_last()) if desc else up
+        z = F.try_divide(F.col(x) - F.avg(x).over(part), F.stddev_samp(x).over(part))
+        return rows.withColumns({"rank": place.cast("int"), "percentile": F.try_divide((up - 1).cast("double"), others), "z_score": z}).drop(x)
     known = rows.where(F.col(x).isNotNull())
     per = sums_below(known.groupBy(*keys, x).agg(F.count(F.lit(1)).alias("n")), keys, x, ["n"]).withColumnsRenamed({"n": n, "below_n": low})
     whole = known.groupBy(*keys).agg(F.count(x).alias(every), F.avg(x).alias(mean), F.stddev_samp(x).alias(sd))
@@ -119,7 +133,7 @@ def complete_years(df: DataFrame, years: list[int] | None = None, value: str | l
     static and filled down, then up; with value named, other numeric columns
     are static too. Gaps of values are then left (none), filled with the last
     known value in year order (locf) or interpolated between known years
-    (linear; nothing beyond the ends).
+    (linear; nothing beyond the ends). NaN is missing.
     """
     _need_panel(df)
     one_of("method", method, ("none", "locf", "linear"))
@@ -135,7 +149,9 @@ def complete_years(df: DataFrame, years: list[int] | None = None, value: str | l
     rest = [c for c in df.columns if c not in (ISO, YEAR)]
     own = df.withColumnsRenamed({ISO: "_i", YEAR: "_y"})
     full = grid.join(own, F.col(ISO).eqNullSafe(F.col("_i")) & F.col(YEAR).eqNullSafe(F.col("_y")), "full")
-    out = full.select(F.coalesce(ISO, "_i").alias(ISO), F.coalesce(YEAR, "_y").alias(YEAR), *[F.col(f"`{c}`") for c in rest])
+    real = {f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
+    known = lambda c: F.nanvl(F.col(f"`{c}`"), F.lit(None)).alias(c) if c in real else F.col(f"`{c}`")
+    out = full.select(F.coalesce(ISO, "_i").alias(ISO), F.coalesce(YEAR, "_y").alias(YEAR), *map(known, rest))
     down = _by_year().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     up = _by_year().rowsBetween(Window.currentRow, Window.unboundedFollowing)
     fill = {c: F.coalesce(F.last(c, ignorenulls=True).over(down), F.first(c, ignorenulls=True).over(up)) for c in rest if c not in values}
@@ -164,5 +180,5 @@ def per_capita(df: DataFrame, value: str, pop: str | None = None, population: Da
         cond = [F.col(k).eqNullSafe(F.col(h)) for k, h in zip(keys, held)]
         work = df.join(table, cond[0] if len(cond) == 1 else cond[0] & cond[1], "left")
     need_columns(work, name)
-    out = work.withColumn(f"{value}{suffix}", F.try_divide(F.col(value).cast("double"), F.col(name).cast("double")))
+    out = work.withColumn(f"{value}{suffix}", F.try_divide(number(value), number(name)))
     return out.select(*dict.fromkeys([*df.columns, f"{value}{suffix}"]))

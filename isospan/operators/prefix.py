@@ -13,9 +13,24 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 RANGES = 256
 FREQUENT = 1000  # a value of over 1/FREQUENT of all rows is frequent
+WINDOW_ROWS = 1_000_000  # most rows of a group that is one window partition
+
+
+def number(c: str):
+    """A column as double, NaN being missing."""
+    return F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+
+
+def window_fits(df: DataFrame, keys: list[str]) -> bool:
+    """Whether no group of df has over WINDOW_ROWS rows: one aggregate, run here."""
+    if df.isStreaming:
+        return False
+    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
+    return (n or 0) <= WINDOW_ROWS
 
 
 def free_names(df: DataFrame, *stems: str) -> list[str]:
@@ -70,7 +85,9 @@ def join_values(rows: DataFrame, table: DataFrame, keys: list[str], count: str,
     marked = table.crossJoin(F.broadcast(total)).withColumn("_often", F.col(count) * FREQUENT > F.col("_total"))
     side = lambda often, s: marked.where(F.col("_often") if often else ~F.col("_often")).select(*[F.col(k).alias(f"{s}k{i}") for i, k in enumerate(keys)], F.struct(*add).alias(f"{s}v"))
     work = rows.join(F.broadcast(side(True, "_f")), _same([(k, f"_fk{i}") for i, k in enumerate(keys)]), "left")
-    away = F.when(F.col("_fv").isNotNull(), 1 + F.monotonically_increasing_id() % 4096).otherwise(F.lit(0))
+    # by the row itself, so that a row read again goes the same way
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{f.name}`") for f in rows.schema if not isinstance(f.dataType, MapType)]), F.lit(4096))
+    away = F.when(F.col("_fv").isNotNull(), 1 + salt).otherwise(F.lit(0))
     work = work.withColumn("_away", away)
     rare = side(False, "_r").withColumn("_raway", F.lit(0).cast("long"))
     work = work.join(rare, _same([(k, f"_rk{i}") for i, k in enumerate(keys)]) & (F.col("_away") == F.col("_raway")), "left")

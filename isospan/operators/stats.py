@@ -13,7 +13,7 @@ from ..errors import SpineError, need_columns, one_of
 from ..functions.stats import t_two_sided
 from .aggregate import keep_first
 from .panel import numeric_columns
-from .prefix import join_values, sums_below
+from .prefix import join_values, number, sums_below
 
 STOP = ("year", "long", "lat", "lon", "group", "order", "row", "col")
 
@@ -69,7 +69,7 @@ def correlate_indicators(df: DataFrame, columns: list[str] | None = None, method
 
 
 def _endpoints(df: DataFrame, value: str) -> DataFrame:
-    known = df.select("iso3c", "year", F.col(value).cast("double").alias("v")).where("v > 0 and year is not null")
+    known = df.select("iso3c", "year", number(value).alias("v")).where("v > 0 and year is not null")
     ends = known.groupBy("iso3c").agg(F.min("year").alias("y0"), F.max("year").alias("y1"), F.min_by("v", "year").alias("v0"), F.max_by("v", "year").alias("v1")).where("y1 > y0")
     return ends.select((F.col("y1") - F.col("y0")).cast("double").alias("span"), F.ln("v0").alias("x"), ((F.ln("v1") - F.ln("v0")) / (F.col("y1") - F.col("y0"))).alias("g"))
 
@@ -123,7 +123,7 @@ def sigma_convergence(df: DataFrame, value: str, measure: str = "sd_log") -> Dat
     """(year, n, sigma): dispersion of the positive values by year."""
     one_of("measure", measure, ("sd_log", "cv"))
     need_columns(df, "year", value)
-    known = df.select("year", F.col(value).cast("double").alias("v")).where("v > 0")
+    known = df.select("year", number(value).alias("v")).where("v > 0")
     s = F.stddev_samp(F.ln("v")) if measure == "sd_log" else F.try_divide(F.stddev_samp("v"), F.avg("v"))
     return known.groupBy("year").agg(F.count(F.lit(1)).alias("n"), s.alias("sigma")).orderBy("year")
 

@@ -22,8 +22,10 @@ def plain_rank(rows, desc):
     return {v: (len(known) - below[v] - ties[v] + 1 if desc else below[v] + 1) for v in below}
 
 
+@pytest.mark.parametrize("most", [100, 1_000_000])
 @pytest.mark.parametrize("within, desc", [(None, True), (None, False), ("g", True), ("g", False)])
-def test_ranks_with_frequent_values(spark, within, desc):
+def test_ranks_with_frequent_values(spark, monkeypatch, within, desc, most):
+    monkeypatch.setattr(prefix, "WINDOW_ROWS", most)
     rows = skewed()
     df = spark.createDataFrame(rows, "k long, g string, v double").withColumns({"x": F.lit("clash"), "n": F.lit("clash"), "_range": F.lit(1)})
     got = panel.rank_countries(df, "v", within=within, desc=desc)
@@ -45,7 +47,9 @@ def test_join_values_reaches_every_row_once(spark):
     assert len(found) == 4000 and all(r["total"] == want[r["v"]] for r in found)
 
 
-def test_share_by_year_with_null_years(spark):
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_share_by_year_with_null_years(spark, monkeypatch, most):
+    monkeypatch.setattr(prefix, "WINDOW_ROWS", most)
     df = spark.createDataFrame([(1, 2.0), (1, 6.0), (None, 5.0), (2, None)], "year int, v double").withColumn("total", F.lit("clash"))
     got = sorted((tuple(r) for r in panel.share_of_world(df, "v").collect()), key=str)
     assert got == sorted([(1, 2.0, "clash", 0.25), (1, 6.0, "clash", 0.75), (None, 5.0, "clash", 1.0), (2, None, "clash", None)], key=str)
@@ -121,3 +125,10 @@ def test_simplified_neighbours_still_share_their_border(spark):
     assert on(1) == on(2) and {(10.0, 0.0), (10.0, 10.0)} <= on(1) and 2 < len(on(1)) < 30
     assert len([r for r in kept if r["group"] == 3]) >= 4 and len(kept) < 0.5 * len(rows)
     assert simplify_geometry(frame, 1.0).count() == len(rows)
+
+
+def test_flagship_plan_stays_small(spark, sf):
+    from isospan import catalog
+
+    plan = catalog.queries()["flagship_panel"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") <= 6 and plan.count("Exchange hashpartitioning") <= 4
