@@ -8,32 +8,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import SpineError, one_of
-from ..operators.spatial import rings
+from ..operators.nesting import polygons
 
 
 def polygon_wkb(parts: list) -> bytes:
-    """Little-endian WKB MultiPolygon of [(lon, lat), ...] rings, closed as needed."""
+    """Little-endian WKB MultiPolygon of polygons, each a list of [(lon, lat), ...]
+    rings, the outline first; rings are closed as needed."""
     out = [struct.pack("<BII", 1, 6, len(parts))]
-    for ring in parts:
-        pts = list(ring)
-        if pts and pts[0] != pts[-1]:
-            pts.append(pts[0])
-        out.append(struct.pack("<BIII", 1, 3, 1, len(pts)) + b"".join(struct.pack("<dd", *p) for p in pts))
+    for rings in parts:
+        out.append(struct.pack("<BII", 1, 3, len(rings)))
+        for ring in rings:
+            pts = list(ring)
+            if pts and pts[0] != pts[-1]:
+                pts.append(pts[0])
+            out.append(struct.pack("<I", len(pts)) + b"".join(struct.pack("<dd", *p) for p in pts))
     return b"".join(out)
 
 
 def wkb_frame(data: DataFrame, geometry_col: str = "geometry") -> DataFrame:
-    """A polygon frame as a row per country with WKB; other tables unchanged."""
+    """A polygon frame as a row per country with WKB; other tables unchanged.
+
+    Rings within rings are holes; outlines turn left, holes right.
+    """
     if not {"iso3c", "group", "order", "long", "lat"} <= set(data.columns):
         return data
     rest = [c for c in data.columns if c not in ("iso3c", "group", "order", "long", "lat")]
-    shapes = rings(data).groupBy("iso3c").agg(F.sort_array(F.collect_list(F.struct("group", "ring"))).alias("parts"))
+    shapes = polygons(data)
 
     def encode(batches):
         import pyarrow as pa
 
         for batch in batches:
-            made = [polygon_wkb([[(p["lon"], p["lat"]) for p in part["ring"]] for part in parts]) for parts in batch.column(1).to_pylist()]
+            made = [polygon_wkb([[[(p["lon"], p["lat"]) for p in ring] for ring in part] for part in parts]) for parts in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["iso3c", geometry_col])
 
     made = shapes.mapInArrow(encode, f"iso3c string, `{geometry_col}` binary")
