@@ -52,12 +52,12 @@ cells AS (SELECT DISTINCT nation, xs.x, nx, ys.y, ny FROM b JOIN xs USING (natio
 
 
 @query(_cells(f"SELECT nation, x - r AS x0, x + r AS x1, y - r AS y0, y + r AS y1 FROM ({_CUSTOMERS})") + """
-SELECT nation, round(sum((nx - x) * (ny - y)), 4) AS area, round(sum(
+SELECT nation, round(sum((nx - x) * (ny - y)), 3) AS area, round(sum(
   (ny - y) * ((NOT EXISTS (SELECT 1 FROM cells d WHERE d.nation = c.nation AND d.nx = c.x AND d.y = c.y))::INT + (NOT EXISTS (SELECT 1 FROM cells d WHERE d.nation = c.nation AND d.x = c.nx AND d.y = c.y))::INT) +
-  (nx - x) * ((NOT EXISTS (SELECT 1 FROM cells d WHERE d.nation = c.nation AND d.ny = c.y AND d.x = c.x))::INT + (NOT EXISTS (SELECT 1 FROM cells d WHERE d.nation = c.nation AND d.y = c.ny AND d.x = c.x))::INT)), 4) AS perimeter FROM cells c GROUP BY nation""")
+  (nx - x) * ((NOT EXISTS (SELECT 1 FROM cells d WHERE d.nation = c.nation AND d.ny = c.y AND d.x = c.x))::INT + (NOT EXISTS (SELECT 1 FROM cells d WHERE d.nation = c.nation AND d.y = c.ny AND d.x = c.x))::INT)), 3) AS perimeter FROM cells c GROUP BY nation""")
 def outline_union(spark, sf):
     boxes = _shapes(_spots(spark, sf, "customer", "c", _C_SIZE), BOX)
-    return planar(overlay.union_outlines(boxes, "nation"), "nation").withColumns({"area": r6("area", 4), "perimeter": r6("perimeter", 4)})
+    return planar(overlay.union_outlines(boxes, "nation"), "nation").withColumns({"area": r6("area", 3), "perimeter": r6("perimeter", 3)})
 
 
 def _in_mask(inside: bool) -> str:
@@ -68,12 +68,12 @@ def _in_mask(inside: bool) -> str:
 xs AS (SELECT nation, v AS x, lead(v) OVER (PARTITION BY nation ORDER BY v) AS nx FROM (SELECT nation, x0 AS v FROM b UNION SELECT nation, x1 FROM b UNION SELECT DISTINCT nation, v FROM b, xv)),
 ys AS (SELECT nation, v AS y, lead(v) OVER (PARTITION BY nation ORDER BY v) AS ny FROM (SELECT nation, y0 AS v FROM b UNION SELECT nation, y1 FROM b UNION SELECT DISTINCT nation, v FROM b, yv)),
 cells AS (SELECT DISTINCT nation, xs.x, nx, ys.y, ny FROM b JOIN xs USING (nation) JOIN ys USING (nation) WHERE xs.x >= x0 AND nx <= x1 AND ys.y >= y0 AND ny <= y1)
-SELECT nation, round(sum((nx - x) * (ny - y)) / 2, 4) AS area FROM cells c WHERE {'' if inside else 'NOT'} EXISTS (SELECT 1 FROM m WHERE c.x >= m.x0 AND c.nx <= m.x1 AND c.y >= m.y0 AND c.ny <= m.y1) GROUP BY nation"""
+SELECT nation, round(sum((nx - x) * (ny - y)) / 2, 3) AS area FROM cells c WHERE {'' if inside else 'NOT'} EXISTS (SELECT 1 FROM m WHERE c.x >= m.x0 AND c.nx <= m.x1 AND c.y >= m.y0 AND c.ny <= m.y1) GROUP BY nation"""
 
 
 def _masked(spark, sf, how):
     own, mask = (_shapes(_spots(spark, sf, *t), DIAMOND) for t in (("customer", "c", _C_SIZE), ("supplier", "s", _S_SIZE)))
-    return planar(overlay.overlay(own, "nation", mask, how), "nation").select("nation", r6("area", 4).alias("area"))
+    return planar(overlay.overlay(own, "nation", mask, how), "nation").select("nation", r6("area", 3).alias("area"))
 
 
 @query(_in_mask(True))

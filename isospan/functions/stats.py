@@ -37,31 +37,57 @@ def t_two_sided(t: float, df: float) -> float:
     return incomplete_beta(df / 2, 0.5, df / (df + t * t))
 
 
-def natural_breaks(values: list[float], k: int) -> list[float]:
-    """Fisher-Jenks class limits, least first, from distinct values on the driver."""
-    x = sorted(set(values))
-    k = min(k, len(x))
+def natural_breaks(values, k: int, weights=None) -> list[float]:
+    """Fisher-Jenks class limits, least first, of values that occur weights times each.
+
+    Each class's last value is a limit. The best start of a class's last value
+    grows with that value, so that the programme halves its way: values midway
+    between those done search only between their neighbours' starts, a level at
+    a time, in n log n steps a class.
+    """
+    import numpy as np
+
+    x, at = np.unique(np.asarray(values, np.float64), return_inverse=True)
+    n = len(x)
+    k = min(k, n)
     if k < 1:
         return []
-    s, q = [0.0], [0.0]
-    for v in x:
-        s.append(s[-1] + v)
-        q.append(q[-1] + v * v)
+    w = np.bincount(at, None if weights is None else np.asarray(weights, np.float64), n).astype(np.float64)
+    if weights is None:
+        w = np.ones(n)
+    d = x - np.average(x, weights=w)
+    sums = [np.concatenate([[0.0], np.cumsum(c)]) for c in (w, w * d, w * d * d)]
 
     def spread(i, j):  # of x[i:j]
-        return q[j] - q[i] - (s[j] - s[i]) ** 2 / (j - i)
+        m, s, q = (c[j] - c[i] for c in sums)
+        return q - s * s / m
 
-    n = len(x)
-    cost = [spread(0, j) if j else 0.0 for j in range(n + 1)]
+    cost = np.concatenate([[0.0], spread(np.zeros(n, int), np.arange(1, n + 1))])
     back = []
-    for _ in range(1, k):
-        new, at = [math.inf] * (n + 1), [0] * (n + 1)
-        for j in range(1, n + 1):
-            new[j], at[j] = min(((cost[i] + spread(i, j), i) for i in range(j) if i or j == 1), default=(math.inf, 0))
-        back.append(at)
+    for c in range(2, k + 1):
+        new, start = np.full(n + 1, np.inf), np.zeros(n + 1, np.int64)
+        # ends c..n; the best start of each lies between those of its neighbours done
+        lows, highs = np.array([c]), np.array([n])
+        first, last = np.array([c - 1]), np.array([n - 1])
+        while len(lows):
+            mid = (lows + highs) // 2
+            top = np.minimum(last, mid - 1)
+            size = top - first + 1
+            begin = np.cumsum(size) - size
+            number = np.repeat(np.arange(len(mid)), size)
+            i = np.arange(size.sum()) - begin[number] + first[number]
+            got = cost[i] + spread(i, mid[number])
+            least = np.minimum.reduceat(got, begin)
+            hits = np.flatnonzero(got == least[number])
+            _, one = np.unique(number[hits], return_index=True)
+            best = i[hits[one]]
+            new[mid], start[mid] = least, best
+            left, right = lows < mid, mid < highs
+            lows, highs, first, last = np.concatenate([lows[left], mid[right] + 1]), np.concatenate([mid[left] - 1, highs[right]]), np.concatenate([first[left], best[right]]), np.concatenate([best[left], last[right]])
+        back.append(start)
         cost = new
-    limits, j = [x[-1]], n
-    for at in reversed(back):
-        j = at[j]
-        limits.append(x[j - 1] if j else x[0])
-    return [x[0], *sorted(set(limits))] if limits[-1] != x[0] else sorted({x[0], *limits})
+    limits, j = [float(x[-1])], n
+    for start in reversed(back):
+        j = int(start[j])
+        limits.append(float(x[j - 1]))
+    return sorted({float(x[0]), *limits})

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..errors import SpineError, SpineWarning, need_columns, one_of
 from .panel import numeric_columns
-from .prefix import free_names, number, sums_below
+from .prefix import free_names, number, sums_below, window_fits
+from .quantiles import exact_median
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -30,11 +31,15 @@ def aggregate_regions(df: DataFrame, value: str, by: str | list = "region", fun:
 
     Nulls and NaN are left out of every aggregate; a sum of none is 0, others null. A
     null weight of a known value makes a weighted mean null. A null group stays.
+    Medians of groups too large for one buffer (a count, run here) are found by
+    exact_quantiles.
     """
     one_of("fun", fun, ("sum", "mean", "median", "min", "max", "weighted_mean"))
     keys = [by] if isinstance(by, str) else list(by)
     need_columns(df, value, *keys)
     v = number(value)
+    if fun == "median" and not window_fits(df, keys):
+        return exact_median(df, value, keys).orderBy(*keys)
     if fun == "weighted_mean":
         if weight is None:
             raise SpineError("weighted_mean needs a weight")

@@ -25,7 +25,7 @@ from .spatial import ring_edges
 
 DIGITS = 9
 EPS = 2e-9  # points nearer than this are one
-STRIP_EDGES = 3000
+STRIP_EDGES = 1000
 
 
 def _crossings(x0, y0, x1, y1):
@@ -275,8 +275,9 @@ def overlay(frame: DataFrame, by: str = "iso3c", mask: DataFrame | None = None,
     edges = flat(edges, F.col("_by" if by != "iso3c" else "iso3c"), False)
     if by != "iso3c":  # a country may have several values of by
         edges = edges.withColumn("owner", F.concat("owner", F.lit("|"), "out"))
-    if mask is not None:
-        edges = edges.unionByName(flat(ring_edges(mask), F.lit(""), True))
+    if mask is not None:  # as one outline, so that its parts don't cross each other for every result
+        whole = overlay(mask.where("iso3c is not null").select("iso3c", "group", "order", "long", "lat", F.lit("m").alias("_all")), "_all", strip_edges=strip_edges)
+        edges = edges.unionByName(flat(ring_edges(whole.withColumnRenamed("_all", "iso3c")), F.lit(""), True))
     edges = cut(edges)
     strips = max(1, -(-edges.count() // (strip_edges or STRIP_EDGES)))
     spots = edges.agg(F.percentile_approx("x0", [i / strips for i in range(1, strips)], 10 * strips).alias("c")).first()["c"] if strips > 1 else []
@@ -289,8 +290,16 @@ def overlay(frame: DataFrame, by: str = "iso3c", mask: DataFrame | None = None,
 
         pdf = pdf.sort_values(["x0", "y0", "x1", "y1", "owner", "out"], kind="stable")
         s = int(pdf["strip"].iloc[0])
-        arrays = [pdf[c].to_numpy(np.float64) for c in ("x0", "y0", "x1", "y1")] + [pdf["out"].tolist(), pdf["owner"].tolist(), pdf["mask"].tolist()]
-        parts = chained(strip_segments(arrays, bounds[s], bounds[s + 1], keep))
+        x0, y0, x1, y1 = (pdf[c].to_numpy(np.float64) for c in ("x0", "y0", "x1", "y1"))
+        outs, owners, masks = pdf["out"].to_numpy(object), pdf["owner"].to_numpy(object), pdf["mask"].to_numpy(bool)
+        parts = []
+        for out in sorted(set(outs[~masks])):
+            # a result's own edges, and those of the mask beside or below them
+            own = ~masks & (outs == out)
+            beside = masks & (x1 > x0[own].min()) & (x0 < x1[own].max()) & (np.minimum(y0, y1) < max(y0[own].max(), y1[own].max()) + EPS)
+            k = np.flatnonzero(own | beside)
+            arrays = [x0[k], y0[k], x1[k], y1[k], outs[k].tolist(), owners[k].tolist(), masks[k].tolist()]
+            parts += chained(strip_segments(arrays, bounds[s], bounds[s + 1], keep))
         rows = [(out, (s << 32) + i, closed, [{"x": x, "y": y} for x, y in points]) for i, (out, closed, points) in enumerate(parts) if len(points) > 1]
         return pd.DataFrame(rows, columns=["out", "part", "closed", "points"])
 

@@ -12,10 +12,11 @@ from ..functions.geo import great_circle, haversine_km, project
 from ..functions.stats import natural_breaks
 from .aggregate import keep_first
 from .joins import spine_join
-from .prefix import free_names
+from .prefix import free_names, window_fits
+from .quantiles import exact_quantiles
 from .resolve import resolved
 
-JENKS_VALUES = 4000
+JENKS_VALUES = 20_000_000  # distinct values that the driver takes in arrays
 
 
 def one_per_country(df: DataFrame, value: str) -> DataFrame:
@@ -28,21 +29,26 @@ def compute_breaks(df: DataFrame, value: str, style: str = "quantile", n_bins: i
     """Class limits over one value per country, least and greatest included.
 
     quantile: interpolated quantiles; equal: equal widths; jenks: natural breaks
-    of the distinct values, of which there may be JENKS_VALUES: more is an error,
-    never another result.
+    of the distinct values and their counts, which alone reach the driver, as
+    arrays; over JENKS_VALUES are an error, never another result.
     """
     one_of("style", style, ("quantile", "equal", "jenks"))
     v = one_per_country(df, value).select(F.col(value).cast("double").alias("v")).where("v is not null and not isnan(v)")
     if style == "quantile":
-        got = v.agg(F.percentile("v", F.array(*[F.lit(i / n_bins) for i in range(n_bins + 1)])).alias("b")).first()["b"] or []
+        probs = [i / n_bins for i in range(n_bins + 1)]
+        if window_fits(v, []):
+            got = v.agg(F.percentile("v", F.array(*map(F.lit, probs))).alias("b")).first()["b"] or []
+        else:
+            got = [r["quantile"] for r in exact_quantiles(v, "v", probs).collect()]
     elif style == "equal":
         lo, hi = v.agg(F.min("v"), F.max("v")).first()
         got = [] if lo is None else [lo + (hi - lo) * i / n_bins for i in range(n_bins + 1)]
     else:
-        points = [r[0] for r in v.distinct().limit(JENKS_VALUES + 1).collect()]
-        if len(points) > JENKS_VALUES:
+        counts = v.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+        if counts.limit(JENKS_VALUES + 1).count() > JENKS_VALUES:
             raise SpineError(f"natural breaks of over {JENKS_VALUES} distinct values; aggregate them, or take quantiles")
-        got = natural_breaks(points, n_bins)
+        held = counts.toArrow()
+        got = natural_breaks(held["v"].to_numpy(), n_bins, held["n"].to_numpy())
     return sorted(set(got))
 
 
