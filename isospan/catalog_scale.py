@@ -7,11 +7,33 @@ import uuid
 from pyspark.sql import functions as F
 
 from .catalog import query, r6
+from .functions.text import jaro_similarity
 from .operators import quantiles, resolve, viz_prep
 from .plans import fixtures as fx
 from .shared import new_folder
 from .streaming.panel import panel_stream
 
+# Names and the codes they stand for.
+TOKEN_NAMES = [
+    ("Macedonia (FYROM)", "MKD"), ("Hong Kong, China", "HKG"), ("Falkland Islands (Malvinas)", "FLK"), ("Libyan Arab Jamahiriya", "LBY"), ("Congo DR", "COD"), ("Cent. Afr. Rep.", "CAF"), ("The Former Yugoslav Republic of Macedonia", "MKD"),
+    ("Trinidad & Tob.", "TTO"), ("Paris, France", "FRA"), ("Brazilian", "BRA"), ("Serbia and Kosovo", None), ("Netherlands Antilles", None), ("North Vietnam", None), ("Wakanda", None), ("a long sentence about the roads of France in spring", None),
+]
+
+
+@query(f"SELECT c_custkey, name, iso3c FROM customer JOIN (VALUES {fx.values([(i, *r) for i, r in enumerate(TOKEN_NAMES)])}) t(i, name, iso3c) ON c_custkey % {len(TOKEN_NAMES)} = i")
+def resolve_by_tokens(spark, sf):
+    names = F.array(*[F.lit(n) for n, _ in TOKEN_NAMES])
+    df = fx.table(spark, sf, "customer").select("c_custkey", F.get(names, (F.col("c_custkey") % len(TOKEN_NAMES)).cast("int")).alias("name"))
+    return resolve.resolved(df, "name")
+
+
+@query("SELECT o_orderkey, round(jaro_similarity(o_orderpriority || o_orderkey, o_orderstatus || o_custkey || o_orderpriority), 8) AS jaro FROM orders")
+def jaro_of_orders(spark, sf):
+    o = fx.table(spark, sf, "orders")
+    text = lambda *c: F.concat(*[F.col(x).cast("string") for x in c])
+    return o.select("o_orderkey", r6(jaro_similarity(text("o_orderpriority", "o_orderkey"), text("o_orderstatus", "o_custkey", "o_orderpriority")), 8).alias("jaro"))
+
+
 _PROBS = (0.0, 0.01, 0.25, 0.5, 0.9, 0.999, 1.0)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .catalog import query, r6
-from .operators import cartogram, nesting, overlay
+from .operators import cartogram, globe, nesting, overlay, viz_prep
 from .plans import fixtures as fx
 from .sinks.export import wkb_frame
 
@@ -118,6 +118,20 @@ def wkb_with_holes(spark, sf):
     return made.join(area, "iso3c").withColumn("area", r6("area", 4))
 
 
+# -- the visible side of a globe: customers' boxes seen from 100 east, 10 north --------------
+
+_SEEN = "sin(radians(10)) * sin(radians({y})) + cos(radians(10)) * cos(radians({y})) * cos(radians({x} - 100)) >= 0"
+
+
+@query(f""", c AS ({_CUSTOMERS}), v AS (SELECT nation, CASE WHEN {_SEEN.format(x='x - r', y='y - r')} THEN 1 ELSE 0 END AS a, CASE WHEN {_SEEN.format(x='x + r', y='y - r')} THEN 1 ELSE 0 END AS b, CASE WHEN {_SEEN.format(x='x + r', y='y + r')} THEN 1 ELSE 0 END AS d, CASE WHEN {_SEEN.format(x='x - r', y='y + r')} THEN 1 ELSE 0 END AS e FROM c)
+SELECT nation, sum(a + b + d + e) AS own, count(*) FILTER (WHERE a + b + d + e BETWEEN 1 AND 3) AS cut, count(*) FILTER (WHERE a + b + d + e = 4) AS whole, true AS visible FROM v WHERE a + b + d + e > 0 GROUP BY 1""")
+def globe_clipped(spark, sf):
+    boxes = _shapes(_spots(spark, sf, "customer", "c", _C_SIZE), BOX)
+    out = viz_prep.globe_view(globe.clip_globe(boxes, 100.0, 10.0), 100.0, 10.0)
+    per = out.groupBy("nation", "group").agg(F.sum((~F.col("limb")).cast("long")).alias("own"), F.max("limb").alias("cut"), F.min("visible").alias("visible"))
+    return per.groupBy("nation").agg(F.sum("own").alias("own"), F.sum(F.col("cut").cast("long")).alias("cut"), F.sum((~F.col("cut")).cast("long")).alias("whole"), F.min("visible").alias("visible"))
+
+
 # -- contiguous cartogram: weights from orders ------------------------------------------------
 
 _ROUNDS = 3

@@ -156,12 +156,24 @@ def globe_view(df: DataFrame, lon: float = 0.0, lat: float = 0.0) -> DataFrame:
     return df.withColumns({n: p[n] for n in ("x", "y", "visible")})
 
 
-def globe_map(data: DataFrame, frame: DataFrame, fill: str, lon: float = 0.0, lat: float = 0.0, style: str = "continuous", n_bins: int = 5) -> DataFrame:
+def globe_map(data: DataFrame, frame: DataFrame, fill: str, lon: float = 0.0, lat: float = 0.0, style: str = "continuous", n_bins: int = 5, clip: bool = False) -> DataFrame:
     """frame with data's columns, classes of fill where a style asks for them, and
-    its place on the globe seen from (lon, lat)."""
+    its place on the globe seen from (lon, lat). With clip, rings are cut at the
+    limb (clip_globe), so that all that is left is visible."""
+    from .globe import clip_globe
     from .joins import attach_geometry
 
-    return globe_view(attach_geometry(world_map(data, fill, style, n_bins), frame), lon, lat)
+    shown = clip_globe(frame, lon, lat) if clip else frame
+    return globe_view(attach_geometry(world_map(data, fill, style, n_bins), shown), lon, lat)
+
+
+def cartogram_map(df: DataFrame, weight: str, frame: DataFrame, kind: str = "contiguous", rounds: int = 8) -> DataFrame:
+    """frame with areas by weight: deformed as a whole, or each country scaled by itself."""
+    from .cartogram import contiguous_cartogram
+
+    if one_of("kind", kind, ("contiguous", "noncontiguous")) == "contiguous":
+        return contiguous_cartogram(df, weight, frame, rounds)[0]
+    return cartogram_scale(df, weight, frame)
 
 
 def globe_frames(n_frames: int = 60) -> list[float]:

@@ -53,7 +53,7 @@ ALIASES = {
     "COG": "congo, rep.|republic of the congo|congo|congo (brazzaville)|republic of congo",
     "MMR": "myanmar|burma",
     "SWZ": "swaziland",
-    "MKD": "macedonia|north macedonia, republic of|fyr macedonia|macedonia, fyr",
+    "MKD": "macedonia|north macedonia, republic of|fyr macedonia|macedonia, fyr|former yugoslav republic of macedonia|fyrom",
     "CPV": "cabo verde|cape verde",
     "TUR": "turkey|turkiye|türkiye",
     "VNM": "viet nam",
