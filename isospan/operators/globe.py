@@ -100,20 +100,26 @@ def clip_globe(frame: DataFrame, lon: float = 0.0, lat: float = 0.0, step: float
     """
     need_columns(frame, "group", "order", "long", "lat")
     part, limb = free_names(frame, "part", "limb")
-    rest = [c for c in frame.columns if c not in ("order", "long", "lat")]
-    schema = T.StructType([*frame.schema.fields, T.StructField(part, T.IntegerType()), T.StructField(limb, T.BooleanType())])
-
-    def cut(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values("order")
-        rows = []
-        for k, own in enumerate(visible_parts(list(zip(pdf["long"].astype(float), pdf["lat"].astype(float))), lon, lat, step), 1):
-            rows += [(i, x, y, k, on) for i, (x, y, on) in enumerate(own, 1)]
-        made = pd.DataFrame(rows, columns=["order", "long", "lat", part, limb])
-        first = pdf.iloc[0]
-        for c in rest:
-            made[c] = pd.Series([first[c]] * len(made), dtype=pdf[c].dtype)
-        return made[[f.name for f in schema]]
-
-    return frame.where(F.col("long").isNotNull() & F.col("lat").isNotNull()).groupBy("group").applyInPandas(cut, schema)
+    rest = [f for f in frame.schema if f.name not in ("order", "long", "lat")]
+    keep = T.StructType(rest)
+    parts = "array<array<struct<long: double, lat: double, limb: boolean>>>"
+
+    def cut(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            made = []
+            for points in batch.column(0).to_pylist():
+                own = visible_parts([(p["long"], p["lat"]) for p in points], lon, lat, step)
+                made.append([[{"long": x, "lat": y, "limb": on} for x, y, on in part] for part in own])
+            kind = pa.list_(pa.list_(pa.struct([("long", pa.float64()), ("lat", pa.float64()), ("limb", pa.bool_())])))
+            yield pa.RecordBatch.from_arrays([pa.array(made, kind), batch.column(1)], names=["parts", "keep"])
+
+    point = F.struct("order", F.col("long").cast("double").alias("long"), F.col("lat").cast("double").alias("lat"))
+    rows = frame.where(F.col("long").isNotNull() & F.col("lat").isNotNull())
+    rings = rows.groupBy("group").agg(F.sort_array(F.collect_list(point)).alias("points"), F.min_by(F.struct(*[F.col(f"`{f.name}`") for f in rest]), "order").alias("keep")).select("points", "keep")
+    schema = T.StructType([T.StructField("parts", T._parse_datatype_string(parts)), T.StructField("keep", keep)])
+    out = rings.mapInArrow(cut, schema).select("keep", F.posexplode("parts").alias("_part", "_ring")).select("keep", "_part", F.posexplode("_ring").alias("_i", "_p"))
+    made = {f.name: F.col("keep")[f.name] for f in rest}
+    made |= {c: F.col(f"_p.{c}").cast(frame.schema[c].dataType) for c in ("long", "lat")} | {"order": (F.col("_i") + 1).cast(frame.schema["order"].dataType)}
+    return out.select(*[made[c].alias(c) for c in frame.columns], (F.col("_part") + 1).cast("int").alias(part), F.col("_p.limb").alias(limb))

@@ -7,6 +7,8 @@ must spell one in full but for words of form, and more of it than any other.
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +22,9 @@ LITTLE = {"of", "the", "and", ""}
 ENDINGS = ("n", "an", "ian", "ese", "i")
 LEAST_PREFIX = 3
 
-SCHEMA = "_vocab map<string, array<int>>, _prefixes map<string, array<string>>, _cores array<array<array<string>>>, _own array<array<string>>, _codes array<string>, _past array<string>"
+#: Lookups are by crc32, so that a token meets a handful of others only.
+BUCKETS = 256
+SCHEMA = "_vocab array<map<string, array<int>>>, _prefixes array<map<string, array<string>>>, _every array<array<string>>, _cores array<array<array<string>>>, _own array<array<string>>, _codes array<string>, _past array<string>"
 
 
 def token_index(spark: SparkSession) -> DataFrame:
@@ -59,7 +63,14 @@ def token_index(spark: SparkSession) -> DataFrame:
                 prefixes.setdefault(t[:k], set()).add(t)
     every = {t for s in own for t in s}
     past = sorted({t for a in HISTORICAL for t in normal(a).split(" ")} - every - LITTLE - FORM)
-    row = ({t: sorted(v) for t, v in vocab.items()}, {p: sorted(v) for p, v in prefixes.items()}, [[list(c) for c in sorted(s)] for s in cores], [sorted(s) for s in own], codes, past)
+
+    def bucketed(items: dict) -> list[dict]:
+        out: list[dict] = [{} for _ in range(BUCKETS)]
+        for k, v in items.items():
+            out[zlib.crc32(k.encode()) % BUCKETS][k] = sorted(v)
+        return out
+
+    row = (bucketed(vocab), bucketed(prefixes), [list(b) for b in bucketed(dict.fromkeys(every, ()))], [[list(c) for c in sorted(s)] for s in cores], [sorted(s) for s in own], codes, past)
     return spark.createDataFrame([row], SCHEMA)
 
 
@@ -70,11 +81,13 @@ def code_by_tokens(raw: Column, key: Column) -> Column:
     that count, except those of dissolved countries. With full stops in the raw
     name, beginnings of tokens stand for them. Null where two countries fit alike.
     """
+    bucket = lambda x: (F.crc32(x) % BUCKETS).cast("int")
+    found = lambda table, x: F.try_element_at(F.get(table, bucket(x)), x)
     tokens = F.array_distinct(F.filter(F.split(key, " "), lambda t: ~t.isin(*LITTLE)))
 
     def fitted(t):
-        whole = lambda x: F.try_element_at("_vocab", x)
-        longer = lambda x: F.when(raw.contains("."), F.try_element_at("_prefixes", x))
+        whole = lambda x: found("_vocab", x)
+        longer = lambda x: F.when(raw.contains("."), found("_prefixes", x))
         sets = F.array_compact(F.transform(t, lambda x: F.coalesce(whole(x), F.array_distinct(F.flatten(F.transform(longer(x), whole))))))
         spelled = F.array_distinct(F.concat(t, F.flatten(F.array_compact(F.transform(t, lambda x: F.when(whole(x).isNull(), longer(x)))))))
         return F.struct(t.alias("t"), spelled.alias("spelled"), sets.alias("sets"))
@@ -88,7 +101,7 @@ def code_by_tokens(raw: Column, key: Column) -> Column:
     def decided(b):
         top = F.array_max(b["scored"])
         alike = F.size(F.filter(b["scored"], lambda x: x["n"] == top["n"]))
-        strange = F.size(F.filter(F.array_except(b["spelled"], F.flatten("_own")), lambda x: ~F.map_contains_key("_prefixes", x)))
+        strange = F.size(F.filter(b["spelled"], lambda x: ~F.array_contains(F.get("_every", bucket(x)), x) & found("_prefixes", x).isNull()))
         return F.when((alike == 1) & ~b["past"] & (strange <= top["n"]), F.get("_codes", top["c"]))
 
     bound = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
