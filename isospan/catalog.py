@@ -4,13 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .functions.geo import haversine_km, project
+from .functions.geo import haversine_km
 from .operators import aggregate, diagnostics, joins, panel, resolve, spatial, stats, viz_prep
 from .plans import fixtures as fx
-from .refdata import GROUPS, common_indicators, historical_codes, indicator_search
-from .sinks import world_query
 from .sources import indicators as ind
-from .sources.geometry import world_geometry
 
 _QUERIES: dict = {}
 _SQL: dict = {}
@@ -60,19 +57,18 @@ def standardize_alias(spark, sf):
     return resolve.standardize_country(fx.people(spark, sf), "country", add=("iso2c", "continent")).select("c_custkey", "iso3c", "iso2c", "continent")
 
 
-# Expected codes, written out beside the table that the resolver reads.
-_NAMED = """Ascension Island=SHN|Azores=PRT|Barbuda=ATG|Bonaire=BES|Canary Islands=ESP|Chagos Archipelago=IOT|Grenadines=VCT|Heard Island=HMD|Kosovo=XKX|Madeira Islands=PRT|Micronesia=FSM|Saba=BES|Saint Martin=MAF|
-Siachen Glacier=IND|Sint Eustatius=BES|Virgin Islands=VIR|Saint Barthelemy=BLM|Curacao=CUW|Madeira=PRT|Federated States of Micronesia=FSM|Micronesia, Fed. Sts.=FSM|Virgin Islands, U.S.=VIR|British Virgin Islands=VGB|
-Channel Islands=GBR|Kosovo, Republic of=XKX|Wakanda=""".replace("\n", "")
-_NAMES = [pair.split("=")[0] for pair in _NAMED.split("|")]
+# Names and the codes they stand for.
+_NAMED = [
+    ("Ascension Island", "SHN"), ("Azores", "PRT"), ("Barbuda", "ATG"), ("Bonaire", "BES"), ("British Virgin Islands", "VGB"), ("Canary Islands", "ESP"), ("Chagos Archipelago", "IOT"),
+    ("Channel Islands", "GBR"), ("Curacao", "CUW"), ("Federated States of Micronesia", "FSM"), ("Grenadines", "VCT"), ("Heard Island", "HMD"), ("Kosovo", "XKX"), ("Kosovo, Republic of", "XKX"),
+    ("Madeira", "PRT"), ("Madeira Islands", "PRT"), ("Micronesia", "FSM"), ("Micronesia, Fed. Sts.", "FSM"), ("Saba", "BES"), ("Saint Barthelemy", "BLM"), ("Saint Martin", "MAF"),
+    ("Siachen Glacier", "IND"), ("Sint Eustatius", "BES"), ("Virgin Islands", "VIR"), ("Virgin Islands, U.S.", "VIR"), ("Wakanda", None),
+]
 
 
-@query(f"""SELECT c_custkey, string_split(pair, '=')[1] AS name, nullif(string_split(pair, '=')[2], '') AS iso3c FROM (
-  SELECT c_custkey, string_split('{_NAMED}', '|')[c_custkey % {len(_NAMES)} + 1] AS pair FROM customer)""")
+@query(f", z AS (SELECT 1) {fx.spread_sql(_NAMED, 'name, iso3c')}")
 def standardize_override(spark, sf):
-    names = F.array(*map(F.lit, _NAMES))
-    df = fx.table(spark, sf, "customer").select("c_custkey", F.element_at(names, (F.col("c_custkey") % len(_NAMES) + 1).cast("int")).alias("name"))
-    return resolve.resolved(df, "name")
+    return resolve.resolved(fx.spread(spark, sf, [(n,) for n, _ in _NAMED], "name string"), "name")
 
 
 @query("SELECT c_custkey, iso3c FROM customer JOIN spine ON c_nationkey = n_nationkey")
@@ -97,20 +93,6 @@ def convert_country_continent(spark, sf):
     return resolve.convert_country(fx.people(spark, sf), "iso", "continent", origin="iso2c").groupBy("continent").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT iso3c, iso2c FROM spine")
-def country_codes(spark, sf):
-    from .refdata import country_codes as codes
-
-    return codes(spark, ["iso3c", "iso2c", "no_such"]).join(F.broadcast(fx.spine(spark).select("iso3c")), "iso3c", "left_semi").select("iso3c", "iso2c")
-
-
-@query(f"""SELECT g AS "group", unnest(string_split(codes, ' ')) AS iso3c FROM (VALUES {fx.values(GROUPS.items())}) t(g, codes)""")
-def country_groups(spark, sf):
-    from .refdata import country_groups as groups
-
-    return groups(spark).select("group", "iso3c")
-
-
 @query("""SELECT c_custkey, iso3c IN ('ARG', 'AUS', 'BRA', 'CAN', 'CHN', 'DEU', 'FRA', 'GBR', 'IDN', 'IND', 'ITA', 'JPN', 'KOR', 'MEX', 'RUS', 'SAU', 'TUR', 'USA', 'ZAF') AS in_group FROM people""")
 def in_group(spark, sf):
     return resolve.in_group(fx.people(spark, sf), "country", "G20").select("c_custkey", "in_group")
@@ -203,13 +185,6 @@ def nearest_name(spark, sf):
     return df.groupBy("input").agg(F.count(F.lit(1)).alias("n")).join(near, "input")
 
 
-@query(f""", typos(i, input) AS (VALUES {fx.values(_TYPOS)})
-SELECT input, arg_min(name, d * 1000 + n_nationkey) AS suggestion, min(d) AS dist FROM (SELECT input, n_nationkey, trim(messy_name) AS name, CAST(levenshtein(input, trim(messy_name)) AS DOUBLE) AS d FROM typos, spine) GROUP BY 1""")
-def nearest_name_edit(spark, sf):
-    names = fx.spine(spark).select(F.col("n_nationkey").alias("ord"), F.trim("messy_name").alias("name"))
-    return diagnostics.nearest_names(spark.createDataFrame(_TYPOS, "i int, input string"), names, "edit").select("input", "suggestion", F.col("distance").alias("dist"))
-
-
 @query(f""", names(i, input, iso3c, historical) AS (VALUES {fx.values([(0, "USSR", "RUS", "Soviet Union"), (1, "Yugoslavia", None, "Yugoslavia"), (2, "Wakanda", None, None), (3, "France", "FRA", None), (4, "Sudan", "SDN", None), (5, "former  Sudan", None, "Sudan (former)"), (6, "U.S.", "USA", None)])})
 SELECT input, iso3c, iso3c IS NOT NULL AS matched, historical, count(*) AS n FROM customer JOIN names ON c_custkey % 7 = i GROUP BY ALL""")
 def check_country_match(spark, sf):
@@ -227,10 +202,51 @@ def repair_names(spark, sf):
 
 
 _OLD = ["ussr", "Yugoslavia", " Czecho-Slovakia", "France", "Wakanda", "GDR", "Zanzibar", "Former Sudan"]
-# Expected successors, written out beside the table that the operator reads.
-_SUCCESSORS = """Soviet Union=1991=ARM AZE BLR EST GEO KAZ KGZ LTU LVA MDA RUS TJK TKM UKR UZB|Yugoslavia=1992=BIH HRV MKD MNE SRB SVN XKX|Serbia and Montenegro=2006=MNE SRB XKX|Czechoslovakia=1993=CZE SVK|East Germany=1990=DEU|
-Netherlands Antilles=2010=BES CUW SXM|North Yemen=1990=YEM|South Yemen=1990=YEM|Sudan (former)=2011=SDN SSD|United Arab Republic=1961=EGY SYR|Tanganyika=1964=TZA|Zanzibar=1964=TZA|North Vietnam=1976=VNM|South Vietnam=1976=VNM""".replace("\n", "")
-_AFTER = f"SELECT string_split(t, '=')[1] AS e, CAST(string_split(t, '=')[2] AS INTEGER) AS dissolved, unnest(string_split(string_split(t, '=')[3], ' ')) AS code FROM (SELECT unnest(string_split('{_SUCCESSORS}', '|')) AS t)"
+# Dissolved entities, the year, and successors.
+_SUCCESSORS = [
+    ("Soviet Union", 1991, "ARM"),
+    ("Soviet Union", 1991, "AZE"),
+    ("Soviet Union", 1991, "BLR"),
+    ("Soviet Union", 1991, "EST"),
+    ("Soviet Union", 1991, "GEO"),
+    ("Soviet Union", 1991, "KAZ"),
+    ("Soviet Union", 1991, "KGZ"),
+    ("Soviet Union", 1991, "LTU"),
+    ("Soviet Union", 1991, "LVA"),
+    ("Soviet Union", 1991, "MDA"),
+    ("Soviet Union", 1991, "RUS"),
+    ("Soviet Union", 1991, "TJK"),
+    ("Soviet Union", 1991, "TKM"),
+    ("Soviet Union", 1991, "UKR"),
+    ("Soviet Union", 1991, "UZB"),
+    ("Yugoslavia", 1992, "BIH"),
+    ("Yugoslavia", 1992, "HRV"),
+    ("Yugoslavia", 1992, "MKD"),
+    ("Yugoslavia", 1992, "MNE"),
+    ("Yugoslavia", 1992, "SRB"),
+    ("Yugoslavia", 1992, "SVN"),
+    ("Yugoslavia", 1992, "XKX"),
+    ("Serbia and Montenegro", 2006, "MNE"),
+    ("Serbia and Montenegro", 2006, "SRB"),
+    ("Serbia and Montenegro", 2006, "XKX"),
+    ("Czechoslovakia", 1993, "CZE"),
+    ("Czechoslovakia", 1993, "SVK"),
+    ("East Germany", 1990, "DEU"),
+    ("Netherlands Antilles", 2010, "BES"),
+    ("Netherlands Antilles", 2010, "CUW"),
+    ("Netherlands Antilles", 2010, "SXM"),
+    ("North Yemen", 1990, "YEM"),
+    ("South Yemen", 1990, "YEM"),
+    ("Sudan (former)", 2011, "SDN"),
+    ("Sudan (former)", 2011, "SSD"),
+    ("United Arab Republic", 1961, "EGY"),
+    ("United Arab Republic", 1961, "SYR"),
+    ("Tanganyika", 1964, "TZA"),
+    ("Zanzibar", 1964, "TZA"),
+    ("North Vietnam", 1976, "VNM"),
+    ("South Vietnam", 1976, "VNM"),
+]
+_AFTER = f"SELECT * FROM (VALUES {fx.values(_SUCCESSORS)}) t(e, dissolved, code)"
 
 
 @query(f""", old(i, input) AS (VALUES {fx.values(enumerate(_OLD))}), alias(input, e) AS (VALUES ('ussr', 'Soviet Union'), ('Yugoslavia', 'Yugoslavia'), (' Czecho-Slovakia', 'Czechoslovakia'), ('GDR', 'East Germany'), ('Zanzibar', 'Zanzibar'), ('Former Sudan', 'Sudan (former)')),
@@ -243,11 +259,6 @@ def dissolve_country(spark, sf):
     return df.join(diagnostics.dissolve_country(df.select("name").distinct(), "name"), F.col("name") == F.col("input")).select("c_custkey", "input", "historical", "dissolved", "iso3c")
 
 
-@query(f"SELECT e AS historical, dissolved, code AS iso3c FROM ({_AFTER})")
-def historical_table(spark, sf):
-    return historical_codes(spark).select("historical", "dissolved", "iso3c")
-
-
 @query("SELECT 'gdp' AS indicator, count(*) AS n, count(*) - count(gdp) AS n_missing, round((count(*) - count(gdp)) / count(*), 8) AS na_rate FROM holes")
 def audit_na_rates(spark, sf):
     return aggregate.na_rates(fx.holes(spark, sf), ["gdp"]).withColumn("na_rate", r6("na_rate", 8))
@@ -488,13 +499,6 @@ def morans_i(spark, sf):
 _HAVERSINE = "2 * 6371.0088 * asin(least(1.0, sqrt(pow(sin(radians({b1} - {b0}) / 2), 2) + cos(radians({b0})) * cos(radians({b1})) * pow(sin(radians({a1} - {a0}) / 2), 2))))"
 
 
-@query("SELECT a.iso3c AS a, b.iso3c AS b, round(" + _HAVERSINE.format(a0="a.lon", b0="a.lat", a1="b.lon", b1="b.lat") + ", 6) AS distance_km FROM geo a, geo b")
-def distance_between(spark, sf):
-    g = fx.geo(spark)
-    pairs = g.select(F.col("iso3c").alias("a")).crossJoin(g.select(F.col("iso3c").alias("b")))
-    return spatial.distance_between(pairs, "a", "b", g).withColumn("distance_km", r6("distance_km"))
-
-
 @query("SELECT c_custkey, round(" + _HAVERSINE.format(a0="lon", b0="lat", a1="CAST(c_custkey % 360 - 180 AS DOUBLE)", b1="CAST(c_custkey % 170 - 85 AS DOUBLE)") + ", 6) AS km FROM people JOIN geo USING (iso3c)")
 def haversine(spark, sf):
     df = resolve.resolved(fx.people(spark, sf), "country").join(F.broadcast(fx.geo(spark)), "iso3c")
@@ -502,27 +506,6 @@ def haversine(spark, sf):
     return df.select("c_custkey", r6(km).alias("km"))
 
 
-@query(""", v AS (SELECT iso3c, "group", long, lat, coalesce(lead(long) OVER w, first_value(long) OVER w) AS nlon, coalesce(lead(lat) OVER w, first_value(lat) OVER w) AS nlat FROM ring WINDOW w AS (PARTITION BY "group" ORDER BY "order" ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
-SELECT iso3c, "group", round(abs(sum(radians(nlon - long) * (2 + sin(radians(lat)) + sin(radians(nlat))))) * 6371.0088 * 6371.0088 / 2, 3) AS area_km2 FROM v GROUP BY 1, 2""")
-def ring_area(spark, sf):
-    return spatial.ring_areas(fx.ring(spark)).withColumn("area_km2", r6("area_km2", 3))
-
-
-@query("SELECT iso3c, (min(long) + max(long)) / 2 AS lon, (min(lat) + max(lat)) / 2 AS lat FROM ring GROUP BY 1")
-def polygon_centroids(spark, sf):
-    return spatial.polygon_centroids(fx.ring(spark))
-
-
-@query("SELECT iso3c_a, iso3c_b FROM edges")
-def country_borders(spark, sf):
-    return spatial.country_borders(fx.ring(spark))
-
-
-@query("SELECT iso3c, neighbor FROM (SELECT iso3c_a AS iso3c, iso3c_b AS neighbor FROM edges UNION SELECT iso3c_b, iso3c_a FROM edges) WHERE iso3c IN ('FRA', 'JPN', 'USA')")
-def neighbors(spark, sf):
-    return spatial.neighbors(spatial.country_borders(fx.ring(spark)), ["France", "Japan", "U.S."])
-
-
 _POINTS = "SELECT c_custkey, CAST((c_custkey * 7 % 701) / 10.0 - 30.03 AS DOUBLE) AS lon, CAST((c_custkey * 11 % 691) / 10.0 - 29.07 AS DOUBLE) AS lat FROM customer"
 
 
@@ -545,17 +528,6 @@ def locate_snap(spark, sf):
     return spatial.locate_country(_points(spark, sf), fx.ring(spark), tolerance_km=60).select("c_custkey", "iso3c")
 
 
-@query("SELECT iso3c, round(radians(lon), 8) AS x, round(ln(tan(pi() / 4 + radians(lat) / 2)), 8) AS y FROM geo")
-def project_mercator(spark, sf):
-    return fx.geo(spark).select("iso3c", project(F.col("lon"), F.col("lat"), "mercator").alias("p")).select("iso3c", r6("p.x", 8).alias("x"), r6("p.y", 8).alias("y"))
-
-
-@query("""SELECT x0, y0, x1, y1, count(*) AS n FROM (SELECT least(a, b).x AS x0, least(a, b).y AS y0, greatest(a, b).x AS x1, greatest(a, b).y AS y1 FROM (
-SELECT {'x': long, 'y': lat} AS a, {'x': coalesce(lead(long) OVER w, first_value(long) OVER w), 'y': coalesce(lead(lat) OVER w, first_value(lat) OVER w)} AS b FROM ring WINDOW w AS (PARTITION BY "group" ORDER BY "order" ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))) GROUP BY ALL HAVING count(*) = 1""")
-def coastline(spark, sf):
-    return world_geometry(fx.ring(spark), "coastline").withColumn("n", F.lit(1).cast("long"))
-
-
 # -- map preparation --------------------------------------------------------------------
 
 
@@ -608,12 +580,6 @@ def tile_join(spark, sf):
 # -- sources and sinks --------------------------------------------------------------------
 
 
-@query("""SELECT * FROM (VALUES ('NY.GDP.MKTP.CD', 'GDP (current US$)'), ('NY.GDP.MKTP.KD', 'GDP (constant 2015 US$)'), ('NY.GDP.PCAP.KD', 'GDP per capita (constant 2015 US$)'),
-  ('NY.GDP.PCAP.CD', 'GDP per capita (current US$)'), ('SH.XPD.CHEX.GD.ZS', 'Current health expenditure (% of GDP)')) t(indicator, name)""")
-def indicator_catalogue(spark, sf):
-    return indicator_search(common_indicators(spark).select(F.col("code").alias("indicator"), F.col("description").alias("name")), "gdp")
-
-
 @query("SELECT iso3c, year, h.gdp AS gdp, CAST(p.pop AS DOUBLE) AS pop FROM holes h FULL JOIN (SELECT iso3c, year, pop FROM panel WHERE year <> 1999) p USING (iso3c, year)")
 def indicator_merge(spark, sf):
     none = F.lit(None).cast("string")
@@ -622,12 +588,6 @@ def indicator_merge(spark, sf):
     return ind.merge_indicators(long.unionByName(more), {"gdp": "G", "pop": "P"}).select("iso3c", "year", "gdp", "pop")
 
 
-@query("SELECT 'VISUALISE gdp AS fill' || chr(10) || 'FROM world' || chr(10) || 'DRAW spatial' || chr(10) || 'PROJECT TO robinson' || chr(10) || 'SCALE fill TO viridis VIA log' || chr(10) || 'LABEL title => ''World''''s GDP''' AS text")
-def chart_query(spark, sf):
-    text = world_query("gdp", projection="robinson", palette="viridis", transform="log", title="World's GDP")
-    return spark.createDataFrame([(text.sql(),)], "text string")
-
-
 @query("SELECT iso3c_year AS key, n FROM (SELECT iso3c || year AS iso3c_year, count(*) AS n FROM ring JOIN panel USING (iso3c) GROUP BY 1)")
 def facet_frames(spark, sf):
     years = viz_prep.frame_values(fx.panel(spark, sf))
@@ -635,51 +595,18 @@ def facet_frames(spark, sf):
     return df.groupBy(F.concat("iso3c", F.col("year").cast("string")).alias("key")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT long, lat, \"group\", \"order\", iso3c FROM ring WHERE long BETWEEN -15 AND 5 AND lat BETWEEN -20 AND 0")
-def region_box(spark, sf):
-    frame = fx.ring(spark)
-    return frame.where(resolve.region_predicate(spark, [-15, -20, 5, 0]))
-
-
-@query('SELECT iso3c, round(sum(area), 3) AS area_km2 FROM (SELECT iso3c, abs(sum(radians(nlon - long) * (2 + sin(radians(lat)) + sin(radians(nlat))))) * 6371.0088 * 6371.0088 / 2 AS area FROM (SELECT iso3c, "group", long, lat, coalesce(lead(long) OVER w, first_value(long) OVER w) AS nlon, coalesce(lead(lat) OVER w, first_value(lat) OVER w) AS nlat FROM ring WINDOW w AS (PARTITION BY "group" ORDER BY "order" ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) GROUP BY iso3c, "group") GROUP BY 1')
-def country_areas(spark, sf):
-    return spatial.country_areas(fx.ring(spark)).withColumn("area_km2", r6("area_km2", 3))
-
-
 @query(_LATEST + "SELECT c.iso3c, gdp, lon, lat FROM c LEFT JOIN (SELECT * FROM geo WHERE iso3c < 'M') g USING (iso3c)")
 def bubble_points(spark, sf):
     c = fx.panel(spark, sf).where("year = 2000").select("iso3c", "gdp")
     return viz_prep.bubble_points(c, "gdp", fx.geo(spark).where("iso3c < 'M'"))
 
 
-@query("""SELECT iso3c, round(cos(radians(lat)) * sin(radians(lon - 10)), 8) AS x, round(cos(radians(20)) * sin(radians(lat)) - sin(radians(20)) * cos(radians(lat)) * cos(radians(lon - 10)), 8) AS y,
- sin(radians(20)) * sin(radians(lat)) + cos(radians(20)) * cos(radians(lat)) * cos(radians(lon - 10)) >= 0 AS visible FROM geo""")
-def globe_view(spark, sf):
-    out = viz_prep.globe_view(fx.geo(spark).withColumnRenamed("lon", "long"), 10.0, 20.0)
-    return out.select("iso3c", r6("x", 8).alias("x"), r6("y", 8).alias("y"), "visible")
-
-
-@query("SELECT iso3c, round(radians(lon), 8) AS x, round(sin(radians(lat)), 8) AS y FROM geo")
-def project_cylindrical(spark, sf):
-    return fx.geo(spark).select("iso3c", project(F.col("lon"), F.col("lat"), "lambert_cylindrical").alias("p")).select("iso3c", r6("p.x", 8).alias("x"), r6("p.y", 8).alias("y"))
-
-
-@query("""SELECT iso3c, round(k * cos(p) * sin(l), 8) AS x, round(k * sin(p), 8) AS y FROM (SELECT iso3c, radians(lon) AS l, radians(lat) AS p, sqrt(2 / (1 + cos(radians(lat)) * cos(radians(lon)))) AS k FROM geo)""")
-def project_azimuthal(spark, sf):
-    return fx.geo(spark).select("iso3c", project(F.col("lon"), F.col("lat"), "laea").alias("p")).select("iso3c", r6("p.x", 8).alias("x"), r6("p.y", 8).alias("y"))
-
-
 @query(_LATEST + ", b AS (SELECT min(gdp) AS lo, max(gdp) AS hi FROM c) SELECT iso3c, CAST(greatest(1, ceil(round((gdp - lo) / (hi - lo) * 4, 9))) AS INTEGER) AS bin FROM c, b")
 def equal_bins(spark, sf):
     c = fx.panel(spark, sf).where("year = 2000").select("iso3c", "gdp")
     return viz_prep.world_map(c, "gdp", "equal", 4).select("iso3c", "bin")
 
 
-@query("SELECT v AS line, CAST(i AS INTEGER) AS ord, round(CASE WHEN k = 'm' THEN a ELSE i * 5.0 - 180 END, 6) AS long, round(CASE WHEN k = 'm' THEN i * 2.5 - 90 ELSE a END, 6) AS lat FROM (SELECT 'm' AS k, 'm' || (x * 30 - 180) AS v, CAST(x * 30 - 180 AS DOUBLE) AS a FROM range(13) t(x) UNION ALL SELECT 'p', 'p' || (x * 30 - 90), CAST(x * 30 - 90 AS DOUBLE) FROM range(1, 6) t(x)), range(73) r(i)")
-def graticule(spark, sf):
-    return spatial.graticule(spark, 30).withColumns({"long": r6("long"), "lat": r6("lat")})
-
-
 @query(_LATEST + ", p AS (SELECT iso3c, gdp, region FROM c) SELECT region, count(*) AS n, round(sum(gdp) / (SELECT sum(gdp) FROM c), 8) AS share FROM p GROUP BY 1")
 def regional_share(spark, sf):
     c = panel.share_of_world(fx.panel(spark, sf).where("year = 2000").drop("year"), "gdp")

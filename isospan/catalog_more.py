@@ -8,13 +8,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from .catalog import _LATEST, query, r6
-from .errors import SpineError, one_of
-from .functions.geo import PROJECTIONS, project, projection_string
-from .functions.text import si_label
-from .operators import aggregate, diagnostics, joins, resolve, spatial, stats, viz_prep
+from .operators import aggregate, joins, spatial, stats, viz_prep
 from .plans import fixtures as fx
-from .sinks.export import wkb_frame
-from .sources import geometry, indicators, world
+from .shared import new_folder
+from .sources import indicators, world
 from .streaming import standardize_stream
 
 
@@ -38,155 +35,6 @@ SPELLINGS = [
 ]
 
 
-@query(_literal(SPELLINGS, "name, iso3c"))
-def resolve_spellings(spark, sf):
-    return resolve.resolved(spark.createDataFrame([(n,) for n, _ in SPELLINGS], "name string"), "name")
-
-
-@query(_literal([("FRA", 250, 250, "Western Europe", "Europe"), ("BRA", 76, 76, "South America", "Americas"), ("KEN", 404, 404, "Eastern Africa", "Africa"), ("JPN", 392, 392, "Eastern Asia", "Asia"),
-                 ("USA", 840, 840, "Northern America", "Americas"), ("NZL", 554, 554, "Australasia", "Oceania"), ("TWN", 158, None, "Eastern Asia", None), ("XKX", None, None, "Southern Europe", None)], "iso3c, iso3n, un, region23, un_region"))
-def code_schemes(spark, sf):
-    df = spark.createDataFrame([(c,) for c in ("FRA", "BRA", "KEN", "JPN", "USA", "NZL", "TWN", "XKX")], "iso3c string")
-    return resolve.with_attributes(df, ["iso3n", "un", "region23", "un_region"])
-
-
-@query(_literal([(n, c) for n, c in ((12, "DZA"), (32, "ARG"), (76, "BRA"), (124, "CAN"), (818, "EGY"), (231, "ETH"), (250, "FRA"), (276, "DEU"), (356, "IND"), (360, "IDN"), (999, None))], "n, iso3c"))
-def convert_from_numeric(spark, sf):
-    df = spark.createDataFrame([(n,) for n in (12, 32, 76, 124, 818, 231, 250, 276, 356, 360, 999)], "n int")
-    return resolve.convert_country(df, "n", "iso3c", origin="iso3n")
-
-
-@query(_literal([("France", "France", "Frankreich", "Francia"), ("Germany", "Allemagne", "Deutschland", "Alemania"), ("Spain", "Espagne", "Spanien", "España"), ("Japan", "Japon", "Japan", "Japón"), ("Wakanda", None, None, None)], "name, fr, de, es"))
-def localized_name(spark, sf):
-    df = spark.createDataFrame([(n,) for n in ("France", "Germany", "Spain", "Japan", "Wakanda")], "name string")
-    for language in ("fr", "de", "es"):
-        df = resolve.convert_country(df, "name", f"name_{language}", out=language)
-    return df
-
-
-@query(_literal([("Kosovo", "XK", "XKX", "Europe", "🇽🇰"), ("XKX", None, None, None, None)], "name, iso2c, iso3c, continent, flag"))
-def kosovo(spark, sf):
-    df = resolve.standardize_country(spark.createDataFrame([("Kosovo",), ("XKX",)], "name string"), "name", add=("iso2c", "continent"))
-    return resolve.convert_country(df, "name", "flag").select("name", "iso2c", "iso3c", "continent", "flag")
-
-
-@query(_literal([("ARG",), ("AUS",), ("BRA",), ("CAN",), ("CHN",), ("FRA",), ("DEU",), ("IND",), ("IDN",), ("ITA",), ("JPN",), ("KOR",), ("MEX",), ("RUS",), ("SAU",), ("ZAF",), ("TUR",), ("GBR",), ("USA",)], "iso3c"))
-def group_members(spark, sf):
-    from .refdata import country_groups
-
-    return country_groups(spark, "G20").select("iso3c")
-
-
-@query(_literal([("EU", 27), ("EuroZone", 20), ("G7", 7), ("G20", 19), ("BRICS", 5), ("ASEAN", 10), ("EFTA", 4), ("OPEC", 13), ("NATO", 31), ("OECD", 38), ("Commonwealth", 55), ("Mercosur", 5), ("GCC", 6), ("Nordic", 5), ("Visegrad", 4)], '"group", n'))
-def group_sizes(spark, sf):
-    from .refdata import country_groups
-
-    return country_groups(spark).groupBy("group").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("SELECT string_split(t, ',')[1] AS input, string_split(t, ',')[2] AS iso3c FROM (SELECT unnest(['Madeira,PRT', 'Azores,PRT', 'Saba,BES', 'Bonaire,BES', 'Barbuda,ATG', 'Canary Islands,ESP', 'Siachen Glacier,IND', 'Channel Islands,GBR', 'Ascension Island,SHN', 'Micronesia,FSM', 'Saint Martin,MAF', 'Kosovo,XKX']) AS t)")
-def override_codes(spark, sf):
-    names = ["Madeira", "Azores", "Saba", "Bonaire", "Barbuda", "Canary Islands", "Siachen Glacier", "Channel Islands", "Ascension Island", "Micronesia", "Saint Martin", "Kosovo"]
-    return resolve.resolved(spark.createDataFrame([(n,) for n in names], "input string"), "input")
-
-
-@query(_literal([("Soviet Union", 1991, 15), ("Yugoslavia", 1992, 7), ("Serbia and Montenegro", 2006, 3), ("Czechoslovakia", 1993, 2), ("East Germany", 1990, 1), ("Netherlands Antilles", 2010, 3), ("North Yemen", 1990, 1), ("South Yemen", 1990, 1),
-                 ("Sudan (former)", 2011, 2), ("United Arab Republic", 1961, 2), ("Tanganyika", 1964, 1), ("Zanzibar", 1964, 1), ("North Vietnam", 1976, 1), ("South Vietnam", 1976, 1)], "historical, dissolved, n"))
-def historical_entities(spark, sf):
-    from .refdata import historical_codes
-
-    return historical_codes(spark).groupBy("historical", "dissolved").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(_literal([("USSR", 1991, "EST"), ("USSR", 1991, "LVA"), ("USSR", 1991, "LTU"), ("GDR", 1990, "DEU"), ("Tanganyika", 1964, "TZA"), ("Chad", None, "TCD"), ("former Sudan", 2011, "SDN"), ("former Sudan", 2011, "SSD")], "input, dissolved, iso3c"))
-def successors(spark, sf):
-    df = spark.createDataFrame([("USSR",), ("GDR",), ("Tanganyika",), ("Chad",), ("former Sudan",)], "name string")
-    return diagnostics.dissolve_country(df, "name").where("input <> 'USSR' or iso3c in ('EST', 'LVA', 'LTU')").select("input", "dissolved", "iso3c")
-
-
-@query(_literal([("Germny", False, "Germany"), ("Brzil", False, "Brazil"), ("Frnace", False, "France"), ("Kenia", False, "Kenya"), ("Peruu", False, "Peru"), ("France", True, None), ("zzzzqq", False, None)], "input, matched, suggestion"))
-def match_suggestions(spark, sf):
-    df = spark.createDataFrame([(n,) for n in ("Germny", "Brzil", "Frnace", "Kenia", "Peruu", "France", "zzzzqq")], "name string")
-    return diagnostics.check_country_match(df, "name").select("input", "matched", "suggestion")
-
-
-@query(_literal([("High income", "High income", 5), (" Low income ", "Low income", 2), ("Not classified", "Not classified", 1), ("Rich", None, None), (None, None, None)], "label, income, place"))
-def income_levels(spark, sf):
-    df = spark.createDataFrame([("High income",), (" Low income ",), ("Not classified",), ("Rich",), (None,)], "label string")
-    df = df.withColumn("income", world.clean_income(F.col("label")))
-    return df.withColumn("place", world.income_rank(F.col("income")))
-
-
-# -- small functions ------------------------------------------------------------------
-
-
-@query(_literal([(1999,), (2000,), (2001,)], "year"))
-def valid_years(spark, sf):
-    return spark.createDataFrame([(y,) for y in world.validate_years([2000.4, 1999, 1999, 2001])], "year int")
-
-
-@query(_literal([("years before 1960", True), ("years of text", True), ("unknown method", True), ("missing column", True)], "what, stopped"))
-def wrong_arguments(spark, sf):
-    def stops(f):
-        try:
-            f()
-        except SpineError:
-            return True
-        return False
-
-    df = spark.createDataFrame([("FRA", 1.0)], "iso3c string, v double")
-    tries = {
-        "years before 1960": lambda: world.validate_years([1959]),
-        "years of text": lambda: world.validate_years(["x"]),
-        "unknown method": lambda: one_of("method", "median", ("mean", "sum")),
-        "missing column": lambda: aggregate.gini(df, "gdp"),
-    }
-    return spark.createDataFrame([(n, stops(f)) for n, f in tries.items()], "what string, stopped boolean")
-
-
-@query(_literal([("NY.GDP.PCAP.CD", "NY.GDP.PCAP.CD"), ("SP POP-TOTL", "SP.POP.TOTL"), ("a_b", "a_b")], "code, name"))
-def indicator_names(spark, sf):
-    return spark.createDataFrame([(c, n) for n, c in indicators.normalize_indicator(["NY.GDP.PCAP.CD", "SP POP-TOTL", "a_b"]).items()], "code string, name string")
-
-
-@query(_literal([(1500.0, "1.5K"), (4000000.0, "4M"), (2000000000.0, "2B"), (3.2e12, "3.2T"), (12.0, "12"), (-2500.0, "-2.5K")], "x, label"))
-def si_labels(spark, sf):
-    return spark.createDataFrame([(x, si_label(x)) for x in (1500.0, 4e6, 2e9, 3.2e12, 12.0, -2500.0)], "x double, label string")
-
-
-@query(_literal([(f, f"+proj={p} +lon_0=0" + extra + " +datum=WGS84 +units=m +no_defs") for f, p, extra in (
-    ("equirectangular", "eqc", ""), ("robinson", "robin", ""), ("natural_earth", "natearth", ""), ("equal_earth", "eqearth", ""), ("mollweide", "moll", ""), ("mercator", "merc", ""), ("winkel_tripel", "wintri", ""),
-    ("eckert4", "eck4", ""), ("orthographic", "ortho", " +lat_0=0"), ("laea", "laea", " +lat_0=0"), ("albers", "aea", " +lat_1=29.5 +lat_2=45.5"), ("lambert_cylindrical", "cea", ""), ("gall_peters", "cea", " +lat_ts=45"))], "projection, crs"))
-def projection_strings(spark, sf):
-    return spark.createDataFrame([(p, projection_string(p)) for p in PROJECTIONS], "projection string, crs string")
-
-
-@query(_literal([("small", 110), ("medium", 50), ("large", 10)], "name, scale"))
-def map_scales(spark, sf):
-    return spark.createDataFrame([(n, geometry.map_scale(n)) for n in ("small", "medium", "large")], "name string, scale int")
-
-
-@query("SELECT CAST(i AS INTEGER) AS i, i * 6.0::DOUBLE AS lon FROM range(60) t(i)")
-def globe_turn(spark, sf):
-    return spark.createDataFrame(list(enumerate(viz_prep.globe_frames(60))), "i int, lon double")
-
-
-@query(_literal([("font", "sans-serif"), ("label", "9"), ("title", "14")], "item, value"))
-def chart_theme(spark, sf):
-    t = viz_prep.theme()
-    return spark.createDataFrame([("font", t["font"]), ("label", str(t["legend"]["labelFontSize"])), ("title", str(t["title"]["fontSize"]))], "item string, value string")
-
-
-@query(_literal([("field", "gdp"), ("scheme", "viridis"), ("projection", "equalEarth"), ("mark", "geoshape"), ("tooltip", "country")], "item, value"))
-def chart_encoding(spark, sf):
-    import json
-
-    s = json.loads(viz_prep.chart_spec("world.json", "gdp", tooltip=["country"]))
-    color = s["encoding"]["color"]
-    rows = [("field", color["field"]), ("scheme", color["scale"]["scheme"]), ("projection", s["projection"]["type"]), ("mark", s["mark"]["type"]), ("tooltip", s["encoding"]["tooltip"][0]["field"])]
-    return spark.createDataFrame(rows, "item string, value string")
-
-
 # -- projections ------------------------------------------------------------------------
 
 _PLANE = {
@@ -202,126 +50,19 @@ _ANGLES = """SELECT iso3c, l, p, asin(sqrt(3) / 2 * sin(p)) AS t, CASE WHEN a =
   pow(cos(radians(29.5)), 2) + (sin(radians(29.5)) + sin(radians(45.5))) * sin(radians(29.5)) AS c FROM geo)"""
 
 
-@query(" UNION ALL ".join(f"SELECT '{name}' AS projection, iso3c, round({x}, 7) AS x, round({y}, 7) AS y FROM ({_ANGLES})" for name, (x, y) in _PLANE.items()))
-def project_closed_forms(spark, sf):
-    parts = [fx.geo(spark).select(F.lit(n).alias("projection"), "iso3c", project(F.col("lon"), F.col("lat"), n).alias("p")) for n in _PLANE]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("projection", "iso3c", r6("p.x", 7).alias("x"), r6("p.y", 7).alias("y"))
-
-
-def project_iterated(spark, sf):
-    parts = [fx.geo(spark).select(F.lit(n).alias("projection"), "iso3c", project(F.col("lon"), F.col("lat"), n).alias("p")) for n in ("mollweide", "eckert4")]
-    return parts[0].unionByName(parts[1]).select("projection", "iso3c", r6("p.x").alias("x"), r6("p.y").alias("y"))
-
-
 def _bisected(f: str, aim: str) -> str:
     """The angle in [-pi/2, pi/2] at which the rising function f is aim: 60 halvings."""
     return f"list_reduce(list_prepend(0.0::DOUBLE, list_transform(range(1, 61), lambda i: pi() / pow(2, i + 1))), lambda a, h: a + h * sign({aim} - ({f})))"
 
 
-_SOLVED = f", solved AS (SELECT iso3c, radians(lon) AS l, {_bisected('2 * a + sin(2 * a)', 'pi() * sin(radians(lat))')} AS m, {_bisected('a + sin(a) * cos(a) + 2 * sin(a)', '(2 + pi() / 2) * sin(radians(lat))')} AS e FROM geo) "
-query(_SOLVED + """SELECT projection, iso3c, round(x, 6) AS x, round(y, 6) AS y FROM (
-SELECT 'mollweide' AS projection, iso3c, 2 * sqrt(2) / pi() * l * cos(m) AS x, sqrt(2) * sin(m) AS y FROM solved UNION ALL
-SELECT 'eckert4', iso3c, 2 / sqrt(pi() * (4 + pi())) * l * (1 + cos(e)), 2 * sqrt(pi() / (4 + pi())) * sin(e) FROM solved)""")(project_iterated)
+_SOLVED = f", solved AS (SELECT c_custkey, radians(lon) AS l, {_bisected('2 * a + sin(2 * a)', 'pi() * sin(radians(lat))')} AS m, {_bisected('a + sin(a) * cos(a) + 2 * sin(a)', '(2 + pi() / 2) * sin(radians(lat))')} AS e FROM spots) "
 
 _ROBINSON = [(0, 1.0, 0.0), (15, 0.99, 0.186), (30, 0.96, 0.372), (45, 0.8962, 0.5571), (60, 0.7986, 0.7346), (75, 0.6732, 0.8936), (90, 0.5322, 1.0)]
 
 
-@query(f"SELECT CAST(lat AS DOUBLE) AS lat, round(0.8487 * kx * radians(40), 6) AS x, round(1.3523 * CAST(ky AS DOUBLE), 6) AS y FROM (VALUES {fx.values(_ROBINSON)}) t(lat, kx, ky)")
-def project_robinson(spark, sf):
-    df = spark.createDataFrame([(float(a),) for a, *_ in _ROBINSON], "lat double")
-    p = project(F.lit(40.0), F.col("lat"), "robinson")
-    return df.select("lat", r6(p["x"]).alias("x"), r6(p["y"]).alias("y"))
-
-
 # -- space ----------------------------------------------------------------------------
 
 
-def _shapes(spark, rings):
-    """A frame of rings [(iso3c, group, [(x, y), ..])]."""
-    rows = [(c, g, i + 1, float(x), float(y)) for c, g, points in rings for i, (x, y) in enumerate(points)]
-    return spark.createDataFrame(rows, "iso3c string, `group` int, `order` int, long double, lat double")
-
-
-def _box(x0, y0, x1, y1):
-    return [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
-
-
-@query(_literal([("AAA", "BBB"), ("BBB", "CCC"), ("CCC", "DDD")], "iso3c_a, iso3c_b"))
-def touching_outlines(spark, sf):
-    # B lies on part of A's side, C on B's corner, D crosses C; E is apart
-    return spatial.touching(_shapes(spark, [("AAA", 1, _box(0, 0, 4, 4)), ("BBB", 2, _box(4, 1, 6, 3)), ("CCC", 3, _box(6, 3, 8, 5)), ("DDD", 4, _box(7, 4, 9, 4.5)), ("EEE", 5, _box(0, 10, 1, 11))]))
-
-
-@query("SELECT iso3c_a, iso3c_b FROM edges")
-def touching_mesh(spark, sf):
-    return spatial.touching(fx.ring(spark), step=10.0)
-
-
-@query(_literal([("AAA", True, True), ("RRR", True, False), ("UUU", True, False)], "iso3c, inside, middle_inside"))
-def points_inside(spark, sf):
-    from .functions.geo import in_ring
-
-    frame = _shapes(spark, [("AAA", 1, _box(0, 0, 4, 4)), ("UUU", 2, [(0, 0), (9, 0), (9, 9), (7, 9), (7, 2), (2, 2), (2, 9), (0, 9)]), ("RRR", 3, _box(0, 0, 10, 10)), ("RRR", 4, _box(2, 2, 8, 8))])
-    shapes = spatial.rings(frame).groupBy("iso3c").agg(F.collect_list("ring").alias("rings"))
-
-    def inside(x, y):
-        return F.aggregate("rings", F.lit(0), lambda a, r: a + in_ring(x, y, r).cast("int")) % 2 == 1
-
-    mid = spatial.polygon_centroids(frame).toDF("iso3c", "mx", "my")
-    both = shapes.join(spatial.interior_points(frame), "iso3c").join(mid, "iso3c")
-    return both.select("iso3c", inside(F.col("lon"), F.col("lat")).alias("inside"), inside(F.col("mx") + 0.001, F.col("my") + 0.001).alias("middle_inside"))
-
-
-@query("SELECT continent, CAST(sum(n) AS BIGINT) AS edges FROM (SELECT continent, least(a, b) AS e, greatest(a, b) AS f, count(*) % 2 AS n FROM (SELECT s.continent, {'x': long, 'y': lat} AS a, coalesce(lead({'x': long, 'y': lat}) OVER w, first_value({'x': long, 'y': lat}) OVER w) AS b FROM ring r JOIN spine s USING (iso3c) WINDOW w AS (PARTITION BY \"group\" ORDER BY \"order\" ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) GROUP BY ALL) GROUP BY 1")
-def dissolved_outlines(spark, sf):
-    frame = fx.ring(spark).join(F.broadcast(fx.spine(spark).select("iso3c", "continent")), "iso3c")
-    return spatial.dissolve(frame, "continent").groupBy("continent").agg(F.count(F.lit(1)).alias("edges"))
-
-
-@query("SELECT iso3c, min(long) AS x0, max(long) AS x1, min(lat) AS y0, max(lat) AS y1 FROM (SELECT iso3c, greatest(-15, least(12, long)) AS long, greatest(-14, least(9, lat)) AS lat FROM ring) GROUP BY 1 HAVING min(long) < max(long) AND min(lat) < max(lat)")
-def clipped_rings(spark, sf):
-    out = spatial.clip_box(fx.ring(spark), -15, -14, 12, 9).groupBy("iso3c").agg(F.min("long").alias("x0"), F.max("long").alias("x1"), F.min("lat").alias("y0"), F.max("lat").alias("y1"))
-    return out.where("x0 < x1 and y0 < y1")
-
-
-@query(_literal([(1, -180.0, 0.0), (1, -180.0, 10.0), (1, -170.0, 0.0), (1, -170.0, 10.0)], "side, long, lat") + " UNION ALL " + _literal([(0, 170.0, 0.0), (0, 180.0, 0.0), (0, 180.0, 10.0), (0, 170.0, 10.0)], "side, long, lat"))
-def antimeridian(spark, sf):
-    frame = _shapes(spark, [("FJI", 3, [(170, 0), (-170, 0), (-170, 10), (170, 10), (170, 0)])])
-    out = spatial.split_antimeridian(frame)
-    return out.select((F.col("group") % 2).alias("side"), "long", "lat").distinct()
-
-
-@query(_literal([("AAA", 4), ("BBB", 4)], "iso3c, n"))
-def simplified_rings(spark, sf):
-    dented = [(0, 0), (5, 0.0625), (10, 0), (10.0625, 5), (10, 10), (5, 9.9375), (0, 10), (0.0625, 5)]
-    frame = _shapes(spark, [("AAA", 1, dented), ("BBB", 2, [(x + 16, y) for x, y in dented])])
-    return spatial.simplify_geometry(frame, 0.4).groupBy("iso3c").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("SELECT 4 + count(*) AS vertices, count(*) AS holes FROM ring")
-def ocean_with_holes(spark, sf):
-    return geometry.world_geometry(fx.ring(spark), "ocean").agg(F.count(F.lit(1)).alias("vertices"), F.sum(F.col("hole").cast("long")).alias("holes"))
-
-
-@query('SELECT iso3c, "group", "order", round(radians(long), 8) AS long, round(sin(radians(lat)), 8) AS lat FROM ring JOIN spine USING (iso3c) WHERE continent = \'Europe\'')
-def projected_region(spark, sf):
-    out = geometry.world_geometry(fx.ring(spark), region="Europe", projection="lambert_cylindrical")
-    return out.select("iso3c", "group", "order", r6("long", 8).alias("long"), r6("lat", 8).alias("lat"))
-
-
-@query("SELECT iso3c, (min(long) + max(long)) / 2 AS lon, (min(lat) + max(lat)) / 2 AS lat, chr(127397 + ascii(iso2c)) || chr(127397 + ascii(substr(iso2c, 2))) AS flag FROM ring JOIN spine USING (iso3c) GROUP BY iso3c, iso2c")
-def country_labels(spark, sf):
-    return viz_prep.label_points(fx.ring(spark), flags=True).select("iso3c", "lon", "lat", "flag")
-
-
-@query("SELECT iso3c, 102 AS bytes, '0106000000010000000103000000010000000500000' AS head FROM spine")
-def well_known_binary(spark, sf):
-    return wkb_frame(fx.ring(spark)).select("iso3c", F.octet_length("geometry").alias("bytes"), F.substring(F.hex("geometry"), 1, 43).alias("head"))
-
-
 @query(_literal([(25, 0, True)], "circles, overlapping, largest_first"))
 def dorling_circles(spark, sf):
     c = fx.panel(spark, sf).where("year = 2000").select("iso3c", "gdp").join(fx.geo(spark), "iso3c").collect()
@@ -344,13 +85,6 @@ def beta_errors(spark, sf):
     return out.select(r6("std_error", 8).alias("std_error"), r6("t_value").alias("t_value"), r6("speed", 8).alias("speed"), r6("half_life", 5).alias("half_life"))
 
 
-@query("SELECT CAST(t AS DOUBLE) AS t, df, CAST(p AS DOUBLE) AS p FROM (" + _literal([(2.228139, 10, 0.05), (12.7062, 1, 0.05), (1.959964, 1000000, 0.05), (0.0, 7, 1.0), (2.0, 2, 0.183503), (-2.845340, 20, 0.01)], "t, df, p") + ")")
-def t_probabilities(spark, sf):
-    from .functions.stats import t_two_sided
-
-    return spark.createDataFrame([(t, n, round(t_two_sided(t, n), 6 if p == 0.183503 else 4)) for t, n, p in ((2.228139, 10, 0.05), (12.7062, 1, 0.05), (1.959964, 1000000, 0.05), (0.0, 7, 1.0), (2.0, 2, 0.183503), (-2.845340, 20, 0.01))], "t double, df int, p double")
-
-
 @query(_LATEST + "SELECT round(sum(pop * gdp * ln(gdp / m)) / sum(pop * gdp), 8) AS theil FROM c, (SELECT sum(pop * gdp) / sum(pop) AS m FROM c)")
 def theil_weighted(spark, sf):
     return aggregate.theil(fx.panel(spark, sf).where("year = 2000"), "gdp", "pop").select(r6("theil", 8).alias("theil"))
@@ -379,11 +113,6 @@ def natural_bins(spark, sf):
     return viz_prep.world_map(c, "gdp", "jenks", 3).select("iso3c", "bin")
 
 
-@query(_literal([(1.0, 1, "[1,3]"), (3.0, 1, "[1,3]"), (3.5, 2, "(3,5]"), (5.0, 2, "(3,5]"), (9.0, None, None), (None, None, None)], "v, bin, bin_label"))
-def class_labels(spark, sf):
-    return viz_prep.classified(spark.createDataFrame([(v,) for v in (1.0, 3.0, 3.5, 5.0, 9.0, None)], "v double"), "v", [1.0, 3.0, 5.0])
-
-
 # -- tables, joins, sources -----------------------------------------------------------------
 
 
@@ -402,10 +131,7 @@ def classification(spark, sf):
 
 def _indicator_root(spark, sf) -> str:
     """Two indicators written as a source keeps them: G (holes), P (panel without 1999)."""
-    from tempfile import mkdtemp
-
-    folder = spark.conf.get("spark.checkpoint.dir", None) or mkdtemp(prefix="isospan-")
-    root = f"{folder.rstrip('/')}/indicators-{uuid.uuid4().hex}"
+    root = new_folder(spark, "indicators")
     names = fx.spine(spark).select("iso3c", "iso2c", F.trim("messy_name").alias("country"))
     for code, df, value in (("G", fx.holes(spark, sf), "gdp"), ("P", fx.panel(spark, sf).where("year <> 1999"), "pop")):
         df.join(F.broadcast(names), "iso3c").select("iso3c", "iso2c", "country", "year", F.col(value).cast("double").alias("value")).write.parquet(f"{root}/{code}")

@@ -77,6 +77,36 @@ def ring(spark: SparkSession) -> DataFrame:
     return square_grid(spark, [r[1] for r in SPINE])
 
 
+def spots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(c_custkey, iso3c, continent, lon, lat): a place for every customer."""
+    k = F.col("c_custkey")
+    at = lambda m, n, less: F.round((k * m % n) / 10.0 - less, 2)
+    who = table(spark, sf_dir, "customer").join(F.broadcast(spine(spark)), F.col("c_nationkey") == F.col("n_nationkey"))
+    return who.select("c_custkey", "iso3c", "continent", at(7, 3401, 170).alias("lon"), at(11, 1391, 69.5).alias("lat"))
+
+
+def _squares(spots: DataFrame, x, y, w) -> DataFrame:
+    corners = F.array(*[F.struct(F.lit(k).alias("order"), (x + w * dx).alias("long"), (y + w * dy).alias("lat")) for k, dx, dy in ((1, -1, -1), (2, 1, -1), (3, 1, 1), (4, -1, 1))])
+    return spots.select("iso3c", F.col("c_custkey").cast("int").alias("group"), F.explode(corners).alias("p")).select("iso3c", "group", "p.order", "p.long", "p.lat")
+
+
+def lots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A square around every customer's place, of a size by key."""
+    return _squares(spots(spark, sf_dir), F.col("lon"), F.col("lat"), 0.1 + (F.col("c_custkey") % 97) / 500.0)
+
+
+def mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer's square in a mesh of 40 columns, neighbours sharing vertices."""
+    k = F.col("c_custkey")
+    return _squares(spots(spark, sf_dir), (k % 40 * 2).cast("double"), F.expr("cast(c_custkey div 40 * 2 as double)"), F.lit(1.0))
+
+
+def spread(spark: SparkSession, sf_dir: str, rows: list, schema: str) -> DataFrame:
+    """(c_custkey, ...): every customer with one of the rows, by key."""
+    given = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"_i int, {schema}")
+    return table(spark, sf_dir, "customer").select("c_custkey").join(F.broadcast(given), F.col("c_custkey") % len(rows) == F.col("_i")).drop("_i")
+
+
 def people(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(c_custkey, country, iso, balance): every customer with its nation's messy name."""
     s = spine(spark)
@@ -107,6 +137,16 @@ ring AS (
   FROM spine, (VALUES (1, 0, 0), (2, 1, 0), (3, 1, 1), (4, 0, 1)) c(k, dx, dy)),
 edges AS (
   SELECT DISTINCT a.iso3c AS iso3c_a, b.iso3c AS iso3c_b FROM ring a JOIN ring b ON a.long = b.long AND a.lat = b.lat AND a.iso3c < b.iso3c),
+spots AS (SELECT c_custkey, iso3c, continent, round((c_custkey * 7 % 3401)::DOUBLE / 10 - 170, 2) AS lon, round((c_custkey * 11 % 1391)::DOUBLE / 10 - 69.5, 2) AS lat FROM customer JOIN spine ON c_nationkey = n_nationkey),
+corners(k, dx, dy) AS (VALUES (1, -1, -1), (2, 1, -1), (3, 1, 1), (4, -1, 1)),
+lots AS (SELECT iso3c, CAST(c_custkey AS INTEGER) AS "group", k AS "order", lon + dx * (0.1 + (c_custkey % 97)::DOUBLE / 500) AS long, lat + dy * (0.1 + (c_custkey % 97)::DOUBLE / 500) AS lat FROM spots, corners),
+mesh AS (SELECT iso3c, CAST(c_custkey AS INTEGER) AS "group", k AS "order", CAST(c_custkey % 40 * 2 + dx AS DOUBLE) AS long, CAST(c_custkey // 40 * 2 + dy AS DOUBLE) AS lat FROM spots, corners),
+shared AS (SELECT DISTINCT a.iso3c AS iso3c_a, b.iso3c AS iso3c_b FROM (SELECT DISTINCT iso3c, long, lat FROM mesh) a JOIN (SELECT DISTINCT iso3c, long, lat FROM mesh) b ON a.long = b.long AND a.lat = b.lat AND a.iso3c < b.iso3c),
 people AS (SELECT c_custkey, messy_name AS country, iso2c AS iso, iso3c, c_acctbal AS balance FROM customer JOIN spine ON c_nationkey = n_nationkey)
 """
 values = _values
+
+
+def spread_sql(rows: list, names: str, select: str = "*") -> str:
+    """spread in SQL: rows as columns `names` beside c_custkey."""
+    return f"SELECT {select if select == '*' else 'c_custkey, ' + select} FROM (SELECT c_custkey, t.* EXCLUDE (_i) FROM customer JOIN (VALUES {_values([(i, *r) for i, r in enumerate(rows)])}) t(_i, {names}) ON c_custkey % {len(rows)} = _i)"

@@ -2,7 +2,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from isospan import catalog, catalog_more, catalog_scale, catalog_shapes  # noqa: F401  all register
+from isospan import catalog, catalog_more, catalog_scale, catalog_shapes, catalog_tables  # noqa: F401  all register
 
 
 @pytest.fixture(scope="module")
