@@ -26,7 +26,7 @@ from urllib.parse import urlsplit
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, open_store, pieces_of, shared_dir, text_bytes
+from .common import cut, join_by_key, open_store, pieces_of, shared_dir, text_bytes
 
 DATE = "2024-01-01T00:00:00Z"
 BLOCK_LINES = 1024
@@ -129,16 +129,18 @@ def capture_key(url, page_id, date: str = DATE) -> str:
 # -- writing -------------------------------------------------------------------
 
 
-def with_targets(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
+def with_targets(pages: DataFrame, least_bytes: int = 0, total: int | None = None) -> DataFrame:
     """(page_id, url, payload, refers_to): which page each record revisits.
 
     Equal payloads (by SHA-256 and length) of least_bytes or more refer to the
-    smallest page_id among them. Only repeated payloads meet in the join.
+    smallest page_id among them. Digests are counted without payloads; those of
+    frequent payloads, an empty one say, are broadcast to their rows, so that no
+    task gets all rows of one. total is the number of rows, counted if not given.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("_sha", F.unhex(F.sha2("payload", 256)))
-    first = rows.where(F.octet_length("payload") >= least_bytes).groupBy("_sha").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    joined = rows.join(first, "_sha", "left")
+    first = rows.where(F.octet_length("payload") >= least_bytes).groupBy("_sha").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("_rows")).where("_rows > 1")
+    joined = join_by_key(rows, cut(first), "_sha", rows.count() if total is None else total, "left")
     return joined.select("page_id", "url", "payload", F.when(F.col("page_id").isNull() | (F.col("page_id") > F.col("first")), F.col("first")).alias("refers_to"))
 
 
@@ -218,8 +220,9 @@ class Archive:
         root = root or f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
         store, folder = open_store(root)
         store.create_dir(folder, recursive=True)
-        writers = pieces_of(text_bytes(pages, "html")[1], WRITER_BYTES)
-        captures = cut(with_targets(pages, least_bytes).coalesce(writers).mapInArrow(_written(root, date), _CAPTURE))
+        total, size = text_bytes(pages, "html")
+        writers = pieces_of(size, WRITER_BYTES)
+        captures = cut(with_targets(pages, least_bytes, total).coalesce(writers).mapInArrow(_written(root, date), _CAPTURE))
         tasks = pieces_of(captures.count(), INDEX_TASK_ROWS)
         ordered = captures.select("key", "file", "at", "size").repartitionByRange(tasks, "key", "file", "at").sortWithinPartitions("key", "file", "at")
         ordered.coalesce(tasks).mapInArrow(_blocks(block_lines), "run int, first_key string, last_key string, data binary, n int").write.parquet(f"{root}/index")

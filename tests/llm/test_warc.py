@@ -95,3 +95,16 @@ def test_missing_records_fail(spark, monkeypatch):
     except RuntimeError:
         return
     raise AssertionError("records were lost without an error")
+
+
+def test_a_frequent_payload_meets_its_rows_by_broadcast(spark):
+    """600 empty pages and others: the smallest id of each payload, whoever brings it."""
+    from isospan.llm.warc import with_targets
+
+    rows = [(i if i != 3 else None, None, None if i % 2 else "") for i in range(600)] + [(1000 + i, "u", f"page {i // 2}") for i in range(100)]
+    got = {}
+    for r in with_targets(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)).collect():
+        got.setdefault(r.page_id, []).append(r.refers_to)
+    assert len(got) == 700 and got[0] == [None] and got[None] == [0]
+    assert all(v == [0] for k, v in got.items() if k is not None and 0 < k < 600)
+    assert all(v == [None if k % 2 == 0 else k - 1] for k, v in got.items() if k is not None and k >= 1000)
