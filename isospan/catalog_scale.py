@@ -24,7 +24,8 @@ TOKEN_NAMES = [
 def resolve_by_tokens(spark, sf):
     names = F.array(*[F.lit(n) for n, _ in TOKEN_NAMES])
     df = fx.table(spark, sf, "customer").select("c_custkey", F.get(names, (F.col("c_custkey") % len(TOKEN_NAMES)).cast("int")).alias("name"))
-    return resolve.resolved(df, "name")
+    known = resolve.resolved(df.select("name").distinct(), "name", tokens=True)
+    return df.join(F.broadcast(known), "name").select("c_custkey", "name", "iso3c")
 
 
 @query("SELECT o_orderkey, round(jaro_similarity(o_orderpriority || o_orderkey, o_orderstatus || o_custkey || o_orderpriority), 8) AS jaro FROM orders")

@@ -2,7 +2,7 @@
 
 Lookup tables have some hundreds of rows, whatever the data: they are broadcast
 and the data is never shuffled. Tiers: exact override, normalised spelling,
-pattern, spelling without its form of state, tokens, null.
+pattern, spelling without its form of state, tokens where asked for, null.
 """
 
 from __future__ import annotations
@@ -23,13 +23,15 @@ from .tokens import code_by_tokens, token_index
 _count = itertools.count()
 
 
-def resolved(df: DataFrame, col: str, out: str = "iso3c", origin: str = "country.name", custom_match: dict | None = None) -> DataFrame:
+def resolved(df: DataFrame, col: str, out: str = "iso3c", origin: str = "country.name", custom_match: dict | None = None, tokens: bool = False) -> DataFrame:
     """df with column out, the alpha-3 code of col (replacing a column out).
 
     origin country.name resolves spellings; iso3c only upper-cases and trims,
     without asking whether the code exists; other schemes are looked up. An
     exact match of the raw value in custom_match (default: the built-in
-    overrides) wins under the first two.
+    overrides) wins under the first two. With tokens, names that are still
+    unknown are looked up by their tokens; that takes about a millisecond each,
+    so many rows are best resolved by distinct names.
     """
     need_columns(df, col)
     spark, n = df.sparkSession, next(_count)
@@ -49,8 +51,9 @@ def resolved(df: DataFrame, col: str, out: str = "iso3c", origin: str = "country
             by_pattern = F.when(F.size(hits) == 1, F.get(hits, F.lit(0)))  # more than one code: ambiguous
             work = work.withColumn(f"_s{n}", short_column(F.col(f"_n{n}"))).join(F.broadcast(names.toDF(f"_b{n}", f"_e{n}")), F.col(f"_s{n}") == F.col(f"_b{n}"), "left")
             code = F.coalesce(f"_o{n}", f"_d{n}", F.when(F.col(f"_d{n}").isNull() & raw.isNotNull(), by_pattern), F.when(F.size(hits) == 0, F.col(f"_e{n}")))
-            work = work.crossJoin(F.broadcast(token_index(spark)))
-            code = F.coalesce(code, F.when((F.size(hits) == 0) & raw.isNotNull(), code_by_tokens(raw, F.col(f"_n{n}"))))
+            if tokens:
+                work = work.crossJoin(F.broadcast(token_index(spark)))
+                code = F.coalesce(code, F.when((F.size(hits) == 0) & raw.isNotNull(), code_by_tokens(raw, F.col(f"_n{n}"))))
     else:
         key = scheme_column(origin)
         table = crosswalk(spark).select(F.col(key).cast("string").alias(f"_k{n}"), F.col("iso3c").alias(f"_o{n}")).where(f"_k{n} is not null").groupBy(f"_k{n}").agg(F.max(f"_o{n}").alias(f"_o{n}"), F.countDistinct(f"_o{n}").alias(f"_c{n}")).where(f"_c{n} = 1")
