@@ -3,14 +3,21 @@
 A text is split at line feeds. A chunk of lines ends where a rolling hash over
 the hashes of the last ROLL lines has a local minimum, so boundaries depend on
 the lines beside them only and move along with inserted or deleted ones; chunks
-have LEAST_LINES lines or more, some three on average. A chunk of several lines that occurs more than once in the corpus is kept in its first
-place (by doc_id, then position) and removed elsewhere.
+have LEAST_LINES lines or more, some three on average.
 
-A round of hashes (see rounds.py) finds the chunks that repeat. Only these leave
+Where a repeated passage begins or ends inside a chunk, the chunk as a whole
+doesn't repeat. So every part of several lines that adjoins a boundary is
+looked at: the heads of a chunk (the whole chunk is the longest), its tails, and
+the two lines on both sides of a boundary. A part that occurs more than once in
+the corpus is kept in its first place (by doc_id, then line) and removed
+elsewhere; a removed line always stays in an earlier place. Parts with less than
+two lines that aren't blank are left out: a single repeated line is no passage.
+
+A round of hashes (see rounds.py) finds the parts that repeat. Only these leave
 their group of documents as bytes, once a group, for an aggregate by the bytes
-themselves that keeps the least place of each; a chunk repeated in every
+themselves that keeps the least place of each; a part repeated in every
 document is reduced in each map task before anything is shuffled. Only the group
-of a first place is told, so that no answer is as frequent as a chunk: what
+of a first place is told, so that no answer is as frequent as a part: what
 repeats and isn't told of goes.
 """
 
@@ -26,80 +33,82 @@ from pyspark.sql import functions as F
 from .common import pieces_of, text_bytes
 from .rounds import ask, beside, grouped, ids_of, ordered, shared_tags, tag_codes, tag_packets, tell
 
-ROLL = 1
+ROLL = 2
 MOST_LINES = 16
 LEAST_LINES = 2
 BUCKET_BYTES = 60_000_000
-FIRST = -2  # told beside the answers by bucket: which of a group's chunks stand first
-_ROLL_BASE = 0x9E3779B97F4A7C15
-_WORD = 0xFFFFFFFFFFFFFFFF
+FIRST = -2  # told beside the answers by bucket: which of a group's parts stand first
+_ROLL_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def chunk_ends(lines: list[bytes], roll: int = ROLL, most: int = MOST_LINES) -> list[int]:
     """Line numbers after which a chunk ends; the last line always ends one.
 
-    A chunk ends after a line whose hash, over the last `roll` lines, is below
-    its neighbours' hashes, so no chunk is one line long and a boundary depends
-    on nothing but the lines beside it. Only a text of one line is one such
-    chunk. A run without a boundary is cut after `most` lines.
+    A chunk ends after a line whose hash, rolled over the last `roll` lines, is
+    below its neighbours' hashes, so no chunk is one line long and a boundary
+    depends on nothing but the lines beside it. Only a text of one line is one
+    such chunk. Only lines of falling or equal hashes, such as one line over and
+    over, have no boundary: they are cut each `most` lines from the last one on.
     """
-    single = [xxhash.xxh64_intdigest(line) for line in lines]
-    n, rolled = len(lines), []
-    for i in range(n):
-        h = 0
-        for x in single[max(0, i - roll + 1) : i + 1]:
-            h = (h * _ROLL_BASE + x) & _WORD
-        rolled.append(h)
+    n = len(lines)
+    single = np.fromiter(map(xxhash.xxh64_intdigest, lines), np.uint64, n)
+    rolled = single.copy()
+    for back in range(1, min(roll, n)):  # of back lines before, times the base's power
+        with np.errstate(over="ignore"):
+            rolled[back:] += single[:-back] * _ROLL_BASE**np.uint64(back)
+    low = np.zeros(n + 1, bool)
+    if n > 2:
+        low[2:n] = (rolled[1:-1] < rolled[:-2]) & (rolled[1:-1] <= rolled[2:])
     ends, last = [], 0
-    for i in range(LEAST_LINES, n - LEAST_LINES + 1):
-        low = rolled[i - 1] < rolled[i - 2] and rolled[i - 1] <= rolled[i]
-        if i - last >= LEAST_LINES and (low or i - last >= most):
+    for i in [*np.flatnonzero(low).tolist(), n]:
+        while i - last > most and last + most <= n - LEAST_LINES:
+            last += most
+            ends.append(last)
+        if i - last >= LEAST_LINES and i <= n - LEAST_LINES:
             ends.append(i)
             last = i
     return [*ends, n] if n else []
 
 
-def multi_line_chunks(raw: bytes, least_lines: int = LEAST_LINES) -> list[tuple[int, int, bytes]]:
-    """(first line, lines, bytes) of the chunks of a text with several lines.
-
-    Chunks of blank lines alone are layout, not repeated content, and left out.
-    """
+def multi_line_parts(raw: bytes) -> list[tuple[int, int, int, int]]:
+    """(first line, lines, first byte, end byte) of the parts of a text that adjoin
+    a boundary and have two lines or more that aren't blank, by first line and length."""
     if b"\n" not in raw:
         return []
     lines = raw.split(b"\n")
-    out, at = [], 0
+    starts = np.cumsum([0, *[len(x) + 1 for x in lines]]).tolist()
+    written = np.cumsum([0, *[bool(x.strip()) for x in lines]]).tolist()
+    places, at = set(), 0
     for end in chunk_ends(lines):
-        if end - at >= least_lines:
-            part = b"\n".join(lines[at:end])
-            if not part.isspace():
-                out.append((at, end - at, part))
+        places.update((at, e) for e in range(at + 2, end + 1))
+        places.update((a, end) for a in range(at + 1, end - 1))
+        if at:
+            places.add((at - 1, at + 1))
         at = end
-    return out
+    return [(a, e - a, starts[a], starts[e] - 1) for a, e in sorted(places) if written[e] - written[a] > 1]
 
 
-class Chunks:
-    """The multi-line chunks of a group of documents."""
+class Parts:
+    """The parts of several lines of a group of documents, by document, line and length."""
 
     def __init__(self, pdf):
-        self.ids = ids_of(pdf)
-        self.doc, self.first, self.lines, self.bytes = [], [], [], []
-        for d, raw in enumerate(pdf["text"].tolist()):
-            for first, n, part in multi_line_chunks(raw):
-                self.doc.append(d)
-                self.first.append(first)
-                self.lines.append(n)
-                self.bytes.append(part)
-        self.tag = np.fromiter(map(xxhash.xxh64_intdigest, self.bytes), np.uint64, len(self.bytes))
+        self.ids, self.raws = ids_of(pdf), pdf["text"].tolist()
+        rows = [(d, *part) for d, raw in enumerate(self.raws) for part in multi_line_parts(raw)]
+        self.doc, self.first, self.lines, self.start, self.stop = np.array(rows, np.int64).reshape(-1, 5).T.tolist()
+        self.tag = np.fromiter((xxhash.xxh64_intdigest(self.bytes(i)) for i in range(len(rows))), np.uint64, len(rows))
+
+    def bytes(self, i: int) -> bytes:
+        return self.raws[self.doc[i]][self.start[i] : self.stop[i]]
 
     def packets(self, buckets: int):
-        # a chunk repeated within one document repeats too: places, not documents, are told apart
+        # a part repeated within one document repeats too: places, not documents, are told apart
         return tag_packets(self.tag, np.arange(len(self.tag)), buckets)
 
     def repeated(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The chunks whose hash repeats, and for each the first of this group with its bytes."""
+        """The parts whose hash repeats, and for each the first of this group with its bytes."""
         chosen = np.flatnonzero(codes)
         known: dict[bytes, int] = {}  # documents and lines are in order: the first place stays
-        return chosen, np.fromiter((known.setdefault(self.bytes[i], i) for i in chosen.tolist()), np.int64, len(chosen))
+        return chosen, np.fromiter((known.setdefault(self.bytes(i), i) for i in chosen.tolist()), np.int64, len(chosen))
 
 
 def _hex_int(n):
@@ -108,24 +117,24 @@ def _hex_int(n):
 
 
 def _hash_question(buckets):
-    return lambda pdf, _: Chunks(pdf).packets(buckets)[0]
+    return lambda pdf, _: Parts(pdf).packets(buckets)[0]
 
 
 _SENT = "doc_group int, part binary, doc long, line long, chunk int"
 
 
 def _byte_rows(buckets):
-    """A group's repeated chunks, each once with its first place."""
+    """A group's repeated parts, each once with its first place."""
 
     def rows(pdf, answers):
         import pandas as pd
 
         pdf = ordered(pdf)
-        chunks, group = Chunks(pdf), pdf["doc_group"].iloc[0]
-        packets, _, where = chunks.packets(buckets)
+        parts, group = Parts(pdf), pdf["doc_group"].iloc[0]
+        packets, _, where = parts.packets(buckets)
         codes = tag_codes(packets, answers, where)
-        firsts = np.unique(chunks.repeated(codes)[1]).tolist()
-        out = [(group, chunks.bytes[i], chunks.ids[chunks.doc[i]], chunks.first[i], i) for i in firsts]
+        firsts = np.unique(parts.repeated(codes)[1]).tolist()
+        out = [(group, parts.bytes(i), parts.ids[parts.doc[i]], parts.first[i], i) for i in firsts]
         return pd.DataFrame(out, columns=[c.split()[0] for c in _SENT.split(", ")])
 
     return rows
@@ -135,23 +144,20 @@ def _cut(buckets, with_text, more):
     def use(pdf, answers):
         import pandas as pd
 
-        chunks = Chunks(pdf)
-        packets, _, where = chunks.packets(buckets)
-        chosen, leader = chunks.repeated(tag_codes(packets, answers, where))
+        parts = Parts(pdf)
+        packets, _, where = parts.packets(buckets)
+        chosen, leader = parts.repeated(tag_codes(packets, answers, where))
         stays = np.frombuffer(answers.get(FIRST, b""), "<i4")
         gone = chosen[(leader != chosen) | ~np.isin(chosen, stays)]
-        raws = pdf["text"].tolist()
-        drop: dict[int, list[int]] = {}
+        raws = parts.raws
+        drop: dict[int, set[int]] = {}
         for i in gone.tolist():
-            drop.setdefault(chunks.doc[i], []).append(i)
+            drop.setdefault(parts.doc[i], set()).update(range(parts.first[i], parts.first[i] + parts.lines[i]))
         n_lines = [raw.count(b"\n") + 1 if raw else 0 for raw in raws]
         n_removed, n_chunks, kept = np.zeros(len(raws), np.int64), np.zeros(len(raws), np.int64), list(raws)
         for d, own in drop.items():
-            lines = raws[d].split(b"\n")
-            for i in own:
-                lines[chunks.first[i] : chunks.first[i] + chunks.lines[i]] = [None] * chunks.lines[i]
-            kept[d] = b"\n".join([x for x in lines if x is not None])
-            n_removed[d], n_chunks[d] = sum(chunks.lines[i] for i in own), len(own)
+            kept[d] = b"\n".join([x for i, x in enumerate(raws[d].split(b"\n")) if i not in own])
+            n_removed[d], n_chunks[d] = len(own), sum(i - 1 not in own for i in own)
         out = {"doc_id": pdf["doc_id"], "n_lines": np.array(n_lines, np.int64), "n_removed": n_removed, "n_chunks": n_chunks, "kept_sha256": [hashlib.sha256(k).hexdigest() for k in kept]}
         if with_text:
             out["kept"] = kept
@@ -161,13 +167,13 @@ def _cut(buckets, with_text, more):
 
 
 def remove_repeated_lines(docs: DataFrame, with_text: bool = False, more: tuple = (), id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """Removes multi-line chunks that occur at an earlier place in the corpus.
+    """Removes parts of several lines that occur at an earlier place in the corpus.
 
     One row per document: doc_id, n_lines, n_removed (lines), n_chunks (removed
-    chunks), kept_sha256, with with_text the remaining text (kept, binary), and
+    runs of lines), kept_sha256, with with_text the remaining text (kept, binary), and
     the columns of docs named in more. Places are ordered by doc_id, then line;
     a null doc_id ranks after all others and rows of one doc_id by an arbitrary
-    but fixed order, so that one place always keeps a chunk. Null text is empty
+    but fixed order, so that one place always keeps a part. Null text is empty
     (no lines); a text of one line is never changed. An empty table gives no
     rows. Other columns are ignored.
     """
@@ -187,7 +193,7 @@ def remove_repeated_lines(docs: DataFrame, with_text: bool = False, more: tuple
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs without repeated multi-line chunks; columns are docs' own.
+    """docs without repeated parts of several lines; columns are docs' own.
 
     A document stays, with what is left of its text, even if nothing is left.
     Null texts stay null.
