@@ -75,3 +75,49 @@ def test_large_groups_are_dealt_and_lose_no_link(spark, documents, monkeypatch):
         texts.append(" ".join(base))
     got = sorted(r.doc_id for r in keep_one(documents(texts)).collect())
     assert got == brute_kept(list(enumerate(texts)))
+
+
+def test_template_family(spark, documents, monkeypatch):
+    """Texts of a template, less alike than the bound: met by prefixes, pairs in it found."""
+    from isospan.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "PART_NODES", 20)
+    rng, template = random.Random(5), [f"t{i}" for i in range(120)]
+    texts = []
+    for n in range(150):
+        texts.append(" ".join([*template, *[f"own{rng.random()}" for _ in range(25)]]))
+        if n % 5 == 0:
+            texts.append(" ".join(edited(texts[-1].split(), 0.08, rng)))
+    rng.shuffle(texts)
+    got = sorted(r.doc_id for r in keep_one(documents(texts)).collect())
+    assert got == brute_kept(list(enumerate(texts)))
+
+
+def test_a_part_of_a_template_family_is_cheap():
+    """500 texts of similarity 0.6, no two of which are tried on each other."""
+    from isospan.llm import jaccard
+
+    rng, tried = random.Random(6), []
+    sets = [jaccard.shingle_set(" ".join([f"t{i}" for i in range(120)] + [f"o{rng.random()}" for _ in range(40)]).encode()) for _ in range(500)]
+    similar = jaccard.similar
+    jaccard.similar = lambda a, b, least: tried.append(1) or similar(a, b, least)
+    try:
+        assert jaccard.set_links(list(range(500)), sets) == []
+    finally:
+        jaccard.similar = similar
+    assert len(tried) < 500 * (jaccard.FEW + 2)
+
+
+def test_links_are_those_of_all_pairs():
+    from isospan.llm import jaccard
+
+    rng = random.Random(7)
+    for n in (1, 2, 40, 120):
+        base = [f"w{i}" for i in range(60)]
+        texts = [" ".join(edited(base, rng.choice([0.0, 0.1, 0.3, 0.6]), rng)) for _ in range(n)] + [""]
+        kept = brute_kept(list(enumerate(texts)))
+        root = list(range(len(texts)))
+        for u, v in jaccard.set_links(root[:], [jaccard.shingle_set(t.encode()) for t in texts]):
+            x, y = sorted((root[u], root[v]))
+            root = [x if r == y else r for r in root]
+        assert sorted(set(root)) == kept
