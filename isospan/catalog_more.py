@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import uuid
 
 from pyspark.sql import functions as F
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 from .catalog import _LATEST, query, r6
 from .operators import aggregate, joins, spatial, stats, viz_prep
 from .plans import fixtures as fx
-from .shared import new_folder
+from .shared import cut, new_folder
 from .sources import indicators, world
 from .streaming import standardize_stream
 
@@ -65,11 +64,13 @@ _ROBINSON = [(0, 1.0, 0.0), (15, 0.99, 0.186), (30, 0.96, 0.372), (45, 0.8962, 0
 
 @query(_literal([(25, 0, True)], "circles, overlapping, largest_first"))
 def dorling_circles(spark, sf):
-    c = fx.panel(spark, sf).where("year = 2000").select("iso3c", "gdp").join(fx.geo(spark), "iso3c").collect()
-    out = viz_prep.dorling([(r["iso3c"], r["lon"], r["lat"], r["gdp"]) for r in c])
-    over = sum(math.hypot(a[1] - b[1], a[2] - b[2]) < a[3] + b[3] - 1e-3 for i, a in enumerate(out) for b in out[:i])
-    top = max(c, key=lambda r: r["gdp"])["iso3c"]
-    return spark.createDataFrame([(len(out), over, max(out, key=lambda p: p[3])[0] == top)], "circles int, overlapping int, largest_first boolean")
+    c = fx.panel(spark, sf).where("year = 2000").select("iso3c", "gdp")
+    out = cut(viz_prep.dorling_map(c, "gdp", fx.geo(spark)))
+    near = lambda p, q: F.sqrt(F.pow(F.col(f"{p}.lon") - F.col(f"{q}.lon"), 2) + F.pow(F.col(f"{p}.lat") - F.col(f"{q}.lat"), 2)) < F.col(f"{p}.r") + F.col(f"{q}.r") - 1e-3
+    over = out.alias("a").join(out.alias("b"), F.expr("a.iso3c < b.iso3c") & near("a", "b")).agg(F.count(F.lit(1)).cast("int").alias("overlapping"))
+    top, first = (d.agg(F.max_by("iso3c", w).alias(n)) for d, w, n in ((out, "r", "largest"), (c, "gdp", "richest")))
+    n = out.agg(F.count(F.lit(1)).cast("int").alias("circles"))
+    return n.crossJoin(over).crossJoin(top).crossJoin(first).select("circles", "overlapping", F.expr("largest = richest").alias("largest_first"))
 
 
 # -- statistics -------------------------------------------------------------------------

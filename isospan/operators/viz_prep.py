@@ -176,6 +176,15 @@ def cartogram_map(df: DataFrame, weight: str, frame: DataFrame, kind: str = "con
     return cartogram_scale(df, weight, frame)
 
 
+def dorling_map(df: DataFrame, weight: str, centroids: DataFrame, k: float = 5.0, rounds: int = 1000) -> DataFrame:
+    """(iso3c, lon, lat, r): a circle per country around its centroid, of area by weight, none overlapping."""
+    from .dorling import dorling_layout
+
+    need_columns(df, "iso3c", weight)
+    at = df.select("iso3c", F.col(weight).alias("_w")).join(centroids.select("iso3c", "lon", "lat"), "iso3c")
+    return dorling_layout(at, "_w", k=k, rounds=rounds)
+
+
 def globe_frames(n_frames: int = 60) -> list[float]:
     """Central longitudes of a turning globe: equal steps, 360 left out."""
     n = max(2, int(n_frames))
@@ -189,8 +198,8 @@ def frame_values(df: DataFrame, column: str = "year") -> list:
 
 
 def dorling(points: list[tuple], k: float = 5.0, rounds: int = 1000) -> list[tuple]:
-    """[(key, x, y, r)]: circles of area by weight pushed apart, from some
-    hundreds of (key, x, y, weight); iterative, so on the driver."""
+    """[(key, x, y, r)]: circles of area by weight pushed apart, from a few
+    (key, x, y, weight) at hand on the driver; tables take dorling_map."""
     live = [[key, float(x), float(y), float(w)] for key, x, y, w in points if w is not None and w > 0]
     if not live:
         raise SpineError("no positive weights")
