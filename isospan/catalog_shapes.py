@@ -160,12 +160,17 @@ def cartogram_contiguous(spark, sf):
 _WORTH = "(SELECT o_custkey, round(sum(o_totalprice)::DOUBLE, 2) AS w FROM orders GROUP BY 1)"
 
 
-@query(f"""SELECT c_nationkey AS nation, count(*) AS circles, 0::BIGINT AS overlapping, round(sum(0.36 * w / top), 6) AS squares, (SELECT round(avg(round((c_custkey * 7 % 701)::DOUBLE / 10 - 30, 2)), 4) FROM customer JOIN {_WORTH} ON o_custkey = c_custkey) AS mean_x, (SELECT round(avg(round((c_custkey * 11 % 691)::DOUBLE / 10 - 29, 2)), 4) FROM customer JOIN {_WORTH} ON o_custkey = c_custkey) AS mean_y
-FROM customer JOIN {_WORTH} ON o_custkey = c_custkey, (SELECT max(w) AS top FROM {_WORTH}) GROUP BY 1""")
+_CROWDED = f"(SELECT c_custkey AS k, c_nationkey AS nation, w, (c_custkey * 7919 % 10007) / 10007 * sqrt(n) AS x, (c_custkey * 6007 % 9973) / 9973 * sqrt(n) AS y FROM customer JOIN {_WORTH} ON o_custkey = c_custkey, (SELECT count(*) AS n FROM customer))"
+
+
+@query(f"""SELECT nation, count(*) AS circles, 0::BIGINT AS overlapping, round(sum(0.36 * w / top), 6) AS squares, any_value(round(mean_x, 4)) AS mean_x, any_value(round(mean_y, 4)) AS mean_y
+FROM {_CROWDED}, (SELECT max(w) AS top, avg(x) AS mean_x, avg(y) AS mean_y FROM {_CROWDED}) GROUP BY 1""")
 def circles_of_orders(spark, sf):
     """A circle per customer by the worth of its orders: none overlaps, squares and the mean place stay."""
     worth = fx.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.round(F.sum(F.col("o_totalprice")).cast("double"), 2).alias("w"))
-    at = _spots(spark, sf, "customer", "c", _C_SIZE).join(worth, "k")
+    customers = fx.table(spark, sf, "customer")
+    k, side = F.col("c_custkey"), F.sqrt(F.col("n"))
+    at = customers.crossJoin(F.broadcast(customers.agg(F.count(F.lit(1)).alias("n")))).select(k.alias("k"), (k * 7919 % 10007 / 10007 * side).alias("x"), (k * 6007 % 9973 / 9973 * side).alias("y")).join(worth, "k")
     out = cut(dorling.dorling_layout(at, "w", "k", "x", "y", k=0.6))
     # overlaps by squares as wide as the largest circle: a plainer search than the layout's own
     cell = lambda c: F.floor(F.col(c) / 1.2)
@@ -173,6 +178,6 @@ def circles_of_orders(spark, sf):
     a = out.select(*[F.col(c).alias(f"{c}_a") for c in out.columns], cell("x").alias("i"), cell("y").alias("j"))
     b = out.withColumn("i", around("x")).withColumn("j", around("y"))
     over = a.join(b, ["i", "j"]).where("k <> k_a and sqrt(pow(x - x_a, 2) + pow(y - y_a, 2)) < r + r_a - 1e-5").select("k").distinct().withColumn("over", F.lit(1))
-    nation = fx.table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("k"), F.col("c_nationkey").alias("nation"))
+    nation = customers.select(F.col("c_custkey").cast("string").alias("k"), F.col("c_nationkey").alias("nation"))
     per = nation.join(out, "k").join(over, "k", "left").groupBy("nation").agg(F.count(F.lit(1)).alias("circles"), F.count("over").alias("overlapping"), r6(F.sum(F.col("r") * F.col("r"))).alias("squares"))
     return per.crossJoin(F.broadcast(out.agg(r6(F.avg("x"), 4).alias("mean_x"), r6(F.avg("y"), 4).alias("mean_y"))))

@@ -21,7 +21,7 @@ from ..shared import cut
 from .prefix import number
 
 LEVELS = 16  # circles below 2 ** -LEVELS of the largest radius share the finest grid
-TOGETHER = 500  # at most so many circles are laid out in one task, by the same rule
+TOGETHER = 2000  # at most so many circles are laid out in one task, by the same rule
 CROWD = 64  # circles of one level in a cell beyond which they are spread out first
 RELAX, MARGIN, GROWTH, MOST_MARGIN = 0.7, 0.01, 1.05, 0.5
 TOLERANCE = 1e-6  # of the largest radius
