@@ -40,8 +40,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group (five words, similarity 0.8): the smallest doc_id.
 
-    Texts meet by min-hash bands and exact prefixes, not by SimHash: 64-bit
-    fingerprints differ too much at 0.8 for an index.
+    SimHash fingerprints within 7 bits propose, through the Gray-order index, and
+    whole sets confirm. Like texts with fingerprints further apart meet by min-hash
+    bands and exact prefixes, but for what the fingerprints have joined.
 
     Rows without an id rank last; null and empty texts are one group. An empty
     table stays empty.

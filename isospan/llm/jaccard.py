@@ -1,10 +1,12 @@
-"""Texts of like word shingles: min-hash bands propose, whole sets confirm.
+"""Texts of like word shingles: whole sets confirm what groups propose.
 
-Each distinct shingle set is a node. A node goes to BANDS groups, each by ROWS
+Each distinct shingle set is a node. simhash.py proposes first, by fingerprints;
+what these join has one label from then on. Like texts whose fingerprints are too
+far apart meet by min-hash bands. A node goes to BANDS groups, each by ROWS
 min-hashes of its set; two sets of similarity s share no group with probability
-(1 - s**ROWS) ** BANDS, 1.2e-7 at 0.8. Groups of equal members, by two
-64-bit sums of their hashes, count once. In a
-group the whole sets are compared, one already linked no more, and a group
+(1 - s**ROWS) ** BANDS, 1.2e-7 at 0.8. Groups of one label are left out, groups
+of equal members, by two 64-bit sums of their hashes, count once. In a
+group the whole sets are compared, those already linked no more, and a group
 returns one link a member at most.
 
 A group above PART_NODES is dealt over parts, each with a copy of the group's
@@ -61,6 +63,12 @@ def bands_of(hashes: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(rows[i].tobytes(), i) for i in range(BANDS)], np.uint64).view(np.int64)
 
 
+def print_of(hashes: np.ndarray) -> int:
+    """64-bit SimHash of a set, signed: a bit is 1 where it is set in over half the hashes; zero for none."""
+    ones = np.unpackbits(hashes.astype(">u8").view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big", signed=True)
+
+
 def similar(a: frozenset, b: frozenset, least: float) -> bool:
     if min(len(a), len(b)) < least * max(len(a), len(b)):
         return False
@@ -73,8 +81,8 @@ def prefix_size(n: int, least: float) -> int:
     return n - math.ceil(least * n - 1e-9) + 1 if n else 0
 
 
-def set_links(ids: list[int], sets: list[np.ndarray], least: float = LEAST) -> list[tuple[int, int]]:
-    """(id, id) links that join every two sets of similarity least or more.
+def set_links(ids: list[int], sets: list[np.ndarray], least: float = LEAST, labels: list[int] | None = None) -> list[tuple[int, int]]:
+    """(id, id) links that join every two sets of similarity least or more; those of one label are joined already.
 
     A set is tried with one member of the largest component so far, then with the
     members of other components that share a prefix.
@@ -86,7 +94,7 @@ def set_links(ids: list[int], sets: list[np.ndarray], least: float = LEAST) -> l
     ends = np.cumsum([len(x) for x in sets])[:-1]
     ranked = [np.sort(x) for x in np.split(rank[code.ravel()], ends)]
     whole = [frozenset(x.tolist()) for x in ranked]
-    part, links, holders = np.arange(len(sets)), [], {}
+    part, links, holders = np.unique(ids if labels is None else labels, return_inverse=True)[1].ravel(), [], {}
 
     def tried(i, j):
         if part[i] != part[j] and similar(whole[i], whole[j], least):
@@ -112,40 +120,48 @@ def _node_batches(k):
         import pyarrow as pa
 
         for batch in batches:
-            ids, bands = [], []
+            ids, bands, prints = [], [], []
             for raw in batch.column(3).cast(pa.binary()).to_pylist():
                 hashes = shingle_set(raw, k)
                 ids.append(xxhash.xxh3_64_intdigest(hashes.tobytes()))
                 bands.append(bands_of(hashes).tolist())
-            made = pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], names=["doc_id", "sha", "size", "node", "bands"])
+                prints.append(print_of(hashes))
+            made = pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64())), pa.array(prints, pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], names=["doc_id", "sha", "size", "node", "bands", "fp"])
 
     return nodes
 
 
 def text_nodes(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """(doc_id, sha, size, node, bands) of every row; texts of one set are one node."""
+    """(doc_id, sha, size, node, bands, fp) of every row; texts of one set are one node."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_sha().alias("sha"), F.char_length(text).alias("size"), text.alias("text"))
-    return rows.mapInArrow(_node_batches(k), "doc_id long, sha binary, size int, node long, bands array<long>")
+    return rows.mapInArrow(_node_batches(k), "doc_id long, sha binary, size int, node long, bands array<long>, fp long")
 
 
 def text_sha():
     return F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
 
 
-def similar_links(docs: DataFrame, rows: DataFrame, k: int = SHINGLE, least: float = LEAST) -> DataFrame:
-    """(u, v) node links that join every two texts of similarity least or more.
-
-    rows: text_nodes of docs. Only texts that share a group are read again.
-    """
-    nodes = cut(rows.groupBy("node").agg(F.first("bands").alias("bands"), F.min("sha").alias("sha")))
-    banded = nodes.select("node", F.explode("bands").alias("group"))
-    members = _grouped(banded, BANDS * nodes.count())
-    wanted = nodes.select("node", "sha").join(members.select("node").distinct(), "node", "left_semi")
+def texts_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, text) of the nodes in wanted; docs are read once for it."""
+    wanted = nodes.select("node", "sha").join(wanted.select("node").distinct(), "node", "left_semi")
     texts = docs.select(text_sha().alias("sha"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     texts = texts.groupBy("sha").agg(F.first("text").alias("text"))  # copies go before the shuffle
-    texts = cut(texts.join(wanted, "sha").groupBy("node").agg(F.min("text").alias("text")))
+    return cut(texts.join(wanted, "sha").groupBy("node").agg(F.min("text").alias("text")))
+
+
+def group_links(members: DataFrame, texts: DataFrame, k: int = SHINGLE, least: float = LEAST) -> DataFrame:
+    """(u, v) links, each confirmed on whole sets, of members that fit a task or are like their group's hub."""
+    return _dealt_links(members.withColumn("label", F.col("node")), texts, k, least).where("not apart").select("u", "v")
+
+
+def rest_links(members: DataFrame, texts: DataFrame, labels: DataFrame, k: int = SHINGLE, least: float = LEAST) -> DataFrame:
+    """(u, v) node links that, with the labels, join every two texts of similarity least or more.
+
+    members: grouped nodes by bands; labels: (node, label) of nodes that are joined already.
+    """
+    members = _open(members, labels)
     first = _dealt_links(members, texts, k, least)
     apart = cut(first.where("apart").select(F.col("v").alias("group"), F.col("u").alias("node")).distinct())
     links = first.where("not apart").select("u", "v")
@@ -157,13 +173,13 @@ def similar_links(docs: DataFrame, rows: DataFrame, k: int = SHINGLE, least: flo
     rest = apart.select("node").distinct()
     shared = prefixes.join(rest, "node", "left_semi").select("group").distinct()
     near = cut(prefixes.join(shared, "group", "left_semi"))
-    members = _grouped(near, near.count())
+    members = _open(grouped(near, near.count()), labels)
     second = _dealt_links(members, texts, k, least)
     # the rest of large groups by a shingle: each against every part, in blocks
     apart = second.where("apart").select(F.col("v").alias("group"), F.col("u").alias("node")).distinct().join(rest, "node", "left_semi")
     n_apart = apart.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / PART_NODES).cast("int").alias("blocks"))
     large = members.join(texts, "node").where("parts > 1").join(n_apart, "group")
-    columns = ["group", "parts", "hub", "node", "text"]
+    columns = ["group", "parts", "hub", "node", "label", "text"]
     block = F.pmod(F.xxhash64(F.lit(1), "node"), "blocks").cast("int").alias("block")
     asked = large.join(apart, ["group", "node"], "left_semi").select(*columns, block, _all_parts())
     every = large.select(*columns, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), _own_part())
@@ -182,7 +198,19 @@ def _all_parts():
     return F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
 
 
-def _grouped(keyed: DataFrame, n_rows: int) -> DataFrame:
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """members with their labels, their own node where they have none; without the groups of one label."""
+    named = cut(members.join(labels, "node", "left").select("group", "parts", "hub", "node", F.coalesce("label", "node").alias("label")))
+    spans = named.groupBy("group").agg(F.count(F.lit(1)).alias("_rows"), F.min("label").alias("low"), F.max("label").alias("high"))
+    return cut(join_by_key(named, spans.where("low < high").select("group", "_rows"), "group", named.count()))
+
+
+def banded(nodes: DataFrame) -> DataFrame:
+    """(group, node) of every band of every node."""
+    return nodes.select(F.explode("bands").alias("group"), "node")
+
+
+def grouped(keyed: DataFrame, n_rows: int) -> DataFrame:
     """(group, parts, hub, node) of rows (group, node): groups of several nodes, of equal ones the first."""
     count = F.count(F.lit(1))
     groups = keyed.groupBy("group").agg(count.alias("_rows"), F.min("node").alias("hub"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y")).where("_rows > 1")
@@ -194,7 +222,7 @@ def _grouped(keyed: DataFrame, n_rows: int) -> DataFrame:
 def _dealt_links(members: DataFrame, texts: DataFrame, k: int, least: float) -> DataFrame:
     """Links of groups in parts with a hub each; apart: (node, group) that no part links to the hub."""
     # texts join before rows are dealt over parts and blocks, so that no node's copies meet in a task
-    held, columns = members.join(texts, "node"), ["group", "parts", "hub", "node", "text"]
+    held, columns = members.join(texts, "node"), ["group", "parts", "hub", "node", "label", "text"]
     dealt = held.select(*columns, _own_part()).unionByName(held.where("parts > 1 and node = hub").select(*columns, _all_parts()))
     return cut(dealt.groupBy("group", "part").applyInPandas(_compared(k, least), _LINK))
 
@@ -205,7 +233,8 @@ def _compared(k: int, least: float):
 
         pdf = pdf.drop_duplicates("node").sort_values("node")
         ids, hub = pdf["node"].tolist(), pdf["hub"].iloc[0]
-        found = set_links(ids, [shingle_set(raw, k) for raw in pdf["text"]], least)
+        labels = pdf["label"].tolist()
+        found = set_links(ids, [shingle_set(raw, k) for raw in pdf["text"]], least, labels)
         out = [(u, v, False) for u, v in found]
         if pdf["parts"].iloc[0] > 1:  # who is not linked to the hub, directly or through others
             root = {i: i for i in ids}
@@ -215,7 +244,7 @@ def _compared(k: int, least: float):
                     i = root[i]
                 return i
 
-            for u, v in found:
+            for u, v in [*found, *zip(ids, map(dict(zip(labels, ids)).get, labels))]:
                 root[top(u)] = top(v)
             out += [(i, pdf["group"].iloc[0], True) for i in ids if top(i) != top(hub)]
         return pd.DataFrame(out, columns=["u", "v", "apart"])

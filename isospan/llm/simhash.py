@@ -23,13 +23,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, join_by_key, pieces_of
+from .jaccard import BANDS
 from .jaccard import LEAST as STAGE_LEAST
 from .jaccard import SHINGLE as STAGE_SHINGLE
-from .jaccard import similar_links, text_nodes, text_sha
+from .jaccard import banded, group_links, grouped, rest_links, text_nodes, text_sha, texts_of
 
 SHINGLE = 4
 SEED = 42
 MAX_DIFF = 4
+STAGE_MAX_DIFF = 7
 GROUP_ROWS = 1000
 SPLIT_ROWS = 20_000
 FAN = 8
@@ -265,20 +267,46 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return join_by_key(prints, named, "fp", total).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def print_groups(nodes: DataFrame, n: int, max_diff: int = STAGE_MAX_DIFF) -> DataFrame:
+    """(group, node): the component of each node's fingerprint, found through the Gray-order index."""
+    prints = cut(nodes.groupBy("fp").agg(F.count(F.lit(1)).alias("_rows")))
+    total = prints.count()
+    stars = star_components(fingerprint_links(prints.select("fp"), total, max_diff), pieces_of(total, STAR_PART_ROWS))
+    rooted = cut(prints.join(stars.withColumnRenamed("u", "fp"), "fp", "left").select("fp", F.coalesce("v", "fp").alias("group"), "_rows"))
+    return join_by_key(nodes.select("fp", "node"), rooted, "fp", n).select("group", "node")
+
+
+def near_links(docs: DataFrame, rows: DataFrame, k: int = STAGE_SHINGLE, least: float = STAGE_LEAST, max_diff: int = STAGE_MAX_DIFF) -> DataFrame:
+    """(u, v) node links that join every two texts of similarity least or more; rows: text_nodes of docs.
+
+    SimHash proposes: the nodes of a component of fingerprints are compared by
+    their whole sets. Like texts whose fingerprints differ by more bits are found
+    by jaccard.rest_links, among nodes that are not joined yet.
+    """
+    nodes = cut(rows.groupBy("node").agg(F.first("bands").alias("bands"), F.first("fp").alias("fp"), F.min("sha").alias("sha")))
+    n = nodes.count()
+    near = grouped(print_groups(nodes, n, max_diff), n)
+    bands = grouped(banded(nodes), BANDS * n)
+    texts = texts_of(docs, nodes, near.select("node").union(bands.select("node")))
+    found = group_links(near, texts, k, least)
+    labels = star_components(found, pieces_of(n, STAR_PART_ROWS)).select(F.col("u").alias("node"), F.col("v").alias("label"))
+    return found.union(rest_links(bands, texts, labels, k, least)).distinct()
+
+
 def keep_one(docs: DataFrame, k: int = STAGE_SHINGLE, least: float = STAGE_LEAST) -> DataFrame:
     """docs without near-duplicates: one row of each component stays.
 
     Texts link where their k-word shingle sets have a Jaccard similarity of
-    least or more (all such pairs: see jaccard.py). The row with the smallest
+    least or more (all such pairs: see near_links). The row with the smallest
     doc_id stays, of its rows the longest text, then the least SHA-256. Rows
     without a doc_id rank last. Rows of one doc_id in different components are
     no near-duplicates and all stay.
     """
     rows = cut(text_nodes(docs, k))
-    stars = star_components(similar_links(docs, rows, k, least), pieces_of(rows.select("node").distinct().count(), STAR_PART_ROWS))
+    stars = star_components(near_links(docs, rows, k, least), pieces_of(rows.select("node").distinct().count(), STAR_PART_ROWS))
     often = rows.groupBy("node").agg(F.count(F.lit(1)).alias("_rows"))
     total = rows.count()
-    rooted = join_by_key(rows.drop("bands"), often.join(stars.withColumnRenamed("u", "node"), "node", "left"), "node", total)
+    rooted = join_by_key(rows.drop("bands", "fp"), often.join(stars.withColumnRenamed("u", "node"), "node", "left"), "node", total)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", (-F.col("size")).alias("size"), "sha"))
     kept = rooted.groupBy(F.coalesce("v", "node").alias("root")).agg(first.alias("k")).select(F.col("k.none").alias("_none"), F.coalesce("k.doc_id", F.lit(0)).alias("_id"), F.col("k.sha").alias("_sha"))
     id_ = F.col("doc_id").cast("long")

@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline
+import xxhash
 
 from isospan.llm.simhash import keep_one
 
@@ -121,3 +122,49 @@ def test_links_are_those_of_all_pairs():
             x, y = sorted((root[u], root[v]))
             root = [x if r == y else r for r in root]
         assert sorted(set(root)) == kept
+
+
+def plain_print(text):
+    h = [xxhash.xxh3_64_intdigest(" ".join(g).encode()) for g in grams(text)] if (text or "").split() else []
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_print_of_a_set():
+    from isospan.llm.jaccard import print_of, shingle_set
+
+    for text in ("", " ", "one", "a b c d e f", "a b c d e a b c d e a b", "é ß " * 90):
+        assert print_of(shingle_set(text.encode())) % 2**64 == plain_print(text)
+
+
+def test_stage_links_by_fingerprints_first(spark, documents, monkeypatch):
+    """Without the step for the rest: fingerprints of 7 bits propose, whole sets confirm."""
+    from isospan.llm import simhash
+
+    given = []
+
+    def no_rest(members, texts, labels, *rest):
+        given.append({r.node for r in labels.collect()})
+        return spark.createDataFrame([], "u long, v long")
+
+    monkeypatch.setattr(simhash, "rest_links", no_rest)
+    rng, texts = random.Random(8), []
+    for n in range(40):
+        words = [f"w{rng.random()}" for _ in range(300)]
+        texts += [" ".join(words), " ".join(edited(words, 0.01 + n * 0.008, rng))]
+    prints = [plain_print(t) for t in texts]
+    pairs = [((prints[i] ^ prints[i + 1]).bit_count(), brute_kept([(0, texts[i]), (1, texts[i + 1])]) == [0]) for i in range(0, 80, 2)]
+    near = [like for bits, like in pairs if bits <= 7]
+    assert any(near) and not all(near) and any(like for bits, like in pairs if bits > 7)
+    got = sorted(r.doc_id for r in simhash.keep_one(documents(texts)).collect())
+    assert got == [i for i in range(80) if i % 2 == 0 or not (pairs[i // 2][0] <= 7 and pairs[i // 2][1])]
+    assert len(given[0]) == 80 - len(got)
+
+
+def test_labels_are_links_already():
+    from isospan.llm import jaccard
+
+    base = [f"w{i}" for i in range(60)]
+    sets = [jaccard.shingle_set(" ".join([*base[n:], *base[:n]]).encode()) for n in range(3)]
+    assert len(jaccard.set_links([4, 5, 6], sets)) == 2
+    assert len(jaccard.set_links([4, 5, 6], sets, labels=[4, 4, 6])) == 1
+    assert jaccard.set_links([4, 5, 6], sets, labels=[4, 4, 4]) == []
