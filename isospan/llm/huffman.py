@@ -380,13 +380,12 @@ def _counted(width: str, size: int):
 
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                ids = np.frombuffer(ids.as_buffer(), width)
-                if len(ids) > size:
-                    total += np.bincount(ids, minlength=size)
-                else:
-                    own, n = np.unique(ids, return_counts=True)
-                    total[own] += n
+            column = batch.column(0).cast(pa.binary())
+            if len(column):  # the bytes of a batch's rows stand one after another
+                ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+                ids = np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(width)
+                for at in range(0, len(ids), 1 << 20):
+                    total += np.bincount(ids[at : at + (1 << 20)], minlength=size)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["id", "n"])
 

@@ -171,3 +171,15 @@ def test_ids_come_back(spark, documents):
     rows = {r.doc_id: r.ids for r in TokenFiles.write(documents(["hello world", None])).read().collect()}
     assert np.frombuffer(rows[0], "<u4").tolist() == [*named_tokenizer().encode("hello world", add_special_tokens=False).ids, 1]
     assert np.frombuffer(rows[1], "<u4").tolist() == [1]
+
+
+def test_ids_of_a_batch_are_counted_in_one_pass(monkeypatch):
+    import pyarrow as pa
+
+    rows = [np.arange(n, dtype="<u2").tobytes() for n in (3, 1, 5)]
+    calls, bincount = [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda *a, **k: calls.append(1) or bincount(*a, **k))
+    column = pa.array([b"\x07\x00", *rows], pa.binary())[1:]
+    (out,) = H._counted("<u2", 9)(iter([pa.RecordBatch.from_arrays([column], names=["ids"])]))
+    assert out.to_pydict() == {"id": [0, 1, 2, 3, 4], "n": [3, 2, 2, 1, 1]}
+    assert len(calls) == 1
