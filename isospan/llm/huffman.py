@@ -38,6 +38,7 @@ COUNT_TASK_BYTES, COUNT_TASKS = 32_000_000, 4096
 END_ID = 1
 LEAST_LIMIT = 16
 FRAME_BYTES = 4_000_000
+TOGETHER = 8_000_000  # characters of texts whose distinct words are looked up once
 
 
 # -- ids ------------------------------------------------------------------------
@@ -93,6 +94,29 @@ class WordIds:
             return self._whole(text)
         return b"".join(map(self._words.__getitem__, text.split()))
 
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """encode of every text; plain ones are split together, and each distinct word is looked up once."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        together = [i for i, t in enumerate(texts) if len(t) <= FRAME_BYTES and self._is_plain(t)]
+        out = [b""] * len(texts)
+        for i in {*range(len(texts))}.difference(together):
+            out[i] = self.encode(texts[i])
+        split = pc.ascii_split_whitespace(pc.utf8_lower(pa.array([texts[i] for i in together], pa.string())))
+        words = split.flatten().dictionary_encode()
+        pieces = self._pieces
+        found = [pieces[w] if w.isalpha() else self._plain(w) for w in words.dictionary.to_pylist()]
+        ids, sizes = np.frombuffer(b"".join(found), self.width), np.fromiter(map(len, found), np.int64, len(found)) // int(self.width[2])
+        at = words.indices.to_numpy()
+        n, first = sizes[at], (np.cumsum(sizes) - sizes)[at]
+        ends = np.cumsum(n)
+        raw = ids[np.arange(int(n.sum())) + np.repeat(first - ends + n, n)].tobytes()
+        cuts = (np.concatenate(([0], ends))[split.offsets.to_numpy()] * int(self.width[2])).tolist()
+        for i, a, b in zip(together, cuts, cuts[1:]):
+            out[i] = raw[a:b]
+        return out
+
 
 @lru_cache(2)
 def word_ids(vocabulary: str) -> WordIds:
@@ -357,15 +381,19 @@ def _token_batches(vocabulary: str, end_id: int):
         words = word_ids(vocabulary)
         end = words.bytes_of([end_id])
         for batch in batches:
-            rows, held = [], 0
+            doc_ids, texts, held = [], [], 0
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = words.encode(text.as_py() or "") + end
-                rows.append((doc_id, len(ids) // int(words.width[2]), zlib.crc32(ids), ids))
-                held += len(ids)
-                if held > FRAME_BYTES:
-                    yield frame(rows, pa)
-                    rows, held = [], 0
-            yield frame(rows, pa)
+                doc_ids.append(doc_id)
+                texts.append(text.as_py() or "")
+                held += len(texts[-1])
+                if held > TOGETHER:
+                    yield frame(rows_of(words, end, doc_ids, texts), pa)
+                    doc_ids, texts, held = [], [], 0
+            yield frame(rows_of(words, end, doc_ids, texts), pa)
+
+    def rows_of(words, end, doc_ids, texts):
+        coded = [ids + end for ids in words.encode_all(texts)]
+        return [(doc_id, len(ids) // int(words.width[2]), zlib.crc32(ids), ids) for doc_id, ids in zip(doc_ids, coded)]
 
     def frame(rows, pa):
         cols = list(zip(*rows)) if rows else [[]] * 4

@@ -35,6 +35,20 @@ def test_ids_equal_the_library_over_whole_texts(spark):
             assert np.frombuffer(words.encode(text), words.width).tolist() == want.ids, text[:100]
 
 
+def test_texts_together_get_the_ids_of_each(monkeypatch):
+    """Split together, a distinct word is looked up once; long and odd texts go one by one."""
+    monkeypatch.setattr(H, "FRAME_BYTES", 300)
+    texts = [*TEXTS, "", "  lead \t\n trail\x0b\x0cx ", "\r\n", "É'S 12x ÿß", "the Cat, the cat. " * 10, "the cat " * 50]
+    words, whole, asked = WordIds(), named_tokenizer(), []
+    monkeypatch.setattr(type(words._pieces), "__getitem__", lambda self, key: asked.append(key) or (dict.__getitem__(self, key) if key in self else self.__missing__(key)), raising=False)
+    for part in (texts, texts[::-1], texts[:1], [""], []):
+        want = [np.asarray(x.ids, words.width).tobytes() for x in whole.encode_batch(part, add_special_tokens=False)]
+        assert words.encode_all(part) == want
+    asked.clear()
+    words.encode_all(["the cat " * 30] * 9)
+    assert sorted(asked) == ["cat", "the"]
+
+
 def huffman_cost(counts):
     heap = [c for c in counts if c]
     heapq.heapify(heap)
