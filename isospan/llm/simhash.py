@@ -142,22 +142,27 @@ def local_roots(prints: np.ndarray, max_diff: int = MAX_DIFF) -> tuple[np.ndarra
     label = np.arange(n)
     step = int(max(16, min(1024, 4_000_000 // max(n, 1))))
     for lo in range(0, n, step):
-        a, b = index.links(lo, min(n, lo + step), label, max_diff)
-        while len(a):
-            la, lb = label[a], label[b]
-            low = np.minimum(la, lb)
-            np.minimum.at(label, la, low)
-            np.minimum.at(label, lb, low)
-            while True:
-                jumped = label[label]
-                if np.array_equal(jumped, label):
-                    break
-                label = jumped
-            open_ = label[a] != label[b]
-            a, b = a[open_], b[open_]
+        label = _joined(label, *index.links(lo, min(n, lo + step), label, max_diff))
     return index.leaves, index.leaves[label]
 
 
+def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """label, the least place of each component, after the places a are linked to b."""
+    while len(a):
+        la, lb = label[a], label[b]
+        low = np.minimum(la, lb)
+        np.minimum.at(label, la, low)
+        np.minimum.at(label, lb, low)
+        while True:
+            jumped = label[label]
+            if np.array_equal(jumped, label):
+                break
+            label = jumped
+        open_ = label[a] != label[b]
+        a, b = a[open_], b[open_]
+    return label
+
+
 def _block_links(max_diff: int):
     def links(pdf):
         import pandas as pd
@@ -214,15 +219,42 @@ def fingerprint_links(prints: DataFrame, n: int, max_diff: int = MAX_DIFF, group
 # -- connected components ---------------------------------------------------
 
 
+def star_links(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The links' components as stars: every node that is not the least of its own, and that least one."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    label = _joined(np.arange(len(nodes)), at[: len(u)], at[len(u) :])
+    moved = label != np.arange(len(nodes))
+    return nodes[moved], nodes[label[moved]]
+
+
+def _star_batches(batches):
+    import pyarrow as pa
+
+    u, v, parts, held = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+
+    def joined():
+        return star_links(*(np.concatenate(x) for x in zip((u, v), *parts)))
+
+    for batch in batches:
+        parts.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        held += batch.num_rows
+        if held > max(STAR_PART_ROWS, len(u)):
+            (u, v), parts, held = joined(), [], 0
+    u, v = joined()
+    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+
 def star_components(links: DataFrame, parts: int | None = None, max_rounds: int = 60) -> DataFrame:
     """(u, v): v is the smallest node of u's component, for every u above it.
 
-    Alternating large-star and small-star rounds; each round is an aggregate and
+    A partition's links are closed to stars in its task. Partitions meet in
+    alternating large-star and small-star rounds; each round is an aggregate and
     an equi-join, cut at a checkpoint (in at most `parts` files), and stops when
-    the links stand still.
+    the links stand still. Links of one partition need no round: each has some
+    ten exchanges, for which the driver holds plans and threads.
     """
     def hold(df):
-        return cut(df.coalesce(parts) if parts else df)
+        return cut((df.coalesce(parts) if parts else df).mapInArrow(_star_batches, "u long, v long"))
 
     def state(df):
         return tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
@@ -233,6 +265,8 @@ def star_components(links: DataFrame, parts: int | None = None, max_rounds: int
         return join_by_key(df, least, "u", total)
 
     now = hold(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+    if parts == 1:
+        return now
     seen = state(now)
     for _ in range(max_rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -108,3 +108,37 @@ def test_keep_one_and_nulls(spark, documents):
 
 def test_zero_for_wordless():
     assert fingerprint_bytes(b" \n ") == b"\0" * 8 == fingerprint_bytes(None)
+
+
+def test_star_links_are_closed_in_batches(monkeypatch):
+    import pyarrow as pa
+
+    from isospan.llm import simhash as S
+
+    rng = np.random.default_rng(5)
+    u, v = rng.integers(-500, 500, (2, 900))
+    want = {i: i for i in {*u.tolist(), *v.tolist()}}
+    for _ in range(1000):
+        for a, b in zip(u.tolist(), v.tolist()):
+            want[a] = want[b] = min(want[a], want[b])
+    monkeypatch.setattr(S, "STAR_PART_ROWS", 10)
+    batches = [pa.RecordBatch.from_arrays([pa.array(u[i : i + 7]), pa.array(v[i : i + 7])], names=["u", "v"]) for i in range(0, 900, 7)]
+    (got,) = S._star_batches(batches)
+    assert dict(zip(*(c.to_pylist() for c in got.columns))) == {a: b for a, b in want.items() if a != b}
+    assert [b.num_rows for b in S._star_batches([])] == [0]
+
+
+def test_components_of_paths_and_hubs_take_few_jobs(spark):
+    from isospan.llm.simhash import star_components
+
+    path, hub = [(i, i + 1) for i in range(2000)], [(10_000 + i, 9_000) for i in range(1500)]
+    links = spark.createDataFrame([*path[::-1], *hub, (7, 7)], "u long, v long").repartition(6)
+    want = [*((i, 0) for i in range(1, 2001)), *((10_000 + i, 9_000) for i in range(1500))]
+    sc = spark.sparkContext
+    for parts, most in ((1, 4), (3, 40)):
+        sc.setJobGroup(f"stars-{parts}", "")
+        stars = star_components(links, parts)
+        sc.setJobGroup("other", "")
+        assert sorted(map(tuple, stars.collect())) == want
+        jobs = len(sc.statusTracker().getJobIdsForGroup(f"stars-{parts}"))
+        assert jobs <= most  # each round of joins takes some ten: their plans and threads are the driver's
