@@ -1,8 +1,9 @@
 """Union, intersection and difference of arbitrary outlines.
 
 The plane is cut into vertical strips of about as many edges each, a task's work;
-strip borders lie between the grid points that vertices are rounded to. In a
-strip every vertex and crossing is a breakpoint, between which edges keep their
+strip borders lie between the grid points that vertices are rounded to. A strip is
+halved into cells (cells.py), of which those without an outline go early. In a
+cell every vertex and crossing is a breakpoint, between which edges keep their
 order, so that walking up each slab tells where the result's inside begins and
 ends. Upright sides are where the insides to both sides of a breakpoint differ.
 What leaves a strip are stretches of outline; only their ends, those on strip
@@ -13,6 +14,8 @@ Outlines run with their inside on the left: holes turn the other way round.
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left
 from collections import defaultdict
 
 import numpy as np
@@ -21,160 +24,13 @@ from pyspark.sql import functions as F
 
 from ..errors import need_columns, one_of
 from ..shared import cut
+from .cells import X_OFF, Y_OFF, border, closed_up, strip_outlines
 from .spatial import ring_edges
 
 DIGITS = 9
-EPS = 2e-9  # points nearer than this are one
-STRIP_EDGES = 1000
-
-
-def _crossings(x0, y0, x1, y1):
-    """x of every proper crossing of edges, whose ends are sorted by x."""
-    order = np.argsort(x0, kind="stable")
-    x0, y0, x1, y1 = x0[order], y0[order], x1[order], y1[order]
-    low, high = np.minimum(y0, y1), np.maximum(y0, y1)
-    out = []
-    for i in range(len(x0)):
-        j = np.arange(i + 1, np.searchsorted(x0, x1[i]))
-        j = j[(low[j] <= high[i]) & (high[j] >= low[i])]
-        if not len(j):
-            continue
-        dx, dy, ex, ey = x1[i] - x0[i], y1[i] - y0[i], x1[j] - x0[j], y1[j] - y0[j]
-        det = dx * ey - dy * ex
-        with np.errstate(divide="ignore", invalid="ignore"):
-            t = ((x0[j] - x0[i]) * ey - (y0[j] - y0[i]) * ex) / det
-            u = ((x0[j] - x0[i]) * dy - (y0[j] - y0[i]) * dx) / det
-        out.append((x0[i] + t * dx)[(det != 0) & (t > 0) & (t < 1) & (u > 0) & (u < 1)])
-    return np.concatenate(out) if out else np.zeros(0)
-
-
-def _breakpoints(x0, y0, x1, y1, left, right):
-    """(x of breakpoints in order, which of them are the strip's borders)."""
-    own = np.unique(np.concatenate([x0, x1]))
-    own = own[(own > left) & (own < right)]
-    more = np.sort(_crossings(x0, y0, x1, y1))
-    more = more[(more > left) & (more < right)]
-    if len(own) and len(more):
-        at = np.searchsorted(own, more)
-        near = np.minimum(np.abs(own[np.minimum(at, len(own) - 1)] - more), np.abs(own[np.maximum(at - 1, 0)] - more))
-        more = more[near > 1e-9]
-    if len(more):
-        more = more[np.concatenate([[True], np.diff(more) > 1e-9])]
-    ends = [x for x in (left, right) if np.isfinite(x)]
-    return np.unique(np.concatenate([own, more, ends]))
-
-
-def _heights(x, e, x0, y0, x1, y1):
-    """Heights of edges e at x, exact at their ends."""
-    t = (x - x0[e]) / (x1[e] - x0[e])
-    return np.where(x == x0[e], y0[e], np.where(x == x1[e], y1[e], y0[e] + t * (y1[e] - y0[e])))
-
-
-def _one_height(values, is_vertex):
-    """values with those within EPS of each other made one, a vertex's where there is one."""
-    if not len(values):
-        return values
-    order = np.lexsort((~is_vertex, values))
-    v = values[order]
-    starts = np.concatenate([[True], np.diff(v) > EPS])
-    number = np.cumsum(starts) - 1
-    first = np.where(starts)[0]
-    best = v[first].copy()
-    marked = is_vertex[order]
-    for k in np.unique(number[marked]):
-        best[k] = v[(number == k) & marked][0]
-    out = np.empty_like(values)
-    out[order] = best[number]
-    return out
-
-
-class _Inside:
-    """Which results are inside, going up a slab."""
-
-    def __init__(self, outs, owners, mask, keep_mask):
-        self.outs, self.owners, self.mask, self.keep = outs, owners, mask, keep_mask
-        self.parity, self.count, self.masks = defaultdict(bool), defaultdict(int), 0
-
-    def _open(self):
-        return True if self.keep is None else bool(self.masks) == self.keep
-
-    def toggle(self, edges):
-        """Results whose inside changes at these edges, all at one height: [(out, inside above)]."""
-        before_open, touched, was = self._open(), set(), {}
-        for e in edges:
-            owner = self.owners[e]
-            self.parity[owner] ^= True
-            step = 1 if self.parity[owner] else -1
-            if self.mask[e]:
-                self.masks += step
-            else:
-                out = self.outs[e]
-                was.setdefault(out, self.count[out] > 0)
-                self.count[out] += step
-                touched.add(out)
-        now_open = self._open()
-        if now_open != before_open:
-            touched |= {o for o, n in self.count.items() if n > 0}
-        found = []
-        for out in touched:
-            a, b = before_open and was.get(out, self.count[out] > 0), now_open and self.count[out] > 0
-            if a != b:
-                found.append((out, b))
-        return found
-
-
-def strip_segments(edges, left: float, right: float, keep_mask: bool | None):
-    """[(out, edge, (x, y) from, (x, y) to)] of the result in a strip, inside on the left.
-
-    edges: (x0, y0, x1, y1, out, owner, mask) arrays, x0 < x1; upright sides have edge -1.
-    """
-    x0, y0, x1, y1, outs, owners, mask = edges
-    xs = _breakpoints(x0, y0, x1, y1, left, right)
-    found: list[tuple] = []
-    before, held = None, (np.zeros(0, int), np.zeros(0))
-    for k in range(len(xs)):
-        x = xs[k]
-        last = k == len(xs) - 1
-        e = np.zeros(0, int) if last else np.flatnonzero((x0 <= x) & (x1 >= xs[k + 1]))
-        if not last:
-            mid = (_heights(x, e, x0, y0, x1, y1) + _heights(xs[k + 1], e, x0, y0, x1, y1)) / 2
-            e = e[np.argsort(mid, kind="stable")]
-        # heights at x of edges that end here and of those that go on, made one
-        f = held[0]
-        both = np.concatenate([f, e])
-        heights = _one_height(_heights(x, both, x0, y0, x1, y1), (x0[both] == x) | (x1[both] == x))
-        ending, starting = dict(zip(f.tolist(), heights[: len(f)].tolist())), heights[len(f) :]
-        lefts, rights = defaultdict(list), defaultdict(list)
-        if before is not None:
-            for out, edge, above, xa, ya in before:
-                a, b = (xa, ya), (x, ending[edge])
-                lefts[out].append(b[1])
-                if a != b:
-                    found.append((out, edge, a, b) if above else (out, edge, b, a))
-        now = []
-        if not last:
-            inside = _Inside(outs, owners, mask, keep_mask)
-            far = _heights(xs[k + 1], e, x0, y0, x1, y1)
-            i = 0
-            while i < len(e):
-                j = i + 1
-                while j < len(e) and abs(starting[j] - starting[i]) <= EPS and abs(far[j] - far[i]) <= EPS:
-                    j += 1
-                own = e[i:j].tolist()
-                for out, above in inside.toggle(own):
-                    now.append((out, min(own), above, x, float(starting[i])))
-                    rights[out].append(float(starting[i]))
-                i = j
-        if left < x < right:
-            for out in set(lefts) | set(rights):
-                points = sorted(set(lefts[out]) | set(rights[out]))
-                for a, b in zip(points, points[1:]):
-                    in_left = sum(v <= a for v in lefts[out]) % 2 == 1
-                    in_right = sum(v <= a for v in rights[out]) % 2 == 1
-                    if in_left != in_right:
-                        found.append((out, -1, (x, a), (x, b)) if in_left else (out, -1, (x, b), (x, a)))
-        before, held = now, (e, None)
-    return found
+STRIP_EDGES = 10_000
+JOIN = 1e-7  # how far ends on a strip border may differ by rounding
+STRIPS_AN_EDGE = 2  # strips that an edge reaches beyond its first, on average, at most
 
 
 def _turn(p, q, r) -> float:
@@ -233,6 +89,34 @@ def chained(segments) -> list[tuple]:
     return out
 
 
+def followed(part, sx, sy, ex, ey) -> dict:
+    """{stretch: the one that goes on from its end, or None}; ends on one strip border.
+
+    Where sides of several outlines lie on each other, the strips on both sides of
+    a border may take their heights from different ones, which differ by rounding.
+    """
+    start, after = defaultdict(list), dict.fromkeys(part)
+    for x, y, p in sorted(zip(sx, sy, part)):
+        start[x].append([y, p, False])
+    rest = []
+    for x, y, p in sorted(zip(ex, ey, part)):
+        here = start[x]
+        k = bisect_left(here, y, key=lambda h: h[0])
+        while k < len(here) and here[k][2] and here[k][0] == y:
+            k += 1
+        if k < len(here) and here[k][0] == y:
+            after[p], here[k][2] = here[k][1], True
+        else:
+            rest.append((x, y, p))
+    free = {x: [h for h in start[x] if not h[2]] for x in {r[0] for r in rest}}
+    for x, y, p in rest:
+        k = bisect_left(free[x], y, key=lambda h: h[0])
+        near = [j for j in (k - 1, k) if 0 <= j < len(free[x]) and abs(free[x][j][0] - y) < JOIN]
+        if near:
+            after[p] = free[x].pop(min(near, key=lambda j: abs(free[x][j][0] - y)))[1]
+    return after
+
+
 def _place(x: Column, cuts: list[float]) -> Column:
     """How many cuts lie below x: a binary search."""
     if not cuts:
@@ -263,10 +147,10 @@ def overlay(frame: DataFrame, by: str = "iso3c", mask: DataFrame | None = None,
     def flat(df, key, is_mask):
         at = lambda c: (F.round(F.col(f"{c}.x"), DIGITS), F.round(F.col(f"{c}.y"), DIGITS))
         (px, py), (qx, qy) = at("p"), at("q")
-        ahead = px < qx
+        ahead = (px < qx) | ((px == qx) & (py < qy))
         pick = lambda a, b: F.when(ahead, a).otherwise(b)
         cols = [pick(px, qx).alias("x0"), pick(py, qy).alias("y0"), pick(qx, px).alias("x1"), pick(qy, py).alias("y1")]
-        return df.select(key.cast("string").alias("out"), F.concat(F.lit("m" if is_mask else "a"), "iso3c").alias("owner"), F.lit(is_mask).alias("mask"), *cols).where("x0 < x1 and out is not null")
+        return df.select(key.cast("string").alias("out"), F.concat(F.lit("m" if is_mask else "a"), "iso3c").alias("owner"), F.lit(is_mask).alias("mask"), *cols).where("(x0 < x1 or y0 < y1) and out is not null")
 
     coded = frame.where("iso3c is not null")
     edges = ring_edges(coded)
@@ -281,9 +165,21 @@ def overlay(frame: DataFrame, by: str = "iso3c", mask: DataFrame | None = None,
     edges = cut(edges)
     strips = max(1, -(-edges.count() // (strip_edges or STRIP_EDGES)))
     spots = edges.agg(F.percentile_approx("x0", [i / strips for i in range(1, strips)], 10 * strips).alias("c")).first()["c"] if strips > 1 else []
-    cuts = sorted({round(c, DIGITS) + 0.5 * 10**-DIGITS for c in spots or []})
+    cuts = sorted({float(border(c, X_OFF)) for c in spots or []})
+    bundles = 1
+    if cuts and strip_edges is None:  # long edges: fewer strips, each by results in bundles
+        reach = edges.where("not mask").agg(F.avg(_place(F.col("x1"), cuts) - _place(F.col("x0"), cuts)), F.count(F.lit(1))).first()
+        step = max(1, math.ceil((reach[0] or 0) / STRIPS_AN_EDGE))
+        cuts = cuts[step // 2 :: step]
+        bundles = max(1, math.ceil(reach[1] * (1 + (reach[0] or 0) / step) / (len(cuts) + 1) / (4 * STRIP_EDGES)))
     bounds = [-np.inf, *cuts, np.inf]
     dealt = edges.withColumn("strip", F.explode(F.sequence(_place(F.col("x0"), cuts), _place(F.col("x1"), cuts))))
+    bundle = F.pmod(F.xxhash64("out"), F.lit(bundles)).cast("int")
+    if mask is None:
+        dealt = dealt.withColumn("bundle", bundle)
+    else:  # the mask meets every bundle
+        every = F.sequence(F.lit(0), F.lit(bundles - 1))
+        dealt = dealt.withColumn("bundle", F.explode(F.when(F.col("mask"), every).otherwise(F.array(bundle))))
 
     def worked(pdf):
         import pandas as pd
@@ -291,38 +187,43 @@ def overlay(frame: DataFrame, by: str = "iso3c", mask: DataFrame | None = None,
         pdf = pdf.sort_values(["x0", "y0", "x1", "y1", "owner", "out"], kind="stable")
         s = int(pdf["strip"].iloc[0])
         x0, y0, x1, y1 = (pdf[c].to_numpy(np.float64) for c in ("x0", "y0", "x1", "y1"))
-        outs, owners, masks = pdf["out"].to_numpy(object), pdf["owner"].to_numpy(object), pdf["mask"].to_numpy(bool)
-        parts = []
-        for out in sorted(set(outs[~masks])):
-            # a result's own edges, and those of the mask beside or below them
-            own = ~masks & (outs == out)
-            beside = masks & (x1 > x0[own].min()) & (x0 < x1[own].max()) & (np.minimum(y0, y1) < max(y0[own].max(), y1[own].max()) + EPS)
-            k = np.flatnonzero(own | beside)
-            arrays = [x0[k], y0[k], x1[k], y1[k], outs[k].tolist(), owners[k].tolist(), masks[k].tolist()]
-            parts += chained(strip_segments(arrays, bounds[s], bounds[s + 1], keep))
-        rows = [(out, (s << 32) + i, closed, [{"x": x, "y": y} for x, y in points]) for i, (out, closed, points) in enumerate(parts) if len(points) > 1]
+        masks = pdf["mask"].to_numpy(bool)
+        own = np.flatnonzero(~masks)
+        result, names = pd.factorize(pdf["out"].to_numpy(object)[own], sort=True)
+        owner = pd.factorize(pdf["owner"])[0]
+        most = lambda f, v, n=len(names): pd.Series(v).groupby(result).agg(f).to_numpy(np.float64)
+        low, high = np.minimum(y0, y1), np.maximum(y0, y1)
+        if not len(own):
+            return pd.DataFrame([], columns=["out", "part", "closed", "points"])
+        left = np.maximum(bounds[s], border(most("min", x0[own]) - 1, X_OFF))
+        right = np.minimum(bounds[s + 1], border(most("max", x1[own]) + 1, X_OFF))
+        top = border(most("max", high[own]) + 1, Y_OFF)
+        bottom = np.full(len(names), border(low.min() - 1, Y_OFF))
+        root, number = [result], [own]
+        for i in range(len(names) if masks.any() else 0):  # those of the mask beside or below a result
+            k = np.flatnonzero(masks & (x1 > left[i]) & (x0 < right[i]) & (low < top[i]))
+            root.append(np.full(len(k), i))
+            number.append(k)
+        root, k = np.concatenate(root), np.concatenate(number)
+        found = strip_outlines(x0[k], y0[k], x1[k], y1[k], owner[k], masks[k], (root, k), (left, bottom, right, top), keep)
+        parts = [p for i in sorted(found) for p in chained(closed_up(found[i], bounds[s], bounds[s + 1]))]
+        first = (s * bundles + int(pdf["bundle"].iloc[0])) << 32
+        rows = [(names[i], first + n, closed, [{"x": x, "y": y} for x, y in points]) for n, (i, closed, points) in enumerate(parts) if len(points) > 1]
         return pd.DataFrame(rows, columns=["out", "part", "closed", "points"])
 
-    parts = cut(dealt.groupBy("strip").applyInPandas(worked, _PARTS))
+    parts = cut(dealt.groupBy("strip", "bundle").applyInPandas(worked, _PARTS))
 
     def joined(pdf):
         import pandas as pd
 
-        start = defaultdict(list)
-        for part, x, y in sorted(zip(pdf["part"], pdf["sx"], pdf["sy"])):
-            start[x, y].append(part)
-        end = {p: (x, y) for p, x, y in zip(pdf["part"], pdf["ex"], pdf["ey"])}
+        after = followed(*(pdf[c].tolist() for c in ("part", "sx", "sy", "ex", "ey")))
         rows, done = [], set()
-        for first in sorted(end):
+        for first in sorted(after):
             seq, here = 0, first
-            while here not in done:
+            while here is not None and here not in done:
                 done.add(here)
                 rows.append((pdf["out"].iloc[0], here, first, seq))
-                seq += 1
-                for there in start[end[here]]:
-                    if there not in done:
-                        here = there
-                        break
+                seq, here = seq + 1, after[here]
         return pd.DataFrame(rows, columns=["out", "part", "ring", "seq"])
 
     ends = parts.where("not closed").select("out", "part", F.col("points")[0]["x"].alias("sx"), F.col("points")[0]["y"].alias("sy"), F.element_at("points", -1)["x"].alias("ex"), F.element_at("points", -1)["y"].alias("ey"))
