@@ -19,10 +19,14 @@ BOX, DIAMOND = ((-1, -1), (1, -1), (1, 1), (-1, 1)), ((0, -1), (1, 0), (0, 1), (
 
 
 def _spots(spark, sf, table: str, p: str, size: str) -> DataFrame:
-    """(k, nation, x, y, r): where each row of a table lies, and its half-width."""
+    """(k, nation, x, y, r): where each row of a table lies, and its half-width.
+
+    r is rounded as the SQL does it, in binary: Spark's round goes by decimal digits,
+    which puts a half-way value apart now and then.
+    """
     k = F.col(f"{p}_{'custkey' if p == 'c' else 'suppkey'}")
     at = lambda m, n, less: F.round((k * m % n) / 10.0 - less, 2)
-    return fx.table(spark, sf, table).select(k.alias("k"), F.col(f"{p}_nationkey").alias("nation"), at(7, 701, 30).alias("x"), at(11, 691, 29).alias("y"), F.round(F.expr(size), 3).alias("r"))
+    return fx.table(spark, sf, table).select(k.alias("k"), F.col(f"{p}_nationkey").alias("nation"), at(7, 701, 30).alias("x"), at(11, 691, 29).alias("y"), (F.floor(F.expr(size) * 1000 + 0.5) / 1000).alias("r"))
 
 
 def _shapes(spots: DataFrame, corners) -> DataFrame:
