@@ -71,3 +71,20 @@ def test_outlines_over_each_other_against_a_grid(spark, strip_edges):
 def test_ends_on_a_strip_border_meet_in_spite_of_rounding():
     after = overlay.followed([1, 2, 3], [5.0, 5.0, 9.0], [1.0 + 4e-15, 2.0, 7.0], [9.0, 9.0, 5.0], [7.0, 8.0, 1.0])
     assert after == {1: 3, 2: None, 3: 1}
+
+
+def test_long_edges_and_many_results(spark, monkeypatch):
+    """Strips that edges reach across are fewer, and results are dealt in bundles."""
+    monkeypatch.setattr(overlay, "STRIP_EDGES", 30)
+    rng = random.Random(2)
+    own = {f"r{k}": some_boxes(rng, 12, 40, 4, 25) for k in range(30)}
+    frame = frame_of(spark, [(f"{k}-{i}", k, [box(*b)]) for k, bs in own.items() for i, b in enumerate(bs)])
+    dealt = []
+    made = overlay.cut
+    monkeypatch.setattr(overlay, "cut", lambda df: dealt.append(made(df)) or dealt[-1])
+    got = rings_of(overlay.union_outlines(frame, "kind"), "kind")
+    first = {r[0] for r in dealt[1].select("part").collect()}
+    assert len({p >> 32 for p in first}) < 100 and len(dealt) == 2
+    for k, bs in own.items():
+        want = covered(bs, 40)
+        assert sum(map(signed_area, got[k])) == pytest.approx(want.sum()) and around(got[k]) == pytest.approx(perimeter(want))
