@@ -301,26 +301,64 @@ def simplify_geometry(frame: DataFrame, keep: float = 0.05) -> DataFrame:
     need_columns(frame, "iso3c", "group", "order", "long", "lat")
     if not 0 < keep <= 1:
         raise SpineError("keep must be above 0 and at most 1")
-    from pyspark.sql import Window
     from pyspark.sql import types as T
 
+    from ..shared import cut
+
     edges = ring_edges(frame.withColumns({"long": F.round("long", 6), "lat": F.round("lat", 6)})).select("p", "q")
     joints = edges.union(edges.select("q", "p")).distinct().groupBy("p").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
     x, y, joint, size, least, place = free_names(frame, "x", "y", "joint", "size", "least", "place")
     joints = joints.select(F.col("p.x").alias(x), F.col("p.y").alias(y), F.lit(True).alias(joint))
     flagged = frame.join(joints, (F.round("long", 6) == F.col(x)) & (F.round("lat", 6) == F.col(y)), "left").select(*frame.columns, F.coalesce(joint, F.lit(False)).alias(joint))
 
-    def sized(pdf):
-        pdf = pdf.sort_values("order")
-        points = list(zip(pdf["long"].round(6).tolist(), pdf["lat"].round(6).tolist()))
-        closed = len(points) > 1 and points[0] == points[-1]
-        got = effective_areas(points[:-1] if closed else points, pdf[joint].tolist()[: len(points) - closed])
-        return pdf.drop(columns=joint).assign(**{size: got + got[:1] * closed})
-
-    work = flagged.groupBy("group").applyInPandas(sized, T.StructType([*frame.schema.fields, T.StructField(size, T.DoubleType())]))
-    cut = work.agg(F.percentile_approx(size, 1 - keep, 10000).alias(least))
-    best = F.row_number().over(Window.partitionBy("group").orderBy(F.desc(size), "order"))
-    return work.crossJoin(F.broadcast(cut)).withColumn(place, best).where((F.col(size) >= F.col(least)) | (F.col(place) <= 4)).select(*frame.columns)
+    def sized(batches):
+        for pdf, starts in whole_groups(batches, "group"):
+            points = list(zip(pdf["long"].round(6).tolist(), pdf["lat"].round(6).tolist()))
+            fixed, orders = pdf[joint].tolist(), pdf["order"].tolist()
+            sizes, places = [], [0] * len(pdf)
+            for a, b in zip(starts, [*starts[1:], len(pdf)]):
+                closed = b - a > 1 and points[a] == points[b - 1]
+                got = effective_areas(points[a : b - closed], fixed[a : b - closed])
+                sizes += got + got[:1] * closed
+                for n, i in enumerate(sorted(range(a, b), key=lambda i: (-sizes[i], orders[i])), 1):
+                    places[i] = n
+            yield pdf.drop(columns=joint).assign(**{size: sizes, place: places})
+
+    dealt = flagged.repartition("group").sortWithinPartitions("group", "order")
+    fields = [*frame.schema.fields, T.StructField(size, T.DoubleType()), T.StructField(place, T.IntegerType())]
+    work = cut(dealt.mapInPandas(sized, T.StructType(fields)))
+    limit = work.agg(F.percentile_approx(size, 1 - keep, 10000).alias(least))
+    return work.crossJoin(F.broadcast(limit)).where((F.col(size) >= F.col(least)) | (F.col(place) <= 4)).select(*frame.columns)
+
+
+def whole_groups(batches, key: str):
+    """(rows, first places of groups) of sorted batches, no group in two; null keys are a group."""
+    import numpy as np
+    import pandas as pd
+
+    held: list = []
+
+    def starts(pdf):
+        k, n = pdf[key].to_numpy(), pdf[key].isna().to_numpy()
+        return [0, *(np.flatnonzero(((k[1:] != k[:-1]) & ~(n[1:] & n[:-1])) | (n[1:] != n[:-1])) + 1).tolist()]
+
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        cut_at = starts(pdf)[-1]
+        first, last = pdf[key].iloc[0], held[-1][key].iloc[-1] if held else None
+        goes_on = held and (first == last or (pd.isna(first) and pd.isna(last)))
+        if cut_at or not goes_on:
+            made = [*held, pdf.iloc[:cut_at]] if cut_at else held
+            held = [pdf.iloc[cut_at:]]
+            if made:
+                out = pd.concat(made, ignore_index=True)
+                yield out, starts(out)
+        else:
+            held.append(pdf)
+    if held:
+        out = pd.concat(held, ignore_index=True)
+        yield out, starts(out)
 
 
 def split_antimeridian(frame: DataFrame) -> DataFrame:
