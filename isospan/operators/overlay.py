@@ -19,13 +19,13 @@ from bisect import bisect_left
 from collections import defaultdict
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import need_columns, one_of
 from ..shared import cut
 from .cells import X_OFF, Y_OFF, border, closed_up, strip_outlines
-from .spatial import ring_edges
+from .spatial import place_among, ring_edges
 
 DIGITS = 9
 STRIP_EDGES = 10_000
@@ -117,16 +117,6 @@ def followed(part, sx, sy, ex, ey) -> dict:
     return after
 
 
-def _place(x: Column, cuts: list[float]) -> Column:
-    """How many cuts lie below x: a binary search."""
-    if not cuts:
-        return F.lit(0)
-    held = F.array(*map(F.lit, cuts))
-    halves = [1 << i for i in range(len(cuts).bit_length() - 1, -1, -1)]
-    step = lambda at, h: at + F.when(F.coalesce(F.get(held, at + h - 1) < x, F.lit(False)), h).otherwise(F.lit(0))
-    return F.aggregate(F.array(*map(F.lit, halves)), F.lit(0), step)
-
-
 _PARTS = "out string, part long, closed boolean, points array<struct<x: double, y: double>>"
 
 
@@ -168,12 +158,12 @@ def overlay(frame: DataFrame, by: str = "iso3c", mask: DataFrame | None = None,
     cuts = sorted({float(border(c, X_OFF)) for c in spots or []})
     bundles = 1
     if cuts and strip_edges is None:  # long edges: fewer strips, each by results in bundles
-        reach = edges.where("not mask").agg(F.avg(_place(F.col("x1"), cuts) - _place(F.col("x0"), cuts)), F.count(F.lit(1))).first()
+        reach = edges.where("not mask").agg(F.avg(place_among(F.col("x1"), cuts) - place_among(F.col("x0"), cuts)), F.count(F.lit(1))).first()
         step = max(1, math.ceil((reach[0] or 0) / STRIPS_AN_EDGE))
         cuts = cuts[step // 2 :: step]
         bundles = max(1, math.ceil(reach[1] * (1 + (reach[0] or 0) / step) / (len(cuts) + 1) / (4 * STRIP_EDGES)))
     bounds = [-np.inf, *cuts, np.inf]
-    dealt = edges.withColumn("strip", F.explode(F.sequence(_place(F.col("x0"), cuts), _place(F.col("x1"), cuts))))
+    dealt = edges.withColumn("strip", F.explode(F.sequence(place_among(F.col("x0"), cuts), place_among(F.col("x1"), cuts))))
     bundle = F.pmod(F.xxhash64("out"), F.lit(bundles)).cast("int")
     if mask is None:
         dealt = dealt.withColumn("bundle", bundle)

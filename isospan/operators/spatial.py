@@ -5,7 +5,9 @@ A polygon frame has a row per vertex: iso3c, group (ring), order, long, lat.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import SpineError, need_columns
@@ -108,47 +110,154 @@ def interior_points(frame: DataFrame) -> DataFrame:
     return best.where(F.size("x") > 1).select("iso3c", F.array_max(widths)["m"].alias("lon"), F.col("y").alias("lat"))
 
 
-def dissolve(frame: DataFrame, by: str, digits: int = 6) -> DataFrame:
+def place_among(x: Column, cuts: list[float]) -> Column:
+    """How many cuts lie below x: a binary search."""
+    if not cuts:
+        return F.lit(0)
+    held = F.array(*map(F.lit, cuts))
+    halves = [1 << i for i in range(len(cuts).bit_length() - 1, -1, -1)]
+    step = lambda at, h: at + F.when(F.coalesce(F.get(held, at + h - 1) < x, F.lit(False)), h).otherwise(F.lit(0))
+    return F.aggregate(F.array(*map(F.lit, halves)), F.lit(0), step)
+
+
+def _left(p, q, r) -> float:
+    """Angle from going p -> q to going q -> r, left being positive."""
+    ax, ay, bx, by = q[0] - p[0], q[1] - p[1], r[0] - q[0], r[1] - q[1]
+    return math.atan2(ax * by - ay * bx, ax * bx + ay * by)
+
+
+def stretches(edges: list[tuple], here: list[bool]) -> list[tuple]:
+    """[(closed, entry, exit, [edge, ...])] of the directed edges (x0, y0, x1, y1) that start here.
+
+    The others only come in. Where several meet, the sharpest left turn is taken.
+    entry: the edge from elsewhere that goes before, exit: the last one, if it ends
+    elsewhere; else None.
+    """
+    into, out_of = {}, {}
+    for i, (x0, y0, x1, y1) in enumerate(edges):
+        into.setdefault((x1, y1), []).append(i)
+        if here[i]:
+            out_of.setdefault((x0, y0), []).append(i)
+    before, after = {}, {}
+    for node, outs in out_of.items():
+        ins = into.get(node, ())
+        if len(ins) == 1 == len(outs):
+            before[outs[0]], after[ins[0]] = ins[0], outs[0]
+        else:
+            for _, i, o in sorted((-_left(edges[i][:2], node, edges[o][2:]), i, o) for i in ins for o in outs):
+                if o not in before and i not in after:
+                    before[o], after[i] = i, o
+    done, found = set(), []
+
+    def walk(i):
+        path = []
+        while i is not None and i not in done and here[i]:
+            done.add(i)
+            path.append(i)
+            i = after.get(i)
+        return path
+
+    for i in range(len(edges)):
+        if here[i] and not (i in before and here[before[i]]):
+            path = walk(i)
+            found.append((False, before.get(i), path[-1] if path[-1] not in after else None, path))
+    for i in range(len(edges)):
+        if here[i] and i not in done:
+            found.append((True, None, None, walk(i)))
+    return found
+
+
+TILE_EDGES = 50_000
+
+
+def dissolve(frame: DataFrame, by: str, digits: int = 6, tile_edges: int = TILE_EDGES) -> DataFrame:
     """(by, group, order, long, lat): the union of the rings of each value of by.
 
     For meshes whose neighbours share edges: an edge of two rings of one value
-    goes, the others are chained into rings. A value's outline is one group.
+    goes, the others are chained into rings. Rings are numbered by their least
+    vertices, with which they begin.
+
+    The plane is cut into tiles of about tile_edges edges, a task's work, in which
+    edges are chained; of one value's stretches only the ends, one row each, meet.
     """
+    from pyspark.sql import Window
+
+    from ..shared import cut
+
     need_columns(frame, by)
     coded = frame.select("iso3c", by).distinct() if by != "iso3c" else None
     edges = ring_edges(frame)
     if coded is not None:
         edges = edges.join(coded, "iso3c")
     at = lambda c: F.struct(F.round(F.col(f"{c}.x"), digits).alias("x"), F.round(F.col(f"{c}.y"), digits).alias("y"))
-    flat = edges.select(by, at("p").alias("p"), at("q").alias("q"))
-    flat = flat.withColumn("a", F.least("p", "q")).withColumn("b", F.greatest("p", "q"))
-    once = flat.groupBy(by, "a", "b").agg(F.count(F.lit(1)).alias("n"), F.first("p").alias("p"), F.first("q").alias("q")).where("n % 2 = 1")
-    once = once.select(by, F.col("p.x").alias("x0"), F.col("p.y").alias("y0"), F.col("q.x").alias("x1"), F.col("q.y").alias("y1"))
+    flat = edges.select(by, at("p").alias("p"), at("q").alias("q")).where("p <> q")
+    ahead = F.when(F.col("p") < F.col("q"), 1).otherwise(-1)
+    flat = flat.select(by, F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), ahead.alias("d"))
+    once = flat.groupBy(by, "a", "b").agg(F.sum("d").alias("d")).where("d % 2 <> 0")
+    p, q = (F.when(F.col("d") > 0, F.col(u)).otherwise(F.col(v)) for u, v in ("ab", "ba"))
+    once = cut(once.select(by, p.alias("p"), q.alias("q")).select(by, F.col("p.x").alias("x0"), F.col("p.y").alias("y0"), F.col("q.x").alias("x1"), F.col("q.y").alias("y1")))
+    sides = math.ceil(math.sqrt(once.count() / tile_edges))
+    cuts: dict = {"x": [], "y": []}
+    if sides > 1:
+        probs = [i / sides for i in range(1, sides)]
+        row = once.agg(*[F.percentile_approx(f"{c}0", probs, 10 * sides).alias(c) for c in "xy"]).first()
+        cuts = {c: sorted(set(row[c])) for c in "xy"}
+    tile = lambda i: place_among(F.col(f"x{i}"), cuts["x"]) * (len(cuts["y"]) + 1) + place_among(F.col(f"y{i}"), cuts["y"])
+    placed = once.withColumns({"_t0": tile(0), "_t1": tile(1)})
+    own = placed.withColumn("tile", F.explode(F.array_distinct(F.array("_t0", "_t1")))).withColumn("here", F.col("_t0") == F.col("tile")).drop("_t0", "_t1")
+
+    kind = frame.schema[by].dataType.simpleString()
+    place = "struct<x0: double, y0: double, x1: double, y1: double>"
 
     def chain(pdf):
         import pandas as pd
 
-        after: dict = {}
-        for x0, y0, x1, y1 in sorted(zip(pdf["x0"], pdf["y0"], pdf["x1"], pdf["y1"])):
-            after.setdefault((x0, y0), []).append((x1, y1))
-        rows, ring = [], 0
-        while after:
-            start = here = min(after)
-            ring, place = ring + 1, 0
-            while here in after:
-                place += 1
-                rows.append((pdf[by].iloc[0], ring, place, *here))
-                nexts = after[here]
-                there = nexts.pop(0)
-                if not nexts:
-                    del after[here]
-                here = there
-                if here == start:
-                    break
-        return pd.DataFrame(rows, columns=[by, "group", "order", "long", "lat"])
+        pdf = pdf.sort_values(["x0", "y0", "x1", "y1"], kind="stable")
+        t, rows = int(pdf["tile"].iloc[0]), []
+        for _, one in pdf.groupby(pd.factorize(pdf[by], use_na_sentinel=False)[0], sort=False):
+            ends = list(zip(*(one[c].tolist() for c in ("x0", "y0", "x1", "y1"))))
+            for closed, entry, leaving, path in stretches(ends, one["here"].tolist()):
+                points = [ends[i][:2] for i in path]
+                least = min(range(len(points)), key=points.__getitem__)
+                edge = lambda i: None if i is None else dict(zip(("x0", "y0", "x1", "y1"), ends[i]))  # noqa: E731, B023
+                rows.append((one[by].iloc[0], (t << 32) + len(rows), closed, edge(entry), edge(leaving), len(points), *points[least], least, [{"x": x, "y": y} for x, y in points]))
+        return pd.DataFrame(rows, columns=[by, "part", "closed", "entry", "leaving", "n", "x", "y", "least", "points"])
 
-    kind = frame.schema[by].dataType.simpleString()
-    return once.groupBy(by).applyInPandas(chain, f"`{by}` {kind}, `group` int, `order` int, long double, lat double")
+    parts = cut(own.groupBy("tile").applyInPandas(chain, f"`{by}` {kind}, part long, closed boolean, entry {place}, leaving {place}, n int, x double, y double, least int, points array<struct<x: double, y: double>>"))
+
+    def joined(pdf):
+        import pandas as pd
+
+        key = lambda e: tuple(e.values()) if isinstance(e, dict) else tuple(e)
+        known = {p: (n, (x, y), least) for p, n, x, y, least in zip(*(pdf[c].tolist() for c in ("part", "n", "x", "y", "least")))}
+        starts = {key(e): p for e, p in zip(pdf["entry"], pdf["part"].tolist()) if e is not None}
+        after = {p: starts.get(key(e)) for e, p in zip(pdf["leaving"], pdf["part"].tolist()) if e is not None}
+        heads = sorted(set(known) - {p for p in after.values() if p is not None})
+        rows, done = [], set()
+        for first in [*heads, *sorted(known)]:
+            run, here = [], first
+            while here is not None and here not in done:
+                done.add(here)
+                run.append(here)
+                here = after.get(here)
+            if not run:
+                continue
+            offsets = [0]
+            for p in run:
+                offsets.append(offsets[-1] + known[p][0])
+            spot, k = min((known[p][1], k) for k, p in enumerate(run))
+            begin = offsets[k] + known[run[k]][2] if here == first else 0  # open ones keep their start
+            rows += [(pdf[by].iloc[0], p, first, offsets[j], offsets[-1], begin, *spot) for j, p in enumerate(run)]
+        return pd.DataFrame(rows, columns=[by, "part", "ring", "offset", "total", "begin", "x", "y"])
+
+    ends = parts.where("not closed").select(by, "part", "entry", "leaving", "n", "x", "y", "least")
+    open_ones = ends.groupBy(by).applyInPandas(joined, f"`{by}` {kind}, part long, ring long, offset int, total int, begin int, x double, y double")
+    whole = parts.where("closed").select(by, "part", F.col("part").alias("ring"), F.lit(0).alias("offset"), F.col("n").alias("total"), F.col("least").alias("begin"), "x", "y")
+    places = cut(open_ones.unionByName(whole))
+    ranks = places.groupBy(by, "ring").agg(F.min("x").alias("x"), F.min("y").alias("y")).withColumn("group", F.row_number().over(Window.partitionBy(by).orderBy("x", "y", "ring")))
+    rows = places.drop("x", "y").join(ranks.select("ring", "group"), "ring").join(parts.select("part", "points"), "part")
+    spread = rows.select(by, "group", "offset", "total", "begin", F.posexplode("points").alias("i", "p"))
+    return spread.select(by, F.col("group").cast("int").alias("group"), (F.pmod(F.col("offset") + F.col("i") - F.col("begin"), F.col("total")) + 1).cast("int").alias("order"), F.col("p.x").alias("long"), F.col("p.y").alias("lat"))
 
 
 def country_borders(frame: DataFrame, digits: int = 6, names: bool = False) -> DataFrame:
