@@ -5,8 +5,14 @@ their middles, each by half, and every circle moves by the sum of its pushes.
 Pairs meet by grid cells: circles are in levels by their radius, half as large
 from one to the next, and a level has a grid of its own with cells as wide as its
 largest circle. A circle looks at the nine cells around it in its own level's
-grid, in which the circles of its level and all finer ones are entered. So pairs
-come from equi-joins, and no task, nor the driver, holds all circles.
+grid, in which the circles of its level and all finer ones are entered.
+
+Several rounds are made at once in tiles of the plane: a task has the circles of a
+tile and those so near that they can matter to them within these rounds, and moves
+all of them; each circle's place is taken from its own tile. How near that is
+follows from the largest step of any circle, which is checked afterwards. Where a
+tile would hold too much, a round is an equi-join by cells. No task, nor the
+driver, holds all circles.
 """
 
 from __future__ import annotations
@@ -25,6 +31,10 @@ TOGETHER = 2000  # at most so many circles are laid out in one task, by the same
 CROWD = 64  # circles of one level in a cell beyond which they are spread out first
 RELAX, MARGIN, GROWTH, MOST_MARGIN = 0.7, 0.01, 1.05, 0.5
 TOLERANCE = 1e-6  # of the largest radius
+AT_ONCE = 8  # rounds in tiles between shuffles
+STEP = 0.5  # of the largest radius: what a circle moves in a round at most, as first supposed
+TILE = 6  # width of a tile, in widths of its border
+TILE_CIRCLES = 200_000  # circles of a tile and its border, beyond which rounds are joins
 _SCHEMA = "key string, x double, y double, r double, t double, level int"
 
 
@@ -134,6 +144,91 @@ def _settled(top: float, rounds: int):
     return settle
 
 
+def _near_pairs(x, y, r, level, top: float):
+    """(a, b) of all circles that overlap by over TOLERANCE, once; rows are in order of their keys."""
+    import numpy as np
+
+    found_a, found_b = [], []
+    for g in np.unique(level):
+        size = 2 * top * 2.0 ** -int(g)
+        large, small = np.flatnonzero(level == g), np.flatnonzero(level >= g)
+        i, j = np.floor(x / size).astype(np.int64), np.floor(y / size).astype(np.int64)
+        i, j = i - i.min() + 1, j - j.min() + 1
+        rows = int(j.max()) + 2
+        cell = i * rows + j
+        small = small[np.argsort(cell[small], kind="stable")]
+        held = cell[small]
+        for off in (-rows - 1, -rows, -rows + 1, -1, 0, 1, rows - 1, rows, rows + 1):
+            first, last = (np.searchsorted(held, cell[large] + off, side) for side in ("left", "right"))
+            n = last - first
+            a = np.repeat(large, n)
+            b = small[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)]
+            d = np.sqrt((x[b] - x[a]) ** 2 + (y[b] - y[a]) ** 2)
+            k = ((level[b] > g) | (b > a)) & (r[a] + r[b] - d > TOLERANCE * top)
+            found_a.append(a[k])
+            found_b.append(b[k])
+    return np.concatenate(found_a), np.concatenate(found_b)
+
+
+def _tile_rounds(top: float, rounds: int):
+    """Rounds over the circles of a tile and its border; those of the tile itself come out."""
+
+    def settle(pdf):
+        import numpy as np
+
+        pdf = pdf.sort_values("key").reset_index(drop=True)
+        x, y, r, t = (pdf[c].to_numpy(float).copy() for c in ("x", "y", "r", "t"))
+        level, own, m, n = pdf["level"].to_numpy(), pdf["own"].to_numpy(bool), float(pdf["m"].iloc[0]), len(pdf)
+        hits, step = np.zeros(n, np.int64), np.zeros(n)
+        for _ in range(rounds):
+            a, b = _near_pairs(x, y, r, level, top)
+            hits = np.bincount(a, minlength=n) + np.bincount(b, minlength=n)
+            if not len(a):
+                break
+            dx, dy = x[b] - x[a], y[b] - y[a]
+            d = np.sqrt(dx * dx + dy * dy)
+            push = ((r[a] + r[b]) * (1 + m) - d) / 2 * RELAX
+            ahead, turn, apart = np.where(b > a, 1.0, -1.0), t[a] + t[b], np.where(d > 0, d, 1.0)
+            mx, my = (np.where(d > 0, v / apart, f(turn) * ahead) * push for v, f in ((dx, np.cos), (dy, np.sin)))
+            mx, my = (np.bincount(b, v, n) - np.bincount(a, v, n) for v in (mx, my))
+            x, y, step = x + mx, y + my, np.maximum(step, np.sqrt(mx * mx + my * my))
+            m = min(MOST_MARGIN, m * GROWTH)
+        return pdf.assign(x=x, y=y, hits=hits, step=step)[own][["key", "x", "y", "r", "t", "level", "hits", "step"]]
+
+    return settle
+
+
+def _in_tiles(circles: DataFrame, top: float, rounds: int, step: float) -> tuple[DataFrame | None, float]:
+    """(circles after so many rounds, their largest step); None where tiles hold too many.
+
+    A round carries a push on by 2 * top at most, beside the steps of both sides; so
+    with steps up to `step`, what lies further than the border doesn't matter.
+    """
+    border = rounds * 2 * (top + step)
+    width = F.lit(TILE * border)
+    axis = lambda c: F.sequence(F.floor((F.col(c) - border) / width), F.floor((F.col(c) + border) / width))
+    dealt = circles.withColumn("i", F.explode(axis("x"))).withColumn("j", F.explode(axis("y")))
+    most = dealt.groupBy("i", "j").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    if most > TILE_CIRCLES:
+        return None, 0.0
+    dealt = dealt.withColumn("own", (F.floor(F.col("x") / width) == F.col("i")) & (F.floor(F.col("y") / width) == F.col("j")))
+    after = cut(dealt.groupBy("i", "j").applyInPandas(_tile_rounds(top, rounds), f"{_SCHEMA}, hits long, step double"))
+    return after, after.agg(F.max("step")).first()[0]
+
+
+def _moved(circles: DataFrame, top: float, levels: list[int], margin: float, rounds: int, step: float) -> tuple[DataFrame, int, float]:
+    """(circles with hits, rounds made, step to suppose next): several rounds in tiles, or one by joins."""
+    while rounds:
+        after, made = _in_tiles(circles, top, rounds, step)
+        if after is None:
+            rounds //= 2
+        elif made <= step:
+            return after.drop("step"), rounds, max(1.25 * made, 0.05 * top)
+        else:  # the border was too narrow for such steps
+            rounds, step = max(1, min(rounds, int(rounds * (top + step) / (top + 1.25 * made)))), 1.25 * made
+    return cut(_round(circles.withColumn("m", F.lit(margin)), top, levels)).drop("m"), 1, STEP * top
+
+
 def dorling_layout(df: DataFrame, weight: str, key: str = "iso3c", x: str = "lon", y: str = "lat", k: float = 5.0, rounds: int = 1000, together: int = TOGETHER) -> DataFrame:
     """(key, x, y, r): a circle per key, of area by weight, the largest of radius k, none overlapping.
 
@@ -151,10 +246,11 @@ def dorling_layout(df: DataFrame, weight: str, key: str = "iso3c", x: str = "lon
     if circles.count() <= together:
         return out(circles.groupBy().applyInPandas(_settled(top, rounds), _SCHEMA))
     levels = sorted(row[0] for row in circles.select("level").distinct().collect())
-    circles = _spread(circles, top).withColumn("m", F.lit(MARGIN))
-    for _ in range(rounds):
-        after = cut(_round(circles, top, levels))
-        circles = after.drop("hits")
+    circles, done, step = _spread(circles, top), 0, STEP * top
+    while done < rounds:
+        margin = _margin(done)
+        after, made, step = _moved(circles.withColumn("m", F.lit(margin)), top, levels, margin, min(AT_ONCE, rounds - done), step)
+        circles, done = after.drop("hits"), done + made
         if after.where("hits > 0").isEmpty():
             break
     return out(circles)
