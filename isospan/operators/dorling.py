@@ -31,7 +31,7 @@ TOGETHER = 2000  # at most so many circles are laid out in one task, by the same
 CROWD = 64  # circles of one level in a cell beyond which they are spread out first
 RELAX, MARGIN, GROWTH, MOST_MARGIN = 0.7, 0.01, 1.05, 0.5
 TOLERANCE = 1e-6  # of the largest radius
-AT_ONCE = 8  # rounds in tiles between shuffles
+AT_ONCE = 8  # rounds in tiles before the first shuffle; twice as many from then on
 STEP = 0.5  # of the largest radius: what a circle moves in a round at most, as first supposed
 TILE = 6  # width of a tile, in widths of its border
 TILE_CIRCLES = 200_000  # circles of a tile and its border, beyond which rounds are joins
@@ -170,6 +170,20 @@ def _near_pairs(x, y, r, level, top: float):
     return np.concatenate(found_a), np.concatenate(found_b)
 
 
+def _around(x, y, hit, size: float):
+    """Circles in the cells of those hit and beside them, in order: no others can overlap anew."""
+    import numpy as np
+
+    i, j = np.floor(x / size).astype(np.int64), np.floor(y / size).astype(np.int64)
+    i, j = i - i.min() + 1, j - j.min() + 1
+    rows = int(j.max()) + 2
+    cell = i * rows + j
+    offsets = np.array([a * rows + b for a in (-1, 0, 1) for b in (-1, 0, 1)])
+    near = np.unique(np.unique(cell[hit])[:, None] + offsets)
+    at = np.searchsorted(near, cell)
+    return np.flatnonzero(near[np.minimum(at, len(near) - 1)] == cell)
+
+
 def _tile_rounds(top: float, rounds: int):
     """Rounds over the circles of a tile and its border; those of the tile itself come out."""
 
@@ -181,7 +195,8 @@ def _tile_rounds(top: float, rounds: int):
         level, own, m, n = pdf["level"].to_numpy(), pdf["own"].to_numpy(bool), float(pdf["m"].iloc[0]), len(pdf)
         hits, step = np.zeros(n, np.int64), np.zeros(n)
         for _ in range(rounds):
-            a, b = _near_pairs(x, y, r, level, top)
+            k = _around(x, y, hits > 0, 2 * top) if hits.any() else np.arange(n)
+            a, b = (k[v] for v in _near_pairs(x[k], y[k], r[k], level[k], top))
             hits = np.bincount(a, minlength=n) + np.bincount(b, minlength=n)
             if not len(a):
                 break
@@ -223,7 +238,7 @@ def _moved(circles: DataFrame, top: float, levels: list[int], margin: float, rou
         if after is None:
             rounds //= 2
         elif made <= step:
-            return after.drop("step"), rounds, max(1.25 * made, 0.05 * top)
+            return after.drop("step"), rounds, max(1.25 * made, STEP * top)
         else:  # the border was too narrow for such steps
             rounds, step = max(1, min(rounds, int(rounds * (top + step) / (top + 1.25 * made)))), 1.25 * made
     return cut(_round(circles.withColumn("m", F.lit(margin)), top, levels)).drop("m"), 1, STEP * top
@@ -249,7 +264,7 @@ def dorling_layout(df: DataFrame, weight: str, key: str = "iso3c", x: str = "lon
     circles, done, step = _spread(circles, top), 0, STEP * top
     while done < rounds:
         margin = _margin(done)
-        after, made, step = _moved(circles.withColumn("m", F.lit(margin)), top, levels, margin, min(AT_ONCE, rounds - done), step)
+        after, made, step = _moved(circles.withColumn("m", F.lit(margin)), top, levels, margin, min(AT_ONCE * (2 if done else 1), rounds - done), step)
         circles, done = after.drop("hits"), done + made
         if after.where("hits > 0").isEmpty():
             break
