@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from ..errors import SpineError, need_columns
 from ..shared import cut
 from .prefix import number
+from .spatial import TASKS
 
 LEVELS = 16  # circles below 2 ** -LEVELS of the largest radius share the finest grid
 TOGETHER = 2000  # at most so many circles are laid out in one task, by the same rule
@@ -223,10 +224,11 @@ def _in_tiles(circles: DataFrame, top: float, rounds: int, step: float) -> tuple
     width = F.lit(TILE * border)
     axis = lambda c: F.sequence(F.floor((F.col(c) - border) / width), F.floor((F.col(c) + border) / width))
     dealt = circles.withColumn("i", F.explode(axis("x"))).withColumn("j", F.explode(axis("y")))
-    most = dealt.groupBy("i", "j").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    most, tiles = dealt.groupBy("i", "j").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.count(F.lit(1))).first()
     if most > TILE_CIRCLES:
         return None, 0.0
     dealt = dealt.withColumn("own", (F.floor(F.col("x") / width) == F.col("i")) & (F.floor(F.col("y") / width) == F.col("j")))
+    dealt = dealt.repartition(min(TASKS, tiles), "i", "j")  # few bytes are much work
     after = cut(dealt.groupBy("i", "j").applyInPandas(_tile_rounds(top, rounds), f"{_SCHEMA}, hits long, step double"))
     return after, after.agg(F.max("step")).first()[0]
 

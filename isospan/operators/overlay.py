@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..errors import need_columns, one_of
 from ..shared import cut
 from .cells import X_OFF, Y_OFF, border, closed_up, strip_outlines
-from .spatial import place_among, ring_edges
+from .spatial import TASKS, place_among, ring_edges
 
 DIGITS = 9
 STRIP_EDGES = 10_000
@@ -201,6 +201,8 @@ def overlay(frame: DataFrame, by: str = "iso3c", mask: DataFrame | None = None,
         rows = [(names[i], first + n, closed, [{"x": x, "y": y} for x, y in points]) for n, (i, closed, points) in enumerate(parts) if len(points) > 1]
         return pd.DataFrame(rows, columns=["out", "part", "closed", "points"])
 
+    # a number of its own: few bytes are much work here, and would be put together in one task
+    dealt = dealt.repartition(min(TASKS, (len(cuts) + 1) * bundles), "strip", "bundle")
     parts = cut(dealt.groupBy("strip", "bundle").applyInPandas(worked, _PARTS))
 
     def joined(pdf):

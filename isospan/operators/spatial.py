@@ -17,6 +17,7 @@ from .resolve import convert_values, with_attributes
 
 KM_A_DEGREE = 111.0
 BROADCAST_VERTICES = 500_000  # some 12 MB of coordinates
+TASKS = 1000  # at most so many for strips or tiles, one each where they are fewer
 
 
 def rings(frame: DataFrame) -> DataFrame:
@@ -223,6 +224,7 @@ def dissolve(frame: DataFrame, by: str, digits: int = 6, tile_edges: int = TILE_
                 rows.append((one[by].iloc[0], (t << 32) + len(rows), closed, edge(entry), edge(leaving), len(points), *points[least], least, [{"x": x, "y": y} for x, y in points]))
         return pd.DataFrame(rows, columns=[by, "part", "closed", "entry", "leaving", "n", "x", "y", "least", "points"])
 
+    own = own.repartition(min(TASKS, (len(cuts["x"]) + 1) * (len(cuts["y"]) + 1)), "tile")
     parts = cut(own.groupBy("tile").applyInPandas(chain, f"`{by}` {kind}, part long, closed boolean, entry {place}, leaving {place}, n int, x double, y double, least int, points array<struct<x: double, y: double>>"))
 
     def joined(pdf):
